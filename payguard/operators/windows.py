@@ -7,10 +7,12 @@ number of distinct members with an event of ``g`` in ``[t - span, t]``
 
 Scalable form ("island"): a member's events cover ``[e, e + span]``; runs of
 overlapping covers are merged, each run adds +1 at its first ms and -1 one ms
-after its end, and the count is a running sum of these deltas.  Both the
-per-member neighbour lookup and the running sum are split by a time bucket,
-so a hot key (one merchant with a third of all rows) is spread over many
-tasks; the bucket boundaries are stitched with small per-bucket aggregates.
+after its end, and the count is a running sum of these deltas.  Rows are
+first copied into every time bucket (>= one window long) their cover reaches,
+so each (key, bucket) group is self-contained: one exchange on (key, bucket)
+serves both the per-member neighbour lookup and the running sum, and a hot
+key (one merchant with a third of all rows) is spread over as many tasks as
+it has buckets.
 """
 
 from __future__ import annotations
@@ -64,39 +66,81 @@ def running_sum(df: DataFrame, keys: list[str], ms: str, value: str, out: str,
             .drop("_pg_local", "_pg_off", _B))
 
 
+def _localize(df: DataFrame, keys: list[str], ms: str, span_ms: int, bucket_ms: int) -> DataFrame:
+    """Copy every row into each time bucket its cover ``[ms, ms + span]``
+    reaches. A row is *real* only in its own bucket. Afterwards every
+    (key, bucket) group holds all rows any of its real rows can see, so the
+    operator needs one exchange on (key, bucket) and no cross-bucket fix-up.
+    Copies per row: at most ``1 + ceil(span / bucket)``."""
+    own = _bucket(F.col(ms), bucket_ms)
+    last = _bucket(F.col(ms) + F.lit(span_ms), bucket_ms)
+    return (df.withColumn("_pg_own", own)
+            .withColumn(_B, F.explode(F.sequence(own, last)))
+            .withColumn("_pg_real", F.col(_B) == F.col("_pg_own"))
+            .drop("_pg_own")
+            .repartition(*keys, _B))
+
+
+def local_bucket_ms(span_ms: int, bucket_ms: int) -> int:
+    """Bucket used by the localised operators: at least one window long so a
+    row is copied at most twice."""
+    return max(int(bucket_ms), int(span_ms) + 1)
+
+
 def distinct_in_range(df: DataFrame, keys: list[str], member: str, span_ms: int, out: str,
                       ms: str = "ms", seq: str = "seq", bucket_ms: int = HOUR_MS,
                       method: str = "island") -> DataFrame:
     """Add ``out`` = distinct ``member`` values of the same ``keys`` with an
-    event in ``[ms - span_ms, ms]``. Rows must have non-null keys/member."""
+    event in ``[ms - span_ms, ms]``. Rows must have non-null keys/member.
+
+    ``island``: rows are localised to (key, bucket) groups; per member, runs
+    of overlapping covers give +1 at their first ms and -1 one ms after their
+    end; the count is the running sum of those deltas in the group. One
+    exchange; a hot key is split into as many groups as it has buckets.
+    ``naive``: ``size(collect_set)`` over a RANGE frame per key (reference
+    semantics check; one task per key).
+    """
     if method == "naive":
         w = (Window.partitionBy(*keys).orderBy(ms).rangeBetween(-span_ms, Window.currentRow))
         return df.withColumn(out, F.size(F.collect_set(member).over(w)).cast("long"))
     if method != "island":
         raise ValueError(f"unknown method {method!r}")
     edge = span_ms + 1
-    pn = prev_next_ms(df.select(*keys, member, ms, seq), [*keys, member], ms, seq, bucket_ms)
-    starts = pn.filter(F.col("prev_ms").isNull() | (F.col(ms) > F.col("prev_ms") + edge)).select(
-        *keys, F.col(ms).alias("_pg_t"), F.lit(1).alias("_pg_d"))
-    ends = pn.filter(F.col("next_ms").isNull() | (F.col("next_ms") > F.col(ms) + edge)).select(
-        *keys, (F.col(ms) + edge).alias("_pg_t"), F.lit(-1).alias("_pg_d"))
-    rows = df.withColumn("_pg_t", F.col(ms)).withColumn("_pg_d", F.lit(0)).withColumn("_pg_evt", F.lit(True))
-    u = rows.unionByName(starts.unionByName(ends), allowMissingColumns=True)
-    r = running_sum(u, keys, "_pg_t", "_pg_d", out, bucket_ms)
-    return r.filter(F.col("_pg_evt")).drop("_pg_t", "_pg_d", "_pg_evt")
+    loc = _localize(df, keys, ms, span_ms, local_bucket_ms(span_ms, bucket_ms))
+    wm = Window.partitionBy(*keys, _B, member).orderBy(ms, seq)
+    loc = (loc.withColumn("_pg_prev", F.lag(ms).over(wm))
+              .withColumn("_pg_next", F.lead(ms).over(wm)))
+    start = F.col("_pg_prev").isNull() | (F.col(ms) > F.col("_pg_prev") + edge)
+    stop = F.col("_pg_next").isNull() | (F.col("_pg_next") > F.col(ms) + edge)
+    # one output row per input copy (delta 0 keeps real rows), plus an extra
+    # -1 row when the run ends here; +1 rides on the row itself
+    d_self = F.when(start, F.lit(1)).otherwise(F.lit(0))
+    items = F.array(
+        F.struct(F.col(ms).alias("t"), d_self.alias("d"), F.col("_pg_real").alias("keep")),
+        F.when(stop, F.struct((F.col(ms) + edge).alias("t"), F.lit(-1).alias("d"), F.lit(False).alias("keep"))))
+    exp = loc.withColumn("_pg_it", F.explode(F.array_compact(items)))
+    wr = (Window.partitionBy(*keys, _B).orderBy(F.col("_pg_it.t"))
+          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = exp.withColumn(out, F.sum(F.col("_pg_it.d")).over(wr).cast("long"))
+    return counted.filter(F.col("_pg_it.keep")).drop("_pg_it", "_pg_prev", "_pg_next", "_pg_real", _B)
 
 
 def count_in_range(df: DataFrame, keys: list[str], span_ms: int, out: str, ms: str = "ms",
                    bucket_ms: int = HOUR_MS, method: str = "island") -> DataFrame:
-    """Add ``out`` = rows of the same keys with ms in ``[ms - span_ms, ms]``."""
+    """Add ``out`` = rows of the same keys with ms in ``[ms - span_ms, ms]``
+    (localised running sum of +1 at ms and -1 one ms after ms + span)."""
     if method == "naive":
         w = Window.partitionBy(*keys).orderBy(ms).rangeBetween(-span_ms, Window.currentRow)
         return df.withColumn(out, F.count(F.lit(1)).over(w))
-    rows = df.withColumn("_pg_t", F.col(ms)).withColumn("_pg_d", F.lit(1)).withColumn("_pg_evt", F.lit(True))
-    ends = df.select(*keys, (F.col(ms) + span_ms + 1).alias("_pg_t"), F.lit(-1).alias("_pg_d"))
-    u = rows.unionByName(ends, allowMissingColumns=True)
-    r = running_sum(u, keys, "_pg_t", "_pg_d", out, bucket_ms)
-    return r.filter(F.col("_pg_evt")).drop("_pg_t", "_pg_d", "_pg_evt")
+    loc = _localize(df, keys, ms, span_ms, local_bucket_ms(span_ms, bucket_ms))
+    items = F.array(
+        F.struct(F.col(ms).alias("t"), F.lit(1).alias("d"), F.col("_pg_real").alias("keep")),
+        F.struct((F.col(ms) + span_ms + 1).alias("t"), F.lit(-1).alias("d"), F.lit(False).alias("keep")))
+    exp = loc.withColumn("_pg_it", F.explode(items))
+    wr = (Window.partitionBy(*keys, _B).orderBy(F.col("_pg_it.t"))
+          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = exp.withColumn(out, F.sum(F.col("_pg_it.d")).over(wr).cast("long"))
+    return counted.filter(F.col("_pg_it.keep")).drop("_pg_it", "_pg_real", _B)
 
 
 # --- the three reference computations ----------------------------------------
