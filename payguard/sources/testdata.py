@@ -129,10 +129,10 @@ def ban_requests(decisions: DataFrame, events: DataFrame) -> DataFrame:
         "user_id",
         F.concat(F.lit("ASYNC_RULE:"), F.col("decision_id")).alias("reason"),
         F.lit(3).alias("severity"), F.lit(86_400).cast("long").alias("ttl_seconds"),
-        F.col("created_at").alias("ts"), F.col("decision_id").alias("request_key"))
+        F.col("created_at").alias("ts"), F.col("decision_id").alias("request_key"), "seq")
     spikes = events.filter((F.col("event_type") == "WITHDRAWAL") & (F.col("amount_cents") > 20_000)).select(
         "user_id", F.lit("ERROR_SPIKE").alias("reason"), F.lit(4).alias("severity"),
-        F.lit(3_600).cast("long").alias("ttl_seconds"), "ts", F.col("event_id").alias("request_key"))
+        F.lit(3_600).cast("long").alias("ttl_seconds"), "ts", F.col("event_id").alias("request_key"), "seq")
     return blocks.unionByName(spikes)
 
 
