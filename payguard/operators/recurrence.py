@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from payguard.config import DAY_MS
 from payguard.session import cut_lineage
@@ -129,6 +130,8 @@ def greedy_accept(nodes: DataFrame, keys: list[str], ttl_ms: str, sev: str | Non
     sentinel 2**62 = forever). Input needs ms, seq, node_id (unique) and the
     ``ttl_ms`` column (null = forever)."""
     if method == "auto":
+        # the size check is an action: keep its input for the real pass
+        nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
         biggest = nodes.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         method = "fold" if biggest <= fold_max_group_rows else "doubling"
     if method == "fold":

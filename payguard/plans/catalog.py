@@ -93,3 +93,91 @@ QUERIES: dict[str, Query] = {
     "p06_high_risk": p06_high_risk,
     "p07_alerts": p07_alerts,
 }
+
+
+# --- dynamic rules -------------------------------------------------------------
+from payguard.operators import alerts as A  # noqa: E402
+from payguard.operators import bans as BN  # noqa: E402
+from payguard.operators import ingest as ING  # noqa: E402
+from payguard.operators import rules as R  # noqa: E402
+
+
+def j1_rule_asof(spark, sf):
+    ev = _events(spark, sf)
+    v = R.rule_versions(TD.rule_updates(spark), CFG)
+    j = R.attach_rule_params(ev, v, CFG)
+    return j.select("event_id", "rule_version_ms", *[F.col(f"rp_{p}").alias(p) for p in R.PARAMS])
+
+
+def q1_decisions_rules(spark, sf):
+    return _decision_out(scored(spark, sf, rules=True).decisions)
+
+
+# --- bans and admission ----------------------------------------------------------
+def _ban_requests(spark, sf):
+    ev = _events(spark, sf)
+    s = Q.score_events(ev, CFG, profiles=_profiles(ev))
+    return ev, TD.ban_requests(s.decisions, ev)
+
+
+def q5_ban_intervals(spark, sf):
+    _, req = _ban_requests(spark, sf)
+    b = BN.ban_intervals(req, fold_max_group_rows=CFG.fold_max_group_rows)
+    return b.select("request_key", "user_id", "severity", "accepted", "valid_from_ms", "valid_to_ms",
+                    "stored_value")
+
+
+def q5_audit_bans(spark, sf):
+    a = BN.audit_bans(scored(spark, sf).decisions, CFG)
+    return a.select("decision_id", "user_id", "reason", "severity",
+                    F.unix_millis("expires_at").alias("expires_at_ms"),
+                    F.unix_millis("created_at").alias("created_at_ms"))
+
+
+def q3_admission(spark, sf):
+    ev, req = _ban_requests(spark, sf)
+    bans = BN.ban_intervals(req, fold_max_group_rows=CFG.fold_max_group_rows)
+    out = ING.admit(ev, bans, CFG)
+    return out.select("event_id", "user_id", "status", "reason", "rate_limit_count")
+
+
+# --- alerts ----------------------------------------------------------------------
+def _alerts_processed(spark, sf):
+    deliveries = TD.alert_deliveries(scored(spark, sf).alerts)
+    return A.process_alerts(deliveries, CFG)
+
+
+def t10_cooldown(spark, sf):
+    a = A.cooldown(scored(spark, sf).alerts, CFG)
+    return a.select("alert_id", "user_id", "severity", "allowed", F.col("ms").alias("created_at_ms"))
+
+
+def q4_alert_log(spark, sf):
+    log, _, _ = _alerts_processed(spark, sf)
+    return log.select("alert_id", "user_id", "severity", "status",
+                      F.array_join("channels_notified", ",").alias("channels"),
+                      F.unix_millis("created_at").alias("created_at_ms"))
+
+
+def q4_outcomes(spark, sf):
+    _, out, _ = _alerts_processed(spark, sf)
+    return out.select("alert_id", "delivery", "duplicate", "rate_limited",
+                      F.array_join("channels", ",").alias("channels"))
+
+
+def j9_sends(spark, sf):
+    _, _, sends = _alerts_processed(spark, sf)
+    return sends.select("alert_id", "channel", "position", "message")
+
+
+QUERIES.update({
+    "j1_rule_asof": j1_rule_asof,
+    "q1_decisions_rules": q1_decisions_rules,
+    "q5_ban_intervals": q5_ban_intervals,
+    "q5_audit_bans": q5_audit_bans,
+    "q3_admission": q3_admission,
+    "t10_cooldown": t10_cooldown,
+    "q4_alert_log": q4_alert_log,
+    "q4_outcomes": q4_outcomes,
+    "j9_sends": j9_sends,
+})
