@@ -15,7 +15,7 @@ __all__ = [
     "reasons_array", "join_reasons", "parse_int_or_zero", "parse_int_strict",
     "ban_value", "ban_value_reason", "ban_value_severity", "format_reason",
     "plus_seconds", "parse_instant", "to_json_str", "map_get", "ci_equal",
-    "severity_or_unknown", "truncate_chars", "header_last", "header_upsert",
+    "severity_or_unknown", "truncate_chars", "header_last", "header_upsert", "header_upsert_many",
     "header_value_str", "retry_count_from_header", "byte_length", "non_negative",
     "utf8", "to_ms", "from_ms", "iso_instant",
 ]
@@ -199,8 +199,7 @@ def utf8(s) -> Column:
 
 def header_last(headers, key: str) -> Column:
     """Value bytes of the last header named ``key`` (null when absent)."""
-    matches = F.filter(col_(headers), lambda h: h["key"] == F.lit(key))
-    return F.when(F.size(matches) > 0, F.element_at(matches, -1)["value"])
+    return F.try_element_at(F.filter(col_(headers), lambda h: h["key"] == F.lit(key)), F.lit(-1))["value"]
 
 
 def header_value_str(headers, key: str) -> Column:
@@ -209,10 +208,19 @@ def header_value_str(headers, key: str) -> Column:
 
 def header_upsert(headers, key: str, value) -> Column:
     """Remove every header named ``key`` and append one with ``value``."""
-    v = value if isinstance(value, Column) else F.lit(value)
+    return header_upsert_many(headers, [(key, value)])
+
+
+def header_upsert_many(headers, pairs) -> Column:
+    """Upsert several headers in one expression (same result as upserting
+    them one after another): drop all headers with those keys, append the
+    new ones in order."""
+    keys = [k for k, _ in pairs]
     kept = F.filter(F.coalesce(col_(headers), F.array().cast("array<struct<key:string,value:binary>>")),
-                    lambda h: h["key"] != F.lit(key))
-    return F.concat(kept, F.array(F.struct(F.lit(key).alias("key"), utf8(v).alias("value"))))
+                    lambda h: ~h["key"].isin(*keys))
+    new = [F.struct(F.lit(k).alias("key"), utf8(v if isinstance(v, Column) else F.lit(v)).alias("value"))
+           for k, v in pairs]
+    return F.concat(kept, F.array(*new))
 
 
 def retry_count_from_header(v, max_retries: int) -> Column:

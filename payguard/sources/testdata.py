@@ -151,10 +151,12 @@ def alert_records(alerts: DataFrame, partitions: int = 4) -> DataFrame:
         "alert_id", "decision_id", "event_id", "user_id", "risk_score", "severity",
         "reason_summary", "created_at", "source")]))
     cut = F.when(F.col("seq") % 7 == 0, F.substring(payload, 1, 40)).otherwise(payload)
-    attempt = F.when(F.col("seq") % 2 == 0, F.unhex(F.lit("00000003")))
+    attempt = F.when(F.col("seq") % 2 == 0, F.unhex(F.lit("00000001")))
+    # partition by key: last hex digit of md5(user id)
+    part = F.conv(F.substring(F.md5(F.col("user_id")), 32, 1), 16, 10).cast("int") % partitions
     return alerts.select(
         F.lit("alert-events").alias("topic"),
-        (F.abs(F.xxhash64("user_id")) % partitions).cast("int").alias("partition"),
+        part.alias("partition"),
         F.col("seq").alias("offset"),
         F.encode("user_id", "UTF-8").alias("key"),
         F.encode(cut, "UTF-8").alias("value"),
@@ -169,10 +171,10 @@ def consumer_offsets(events: DataFrame, partitions: int = 8, lag_ms: int = 3_600
     """Offsets of the raw-events topic as a consumer sees them: the topic is
     partitioned by user; ``latest`` counts every record in a partition,
     ``committed`` counts those older than ``lag_ms`` before the newest one."""
-    part = (F.abs(F.xxhash64("user_id")) % partitions).cast("int")
+    part = F.conv(F.substring(F.md5(F.col("user_id")), 32, 1), 16, 10).cast("int") % partitions
     ev = events.select(part.alias("partition"), "ms")
-    newest = ev.agg(F.max("ms").alias("newest"))
-    return (ev.crossJoin(F.broadcast(newest))  # one-row side
+    newest = ev.groupBy("partition").agg(F.max("ms").alias("newest"))  # one row per partition
+    return (ev.join(F.broadcast(newest), "partition")
             .groupBy("partition")
             .agg(F.count("*").alias("latest"),
                  F.sum(F.when(F.col("ms") <= F.col("newest") - lag_ms, 1).otherwise(0)).alias("committed"))
