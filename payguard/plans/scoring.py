@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payguard.config import RiskConfig
+from payguard.functions import parse_int_or_zero
 from payguard.operators import rules as R
 from payguard.operators import scoring as S
 from payguard.operators import windows as W
@@ -32,9 +33,15 @@ def lookup_profiles(events: DataFrame, profiles: DataFrame | None) -> DataFrame:
     ``profiles`` holds the raw ban value (``blacklist_raw``), null = none."""
     if profiles is None:
         return events.withColumn("blacklisted", F.lit(False))
-    p = profiles.select("user_id", F.col("blacklist_raw").isNotNull().alias("blacklisted"))
-    return events.join(p, "user_id", "left").withColumn(
-        "blacklisted", F.coalesce("blacklisted", F.lit(False)))
+    cols = [F.col("blacklist_raw").isNotNull().alias("blacklisted")]
+    if "velocity_raw" in profiles.columns and "velocity_7d" not in events.columns:
+        # stored velocity (string): null/blank/garbage -> 0
+        cols.append(parse_int_or_zero("velocity_raw", "long").alias("velocity_7d"))
+    p = profiles.select("user_id", *cols)
+    out = events.join(p, "user_id", "left").withColumn("blacklisted", F.coalesce("blacklisted", F.lit(False)))
+    if "velocity_7d" in p.columns:
+        out = out.withColumn("velocity_7d", F.coalesce("velocity_7d", F.lit(0).cast("long")))
+    return out
 
 
 def enrich(events: DataFrame, cfg: RiskConfig, profiles: DataFrame | None = None,
