@@ -89,7 +89,9 @@ def relay_outbox(outbox: DataFrame, batch_size: int, now: Column, publishable: C
     the first entry that cannot be published, mark the published ones.
     Returns (rule-log records published, outbox')."""
     batch = pending_outbox(outbox, batch_size)
-    ok = publishable if publishable is not None else F.from_json("payload", PAYLOAD).isNotNull()
+    parsed = F.from_json("payload", PAYLOAD)
+    ok = publishable if publishable is not None else (
+        parsed["ruleId"].isNotNull() & parsed["ruleType"].isNotNull() & parsed["enabled"].isNotNull())
     stop = batch.filter(~ok).agg(F.min("id")).first()[0]  # scalar over <= batch_size rows
     sent = batch if stop is None else batch.filter(F.col("id") < F.lit(stop))
     log = sent.select("id", F.from_json("payload", PAYLOAD).alias("p")).select(

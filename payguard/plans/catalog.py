@@ -48,17 +48,20 @@ def q2_two_rule_decisions(spark, sf):
 
 
 def w1_merchant_burst(spark, sf):
-    ev = W.merchant_burst(_events(spark, sf), CFG.burst_window_ms, bucket_ms=CFG.bucket_ms)
+    ev = _events(spark, sf).select("event_id", "merchant_id", "user_id", "ms", "seq")
+    ev = W.merchant_burst(ev, CFG.burst_window_ms, bucket_ms=CFG.bucket_ms)
     return ev.select("event_id", "merchant_id", "merchant_users")
 
 
 def w2_rate_limit(spark, sf):
-    ev = W.rate_limit(_events(spark, sf), CFG.rate_limit_window_ms, CFG.rate_limit, bucket_ms=CFG.bucket_ms)
+    ev = _events(spark, sf).select("event_id", "user_id", "request_id", "ms", "seq")
+    ev = W.rate_limit(ev, CFG.rate_limit_window_ms, CFG.rate_limit, bucket_ms=CFG.bucket_ms)
     return ev.select("event_id", "user_id", "request_id", "rate_count", "rate_blocked")
 
 
 def w3_velocity_7d(spark, sf):
-    ev = W.velocity(_events(spark, sf), CFG.velocity_window_ms, bucket_ms=CFG.bucket_ms)
+    ev = _events(spark, sf).select("event_id", "user_id", "ms")
+    ev = W.velocity(ev, CFG.velocity_window_ms, bucket_ms=CFG.bucket_ms)
     return ev.select("event_id", "user_id", "velocity_7d")
 
 

@@ -47,6 +47,9 @@ def _write_partition(df: DataFrame, path: str, batch_id: int) -> None:
 def score_stream(spark: SparkSession, source: str, out_dir: str, cfg: RiskConfig, checkpoint: str,
                  profiles_path: str | None = None, rules_path: str | None = None,
                  lag_ms: int = 0, trigger: dict | None = None) -> StreamingQuery:
+    # timeouts are evaluated when data arrives; no empty micro-batches, so an
+    # availableNow run terminates once the input is drained
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     events = event_stream(spark, source)
     m = F.col("merchant_id")
     keyed = events.filter(m.isNotNull() & ~is_blank(m))
