@@ -34,20 +34,27 @@ def interval_join(points: DataFrame, intervals: DataFrame, point_ms: str, start_
     """Join points to the intervals of the same ``keys`` that contain them.
 
     Containment: ``start <= p < end`` (``start < p < end`` when
-    ``start_inclusive`` is False); a null end is open. Open intervals are
-    spread up to the last point's bucket (``max_point_ms``, computed when not
-    given). The result keeps every point column plus the interval columns.
+    ``start_inclusive`` is False); a null end is open. Buckets are capped at
+    one past the last interval start (read from the small interval side, or
+    ``max_point_ms`` when given): later points share that bucket, which only
+    open or long intervals reach, and the range test keeps the join exact.
+    The result keeps every point column plus the interval columns.
     """
+    # the interval side feeds two small actions (last start, size check) and
+    # the join itself: keep it instead of deriving it three times
+    intervals = intervals.persist(StorageLevel.MEMORY_AND_DISK)
     if max_point_ms is None:
-        max_point_ms = points.agg(F.max(point_ms)).first()[0]
-        max_point_ms = 0 if max_point_ms is None else int(max_point_ms)
-    hi = F.coalesce(F.col(end_ms) - 1, F.lit(max_point_ms))
-    first_b = F.floor(F.col(start_ms) / bucket_ms).cast("long")
-    last_b = F.floor(F.greatest(hi, F.col(start_ms)) / bucket_ms).cast("long")
+        last_start = intervals.agg(F.max(start_ms)).first()[0]
+        cap = (0 if last_start is None else int(last_start) // bucket_ms) + 1
+    else:
+        cap = int(max_point_ms) // bucket_ms + 1
+    hi = F.coalesce(F.col(end_ms) - 1, F.lit(cap * bucket_ms))
+    first_b = F.least(F.floor(F.col(start_ms) / bucket_ms).cast("long"), F.lit(cap))
+    last_b = F.least(F.floor(F.greatest(hi, F.col(start_ms)) / bucket_ms).cast("long"), F.lit(cap))
     spread = intervals.withColumn(_B, F.explode(F.sequence(first_b, last_b)))
     if broadcast_max_rows is not None:
         spread, _ = broadcast_if_small(spread, broadcast_max_rows)
-    p = points.withColumn(_B, F.floor(F.col(point_ms) / bucket_ms).cast("long"))
+    p = points.withColumn(_B, F.least(F.floor(F.col(point_ms) / bucket_ms).cast("long"), F.lit(cap)))
     pa, ia = p.alias("p"), spread.alias("i")
     eq = [F.col(f"p.{k}") == F.col(f"i.{k}") for k in keys] + [F.col(f"p.{_B}") == F.col(f"i.{_B}")]
     lower = (F.col(f"i.{start_ms}") <= F.col(f"p.{point_ms}")) if start_inclusive else (

@@ -7,14 +7,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from payguard.config import ALLOWED_RULE_TYPES, DAY_MS, RiskConfig
 from payguard.functions import parse_int_strict
 from payguard.operators.joins import interval_join
 from payguard.operators.windows import prev_next_ms
+from payguard.session import cut_lineage
 
 # Fixed values: (rule type, parameter key) -> scoring parameter it sets.
 PARAMETER_KEYS = (
@@ -103,6 +104,10 @@ def rule_versions(updates: DataFrame, cfg: RiskConfig, bucket_ms: int = DAY_MS,
     valid, _bad = split_valid_rules(updates)
     u = valid.withColumn("upd_ms", F.unix_millis("updated_at")).withColumn(
         "_ord", F.coalesce("log_offset", F.lit(0)).cast("long"))
+    u = u.persist(StorageLevel.MEMORY_AND_DISK)
+    n_updates = u.count()  # size check of the control table
+    if n_updates <= broadcast_max_rows:
+        return _rule_versions_small(u, cfg)
     # each rule's state interval: [this update, next update of the rule)
     u = prev_next_ms(u, ["rule_id"], "upd_ms", "_ord", bucket_ms, "prev_upd", "next_upd")
     pm = _param_map_df(updates.sparkSession)
@@ -128,7 +133,43 @@ def rule_versions(updates: DataFrame, cfg: RiskConfig, bucket_ms: int = DAY_MS,
           for p in PARAMS])
     versions = versions.withColumn("_k", F.lit(0)).withColumn("_s", F.lit(0))
     versions = prev_next_ms(versions, ["_k"], "valid_from_ms", "_s", bucket_ms, "_p", "valid_to_ms")
-    return versions.select("valid_from_ms", "valid_to_ms", *PARAMS)
+    # one row per rule change: a small control table, materialised once
+    return cut_lineage(versions.select("valid_from_ms", "valid_to_ms", *PARAMS))
+
+
+def _winners_to_versions(cps: DataFrame, live: DataFrame, cfg: RiskConfig) -> DataFrame:
+    winners = (live.groupBy("cp").pivot("param", list(PARAMS))
+               .agg(F.max_by("pval", F.struct("c_upd", "rule_id"))))
+    for p in PARAMS:
+        if p not in winners.columns:
+            winners = winners.withColumn(p, F.lit(None).cast("string"))
+    return cps.join(winners, "cp", "left").select(
+        F.col("cp").alias("valid_from_ms"),
+        *[F.coalesce(parse_int_strict(p, param_type(p)), F.lit(getattr(cfg, p)).cast(param_type(p))).alias(p)
+          for p in PARAMS])
+
+
+def _rule_versions_small(u: DataFrame, cfg: RiskConfig) -> DataFrame:
+    """Rule log proven small (counted): per-rule ``lead`` for the state
+    intervals, a broadcast range join of change points to live
+    contributions, and one window over the change points (one row per rule
+    change) for the version end."""
+    nxt = F.lead("upd_ms").over(Window.partitionBy("rule_id").orderBy("upd_ms", "_ord"))
+    u = u.withColumn("next_upd", nxt)
+    pm = _param_map_df(u.sparkSession)
+    contrib = (u.filter(F.col("enabled") & F.col("known_type"))
+               .select("rule_id", "rule_type", F.col("upd_ms").alias("from_ms"), F.col("next_upd").alias("to_ms"),
+                       F.explode("parameters").alias("pkey", "pval"))
+               .join(F.broadcast(pm), ["rule_type", "pkey"])
+               .select("rule_id", "param", "pval", "from_ms", "to_ms", F.col("from_ms").alias("c_upd")))
+    cps = u.select(F.col("upd_ms").alias("cp")).distinct()
+    live = cps.join(F.broadcast(contrib), (F.col("from_ms") <= F.col("cp")) & (
+        F.col("to_ms").isNull() | (F.col("cp") < F.col("to_ms"))))
+    versions = _winners_to_versions(cps, live, cfg)
+    versions = versions.withColumn("valid_to_ms", F.lead("valid_from_ms").over(Window.orderBy("valid_from_ms")))
+    out = versions.select("valid_from_ms", "valid_to_ms", *PARAMS).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
 
 
 def attach_rule_params(events: DataFrame, versions: DataFrame, cfg: RiskConfig,
