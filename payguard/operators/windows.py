@@ -89,9 +89,12 @@ def local_bucket_ms(span_ms: int, bucket_ms: int) -> int:
 
 def distinct_in_range(df: DataFrame, keys: list[str], member: str, span_ms: int, out: str,
                       ms: str = "ms", seq: str = "seq", bucket_ms: int = HOUR_MS,
-                      method: str = "island") -> DataFrame:
+                      method: str = "island", ties: str = "peers") -> DataFrame:
     """Add ``out`` = distinct ``member`` values of the same ``keys`` with an
     event in ``[ms - span_ms, ms]``. Rows must have non-null keys/member.
+    ``ties="peers"`` counts every row at the current ms (SQL RANGE);
+    ``ties="arrival"`` counts rows at the current ms only up to this one in
+    ``seq`` order (the sequential reference behaviour).
 
     ``island``: rows are localised to (key, bucket) groups; per member, runs
     of overlapping covers give +1 at their first ms and -1 one ms after their
@@ -116,11 +119,18 @@ def distinct_in_range(df: DataFrame, keys: list[str], member: str, span_ms: int,
     # -1 row when the run ends here; +1 rides on the row itself
     d_self = F.when(start, F.lit(1)).otherwise(F.lit(0))
     items = F.array(
-        F.struct(F.col(ms).alias("t"), d_self.alias("d"), F.col("_pg_real").alias("keep")),
-        F.when(stop, F.struct((F.col(ms) + edge).alias("t"), F.lit(-1).alias("d"), F.lit(False).alias("keep"))))
+        F.struct(F.col(ms).alias("t"), F.lit(1).alias("k"), d_self.alias("d"), F.col("_pg_real").alias("keep")),
+        F.when(stop, F.struct((F.col(ms) + edge).alias("t"), F.lit(0).alias("k"), F.lit(-1).alias("d"),
+                              F.lit(False).alias("keep"))))
     exp = loc.withColumn("_pg_it", F.explode(F.array_compact(items)))
-    wr = (Window.partitionBy(*keys, _B).orderBy(F.col("_pg_it.t"))
-          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    if ties == "arrival":
+        # sequential semantics: peers at the same ms count only if they
+        # arrived earlier (expiries at that ms apply first)
+        wr = (Window.partitionBy(*keys, _B).orderBy(F.col("_pg_it.t"), F.col("_pg_it.k"), F.col(seq))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    else:
+        wr = (Window.partitionBy(*keys, _B).orderBy(F.col("_pg_it.t"))
+              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     counted = exp.withColumn(out, F.sum(F.col("_pg_it.d")).over(wr).cast("long"))
     return counted.filter(F.col("_pg_it.keep")).drop("_pg_it", "_pg_prev", "_pg_next", "_pg_real", _B)
 

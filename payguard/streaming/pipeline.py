@@ -34,9 +34,14 @@ EVENT_STREAM_SCHEMA = T.StructType(schemas.RISK_EVENT.fields + [
     T.StructField("seq", T.LongType()), T.StructField("ms", T.LongType())])
 
 
-def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(EVENT_STREAM_SCHEMA)
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(path))
+def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1,
+                 watermark: str | None = None) -> DataFrame:
+    """S1 (+ T1 when ``watermark`` is given, e.g. ``"5 seconds"``: bounded
+    out-of-orderness on the event time, for windowed aggregations and
+    de-duplication downstream; the keyed processors keep their own max)."""
+    df = (spark.readStream.schema(EVENT_STREAM_SCHEMA)
+          .option("maxFilesPerTrigger", max_files_per_trigger).parquet(path))
+    return df.withWatermark("ts", watermark) if watermark else df
 
 
 def _write_partition(df: DataFrame, path: str, batch_id: int) -> None:

@@ -51,6 +51,17 @@ def test_w1_null_and_blank_merchant(events_df):
     assert got == {"a": 0, "b": 1, "c": 2, "d": 2}  # same ms: RANGE peers included
 
 
+def test_w1_arrival_ties(events_df):
+    rows = [event_row("a", user="u1", ms=T0_MS, seq=1), event_row("b", user="u2", ms=T0_MS, seq=2),
+            event_row("c", user="u3", ms=T0_MS, seq=3), event_row("d", user="u1", ms=T0_MS + 10, seq=4)]
+    df = events_df(rows)
+    peers = {r.event_id: r.n for r in W.distinct_in_range(df, ["merchant_id"], "user_id", 300_000, "n").collect()}
+    arrival = {r.event_id: r.n for r in W.distinct_in_range(df, ["merchant_id"], "user_id", 300_000, "n",
+                                                             ties="arrival").collect()}
+    assert peers == {"a": 3, "b": 3, "c": 3, "d": 3}
+    assert arrival == {"a": 1, "b": 2, "c": 3, "d": 3}
+
+
 def test_g17_ten_requests_limit_five(events_df):
     rows = [event_row(f"e{i}", request=f"req-{i}", ms=T0_MS + i, seq=i) for i in range(10)]
     got = sorted((r.seq, r.rate_blocked) for r in W.rate_limit(events_df(rows), 2_000, 5).collect())
