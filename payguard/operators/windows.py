@@ -156,21 +156,25 @@ def count_in_range(df: DataFrame, keys: list[str], span_ms: int, out: str, ms: s
 # --- the three reference computations ----------------------------------------
 
 def merchant_burst(events: DataFrame, window_ms: int, out: str = "merchant_users",
-                   bucket_ms: int = HOUR_MS, method: str = "island") -> DataFrame:
+                   bucket_ms: int = HOUR_MS, method: str = "island", ties: str = "peers") -> DataFrame:
     """Distinct users per merchant in ``[t - window, t]``.
 
-    Null merchant: 0 (rule not eligible). Blank merchant: 1 (the reference
-    keys it per event). Null merchants never reach the exchange.
+    Null merchant: 0 (rule not eligible). Blank merchant: 1. Both are keyed
+    per event (a one-row group each), so they neither form a hot key nor
+    need a second scan and a union; the count is fixed afterwards.
     """
     from payguard.functions import is_blank
 
     m = F.col("merchant_id")
-    keyed = events.filter(m.isNotNull() & ~is_blank(m))
-    other = events.filter(m.isNull() | is_blank(m)).withColumn(
-        out, F.when(m.isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long"))
-    counted = distinct_in_range(keyed, ["merchant_id"], "user_id", window_ms, out,
-                                bucket_ms=bucket_ms, method=method)
-    return counted.unionByName(other)
+    solo = m.isNull() | is_blank(m)
+    keyed = events.withColumn("_pg_mkey", F.when(solo, F.concat(F.lit("\u0000"), F.col("event_id"))).otherwise(m))
+    if method == "naive":
+        counted = distinct_in_range(keyed, ["_pg_mkey"], "user_id", window_ms, out, method="naive")
+    else:
+        counted = distinct_in_range(keyed, ["_pg_mkey"], "user_id", window_ms, out,
+                                    bucket_ms=bucket_ms, method=method, ties=ties)
+    fixed = F.when(m.isNull(), F.lit(0)).when(is_blank(m), F.lit(1)).otherwise(F.col(out)).cast("long")
+    return counted.withColumn(out, fixed).drop("_pg_mkey")
 
 
 def velocity(events: DataFrame, window_ms: int, out: str = "velocity_7d",
