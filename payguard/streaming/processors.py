@@ -22,11 +22,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from payguard.config import RiskConfig
 
 
-def _rows(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
+def _rows(pdfs: Iterator[pd.DataFrame], order: tuple[str, ...] = ("seq",)) -> pd.DataFrame:
     frames = [p for p in pdfs if len(p)]
     if not frames:
         return pd.DataFrame()
-    return pd.concat(frames, ignore_index=True).sort_values(["seq"], kind="stable")
+    return pd.concat(frames, ignore_index=True).sort_values(list(order), kind="stable")
 
 
 # --- T2/T4: merchant burst ------------------------------------------------------
@@ -152,7 +152,7 @@ def ban_stream(requests: DataFrame) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = _rows(pdfs)
+        rows = _rows(pdfs, ("ms", "seq", "request_key"))
         if not len(rows):
             return
         exp, sev = (state.get if state.exists else (None, None))

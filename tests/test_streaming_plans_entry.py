@@ -24,9 +24,9 @@ from payguard.streaming import processors as SPR
 SF = "/root/testdata/sf0.001"
 
 
-def _split_to_files(df, path, parts=3):
+def _split_to_files(df, path, parts=3, order=("ms", "seq")):
     """Write ``df`` as ``parts`` time-ordered parquet files (one per trigger)."""
-    pdf = df.orderBy("ms", "seq").toPandas()
+    pdf = df.orderBy(*order).toPandas()
     os.makedirs(path, exist_ok=True)
     n = len(pdf)
     for i in range(parts):
@@ -154,3 +154,17 @@ def test_orders_source_w1_runs(spark, method):
     ev = TD.risk_events_from_orders(spark, SF)
     out = W.merchant_burst(ev, 7 * 86_400_000, method=method)
     assert out.count() == ev.count()
+
+
+def test_stream_bans_equal_batch(spark):
+    from payguard.operators import bans as BN
+
+    ev = TD.risk_events(spark, "/root/testdata/sf0.01")
+    decs = Q.score_events(ev, CFG, profiles=TD.user_profiles(ev)).decisions
+    req = TD.ban_requests(decs, ev).cache()
+    src = _split_to_files(req.withColumn("ms", F.unix_millis("ts")), tempfile.mkdtemp(dir="/tmp", prefix="pg-ban-"),
+                          parts=3, order=("ms", "seq", "request_key"))
+    schema = req.withColumn("ms", F.unix_millis("ts")).schema
+    got = _run(SPR.ban_stream(_stream_of(spark, src, schema).drop("ms")), spark, "bans_out")
+    exp = BN.ban_intervals(req)
+    assert {r.request_key: r.accepted for r in got.collect()} == {r.request_key: r.accepted for r in exp.collect()}
