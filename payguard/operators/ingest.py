@@ -49,7 +49,7 @@ def violations(req: DataFrame) -> DataFrame:
     return req.withColumn("violations", F.array_compact(F.array(*checks)))
 
 
-def admit(requests: DataFrame, bans: DataFrame | None, cfg: RiskConfig, method: str = "island") -> DataFrame:
+def admit(requests: DataFrame, bans: DataFrame | None, cfg: RiskConfig, method: str = "auto") -> DataFrame:
     """Q3: one outcome row per request (``status``, ``reason``,
     ``rate_limit_count``) plus the normalised request columns."""
     v = violations(normalize_requests(requests))

@@ -33,14 +33,17 @@ def prev_next_ms(df: DataFrame, keys: list[str], ms: str = "ms", seq: str = "seq
                  bucket_ms: int = HOUR_MS, prev: str = "prev_ms", nxt: str = "next_ms") -> DataFrame:
     """Add the ms of the previous / next row of the same key (order ms, seq).
 
-    Neighbours inside a bucket come from ``lag``/``lead``; across buckets from
-    the last / first ms of the neighbouring non-empty bucket.
+    Rows are hash-partitioned by (key, time bucket), so a hot key is split.
+    Neighbours inside a bucket come from ``lag``/``lead``; across buckets
+    from the last / first ms of the neighbouring non-empty bucket, taken
+    from a per-bucket aggregate of the same partitioning (no second pass
+    over the input) and stitched back with a join on (key, bucket).
     """
-    b = df.withColumn(_B, _bucket(F.col(ms), bucket_ms))
+    b = df.withColumn(_B, _bucket(F.col(ms), bucket_ms)).repartition(*keys, _B)
     w = Window.partitionBy(*keys, _B).orderBy(ms, seq)
     local = b.withColumn("_pg_lp", F.lag(ms).over(w)).withColumn("_pg_ln", F.lead(ms).over(w))
     ws = Window.partitionBy(*keys).orderBy(_B)
-    edges = (b.groupBy(*keys, _B).agg(F.min(ms).alias("_pg_bmin"), F.max(ms).alias("_pg_bmax"))
+    edges = (local.groupBy(*keys, _B).agg(F.min(ms).alias("_pg_bmin"), F.max(ms).alias("_pg_bmax"))
              .select(*keys, _B, F.lag("_pg_bmax").over(ws).alias("_pg_pb"),
                      F.lead("_pg_bmin").over(ws).alias("_pg_nb")))
     out = local.join(edges, on=[*keys, _B], how="inner")
@@ -53,19 +56,32 @@ def running_sum(df: DataFrame, keys: list[str], ms: str, value: str, out: str,
                 bucket_ms: int = HOUR_MS) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the same key with ms <= this
     row's ms (peers included). Parallel prefix sum: local sums per
-    (key, bucket) plus the total of all earlier buckets of the key."""
-    b = df.withColumn(_B, _bucket(F.col(ms), bucket_ms))
+    (key, bucket) plus the total of all earlier buckets of the key (a small
+    per-bucket table), so a hot key is spread over its buckets."""
+    b = df.withColumn(_B, _bucket(F.col(ms), bucket_ms)).repartition(*keys, _B)
     w = (Window.partitionBy(*keys, _B).orderBy(ms)
          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     local = b.withColumn("_pg_local", F.sum(value).over(w))
     ws = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offs = (b.groupBy(*keys, _B).agg(F.sum(value).alias("_pg_bs"))
+    offs = (local.groupBy(*keys, _B).agg(F.sum(value).alias("_pg_bs"))
             .select(*keys, _B, F.coalesce(F.sum("_pg_bs").over(ws), F.lit(0)).alias("_pg_off")))
     return (local.join(offs, on=[*keys, _B], how="inner")
             .withColumn(out, (F.col("_pg_off") + F.col("_pg_local")).cast("long"))
             .drop("_pg_local", "_pg_off", _B))
 
 
+ISLAND_MAX_SPAN_MS = 86_400_000
+
+
+def choose_method(span_ms: int, bucket_ms: int, island_max_span_ms: int = ISLAND_MAX_SPAN_MS) -> str:
+    """``island`` (localised, one exchange, <= 2 copies per row, buckets one
+    window long) for windows up to ``island_max_span_ms``; ``prefix`` (no
+    copies, ``bucket_ms`` buckets, a few small extra exchanges) for longer
+    windows, where a window-long bucket of a hot key would be too large for
+    one task."""
+    return "island" if span_ms <= max(bucket_ms, island_max_span_ms) else "prefix"
+
+
 def _localize(df: DataFrame, keys: list[str], ms: str, span_ms: int, bucket_ms: int) -> DataFrame:
     """Copy every row into each time bucket its cover ``[ms, ms + span]``
     reaches. A row is *real* only in its own bucket. Afterwards every
@@ -89,7 +105,7 @@ def local_bucket_ms(span_ms: int, bucket_ms: int) -> int:
 
 def distinct_in_range(df: DataFrame, keys: list[str], member: str, span_ms: int, out: str,
                       ms: str = "ms", seq: str = "seq", bucket_ms: int = HOUR_MS,
-                      method: str = "island", ties: str = "peers") -> DataFrame:
+                      method: str = "auto", ties: str = "peers") -> DataFrame:
     """Add ``out`` = distinct ``member`` values of the same ``keys`` with an
     event in ``[ms - span_ms, ms]``. Rows must have non-null keys/member.
     ``ties="peers"`` counts every row at the current ms (SQL RANGE);
@@ -103,9 +119,13 @@ def distinct_in_range(df: DataFrame, keys: list[str], member: str, span_ms: int,
     ``naive``: ``size(collect_set)`` over a RANGE frame per key (reference
     semantics check; one task per key).
     """
+    if method == "auto":
+        method = choose_method(span_ms, bucket_ms)
     if method == "naive":
         w = (Window.partitionBy(*keys).orderBy(ms).rangeBetween(-span_ms, Window.currentRow))
         return df.withColumn(out, F.size(F.collect_set(member).over(w)).cast("long"))
+    if method == "prefix":
+        return _distinct_prefix(df, keys, member, span_ms, out, ms, seq, bucket_ms, ties)
     if method != "island":
         raise ValueError(f"unknown method {method!r}")
     edge = span_ms + 1
@@ -135,13 +155,45 @@ def distinct_in_range(df: DataFrame, keys: list[str], member: str, span_ms: int,
     return counted.filter(F.col("_pg_it.keep")).drop("_pg_it", "_pg_prev", "_pg_next", "_pg_real", _B)
 
 
+def _distinct_prefix(df: DataFrame, keys: list[str], member: str, span_ms: int, out: str, ms: str, seq: str,
+                     bucket_ms: int, ties: str) -> DataFrame:
+    """Island deltas from per-member neighbours (bucketed lag/lead) summed
+    by a parallel prefix sum: no row copies, any window length."""
+    edge = span_ms + 1
+    pn = prev_next_ms(df, [*keys, member], ms, seq, bucket_ms, "_pg_prev", "_pg_next")
+    start = F.col("_pg_prev").isNull() | (F.col(ms) > F.col("_pg_prev") + edge)
+    stop = F.col("_pg_next").isNull() | (F.col("_pg_next") > F.col(ms) + edge)
+    items = F.array(
+        F.struct(F.col(ms).alias("t"), F.lit(1).alias("k"), F.when(start, 1).otherwise(0).alias("d"),
+                 F.lit(True).alias("keep")),
+        F.when(stop, F.struct((F.col(ms) + edge).alias("t"), F.lit(0).alias("k"), F.lit(-1).alias("d"),
+                              F.lit(False).alias("keep"))))
+    if ties == "arrival":
+        raise ValueError("ties='arrival' is available with method='island'")
+    exp = (pn.withColumn("_pg_it", F.explode(F.array_compact(items)))
+           .withColumn("_pg_t", F.col("_pg_it.t")).withColumn("_pg_d", F.col("_pg_it.d"))
+           .withColumn("_pg_keep", F.col("_pg_it.keep")).drop("_pg_it", "_pg_prev", "_pg_next"))
+    r = running_sum(exp, keys, "_pg_t", "_pg_d", out, bucket_ms)
+    return r.filter(F.col("_pg_keep")).drop("_pg_t", "_pg_d", "_pg_keep")
+
+
 def count_in_range(df: DataFrame, keys: list[str], span_ms: int, out: str, ms: str = "ms",
-                   bucket_ms: int = HOUR_MS, method: str = "island") -> DataFrame:
+                   bucket_ms: int = HOUR_MS, method: str = "auto") -> DataFrame:
     """Add ``out`` = rows of the same keys with ms in ``[ms - span_ms, ms]``
     (localised running sum of +1 at ms and -1 one ms after ms + span)."""
+    if method == "auto":
+        method = choose_method(span_ms, bucket_ms)
     if method == "naive":
         w = Window.partitionBy(*keys).orderBy(ms).rangeBetween(-span_ms, Window.currentRow)
         return df.withColumn(out, F.count(F.lit(1)).over(w))
+    if method == "prefix":
+        items = F.array(
+            F.struct(F.col(ms).alias("t"), F.lit(1).alias("d"), F.lit(True).alias("keep")),
+            F.struct((F.col(ms) + span_ms + 1).alias("t"), F.lit(-1).alias("d"), F.lit(False).alias("keep")))
+        exp = (df.withColumn("_pg_it", F.explode(items)).withColumn("_pg_t", F.col("_pg_it.t"))
+               .withColumn("_pg_d", F.col("_pg_it.d")).withColumn("_pg_keep", F.col("_pg_it.keep")).drop("_pg_it"))
+        r = running_sum(exp, keys, "_pg_t", "_pg_d", out, bucket_ms)
+        return r.filter(F.col("_pg_keep")).drop("_pg_t", "_pg_d", "_pg_keep")
     loc = _localize(df, keys, ms, span_ms, local_bucket_ms(span_ms, bucket_ms))
     items = F.array(
         F.struct(F.col(ms).alias("t"), F.lit(1).alias("d"), F.col("_pg_real").alias("keep")),
@@ -156,7 +208,7 @@ def count_in_range(df: DataFrame, keys: list[str], span_ms: int, out: str, ms: s
 # --- the three reference computations ----------------------------------------
 
 def merchant_burst(events: DataFrame, window_ms: int, out: str = "merchant_users",
-                   bucket_ms: int = HOUR_MS, method: str = "island", ties: str = "peers") -> DataFrame:
+                   bucket_ms: int = HOUR_MS, method: str = "auto", ties: str = "peers") -> DataFrame:
     """Distinct users per merchant in ``[t - window, t]``.
 
     Null merchant: 0 (rule not eligible). Blank merchant: 1. Both are keyed
@@ -178,14 +230,14 @@ def merchant_burst(events: DataFrame, window_ms: int, out: str = "merchant_users
 
 
 def velocity(events: DataFrame, window_ms: int, out: str = "velocity_7d",
-             bucket_ms: int = HOUR_MS, method: str = "island") -> DataFrame:
+             bucket_ms: int = HOUR_MS, method: str = "auto") -> DataFrame:
     """Events of the user in ``[t - window, t]`` (the current one included)."""
     return count_in_range(events, ["user_id"], window_ms, out, bucket_ms=bucket_ms, method=method)
 
 
 def rate_limit(calls: DataFrame, window_ms: int, limit: int, count_col: str = "rate_count",
                blocked_col: str = "rate_blocked", bucket_ms: int = HOUR_MS,
-               method: str = "island") -> DataFrame:
+               method: str = "auto") -> DataFrame:
     """Distinct request ids of the user with a call in ``(t - window, t]``;
     blocked iff the count exceeds ``limit``. Blocked calls still count and a
     retry with the same request id moves that id forward."""

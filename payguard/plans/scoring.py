@@ -45,7 +45,7 @@ def lookup_profiles(events: DataFrame, profiles: DataFrame | None) -> DataFrame:
 
 
 def enrich(events: DataFrame, cfg: RiskConfig, profiles: DataFrame | None = None,
-           method: str = "island", velocity_input: str = "window") -> DataFrame:
+           method: str = "auto", velocity_input: str = "window") -> DataFrame:
     ev = W.merchant_burst(events, cfg.burst_window_ms, bucket_ms=cfg.bucket_ms, method=method)
     if velocity_input == "window":
         ev = W.velocity(ev, cfg.velocity_window_ms, bucket_ms=cfg.bucket_ms, method=method)
@@ -53,7 +53,7 @@ def enrich(events: DataFrame, cfg: RiskConfig, profiles: DataFrame | None = None
 
 
 def score_events(events: DataFrame, cfg: RiskConfig, profiles: DataFrame | None = None,
-                 rule_updates: DataFrame | None = None, method: str = "island") -> Scored:
+                 rule_updates: DataFrame | None = None, method: str = "auto") -> Scored:
     ev = enrich(events, cfg, profiles, method)
     if rule_updates is not None:
         versions = R.rule_versions(rule_updates, cfg, broadcast_max_rows=cfg.broadcast_max_rows)

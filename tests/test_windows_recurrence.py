@@ -151,3 +151,19 @@ def test_fold_equals_doubling_on_random_data(spark):
                    greedy_accept(df, ["user_id"], "ttl_ms", sev=sev, method="doubling",
                                  bucket_ms=3_600_000).collect())
         assert a == b
+
+
+def test_prefix_path_equals_naive_with_small_buckets(events_df):
+    df = events_df(random_events(500, seed=5))
+    for window in (600_000, 3 * 3_600_000):
+        a = {r.event_id: r.n for r in W.distinct_in_range(df, ["merchant_id"], "user_id", window, "n",
+                                                            bucket_ms=300_000, method="prefix").collect()}
+        b = {r.event_id: r.n for r in W.distinct_in_range(df, ["merchant_id"], "user_id", window, "n",
+                                                            method="naive").collect()}
+        assert a == b
+        c = {r.event_id: r.v for r in W.count_in_range(df, ["user_id"], window, "v", bucket_ms=300_000,
+                                                         method="prefix").collect()}
+        d = {r.event_id: r.v for r in W.count_in_range(df, ["user_id"], window, "v", method="naive").collect()}
+        assert c == d
+    assert W.choose_method(300_000, 3_600_000) == "island" and W.choose_method(86_400_000, 3_600_000) == "island"
+    assert W.choose_method(7 * 86_400_000, 3_600_000) == "prefix"
