@@ -143,7 +143,18 @@ def d9_block_rate_baseline(spark, sf):
     return D.block_rate_vs_baseline(C.scored(spark, sf).decisions)
 
 
+def w1_supplier_burst(spark, sf):
+    """W1 over the larger line-item source (day-granular times: many ties):
+    distinct customers per supplier in the last 7 days."""
+    from payguard.operators import windows as W
+
+    ev = TD.risk_events_from_orders(spark, sf).select("event_id", "merchant_id", "user_id", "ms", "seq")
+    out = W.merchant_burst(ev, 7 * DAY, bucket_ms=CFG.bucket_ms)
+    return out.select("event_id", "merchant_id", "merchant_users")
+
+
 QUERIES = {
+    "w1_supplier_burst": w1_supplier_burst,
     "s11_dlq_records": s11_dlq_records,
     "q6_dlq_replay": q6_dlq_replay,
     "q7_archive_events": q7_archive_events,

@@ -170,8 +170,21 @@ SELECT window_start_ms, total, CAST(blocks AS BIGINT) AS blocks, round(block_rat
 FROM b"""
 
 
+W1_SUPPLIER = f"""
+WITH li AS (
+  SELECT 'li-' || CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS event_id,
+         's-' || CAST(l.l_suppkey AS VARCHAR) AS merchant_id, 'cust-' || CAST(o.o_custkey AS VARCHAR) AS user_id,
+         epoch_us(o.o_orderdate) // 1000 AS ms
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
+SELECT event_id, merchant_id,
+       CAST(count(DISTINCT user_id) OVER (PARTITION BY merchant_id ORDER BY ms
+         RANGE BETWEEN {7 * DAY} PRECEDING AND CURRENT ROW) AS BIGINT) AS merchant_users
+FROM li"""
+
+
 def all_sql() -> dict[str, str]:
     return {
+        "w1_supplier_burst": W1_SUPPLIER,
         "s11_dlq_records": S11_DLQ,
         "q6_dlq_replay": Q6_REPLAY,
         "q7_archive_events": Q7_ARCHIVE,
