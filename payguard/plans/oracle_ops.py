@@ -31,7 +31,7 @@ SELECT topic, partition, "offset", key, original_topic, failed_at, retry_count,
 
 Q6_REPLAY = BASE + _DLQ + """
 SELECT topic, partition, "offset", original_topic, failed_at, severity, retry_count,
-       octet_length(encode(key)) AS key_bytes, value_bytes, 'ops' AS replayed_by,
+       CAST(octet_length(encode(key)) AS INTEGER) AS key_bytes, value_bytes, 'ops' AS replayed_by,
        CAST(extra_headers + 7 AS INTEGER) AS header_count
 FROM dlq
 WHERE original_topic = 'alert-events' AND lower(severity) = 'unknown'
