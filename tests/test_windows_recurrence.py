@@ -167,3 +167,20 @@ def test_prefix_path_equals_naive_with_small_buckets(events_df):
         assert c == d
     assert W.choose_method(300_000, 3_600_000) == "island" and W.choose_method(86_400_000, 3_600_000) == "island"
     assert W.choose_method(7 * 86_400_000, 3_600_000) == "prefix"
+
+
+def test_interval_join_open_and_long_intervals_after_last_start(spark, events_df):
+    from payguard.operators.joins import interval_join
+
+    day = 86_400_000
+    bans = spark.createDataFrame([("user-1", T0_MS, None, "perm"), ("user-2", T0_MS, T0_MS + 10 * day, "long"),
+                                  ("user-3", T0_MS + day, T0_MS + day + 5, "short")],
+                                 "user_id string, valid_from_ms long, valid_to_ms long, reason string")
+    ev = events_df([event_row("a", user="user-1", ms=T0_MS + 40 * day, seq=1),
+                    event_row("b", user="user-2", ms=T0_MS + 9 * day, seq=2),
+                    event_row("c", user="user-2", ms=T0_MS + 10 * day, seq=3),
+                    event_row("d", user="user-3", ms=T0_MS + day + 5, seq=4),
+                    event_row("e", user="user-1", ms=T0_MS, seq=5)])
+    got = {r.event_id: r.reason for r in interval_join(ev, bans, "ms", "valid_from_ms", "valid_to_ms",
+                                                        keys=("user_id",), start_inclusive=False).collect()}
+    assert got == {"a": "perm", "b": "long", "c": None, "d": None, "e": None}
