@@ -43,7 +43,8 @@ def prev_next_ms(df: DataFrame, keys: list[str], ms: str = "ms", seq: str = "seq
     w = Window.partitionBy(*keys, _B).orderBy(ms, seq)
     local = b.withColumn("_pg_lp", F.lag(ms).over(w)).withColumn("_pg_ln", F.lead(ms).over(w))
     ws = Window.partitionBy(*keys).orderBy(_B)
-    edges = (local.groupBy(*keys, _B).agg(F.min(ms).alias("_pg_bmin"), F.max(ms).alias("_pg_bmax"))
+    # per-bucket edges read the same shuffle output (exchange reuse), not the windows
+    edges = (b.groupBy(*keys, _B).agg(F.min(ms).alias("_pg_bmin"), F.max(ms).alias("_pg_bmax"))
              .select(*keys, _B, F.lag("_pg_bmax").over(ws).alias("_pg_pb"),
                      F.lead("_pg_bmin").over(ws).alias("_pg_nb")))
     out = local.join(edges, on=[*keys, _B], how="inner")
@@ -63,7 +64,8 @@ def running_sum(df: DataFrame, keys: list[str], ms: str, value: str, out: str,
          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     local = b.withColumn("_pg_local", F.sum(value).over(w))
     ws = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offs = (local.groupBy(*keys, _B).agg(F.sum(value).alias("_pg_bs"))
+    # per-bucket totals read the same shuffle output (exchange reuse), not the window
+    offs = (b.groupBy(*keys, _B).agg(F.sum(value).alias("_pg_bs"))
             .select(*keys, _B, F.coalesce(F.sum("_pg_bs").over(ws), F.lit(0)).alias("_pg_off")))
     return (local.join(offs, on=[*keys, _B], how="inner")
             .withColumn(out, (F.col("_pg_off") + F.col("_pg_local")).cast("long"))
