@@ -62,13 +62,13 @@ def disable_rules(rules: DataFrame, outbox: DataFrame, requests: DataFrame) -> t
 
 
 def _append_outbox(outbox: DataFrame, rows: DataFrame) -> DataFrame:
-    """Outbox ids continue after the current max id, in (created_at, rule_id) order."""
-    from pyspark.sql import Window
+    """Outbox ids continue after the current max id and increase in
+    (created_at, rule_id) order: a distributed sort, then
+    ``monotonically_increasing_id`` (unique, increasing with the sort
+    order across partitions; gaps allowed, like a serial column)."""
     base = outbox.agg(F.max("id")).first()[0] or 0  # scalar
-    # rows of one admin transaction (human-scale), numbered in a single order
-    w = Window.orderBy("created_at", "rule_id")
-    numbered = rows.withColumn("_n", F.row_number().over(w))
-    new = numbered.select((F.lit(base) + F.col("_n")).cast("long").alias("id"), "rule_id", "payload",
+    numbered = rows.orderBy("created_at", "rule_id").withColumn("_n", F.monotonically_increasing_id())
+    new = numbered.select((F.lit(base + 1) + F.col("_n")).cast("long").alias("id"), "rule_id", "payload",
                           "created_at", F.lit(None).cast("timestamp").alias("published_at"))
     return outbox.unionByName(new)
 
