@@ -53,27 +53,26 @@ def admit(requests: DataFrame, bans: DataFrame | None, cfg: RiskConfig, method:
     """Q3: one outcome row per request (``status``, ``reason``,
     ``rate_limit_count``) plus the normalised request columns."""
     v = violations(normalize_requests(requests))
-    valid = v.filter(F.size("violations") == 0)
-    rejected = v.filter(F.size("violations") > 0).select(
-        "*", F.lit("REJECTED").alias("status"), F.array_join("violations", ",").alias("reason"),
-        F.lit(0).cast("long").alias("rate_limit_count"))
     if bans is not None:
-        gated = events_under_ban(valid, bans, cfg.broadcast_max_rows)
+        gated = events_under_ban(v, bans, cfg.broadcast_max_rows)
     else:
-        gated = valid.withColumn("ban_reason", F.lit(None).cast("string"))
-    banned = gated.filter(F.col("ban_reason").isNotNull()).select(
-        *v.columns, F.lit("BLOCKED").alias("status"),
-        F.concat(F.lit("blacklist:"), F.col("ban_reason")).alias("reason"),
-        F.lit(0).cast("long").alias("rate_limit_count"))
-    calls = gated.filter(F.col("ban_reason").isNull()).drop("ban_reason")
-    limited = W.rate_limit(calls, cfg.rate_limit_window_ms, cfg.rate_limit, "rate_limit_count", "_blocked",
-                           bucket_ms=cfg.bucket_ms, method=method)
-    passed = limited.select(
+        gated = v.withColumn("ban_reason", F.lit(None).cast("string"))
+    invalid = F.size("violations") > 0
+    banned = F.col("ban_reason").isNotNull()
+    # one pass: invalid and banned calls get a per-call key, so they never
+    # enter a user's limiter history (and form no hot key)
+    calls = gated.withColumn("_rl_key", F.when(invalid | banned, F.concat(F.lit("\u0000"), F.col("event_id")))
+                             .otherwise(F.col("user_id")))
+    limited = W.distinct_in_range(calls, ["_rl_key"], "request_id", cfg.rate_limit_window_ms - 1, "_rl_count",
+                                  bucket_ms=cfg.bucket_ms, method=method)
+    over = F.col("_rl_count") > F.lit(cfg.rate_limit)
+    return limited.select(
         *v.columns,
-        F.when(F.col("_blocked"), "BLOCKED").otherwise("ACCEPTED").alias("status"),
-        F.when(F.col("_blocked"), "rate_limit").otherwise("passed_fast_path").alias("reason"),
-        "rate_limit_count")
-    return passed.unionByName(banned).unionByName(rejected)
+        F.when(invalid, "REJECTED").when(banned, "BLOCKED").when(over, "BLOCKED").otherwise("ACCEPTED")
+        .alias("status"),
+        F.when(invalid, F.array_join("violations", ",")).when(banned, F.concat(F.lit("blacklist:"), "ban_reason"))
+        .when(over, "rate_limit").otherwise("passed_fast_path").alias("reason"),
+        F.when(invalid | banned, F.lit(0)).otherwise(F.col("_rl_count")).cast("long").alias("rate_limit_count"))
 
 
 def accepted_events(outcomes: DataFrame) -> DataFrame:
