@@ -6,7 +6,7 @@ shipped to executors and compared between runs.  Durations are milliseconds.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 HOUR_MS = 3_600_000
 DAY_MS = 24 * HOUR_MS

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard import schemas
-from payguard.functions import stable_id
 
 # Fixed values of the binding (FIXTURES §3): raw type -> risk event type.
 EVENT_TYPE_MAP = (
