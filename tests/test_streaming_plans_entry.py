@@ -168,3 +168,31 @@ def test_stream_bans_equal_batch(spark):
     got = _run(SPR.ban_stream(_stream_of(spark, src, schema).drop("ms")), spark, "bans_out")
     exp = BN.ban_intervals(req)
     assert {r.request_key: r.accepted for r in got.collect()} == {r.request_key: r.accepted for r in exp.collect()}
+
+
+def test_score_stream_rereads_rule_log_per_batch(spark):
+    import datetime as dt
+
+    from payguard import schemas
+
+    ev = TD.risk_events(spark, SF).cache()
+    base = tempfile.mkdtemp(dir="/tmp", prefix="pg-rules-")
+    pdf = ev.orderBy("ms", "seq").toPandas()
+    half = len(pdf) // 2
+    spark.createDataFrame(pdf.iloc[:half], ev.schema).coalesce(1).write.parquet(f"{base}/src/a")
+    q = SP.score_stream(spark, f"{base}/src/*", f"{base}/out", CFG, f"{base}/ck", rules_path=f"{base}/rules",
+                        trigger={"availableNow": True})
+    q.awaitTermination(300)
+    # an operator lowers the block threshold to 1: applies from the next micro-batch on
+    t = dt.datetime(2020, 1, 1, tzinfo=dt.timezone.utc)
+    spark.createDataFrame([("r-g", "global", True, {"block_threshold": "1"}, t, 1)], schemas.RULE_UPDATE) \
+        .write.parquet(f"{base}/rules")
+    spark.createDataFrame(pdf.iloc[half:], ev.schema).coalesce(1).write.parquet(f"{base}/src/b")
+    q = SP.score_stream(spark, f"{base}/src/*", f"{base}/out", CFG, f"{base}/ck", rules_path=f"{base}/rules",
+                        trigger={"availableNow": True})
+    q.awaitTermination(300)
+    out = spark.read.parquet(f"{base}/out/decisions")
+    first = out.filter(F.col("batch_id") == 0)
+    later = out.filter(F.col("batch_id") > 0)
+    assert first.filter("decision = 'BLOCK'").count() < first.count()
+    assert later.filter("risk_score >= 1 AND decision <> 'BLOCK'").count() == 0
