@@ -6,16 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.llm import minhash_dedup
+from payguard.llm import minhash_dedup, ngram_lm
 from payguard.llm.common import table
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_lm.by_folds(table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash,)}
+QUERIES = {f.__name__: f for f in (op2_deleted_interpolation, op5_minhash)}
 ORACLE_SQL: dict[str, str] = {}
 
 
