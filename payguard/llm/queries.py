@@ -6,8 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.llm import minhash_dedup, ngram_lm
-from payguard.llm.common import table
+from payguard.llm import langid, minhash_dedup, ngram_lm
+from payguard.llm.common import fold, table
+
+
+def op1_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, langid.training_rows())
+    out = langid.identify(docs, model, ["doc_id"], spans=False)
+    return out.withColumn("held_out", fold("doc_id", 5) == 0)
 
 
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +27,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_deleted_interpolation, op5_minhash)}
+QUERIES = {f.__name__: f for f in (op1_script_viterbi, op2_deleted_interpolation, op5_minhash)}
 ORACLE_SQL: dict[str, str] = {}
 
 
