@@ -4,7 +4,10 @@ content-based range bounds and connected components."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,18 +61,19 @@ def range_bounds(df: DataFrame, key: str, parts: int, sample_rows: int = 50_000)
     return bounds
 
 
-def range_of(key: str | Column, bounds: list[int]) -> Column:
-    """Index of the range that holds the key (nulls: the first range)."""
-    c = F.col(key) if isinstance(key, str) else key
-    if not bounds:
-        return F.lit(0)
-    # width_bucket over an array literal: binary search is not built in, so fold the bounds as a balanced CASE
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-    return F.when(c.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
+def in_ranges(df: DataFrame, key: str, bounds: np.ndarray) -> DataFrame:
+    """``range`` (index of the range that holds the key; nulls: the first)
+    before the columns of ``df``."""
+    at = df.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(at)
+            lowest = pa.scalar(-2**63, pa.int64())
+            found = np.searchsorted(bounds, keys.cast(pa.int64()).fill_null(lowest).to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), *batch.columns], ["range", *batch.schema.names])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"range long, {fields}")
 
 
 def connected_components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.llm import langid, minhash_dedup, ngram_lm
+from payguard.llm import langid, minhash_dedup, multiset_hash, ngram_lm
 from payguard.llm.common import fold, table
 
 
@@ -27,7 +27,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_script_viterbi, op2_deleted_interpolation, op5_minhash)}
+def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.edited_neighbours(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_script_viterbi, op2_deleted_interpolation, op5_minhash, op6_multiset_hash)}
 ORACLE_SQL: dict[str, str] = {}
 
 

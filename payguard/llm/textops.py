@@ -90,7 +90,7 @@ class Texts:
     def hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
         """64-bit hash of each byte range."""
         n = ends - starts
-        h = mix64(n.astype(U64) + U64(seed) * _M1 + _M1)
+        h = mix64(n.astype(U64) + U64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64))
         if not len(n):
             return h
         eight = np.ndarray((len(self.buf) - 7,), "<u8", self.buf, 0, (1,))
