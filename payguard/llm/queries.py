@@ -3,10 +3,11 @@ parameters, to its whole table and derives the contract's columns."""
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.llm import langid, minhash_dedup, multiset_hash, ngram_lm
+from payguard.llm import langid, minhash_dedup, multiset_hash, ngram_lm, packing
 from payguard.llm.common import fold, table
 
 
@@ -22,6 +23,10 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op4_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -31,7 +36,7 @@ def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.edited_neighbours(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_script_viterbi, op2_deleted_interpolation, op5_minhash, op6_multiset_hash)}
+QUERIES = {f.__name__: f for f in (op1_script_viterbi, op2_deleted_interpolation, op4_shortest_pack_first, op5_minhash, op6_multiset_hash)}
 ORACLE_SQL: dict[str, str] = {}
 
 
