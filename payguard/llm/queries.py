@@ -7,7 +7,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.llm import langid, minhash_dedup, multiset_hash, ngram_lm, packing
+from payguard.llm import langid, minhash_dedup, multi_index, multiset_hash, ngram_lm, packing
 from payguard.llm.common import fold, table
 
 
@@ -23,6 +23,11 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return out.withColumnRenamed("id", "vec_id")
+
+
 def op4_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -36,7 +41,7 @@ def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.edited_neighbours(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_script_viterbi, op2_deleted_interpolation, op4_shortest_pack_first, op5_minhash, op6_multiset_hash)}
+QUERIES = {f.__name__: f for f in (op1_script_viterbi, op2_deleted_interpolation, op3_inverted_multi_index, op4_shortest_pack_first, op5_minhash, op6_multiset_hash)}
 ORACLE_SQL: dict[str, str] = {}
 
 
