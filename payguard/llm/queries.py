@@ -7,7 +7,9 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.llm import langid, minhash_dedup, multi_index, multiset_hash, ngram_lm, packing
+from payguard.llm import (
+    chat_format, langid, minhash_dedup, mixing, multi_index, multiset_hash, ngram_lm, packing, url_filter)
+from payguard.llm.oracle import ORACLE_SQL  # noqa: F401
 from payguard.llm.common import fold, table
 
 
@@ -41,8 +43,43 @@ def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.edited_neighbours(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_script_viterbi, op2_deleted_interpolation, op3_inverted_multi_index, op4_shortest_pack_first, op5_minhash, op6_multiset_hash)}
-ORACLE_SQL: dict[str, str] = {}
+#: A conversation whose texts hold template and escape strings of all kinds.
+_TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op8_event_sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_TRICKY).alias("text"))
+    log = chat_format.events_of_turns(turns.unionByName(tricky))
+    out = chat_format.render(chat_format.fold_events(log))
+    back = out.withColumn("turns", chat_format.parse("formatted")).withColumn("lost", chat_format.loss_text())
+    whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(whole, "UTF-8"), 256).alias("turns_sha256"),
+        F.char_length("lost").cast("long").alias("loss_chars"), F.sha2(F.encode("lost", "UTF-8"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+#: Rules of the query: host, path, verdict.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op9_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    out = url_filter.judge(table(spark, sf_dir, "pages"), rules)
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mixing.mix(docs, mixing.word_count("text"))
+    return out.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
+
+
+QUERIES = {f.__name__: f for f in (op1_script_viterbi, op2_deleted_interpolation, op3_inverted_multi_index, op4_shortest_pack_first, op5_minhash, op6_multiset_hash,
+                               op8_event_sourced, op9_link_graph, op10_temperature_mix)}
 
 
 def registered() -> dict:
