@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
+OP7 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest,
+                  CAST(strlen(coalesce(html, '')) AS BIGINT) AS size FROM pages),
+g AS (SELECT digest, max(page_id) AS top FROM p WHERE size >= 1000 GROUP BY digest)
+SELECT p.page_id, size AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN top IS NULL OR top = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN top <> p.page_id THEN top END AS refers_to
+FROM p LEFT JOIN g ON p.digest = g.digest AND size >= 1000
+"""
+
 OP8 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -55,4 +65,4 @@ SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens,
 FROM c
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_event_sourced": OP8, "op10_temperature_mix": OP10}
+ORACLE_SQL: dict[str, str] = {"op7_warc_writer": OP7, "op8_event_sourced": OP8, "op10_temperature_mix": OP10}

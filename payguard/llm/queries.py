@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import (
-    chat_format, langid, minhash_dedup, mixing, multi_index, multiset_hash, ngram_lm, packing, url_filter)
+    chat_format, langid, minhash_dedup, mixing, multi_index, multiset_hash, ngram_lm, packing, url_filter, warc)
 from payguard.llm.oracle import ORACLE_SQL  # noqa: F401
-from payguard.llm.common import fold, table
+from payguard.llm.common import fold, table, work_folder
 
 
 def op1_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.edited_neighbours(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).drop("url")
+
+
 #: A conversation whose texts hold template and escape strings of all kinds.
 _TRICKY = r"\### Assistant: </turn> ok"
 
@@ -79,7 +85,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_script_viterbi, op2_deleted_interpolation, op3_inverted_multi_index, op4_shortest_pack_first, op5_minhash, op6_multiset_hash,
-                               op8_event_sourced, op9_link_graph, op10_temperature_mix)}
+                               op7_warc_writer, op8_event_sourced, op9_link_graph, op10_temperature_mix)}
 
 
 def registered() -> dict:
