@@ -151,7 +151,7 @@ def in_descending_order(documents: DataFrame, id_col: str, text_col: str) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([above[ranges[i]] for i in first], pa.int64()), copy.column(1),
                                                   copy.column(2), pa.array([True] * len(first))], own.schema.names)
     dealt = in_ranges(rows, "id", bounds).mapInArrow(lend, "range long, id long, text string, lent boolean")
-    return (dealt.select("range", "id", "lent", "text").repartition("range")
+    return (dealt.select("range", "id", "lent", "text").repartitionById(len(bounds) + 1, F.col("range").cast("int"))
             .sortWithinPartitions("range", "lent", F.desc_nulls_last("id"), "text"))
 
 
