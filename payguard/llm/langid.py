@@ -278,12 +278,15 @@ def learn(documents: DataFrame, training: Column, text_col: str = "text", lang_c
 def identify(documents: DataFrame, model: Model, keep: list[str], text_col: str = "text",
              penalty: float = SWITCH_PENALTY, spans: bool = True) -> DataFrame:
     """The ``keep`` columns with lang_pred, score, n_spans and (unless
-    ``spans`` is false) spans: start and length in code points, lang."""
-    rows = documents.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    ``spans`` is false) spans: start and length in code points, lang. Kept
+    columns of those names give way."""
+    added = ["lang_pred", "score", "n_spans", *["spans"] * spans]
+    keep = [c for c in keep if c.lower() not in added]
+    rows = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     schema = ", ".join([*fields, "lang_pred string", "score double", "n_spans long",
                         *["spans array<struct<start:long,length:long,lang:string>>"] * spans])
-    return rows.mapInArrow(_predict(model, penalty, spans), schema)
+    return rows.mapInArrow(_predict(model, penalty, spans), schema).toDF(*keep, *added)
 
 
 def training_rows(doc_id: str = "doc_id") -> Column:

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from payguard.llm.common import connected_components, stored
@@ -272,3 +272,19 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select("id", "n_shingles", component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
+                         percent: int = 80) -> DataFrame:
+    """``documents`` with one row for each group: that of the smallest id (of rows
+    with one id, the first by text). Rows without an id can't be named and stay."""
+    names = documents.columns
+    at_id, at_text = names.index(id_col), names.index(text_col)
+    d = documents.toDF(*[f"c{i}" for i in range(len(names))])
+    stay = near_duplicates(documents, id_col, text_col, shingle, percent).filter("kept AND id IS NOT NULL").select(
+        F.col("id").alias("kept_id")).distinct()
+    d = d.join(stay, F.col(f"c{at_id}").cast("long") == F.col("kept_id"), "left").filter(
+        F.col(f"c{at_id}").isNull() | F.col("kept_id").isNotNull())
+    first = F.row_number().over(Window.partitionBy("kept_id").orderBy(f"c{at_text}"))
+    named = d.filter("kept_id IS NOT NULL").withColumn("first", first).filter("first = 1")
+    return named.drop("first").unionByName(d.filter("kept_id IS NULL")).drop("kept_id").toDF(*names)

@@ -125,14 +125,15 @@ def mix(documents: DataFrame, tokens: Column, id_col: str = "doc_id", source_col
     """All rows with mix_tokens and mix_copies (times the row is in the mixture).
     ``entropy``: of the weights, as a part of the most possible. ``budget``: ``total`` (as many
     tokens as there are) or ``cover`` (the largest source once, so every document at
-    least once). Weights are met to within a document of each source."""
-    spot = place(F.col(id_col), seed)
-    p = plan(documents.select(source_col, tokens.alias("tokens"), spot.alias("place")), source_col, entropy, max_epochs, budget, seed)
-    p = p.select(F.col("source").alias("_mix_s"), "passes", "ends")
-    d = documents.withColumn("mix_tokens", tokens).withColumn("_mix_p", spot)
-    joined = d.join(p, F.col(source_col).eqNullSafe(F.col("_mix_s")))
-    copies = F.col("passes") + F.when(F.col("_mix_p") <= F.col("ends"), 1).otherwise(0)
-    return joined.withColumn("mix_copies", copies.cast("long")).select(*documents.columns, "mix_tokens", "mix_copies")
+    least once). Weights are met to within a document of each source. Columns of the
+    two names give way."""
+    d = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(documents.columns)], tokens.alias("tokens"),
+                         place(F.col(id_col), seed).alias("place"), F.col(source_col).alias("source"))
+    p = plan(d.select("source", "tokens", "place"), "source", entropy, max_epochs, budget, seed)
+    joined = d.join(p.select(F.col("source").alias("of"), "passes", "ends"), F.col("source").eqNullSafe(F.col("of")))
+    copies = F.col("passes") + F.when(F.col("place") <= F.col("ends"), 1).otherwise(0)
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns) if c.lower() not in ("mix_tokens", "mix_copies")]
+    return joined.select(*kept, F.col("tokens").alias("mix_tokens"), copies.cast("long").alias("mix_copies"))
 
 
 def realise(mixed: DataFrame, columns: list[str]) -> DataFrame:

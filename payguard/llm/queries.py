@@ -86,8 +86,3 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_script_viterbi, op2_deleted_interpolation, op3_inverted_multi_index, op4_shortest_pack_first, op5_minhash, op6_multiset_hash,
                                op7_warc_writer, op8_event_sourced, op9_link_graph, op10_temperature_mix)}
-
-
-def registered() -> dict:
-    """The queries of this subpackage and the pipeline at the repository's top."""
-    return dict(QUERIES)
