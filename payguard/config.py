@@ -80,9 +80,7 @@ class RiskConfig:
     replay_max_messages: int = 100
     # execution: time bucket used to split hot keys in window operators
     bucket_ms: int = HOUR_MS
-    # largest small side (rows) we agree to broadcast after counting it
-    broadcast_max_rows: int = 2_000_000
-    # largest per-key group folded inside one array (fast path of recurrences)
+    # largest key folded inside one array (longer keys: pointer doubling)
     fold_max_group_rows: int = 10_000
 
     def with_(self, **kw) -> "RiskConfig":

@@ -10,13 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "col_", "upper_root", "lower_root", "is_blank", "blank_to_null", "default_if_null",
-    "name_uuid", "stable_id", "clamp_score", "decision_for", "severity_for",
+    "col_", "is_blank", "blank_to_null", "name_uuid", "stable_id", "clamp_score", "decision_for", "severity_for",
     "reasons_array", "join_reasons", "parse_int_or_zero", "parse_int_strict",
-    "ban_value", "ban_value_reason", "ban_value_severity", "format_reason",
-    "plus_seconds", "parse_instant", "to_json_str", "map_get", "ci_equal",
+    "ban_value", "ban_value_reason", "ban_value_severity", "parse_instant",
     "severity_or_unknown", "truncate_chars", "header_last", "header_upsert", "header_upsert_many",
-    "header_value_str", "retry_count_from_header", "byte_length", "non_negative",
+    "text_or_null", "header_value_str", "retry_count_from_header", "byte_length",
     "utf8", "to_ms", "from_ms", "iso_instant",
 ]
 
@@ -26,14 +24,6 @@ def col_(c) -> Column:
 
 
 # F1 -------------------------------------------------------------------------
-def upper_root(c) -> Column:
-    return F.upper(col_(c))
-
-
-def lower_root(c) -> Column:
-    return F.lower(col_(c))
-
-
 # F2 / F3 ----------------------------------------------------------------------
 _JAVA_BLANK = r"^\p{javaWhitespace}*$"
 
@@ -48,10 +38,6 @@ def blank_to_null(c) -> Column:
     return F.when(c.isNull() | is_blank(c), F.lit(None).cast("string")).otherwise(c)
 
 
-def default_if_null(c, default) -> Column:
-    return F.coalesce(col_(c), default if isinstance(default, Column) else F.lit(default))
-
-
 # F4 ---------------------------------------------------------------------------
 def name_uuid(text) -> Column:
     """Name-based (version 3, MD5) UUID of the UTF-8 bytes of ``text``."""
@@ -130,16 +116,7 @@ def ban_value_severity(v) -> Column:
     return F.when(v.rlike(_BAN_RE), parse_int_or_zero(F.regexp_extract(v, _BAN_RE, 2))).otherwise(F.lit(0))
 
 
-def format_reason(prefix: str, c) -> Column:
-    return F.concat(F.lit(prefix), col_(c))
-
-
 # F14 / F15 / F22 -----------------------------------------------------------------
-def plus_seconds(ts, seconds) -> Column:
-    sec = seconds if isinstance(seconds, Column) else F.lit(seconds)
-    return F.timestamp_millis(F.unix_millis(col_(ts)) + sec.cast("long") * 1000)
-
-
 def to_ms(ts) -> Column:
     return F.unix_millis(col_(ts))
 
@@ -149,13 +126,11 @@ def from_ms(ms) -> Column:
 
 
 def parse_instant(s) -> Column:
-    """ISO-8601 instant (``2026-05-17T23:45:00Z``) or null when unparseable."""
+    """ISO-8601 instant (``2026-05-17T23:45:00Z``, up to nine fraction digits, of which
+    six are kept) or null when unparseable."""
     s = col_(s)
-    return F.coalesce(
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSX")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ssX")),
-    )
+    shape = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}(:?\d{2})?)$"
+    return F.when(s.rlike(shape), F.try_to_timestamp(s))
 
 
 def iso_instant(ts) -> Column:
@@ -167,26 +142,10 @@ def iso_instant(ts) -> Column:
 
 
 # F16 / F17 / F23 / F24 / F25 --------------------------------------------------------
-def to_json_str(c) -> Column:
-    return F.to_json(col_(c))
-
-
-def map_get(m, key: str) -> Column:
-    return F.element_at(col_(m), F.lit(key))
-
-
-def ci_equal(a, b) -> Column:
-    return F.lower(col_(a)) == F.lower(col_(b))
-
-
 def severity_or_unknown(s) -> Column:
     return F.coalesce(blank_to_null(s), F.lit("unknown"))
 
 
-def non_negative(c) -> Column:
-    return F.greatest(col_(c), F.lit(0))
-
-
 # F18 ---------------------------------------------------------------------------------
 def truncate_chars(c, n: int = 512) -> Column:
     return F.substring(F.coalesce(col_(c), F.lit("")), 1, n)
@@ -202,8 +161,13 @@ def header_last(headers, key: str) -> Column:
     return F.try_element_at(F.filter(col_(headers), lambda h: h["key"] == F.lit(key)), F.lit(-1))["value"]
 
 
+def text_or_null(b) -> Column:
+    """Bytes as text; null when they aren't UTF-8."""
+    return F.try_validate_utf8(col_(b).cast("string"))
+
+
 def header_value_str(headers, key: str) -> Column:
-    return F.decode(header_last(headers, key), "UTF-8")
+    return text_or_null(header_last(headers, key))
 
 
 def header_upsert(headers, key: str, value) -> Column:

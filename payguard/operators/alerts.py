@@ -30,16 +30,27 @@ def route(severity: Column, cfg: RiskConfig) -> Column:
     return F.coalesce(F.element_at(routing_map(cfg), F.upper(severity)), F.array().cast("array<string>"))
 
 
-def cooldown(alerts: DataFrame, cfg: RiskConfig, method: str = "auto") -> DataFrame:
+def cooldown(alerts: DataFrame, cfg: RiskConfig, method: str = "auto", passed: DataFrame | None = None) -> DataFrame:
     """First alert of (user, SEVERITY) passes; later ones pass only when
     at least ``alert_cooldown_ms`` after the last one that passed (not sliding).
-    Adds ``allowed``."""
+    ``passed`` (user_id, severity, ms): alerts let through before this batch; the
+    last one of each key holds into it. Adds ``allowed``."""
+    keys = ["user_id", "_sev_key"]
     nodes = alerts.select("*", F.col("alert_id").alias("node_id"),
                           F.upper("severity").alias("_sev_key"),
                           F.lit(cfg.alert_cooldown_ms).cast("long").alias("_ttl"))
-    out = greedy_accept(nodes, ["user_id", "_sev_key"], "_ttl", method=method,
-                        fold_max_group_rows=cfg.fold_max_group_rows)
-    return out.withColumnRenamed("accepted", "allowed").drop("node_id", "_sev_key", "_ttl", "until_ms")
+    held = None
+    if passed is not None:
+        last = passed.groupBy("user_id", F.upper("severity").alias("_sev_key")).agg(F.max("ms").alias("_last"))
+        nodes = nodes.join(last, keys, "left").withColumn(
+            "_held", F.coalesce(F.col("ms") - F.col("_last") < F.col("_ttl"), F.lit(False)))
+        held = nodes.filter("_held").drop("_held", "_last").withColumn("allowed", F.lit(False))
+        nodes = nodes.filter(~F.col("_held")).drop("_held", "_last")
+    out = greedy_accept(nodes, keys, "_ttl", method=method, fold_max_group_rows=cfg.fold_max_group_rows)
+    out = out.withColumnRenamed("accepted", "allowed").drop("until_ms")
+    if held is not None:
+        out = out.unionByName(held)
+    return out.drop("node_id", "_sev_key", "_ttl")
 
 
 def process_alerts(deliveries: DataFrame, cfg: RiskConfig, alert_log: DataFrame | None = None,
@@ -49,7 +60,9 @@ def process_alerts(deliveries: DataFrame, cfg: RiskConfig, alert_log: DataFrame
     Deliveries are processed in (ms, seq, delivery) order. The first delivery
     of an alert id not yet in the log (or still PENDING there) is processed;
     every other delivery is a duplicate that reports the stored channels.
-    ``processed_at`` is the alert time so replays are byte-equal.
+    ``processed_at`` is the alert time so replays are byte-equal. The alerts a prior
+    log let through hold their cool-down into this batch, so consecutive
+    batches with the log passed on equal one batch.
     """
     order = F.struct("ms", "seq", "delivery")
     first = deliveries.groupBy("alert_id").agg(F.min_by(F.struct(*deliveries.columns), order).alias("a")) \
@@ -59,7 +72,11 @@ def process_alerts(deliveries: DataFrame, cfg: RiskConfig, alert_log: DataFrame
         todo = first.join(done, "alert_id", "left_anti")
     else:
         todo = first
-    limited = cooldown(todo, cfg, method)
+    passed = None
+    if alert_log is not None:
+        passed = alert_log.filter(F.col("status") == "PROCESSED").select(
+            "user_id", "severity", F.unix_millis(F.coalesce("processed_at", "created_at")).alias("ms"))
+    limited = cooldown(todo, cfg, method, passed)
     chans = F.when(F.col("allowed"), route(F.col("severity"), cfg)).otherwise(F.array().cast("array<string>"))
     new_log = limited.select(
         "alert_id", "user_id", "severity", "reason_summary",

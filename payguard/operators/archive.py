@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from payguard.session import path_exists
+
 
 def first_per_key(batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """First row per key by ``order`` (aggregate, so a hot key is
@@ -44,17 +46,21 @@ def missing_keys(target: DataFrame, updates: DataFrame, key: list[str]) -> DataF
 def append_idempotent(batch: DataFrame, path: str, key: list[str], order: list[str],
                       partition_by: list[str] | None = None) -> int:
     """S4/S5 sink: append the new rows of ``batch`` to the Parquet table at
-    ``path`` (created when absent). Returns the rows appended."""
+    ``path`` (created when absent). Returns the rows appended. With
+    ``partition_by`` (functions of the row, e.g. its event date), only the partitions
+    the batch touches are read."""
     spark = batch.sparkSession
-    try:
-        target = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet
-        target = None
+    target = spark.read.parquet(path) if path_exists(spark, path) else None
+    if target is not None and partition_by:
+        touched = batch.select(*partition_by).distinct()
+        target = target.join(touched, partition_by, "left_semi")
     new = insert_if_absent(batch, target, key, order).persist()
-    n = new.count()
-    w = new.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    new.unpersist()
+    try:
+        n = new.count()
+        w = new.write.mode("append")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+    finally:
+        new.unpersist()
     return n

@@ -38,18 +38,24 @@ def ban_intervals(requests: DataFrame, method: str = "auto", fold_max_group_rows
         (F.col("seq") if "seq" in requests.columns else F.lit(0).cast("long")).alias("seq"),
         F.col("request_key").alias("node_id"),
         F.when(F.col("ttl_seconds") > 0, F.col("ttl_seconds") * 1000).cast("long").alias("ttl_ms"))
-    out = greedy_accept(nodes, ["user_id"], "ttl_ms", sev="severity",
-                        levels=tuple(sorted({s for s, _ in BAN_LADDER})), method=method,
+    out = greedy_accept(nodes, ["user_id"], "ttl_ms", sev="severity", method=method,
                         fold_max_group_rows=fold_max_group_rows)
     return out.select(
         "user_id", "reason", "severity", "ttl_seconds", "ts", "request_key", "accepted",
         F.when(F.col("accepted"), F.col("ms")).alias("valid_from_ms"),
         F.when(F.col("accepted") & (F.col("until_ms") < _FOREVER), F.col("until_ms")).alias("valid_to_ms"),
+        F.when(F.col("accepted"), F.col("ms") + F.col("ttl_ms")).alias("expires_ms"),
         F.when(F.col("accepted"), ban_value("reason", "severity")).alias("stored_value"))
 
 
 def live_bans(intervals: DataFrame) -> DataFrame:
-    return intervals.filter("accepted").select("user_id", "reason", "severity", "valid_from_ms", "valid_to_ms")
+    """Accepted bans with ``gate_to_ms``, the first ms at which the gate no longer
+    sees the ban: its expiry, or one past its replacement (a call at that
+    very instant reads the store before the stronger ban is written)."""
+    replaced = F.col("valid_to_ms") < F.coalesce("expires_ms", F.lit(_FOREVER))
+    gate_to = F.when(replaced, F.col("valid_to_ms") + 1).otherwise(F.col("expires_ms"))
+    return intervals.filter("accepted").select("user_id", "reason", "severity", "valid_from_ms", "valid_to_ms",
+                                               gate_to.alias("gate_to_ms"))
 
 
 def audit_bans(decisions: DataFrame, cfg: RiskConfig) -> DataFrame:
@@ -80,11 +86,10 @@ def ladder_ttl(severity_col) -> F.Column:
     return F.element_at(m, F.col(severity_col) if isinstance(severity_col, str) else severity_col)
 
 
-def events_under_ban(events: DataFrame, bans: DataFrame, broadcast_max_rows: int) -> DataFrame:
-    """Flag events of users with a live ban strictly after the ban was set
-    (``valid_from < ms < valid_to``; a ban set at t affects later events).
-    Adds ``ban_reason`` (null = none)."""
-    b = live_bans(bans).select("user_id", "valid_from_ms", "valid_to_ms", F.col("reason").alias("ban_reason"))
-    j = interval_join(events, b, "ms", "valid_from_ms", "valid_to_ms", keys=("user_id",), how="left",
-                      start_inclusive=False, broadcast_max_rows=broadcast_max_rows)
-    return j.drop("valid_from_ms", "valid_to_ms")
+def events_under_ban(events: DataFrame, bans: DataFrame) -> DataFrame:
+    """Flag events of users with a live ban: set strictly before the
+    event, not expired at it, and not replaced before it. Adds ``ban_reason`` (null = none)."""
+    b = live_bans(bans).select("user_id", "valid_from_ms", "gate_to_ms", F.col("reason").alias("ban_reason"))
+    j = interval_join(events, b, "ms", "valid_from_ms", "gate_to_ms", keys=("user_id",), how="left",
+                      start_inclusive=False)
+    return j.drop("valid_from_ms", "gate_to_ms")

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from payguard.config import RiskConfig
 from payguard.functions import (byte_length, header_last, header_upsert_many, header_value_str,
-                                iso_instant, parse_instant, retry_count_from_header,
-                                severity_or_unknown, truncate_chars)
+                                is_blank, iso_instant, parse_instant, retry_count_from_header,
+                                severity_or_unknown, text_or_null, truncate_chars)
 
 ALERT_PAYLOAD = T.StructType([T.StructField(n, t) for n, t in (
     ("alert_id", T.StringType()), ("decision_id", T.StringType()), ("event_id", T.StringType()),
@@ -28,7 +28,7 @@ DELIVERY_ATTEMPT = "kafka_deliveryAttempt"
 def decode_alerts(records: DataFrame) -> DataFrame:
     """Decode the value (PERMISSIVE: bad payload -> null fields);
     ``decode_error`` is null for good rows."""
-    text = F.decode(F.coalesce("value", F.lit(b"")), "UTF-8")
+    text = text_or_null(F.coalesce("value", F.lit(b"")))
     dec = records.withColumn("alert", F.from_json(text, ALERT_PAYLOAD, {"mode": "PERMISSIVE"}))
     ok = F.col("alert.alert_id").isNotNull() & F.col("alert.user_id").isNotNull() & F.col("alert.severity").isNotNull()
     return dec.withColumn("decode_error", F.when(~ok, F.lit("payload could not be decoded as an alert")))
@@ -44,7 +44,7 @@ def publish_to_dlq(failed: DataFrame, cfg: RiskConfig, dlq_topic: str = "alert-e
     value = F.coalesce(F.col("value"), F.lit(b""))
     from_payload = F.when(F.length(value) > 0, F.coalesce(
         header_value_str("headers", "severity"),
-        F.get_json_object(F.decode(value, "UTF-8"), "$.severity")))
+        F.get_json_object(text_or_null(value), "$.severity")))
     severity = severity_or_unknown(from_payload)
     attempt = header_last("headers", DELIVERY_ATTEMPT)
     staged = failed.select("*", severity.alias("_sev"), attempt.alias("_attempt"), value.alias("_value"))
@@ -90,7 +90,7 @@ def dlq_match(dlq: DataFrame, original_topic: str | None = None, severity: str |
 
 
 def _dash(c: Column) -> Column:
-    return F.when(c.isNull() | (F.trim(c) == ""), F.lit("-")).otherwise(c)
+    return F.when(c.isNull() | is_blank(c), F.lit("-")).otherwise(c)
 
 
 def summarize(dlq: DataFrame) -> DataFrame:
@@ -106,14 +106,15 @@ def summarize(dlq: DataFrame) -> DataFrame:
 
 def replay(dlq: DataFrame, target_topic: str, *, original_topic: str | None = None,
            severity: str | None = None, failed_after: str | None = None, failed_before: str | None = None,
-           max_messages: int = 100, execute: bool = False, operator: str | None = None,
+           max_messages: int | None = 100, execute: bool = False, operator: str | None = None,
            replayed_at: str | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Q6: bounded scan -> filter -> first ``max_messages`` by (partition,
-    offset) -> (summaries, replay records or None on a dry run)."""
+    """Q6: scan -> filter -> first ``max_messages`` by (partition, offset), all
+    if None -> (summaries, replay records or None on a dry run)."""
     if execute and (operator is None or not operator.strip()):
         raise ValueError("operator is required when executing a replay")
-    picked = (dlq.filter(dlq_match(dlq, original_topic, severity, failed_after, failed_before))
-              .orderBy("partition", "offset").limit(max_messages))
+    picked = dlq.filter(dlq_match(dlq, original_topic, severity, failed_after, failed_before))
+    if max_messages is not None:
+        picked = picked.orderBy("partition", "offset").limit(max_messages)
     if not execute:
         return summarize(picked), None
     at = F.lit(replayed_at) if replayed_at else iso_instant(F.current_timestamp())

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from payguard.operators.windows import prev_next_ms
+from payguard.operators.windows import prev_next_ms, running_sum
 
 
 def _bucket_start(ms: Column, width_ms: int) -> Column:
@@ -69,14 +69,12 @@ def breach_windows(rows: DataFrame, bad: Column, width_ms: int = 300_000, thresh
 
 
 def consumer_lag(committed: DataFrame, latest: DataFrame) -> DataFrame:
-    """J8 + A9: committed (topic, partition, committed) joined with latest
-    (topic, partition, latest); lag = sum(max(latest - committed, 0)); an
-    empty topic has lag 0."""
-    j = latest.join(committed, ["topic", "partition"], "left")
-    return (j.groupBy("topic")
-            .agg(F.coalesce(F.sum(F.greatest(F.col("latest") - F.coalesce("committed", F.lit(0)), F.lit(0))),
-                            F.lit(0)).cast("long").alias("lag"),
-                 F.count(F.lit(1)).alias("partitions")))
+    """J8 + A9: partitions with a committed offset joined with their latest
+    offset; lag = sum(max(latest - committed, 0)) over all of them. One row, also without any
+    partition (lag 0); partitions never committed don't count."""
+    j = committed.filter(F.col("committed").isNotNull()).join(latest, ["topic", "partition"])
+    lag = F.greatest(F.col("latest") - F.col("committed"), F.lit(0))
+    return j.agg(F.coalesce(F.sum(lag), F.lit(0)).cast("long").alias("lag"), F.count(F.lit(1)).alias("partitions"))
 
 
 def throughput(rows: DataFrame, width_ms: int = 60_000) -> DataFrame:
@@ -86,12 +84,25 @@ def throughput(rows: DataFrame, width_ms: int = 60_000) -> DataFrame:
     return g.withColumn("per_second", F.round(F.col("records") / F.lit(width_ms / 1000.0), 6))
 
 
-def percentiles(rows: DataFrame, value: str, by: list[str], qs=(0.5, 0.95, 0.99), exact: bool = True) -> DataFrame:
-    """Exact (``percentile``, linear interpolation) or approximate
-    (``percentile_approx``) quantiles of ``value`` per group."""
-    fn = (lambda q: F.percentile(F.col(value).cast("double"), F.lit(q))) if exact else (
-        lambda q: F.percentile_approx(F.col(value), F.lit(q)).cast("double"))
-    return rows.groupBy(*by).agg(*[F.round(fn(q), 6).alias(f"p{int(round(q * 100))}") for q in qs])
+def percentiles(rows: DataFrame, value: str, by: list[str], qs=(0.5, 0.95, 0.99), bucket: int = 1_000) -> DataFrame:
+    """Exact quantiles (linear interpolation) of the integer ``value`` per
+    group. Rows are counted per value, counts accumulate over value buckets (a parallel
+    prefix sum), and each rank is the least value that reaches it: no group is held in one task."""
+    c = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("long").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sum(c, by, "_v", "_c", "_cum", bucket)
+    n = c.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    r = cum.join(n, by)
+    picks = []
+    for q in qs:
+        h = F.lit(q) * (F.col("_n") - 1)
+        picks += [F.min(F.when(F.col("_cum") > F.floor(h), F.col("_v"))).alias(f"_lo{q}"),
+                  F.min(F.when(F.col("_cum") > F.ceil(h), F.col("_v"))).alias(f"_hi{q}")]
+    g = r.groupBy(*by).agg(F.max("_n").alias("_n"), *picks)
+
+    def at(q: float) -> Column:
+        h = F.lit(q) * (F.col("_n") - 1)
+        return F.round(F.col(f"`_lo{q}`") + (F.col(f"`_hi{q}`") - F.col(f"`_lo{q}`")) * (h - F.floor(h)), 6)
+    return g.select(*by, *[at(q).alias(f"p{int(round(q * 100))}") for q in qs])
 
 
 def counter_increase(series: DataFrame, key: list[str], width_ms: int) -> DataFrame:

@@ -9,7 +9,7 @@ history); over the limit -> BLOCKED, ``rate_limit``, count; else ACCEPTED,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payguard.config import ALLOWED_EVENT_TYPES, RiskConfig
@@ -18,13 +18,15 @@ from payguard.operators import windows as W
 from payguard.operators.bans import events_under_ban
 
 
-def normalize_requests(req: DataFrame) -> DataFrame:
+def normalize_requests(req: DataFrame, now: Column | None = None) -> DataFrame:
     """Upper-case type and currency; blank ids -> deterministic ids (a
     name-based UUID of the request's content and position, so a replay gives
-    the same id); missing timestamp -> ``received_at`` when present."""
+    the same id); missing timestamp -> ``received_at`` when present, else
+    ``now`` (default: the query's start)."""
     seed = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (
         "user_id", "event_type", "ts", "amount_cents", "currency", "merchant_id", "seq")])
-    ts = F.coalesce(F.col("ts"), F.col("received_at")) if "received_at" in req.columns else F.col("ts")
+    received = [F.col("received_at")] if "received_at" in req.columns else []
+    ts = F.coalesce(F.col("ts"), *received, now if now is not None else F.current_timestamp())
     return (req.withColumn("event_type", F.upper("event_type"))
             .withColumn("currency", F.upper("currency"))
             .withColumn("event_id", F.coalesce(blank_to_null("event_id"), stable_id("event", seed)))
@@ -49,12 +51,13 @@ def violations(req: DataFrame) -> DataFrame:
     return req.withColumn("violations", F.array_compact(F.array(*checks)))
 
 
-def admit(requests: DataFrame, bans: DataFrame | None, cfg: RiskConfig, method: str = "auto") -> DataFrame:
+def admit(requests: DataFrame, bans: DataFrame | None, cfg: RiskConfig, method: str = "auto",
+          now: Column | None = None) -> DataFrame:
     """Q3: one outcome row per request (``status``, ``reason``,
     ``rate_limit_count``) plus the normalised request columns."""
-    v = violations(normalize_requests(requests))
+    v = violations(normalize_requests(requests, now))
     if bans is not None:
-        gated = events_under_ban(v, bans, cfg.broadcast_max_rows)
+        gated = events_under_ban(v, bans)
     else:
         gated = v.withColumn("ban_reason", F.lit(None).cast("string"))
     invalid = F.size("violations") > 0
@@ -64,7 +67,7 @@ def admit(requests: DataFrame, bans: DataFrame | None, cfg: RiskConfig, method:
     calls = gated.withColumn("_rl_key", F.when(invalid | banned, F.concat(F.lit("\u0000"), F.col("event_id")))
                              .otherwise(F.col("user_id")))
     limited = W.distinct_in_range(calls, ["_rl_key"], "request_id", cfg.rate_limit_window_ms - 1, "_rl_count",
-                                  bucket_ms=cfg.bucket_ms, method=method)
+                                  bucket_ms=cfg.bucket_ms, method=method, ties="arrival")
     over = F.col("_rl_count") > F.lit(cfg.rate_limit)
     return limited.select(
         *v.columns,

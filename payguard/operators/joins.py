@@ -1,48 +1,35 @@
-"""Join helpers: size-checked broadcast and a bucketed interval (as-of) join.
+"""Join helpers: a bucketed interval (as-of) join.
 
 Spark has no native range join. ``interval_join`` spreads each interval over
 the time buckets it overlaps and equi-joins on ``keys + bucket`` before the
-range test, so candidates are limited to one key and one bucket and the join
-runs as a hash join (broadcast when the interval side is small after
-counting it, shuffled otherwise).
+range test, so candidates are limited to one key and one bucket. The join is
+declared only: AQE broadcasts the interval side when its run-time size in
+bytes is under ``spark.sql.autoBroadcastJoinThreshold`` and splits skewed buckets otherwise.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from payguard.config import DAY_MS
 
 _B = "_pg_ib"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Materialise ``df`` and broadcast it only when its row count is proven
-    to be at most ``max_rows``; otherwise leave it to a shuffle join."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    return (F.broadcast(df), True) if n <= max_rows else (df, False)
-
-
 def interval_join(points: DataFrame, intervals: DataFrame, point_ms: str, start_ms: str,
                   end_ms: str, keys: tuple[str, ...] = (), how: str = "left",
                   bucket_ms: int = DAY_MS, start_inclusive: bool = True,
-                  max_point_ms: int | None = None, broadcast_max_rows: int | None = 2_000_000,
-                  condition: Column | None = None) -> DataFrame:
+                  max_point_ms: int | None = None, condition: Column | None = None) -> DataFrame:
     """Join points to the intervals of the same ``keys`` that contain them.
 
     Containment: ``start <= p < end`` (``start < p < end`` when
     ``start_inclusive`` is False); a null end is open. Buckets are capped at
-    one past the last interval start (read from the small interval side, or
+    one past the last interval start (one scalar read from the interval side, or
     ``max_point_ms`` when given): later points share that bucket, which only
     open or long intervals reach, and the range test keeps the join exact.
     The result keeps every point column plus the interval columns.
     """
-    # the interval side feeds two small actions (last start, size check) and
-    # the join itself: keep it instead of deriving it three times
-    intervals = intervals.persist(StorageLevel.MEMORY_AND_DISK)
     if max_point_ms is None:
         last_start = intervals.agg(F.max(start_ms)).first()[0]
         cap = (0 if last_start is None else int(last_start) // bucket_ms) + 1
@@ -52,8 +39,6 @@ def interval_join(points: DataFrame, intervals: DataFrame, point_ms: str, start_
     first_b = F.least(F.floor(F.col(start_ms) / bucket_ms).cast("long"), F.lit(cap))
     last_b = F.least(F.floor(F.greatest(hi, F.col(start_ms)) / bucket_ms).cast("long"), F.lit(cap))
     spread = intervals.withColumn(_B, F.explode(F.sequence(first_b, last_b)))
-    if broadcast_max_rows is not None:
-        spread, _ = broadcast_if_small(spread, broadcast_max_rows)
     p = points.withColumn(_B, F.least(F.floor(F.col(point_ms) / bucket_ms).cast("long"), F.lit(cap)))
     pa, ia = p.alias("p"), spread.alias("i")
     eq = [F.col(f"p.{k}") == F.col(f"i.{k}") for k in keys] + [F.col(f"p.{_B}") == F.col(f"i.{_B}")]

@@ -6,11 +6,11 @@ earlier accepted row still holds the key: the holder set at ``h`` holds until
 (severity mode). Accepted rows restart the hold. This depends on the previous
 accepted row, so it is not a window frame.
 
-Two exact evaluation paths:
+Two exact forms, for any severities and holds (0 included), chosen per key by
+its rows (no result depends on the choice):
 
-* ``fold``: sort each key's rows into one array and fold it with the
-  built-in ``aggregate`` (JVM side). Used only when the largest key has been
-  counted and is at most ``fold_max_group_rows`` rows.
+* ``fold``: sort the key's rows into one array and fold it with the
+  built-in ``aggregate`` (JVM side), for keys of at most ``fold_max_group_rows`` rows.
 * ``doubling``: each row's successor (the row that would be accepted next if
   this one is) is found with bucketed windows; the accepted rows are the
   chain of successors from each key's first row, marked by pointer doubling
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from payguard.config import DAY_MS
 from payguard.session import cut_lineage
@@ -42,32 +41,40 @@ def _suffix_min_later(stats: DataFrame, keys: list[str], cols: list[str]) -> Dat
 
 
 def successors(nodes: DataFrame, keys: list[str], ttl_ms: str, sev: str | None = None,
-               levels: tuple[int, ...] = (), bucket_ms: int = DAY_MS) -> DataFrame:
+               bucket_ms: int = DAY_MS) -> DataFrame:
     """Add ``succ`` = struct(ms, seq, id) of the row accepted next after this
     one if this one is accepted (null = none). Needs columns ms, seq, node_id."""
     n = nodes.withColumn("_pg_probe", F.col("ms") + F.col(ttl_ms))
-    # time successor: first row with ms >= probe (descending running min)
-    tgt = n.select(*keys, F.col("ms").alias("_t"), F.lit(1).alias("_k"), F.col("seq").alias("_s"),
-                   _node().alias("_tid"), F.lit(None).cast("string").alias("_src"))
+    # time successor: first later row with ms >= probe (descending running min). A hold of 0 ends
+    # at once: its probe stands right after the row itself, so the next row follows.
+    none_id = F.lit(None).cast("string")
+    tgt = n.select(*keys, F.struct(F.col("ms").alias("t"), F.lit(1).alias("k"), F.col("seq").cast("long").alias("s"),
+                                   F.col("node_id").cast("string").alias("i"), F.lit(0).alias("z")).alias("_at"),
+                   _node().alias("_tid"), none_id.alias("_src"))
+    at_once = F.col(ttl_ms) <= 0
     prb = n.filter(F.col("_pg_probe").isNotNull()).select(
-        *keys, F.col("_pg_probe").alias("_t"), F.lit(0).alias("_k"), F.lit(0).cast("long").alias("_s"),
-        F.lit(None).cast(tgt.schema["_tid"].dataType).alias("_tid"), F.col("node_id").alias("_src"))
-    u = tgt.unionByName(prb).withColumn(_B, F.floor(F.col("_t") / bucket_ms).cast("long"))
-    w = (Window.partitionBy(*keys, _B).orderBy(F.col("_t").desc(), F.col("_k").desc(), F.col("_s").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = u.withColumn("_loc", F.min("_tid").over(w)).filter(F.col("_k") == 0)
+        *keys, F.struct(F.when(at_once, F.col("ms")).otherwise(F.col("_pg_probe")).alias("t"),
+                        F.when(at_once, 1).otherwise(0).alias("k"),
+                        F.when(at_once, F.col("seq")).otherwise(F.lit(0)).cast("long").alias("s"),
+                        F.when(at_once, F.col("node_id").cast("string")).otherwise(F.lit("")).alias("i"),
+                        F.lit(1).alias("z")).alias("_at"),
+        F.lit(None).cast(tgt.schema["_tid"].dataType).alias("_tid"), F.col("node_id").cast("string").alias("_src"))
+    u = tgt.unionByName(prb).withColumn(_B, F.floor(F.col("_at.t") / bucket_ms).cast("long"))
+    w = (Window.partitionBy(*keys, _B).orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = u.withColumn("_loc", F.min("_tid").over(w)).filter(F.col("_src").isNotNull())
     stats = _suffix_min_later(u.groupBy(*keys, _B).agg(F.min("_tid").alias("_m")), keys, ["_m"])
     tsucc = (local.join(stats, [*keys, _B], "left")
              .select(F.col("_src").alias("node_id"), F.coalesce("_loc", "_m_later").alias("_tsucc")))
     out = n.join(tsucc, "node_id", "left")
     if sev is None:
         return out.withColumnRenamed("_tsucc", "succ").drop("_pg_probe")
-    # severity successor: first later row with a higher severity
+    # severity successor: first later row with a higher severity, for each severity in use
+    levels = [r[0] for r in n.select(sev).distinct().orderBy(sev).collect()]
     b = out.withColumn(_B, F.floor(F.col("ms") / bucket_ms).cast("long"))
     wl = (Window.partitionBy(*keys, _B)
           .orderBy(F.col("ms").desc(), F.col("seq").desc(), F.col("node_id").desc())
           .rowsBetween(Window.unboundedPreceding, -1))
-    lv = [f"_gt{lv}" for lv in levels]
+    lv = [f"_gt{i}" for i in range(len(levels))]
     for lvl, c in zip(levels, lv):
         b = b.withColumn(c, F.min(F.when(F.col(sev) > lvl, _node())).over(wl))
     st = b.groupBy(*keys, _B).agg(*[F.min(F.when(F.col(sev) > lvl, _node())).alias(c)
@@ -122,27 +129,41 @@ def _fold(nodes: DataFrame, keys: list[str], ttl_ms: str, sev: str | None) -> Da
     return g.select(F.explode(with_end).alias("a")).select("a.node_id", "a.until_ms")
 
 
+def _double(nodes: DataFrame, keys: list[str], ttl_ms: str, sev: str | None, bucket_ms: int) -> DataFrame:
+    with_succ = successors(nodes, keys, ttl_ms, sev, bucket_ms)
+    with_succ = cut_lineage(with_succ.select("node_id", *keys, "ms", "seq", ttl_ms, "succ"))
+    reached = chain_marks(with_succ, keys)
+    return (with_succ.join(reached, "node_id", "left_semi")
+            .select("node_id", F.least(F.coalesce(F.col("ms") + F.col(ttl_ms), F.lit(_FOREVER)),
+                                       F.coalesce(F.col("succ.ms"), F.lit(_FOREVER))).alias("until_ms")))
+
+
 def greedy_accept(nodes: DataFrame, keys: list[str], ttl_ms: str, sev: str | None = None,
-                  levels: tuple[int, ...] = (1, 2, 3, 4, 5), method: str = "auto",
-                  fold_max_group_rows: int = 2_000, bucket_ms: int = DAY_MS) -> DataFrame:
+                  method: str = "auto", fold_max_group_rows: int = 2_000, bucket_ms: int = DAY_MS) -> DataFrame:
     """Add ``accepted`` (bool) and ``until_ms`` (end of the hold started by an
     accepted row: its expiry, or the next accepted row if earlier; the
     sentinel 2**62 = forever). Input needs ms, seq, node_id (unique) and the
-    ``ttl_ms`` column (null = forever)."""
-    if method == "auto":
-        # the size check is an action: keep its input for the real pass
-        nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
-        biggest = nodes.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        method = "fold" if biggest <= fold_max_group_rows else "doubling"
+    ``ttl_ms`` column (null = forever, 0 = ends at once).
+
+    Both forms give the same rows for any severities and holds. Keys of more than
+    ``fold_max_group_rows`` rows go by pointer doubling, so that no key is gathered in one
+    task; the others fold in place. The input is computed once (its lineage is cut)."""
+    nodes = cut_lineage(nodes)
     if method == "fold":
         acc = _fold(nodes, keys, ttl_ms, sev)
     elif method == "doubling":
-        with_succ = successors(nodes, keys, ttl_ms, sev, levels, bucket_ms)
-        with_succ = cut_lineage(with_succ.select("node_id", *keys, "ms", "seq", ttl_ms, "succ"))
-        reached = chain_marks(with_succ, keys)
-        acc = (with_succ.join(reached, "node_id", "left_semi")
-               .select("node_id", F.least(F.coalesce(F.col("ms") + F.col(ttl_ms), F.lit(_FOREVER)),
-                                          F.coalesce(F.col("succ.ms"), F.lit(_FOREVER))).alias("until_ms")))
+        acc = _double(nodes, keys, ttl_ms, sev, bucket_ms)
+    elif method == "auto":
+        long = nodes.groupBy(*keys).count().filter(F.col("count") > fold_max_group_rows).drop("count")
+        if long.isEmpty():
+            acc = _fold(nodes, keys, ttl_ms, sev)
+        else:
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(f"n.{k}").eqNullSafe(F.col(f"l.{k}"))
+            rest = nodes.alias("n").join(long.alias("l"), same, "left_anti")
+            hot = cut_lineage(nodes.alias("n").join(long.alias("l"), same, "left_semi"))
+            acc = _fold(rest, keys, ttl_ms, sev).unionByName(_double(hot, keys, ttl_ms, sev, bucket_ms))
     else:
         raise ValueError(f"unknown method {method!r}")
     acc = acc.withColumn("accepted", F.lit(True))

@@ -8,7 +8,7 @@ tables it touches, so one job writes them together (the transaction).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +33,9 @@ def upsert_rules(rules: DataFrame, outbox: DataFrame, requests: DataFrame) -> tu
     Returns (rules', outbox', rejected requests)."""
     req = (requests.withColumn("rule_type", F.lower("rule_type"))
            .withColumn("parameters", F.coalesce("parameters", F.create_map().cast("map<string,string>"))))
-    bad = req.filter(~F.col("rule_type").isin(*ALLOWED_RULE_TYPES))
-    req = req.filter(F.col("rule_type").isin(*ALLOWED_RULE_TYPES))
+    known = F.coalesce(F.col("rule_type").isin(*ALLOWED_RULE_TYPES), F.lit(False))  # a null type is unknown too
+    bad = req.filter(~known)
+    req = req.filter(known)
     # several requests for one rule in a batch: the last one wins
     last = req.groupBy("rule_id").agg(F.max_by(F.struct(*req.columns), "at").alias("r")).select("r.*")
     old = rules.select("rule_id", F.col("created_at").alias("_old_created"))
@@ -62,13 +63,18 @@ def disable_rules(rules: DataFrame, outbox: DataFrame, requests: DataFrame) -> t
 
 
 def _append_outbox(outbox: DataFrame, rows: DataFrame) -> DataFrame:
-    """Outbox ids continue after the current max id and increase in
-    (created_at, rule_id) order: a distributed sort, then
-    ``monotonically_increasing_id`` (unique, increasing with the sort
-    order across partitions; gaps allowed, like a serial column)."""
+    """Outbox ids continue after the current max id and count up without gaps in
+    (created_at, rule_id, payload) order: a rank within the day plus the rows of
+    earlier days, so the numbers don't depend on partitions or recomputation."""
     base = outbox.agg(F.max("id")).first()[0] or 0  # scalar
-    numbered = rows.orderBy("created_at", "rule_id").withColumn("_n", F.monotonically_increasing_id())
-    new = numbered.select((F.lit(base + 1) + F.col("_n")).cast("long").alias("id"), "rule_id", "payload",
+    day = F.to_date("created_at")
+    days = rows.groupBy(day.alias("_d")).agg(F.count("*").alias("_n")).withColumn("_k", F.lit(0))
+    earlier = Window.partitionBy("_k").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    days = days.select("_d", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_day").orderBy("created_at", "rule_id", "payload"))
+    numbered = (rows.withColumn("_day", day).withColumn("_p", place)
+                .join(days, F.col("_day").eqNullSafe(F.col("_d"))))
+    new = numbered.select((F.lit(base) + F.col("_before") + F.col("_p")).cast("long").alias("id"), "rule_id", "payload",
                           "created_at", F.lit(None).cast("timestamp").alias("published_at"))
     return outbox.unionByName(new)
 
@@ -78,12 +84,13 @@ def list_rules(rules: DataFrame) -> DataFrame:
     return rules.orderBy(F.col("updated_at").desc(), F.col("rule_id").asc())
 
 
-def pending_outbox(outbox: DataFrame, batch_size: int) -> DataFrame:
-    """L2: unpublished rows by id, at most ``batch_size`` (the relay batch)."""
-    return outbox.filter(F.col("published_at").isNull()).orderBy("id").limit(batch_size)
+def pending_outbox(outbox: DataFrame, batch_size: int | None) -> DataFrame:
+    """L2: unpublished rows by id, at most ``batch_size`` (the relay batch; None: all)."""
+    pending = outbox.filter(F.col("published_at").isNull())
+    return pending if batch_size is None else pending.orderBy("id").limit(batch_size)
 
 
-def relay_outbox(outbox: DataFrame, batch_size: int, now: Column, publishable: Column | None = None
+def relay_outbox(outbox: DataFrame, batch_size: int | None, now: Column, publishable: Column | None = None
                  ) -> tuple[DataFrame, DataFrame]:
     """Take the pending batch in id order, publish up to (not including)
     the first entry that cannot be published, mark the published ones.
@@ -114,9 +121,10 @@ def latest_state(change_log: DataFrame) -> DataFrame:
     return last.filter(F.col("rule_type").isNotNull() & F.coalesce("enabled", F.lit(False)))
 
 
-def bootstrap(rules: DataFrame, deleted_ids: DataFrame | None = None, start_offset: int = 0) -> DataFrame:
-    """Re-emit every live rule (and a tombstone per deleted id) to the
-    rule log, so a fresh consumer rebuilds its state."""
+def bootstrap(rules: DataFrame, deleted_ids: DataFrame | None = None, change_log: DataFrame | None = None) -> DataFrame:
+    """Re-emit every live rule (and a tombstone per deleted id) to the rule
+    log, so a fresh consumer rebuilds its state. Offsets continue after the
+    last one of ``change_log``, so the records win against those already there."""
     live = rules.select("rule_id", "rule_type", "enabled", "parameters", "updated_at")
     if deleted_ids is not None:
         tomb = deleted_ids.select("rule_id", F.lit(None).cast("string").alias("rule_type"),
@@ -124,4 +132,8 @@ def bootstrap(rules: DataFrame, deleted_ids: DataFrame | None = None, start_offs
                                   F.lit(None).cast("map<string,string>").alias("parameters"),
                                   F.lit(None).cast("timestamp").alias("updated_at"))
         live = live.unionByName(tomb)
-    return live.withColumn("log_offset", F.lit(start_offset) + F.monotonically_increasing_id())
+    start = 0
+    if change_log is not None:
+        last = change_log.agg(F.max("log_offset")).first()[0]  # scalar
+        start = 0 if last is None else int(last) + 1
+    return live.withColumn("log_offset", F.lit(start) + F.monotonically_increasing_id())

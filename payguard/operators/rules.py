@@ -5,17 +5,15 @@ and the as-of join of events to the rule version live at their time (J1).
 
 from __future__ import annotations
 
-from functools import reduce
+import heapq
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from payguard.config import ALLOWED_RULE_TYPES, DAY_MS, RiskConfig
 from payguard.functions import parse_int_strict
 from payguard.operators.joins import interval_join
-from payguard.operators.windows import prev_next_ms
-from payguard.session import cut_lineage
 
 # Fixed values: (rule type, parameter key) -> scoring parameter it sets.
 PARAMETER_KEYS = (
@@ -66,13 +64,6 @@ def split_valid_rules(updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return u.filter(~bad).drop("bad_keys"), u.filter(bad)
 
 
-def latest_rules(updates: DataFrame) -> DataFrame:
-    """Last update per rule id by arrival (``log_offset``); disabled
-    entries remove the rule."""
-    u = normalize_rule_updates(updates)
-    order = F.struct(F.coalesce("log_offset", F.lit(0)), "updated_at")
-    last = u.groupBy("rule_id").agg(F.max_by(F.struct(*u.columns), order).alias("r")).select("r.*")
-    return last.filter("enabled")
 
 
 def fold_rule_set(active: DataFrame, cfg: RiskConfig) -> DataFrame:
@@ -91,96 +82,75 @@ def fold_rule_set(active: DataFrame, cfg: RiskConfig) -> DataFrame:
                                       F.lit(getattr(cfg, p)).cast(param_type(p))).alias(p) for p in PARAMS])
 
 
-def rule_versions(updates: DataFrame, cfg: RiskConfig, bucket_ms: int = DAY_MS,
-                  broadcast_max_rows: int = 2_000_000) -> DataFrame:
+def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One parameter: its contributions in order of start, a heap of those
+    that may be live, latest (start, rule id) on top; at each change point the top live one wins."""
+    points = sorted(pdf.loc[pdf["is_point"], "from_ms"].tolist())
+    rows = pdf[~pdf["is_point"]].sort_values(["from_ms", "rule_id"])
+    starts = list(zip(rows["from_ms"].tolist(), rows["rule_id"].tolist(), rows["to_ms"].tolist(), rows["pval"].tolist()))
+    heap: list[tuple] = []
+    out, i = [], 0
+    for k, cp in enumerate(points):
+        while i < len(starts) and starts[i][0] <= cp:
+            # starts ascend, so the arrival number orders the heap by (start, rule id)
+            heapq.heappush(heap, (-i, starts[i][2], starts[i][3]))
+            i += 1
+        while heap and heap[0][1] <= cp:
+            heapq.heappop(heap)
+        out.append((cp, points[k + 1] if k + 1 < len(points) else None, heap[0][2] if heap else None))
+    param = pdf["param"].iloc[0]
+    return pd.DataFrame({"valid_from_ms": pd.array([x[0] for x in out], dtype="Int64"),
+                         "valid_to_ms": pd.array([x[1] for x in out], dtype="Int64"),
+                         "param": [param] * len(out), "pval": [x[2] for x in out]})
+
+
+def rule_versions(updates: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Effective-dated rule sets: one row per change point with
     ``valid_from_ms``, ``valid_to_ms`` (null = open) and the 9 parameters.
 
     Each update of a rule is that rule's state from its ``updated_at`` until
     the rule's next update (A12 over time). Its parameters are contributions
     live over that interval; at every change point the winner per parameter
-    is the live contribution with the latest (updated_at, rule_id).
+    is the live contribution with the latest (updated_at, rule_id). Each
+    parameter is swept once, in n log n; the nine sweeps are the tasks (each holds the
+    rule log, a control table, never events).
     """
     valid, _bad = split_valid_rules(updates)
-    u = valid.withColumn("upd_ms", F.unix_millis("updated_at")).withColumn(
-        "_ord", F.coalesce("log_offset", F.lit(0)).cast("long"))
-    u = u.persist(StorageLevel.MEMORY_AND_DISK)
-    n_updates = u.count()  # size check of the control table
-    if n_updates <= broadcast_max_rows:
-        return _rule_versions_small(u, cfg)
-    # each rule's state interval: [this update, next update of the rule)
-    u = prev_next_ms(u, ["rule_id"], "upd_ms", "_ord", bucket_ms, "prev_upd", "next_upd")
+    u = valid.select("rule_id", "rule_type", "enabled", "known_type", "parameters", F.unix_millis("updated_at").alias("upd_ms"),
+                     F.coalesce("log_offset", F.lit(0)).cast("long").alias("_ord"))
+    nxt = F.lead("upd_ms").over(Window.partitionBy("rule_id").orderBy("upd_ms", "_ord"))
     pm = _param_map_df(updates.sparkSession)
-    contrib = (u.filter(F.col("enabled") & F.col("known_type"))
-               .select("rule_id", "rule_type", "upd_ms", F.col("next_upd").alias("to_ms"),
+    contrib = (u.withColumn("to_ms", F.coalesce(nxt, F.lit(2**62)))
+               .filter(F.col("enabled") & F.coalesce("known_type", F.lit(False)))
+               .select("rule_id", "rule_type", F.col("upd_ms").alias("from_ms"), "to_ms",
                        F.explode("parameters").alias("pkey", "pval"))
                .join(F.broadcast(pm), ["rule_type", "pkey"])  # literal 9-row table
-               .select("rule_id", "param", "pval", F.col("upd_ms").alias("from_ms"), "to_ms",
-                       F.col("upd_ms").alias("c_upd")))
-    cps = u.select(F.col("upd_ms").alias("cp")).distinct()
-    max_cp = cps.agg(F.max("cp")).first()[0] or 0
-    live = interval_join(cps, contrib, "cp", "from_ms", "to_ms", keys=(), how="inner",
-                         bucket_ms=bucket_ms, max_point_ms=int(max_cp),
-                         broadcast_max_rows=broadcast_max_rows)
-    winners = (live.groupBy("cp").pivot("param", list(PARAMS))
-               .agg(F.max_by("pval", F.struct("c_upd", "rule_id"))))
-    for p in PARAMS:
-        if p not in winners.columns:
-            winners = winners.withColumn(p, F.lit(None).cast("string"))
-    versions = cps.join(winners, "cp", "left").select(
-        F.col("cp").alias("valid_from_ms"),
-        *[F.coalesce(parse_int_strict(p, param_type(p)), F.lit(getattr(cfg, p)).cast(param_type(p))).alias(p)
-          for p in PARAMS])
-    versions = versions.withColumn("_k", F.lit(0)).withColumn("_s", F.lit(0))
-    versions = prev_next_ms(versions, ["_k"], "valid_from_ms", "_s", bucket_ms, "_p", "valid_to_ms")
-    # one row per rule change: a small control table, materialised once
-    return cut_lineage(versions.select("valid_from_ms", "valid_to_ms", *PARAMS))
-
-
-def _winners_to_versions(cps: DataFrame, live: DataFrame, cfg: RiskConfig) -> DataFrame:
-    winners = (live.groupBy("cp").pivot("param", list(PARAMS))
-               .agg(F.max_by("pval", F.struct("c_upd", "rule_id"))))
-    for p in PARAMS:
-        if p not in winners.columns:
-            winners = winners.withColumn(p, F.lit(None).cast("string"))
-    return cps.join(winners, "cp", "left").select(
-        F.col("cp").alias("valid_from_ms"),
-        *[F.coalesce(parse_int_strict(p, param_type(p)), F.lit(getattr(cfg, p)).cast(param_type(p))).alias(p)
-          for p in PARAMS])
-
-
-def _rule_versions_small(u: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """Rule log proven small (counted): per-rule ``lead`` for the state
-    intervals, a broadcast range join of change points to live
-    contributions, and one window over the change points (one row per rule
-    change) for the version end."""
-    nxt = F.lead("upd_ms").over(Window.partitionBy("rule_id").orderBy("upd_ms", "_ord"))
-    u = u.withColumn("next_upd", nxt)
-    pm = _param_map_df(u.sparkSession)
-    contrib = (u.filter(F.col("enabled") & F.col("known_type"))
-               .select("rule_id", "rule_type", F.col("upd_ms").alias("from_ms"), F.col("next_upd").alias("to_ms"),
-                       F.explode("parameters").alias("pkey", "pval"))
-               .join(F.broadcast(pm), ["rule_type", "pkey"])
-               .select("rule_id", "param", "pval", "from_ms", "to_ms", F.col("from_ms").alias("c_upd")))
-    cps = u.select(F.col("upd_ms").alias("cp")).distinct()
-    live = cps.join(F.broadcast(contrib), (F.col("from_ms") <= F.col("cp")) & (
-        F.col("to_ms").isNull() | (F.col("cp") < F.col("to_ms"))))
-    versions = _winners_to_versions(cps, live, cfg)
-    versions = versions.withColumn("valid_to_ms", F.lead("valid_from_ms").over(Window.orderBy("valid_from_ms")))
-    out = versions.select("valid_from_ms", "valid_to_ms", *PARAMS).persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
-
-
-def attach_rule_params(events: DataFrame, versions: DataFrame, cfg: RiskConfig,
-                       ms: str = "ms", bucket_ms: int = DAY_MS,
-                       broadcast_max_rows: int = 2_000_000) -> DataFrame:
+               .select("param", "from_ms", "to_ms", "rule_id", "pval", F.lit(False).alias("is_point")))
+    points = u.select(F.col("upd_ms").alias("from_ms")).distinct().select(
+        F.explode(F.array(*[F.lit(p) for p in PARAMS])).alias("param"), "from_ms", F.lit(None).cast("long").alias("to_ms"),
+        F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("string").alias("pval"), F.lit(True).alias("is_point"))
+    swept = contrib.unionByName(points).groupBy("param").applyInPandas(
+        _sweep, "valid_from_ms long, valid_to_ms long, param string, pval string")
+    wide = swept.groupBy("valid_from_ms", "valid_to_ms").agg(*[F.max(F.when(F.col("param") == p, F.col("pval"))).alias(p) for p in PARAMS])
+    return wide.select("valid_from_ms", "valid_to_ms", *[
+        F.coalesce(parse_int_strict(p, param_type(p)), F.lit(getattr(cfg, p)).cast(param_type(p))).alias(p) for p in PARAMS])
+
+
+def last_change_ms(updates: DataFrame) -> int:
+    """Time of the rule log's last update (one scalar from the control table)."""
+    last = updates.agg(F.max(F.unix_millis("updated_at"))).first()[0]
+    return 0 if last is None else int(last)
+
+
+def attach_rule_params(events: DataFrame, versions: DataFrame, cfg: RiskConfig, last_ms: int | None = None,
+                       ms: str = "ms", bucket_ms: int = DAY_MS) -> DataFrame:
     """Every event gets the parameters of the version live at its time
-    (``valid_from <= ms < valid_to``); before the first change: defaults."""
+    (``valid_from <= ms < valid_to``); before the first change: defaults.
+    ``last_ms``: see :func:`last_change_ms`."""
     renamed = versions.select("valid_from_ms", "valid_to_ms",
                               *[F.col(p).alias(f"rp_{p}") for p in PARAMS])
     j = interval_join(events, renamed, ms, "valid_from_ms", "valid_to_ms", how="left",
-                      bucket_ms=bucket_ms, broadcast_max_rows=broadcast_max_rows)
+                      bucket_ms=bucket_ms, max_point_ms=last_ms)
     for p in PARAMS:
         j = j.withColumn(f"rp_{p}", F.coalesce(F.col(f"rp_{p}"), F.lit(getattr(cfg, p)).cast(param_type(p))))
     return j.withColumnRenamed("valid_from_ms", "rule_version_ms").drop("valid_to_ms")
@@ -188,7 +158,3 @@ def attach_rule_params(events: DataFrame, versions: DataFrame, cfg: RiskConfig,
 
 def dynamic_params() -> dict[str, Column]:
     return {p: F.col(f"rp_{p}") for p in PARAMS}
-
-
-def union_all(dfs: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), dfs)

@@ -54,14 +54,16 @@ def prev_next_ms(df: DataFrame, keys: list[str], ms: str = "ms", seq: str = "seq
 
 
 def running_sum(df: DataFrame, keys: list[str], ms: str, value: str, out: str,
-                bucket_ms: int = HOUR_MS) -> DataFrame:
+                bucket_ms: int = HOUR_MS, ties: list[str] | None = None) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the same key with ms <= this
-    row's ms (peers included). Parallel prefix sum: local sums per
+    row's ms (peers included; with ``ties``, peers up to this row in the order of
+    those columns). Parallel prefix sum: local sums per
     (key, bucket) plus the total of all earlier buckets of the key (a small
     per-bucket table), so a hot key is spread over its buckets."""
     b = df.withColumn(_B, _bucket(F.col(ms), bucket_ms)).repartition(*keys, _B)
-    w = (Window.partitionBy(*keys, _B).orderBy(ms)
-         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    w = Window.partitionBy(*keys, _B)
+    w = (w.orderBy(ms, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow) if ties
+         else w.orderBy(ms).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     local = b.withColumn("_pg_local", F.sum(value).over(w))
     ws = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     # per-bucket totals read the same shuffle output (exchange reuse), not the window
@@ -135,8 +137,8 @@ def distinct_in_range(df: DataFrame, keys: list[str], member: str, span_ms: int,
     wm = Window.partitionBy(*keys, _B, member).orderBy(ms, seq)
     loc = (loc.withColumn("_pg_prev", F.lag(ms).over(wm))
               .withColumn("_pg_next", F.lead(ms).over(wm)))
-    start = F.col("_pg_prev").isNull() | (F.col(ms) > F.col("_pg_prev") + edge)
-    stop = F.col("_pg_next").isNull() | (F.col("_pg_next") > F.col(ms) + edge)
+    start = F.col("_pg_prev").isNull() | (F.col(ms) >= F.col("_pg_prev") + edge)
+    stop = F.col("_pg_next").isNull() | (F.col("_pg_next") >= F.col(ms) + edge)
     # one output row per input copy (delta 0 keeps real rows), plus an extra
     # -1 row when the run ends here; +1 rides on the row itself
     d_self = F.when(start, F.lit(1)).otherwise(F.lit(0))
@@ -163,20 +165,18 @@ def _distinct_prefix(df: DataFrame, keys: list[str], member: str, span_ms: int,
     by a parallel prefix sum: no row copies, any window length."""
     edge = span_ms + 1
     pn = prev_next_ms(df, [*keys, member], ms, seq, bucket_ms, "_pg_prev", "_pg_next")
-    start = F.col("_pg_prev").isNull() | (F.col(ms) > F.col("_pg_prev") + edge)
-    stop = F.col("_pg_next").isNull() | (F.col("_pg_next") > F.col(ms) + edge)
+    start = F.col("_pg_prev").isNull() | (F.col(ms) >= F.col("_pg_prev") + edge)
+    stop = F.col("_pg_next").isNull() | (F.col("_pg_next") >= F.col(ms) + edge)
     items = F.array(
         F.struct(F.col(ms).alias("t"), F.lit(1).alias("k"), F.when(start, 1).otherwise(0).alias("d"),
                  F.lit(True).alias("keep")),
         F.when(stop, F.struct((F.col(ms) + edge).alias("t"), F.lit(0).alias("k"), F.lit(-1).alias("d"),
                               F.lit(False).alias("keep"))))
-    if ties == "arrival":
-        raise ValueError("ties='arrival' is available with method='island'")
     exp = (pn.withColumn("_pg_it", F.explode(F.array_compact(items)))
-           .withColumn("_pg_t", F.col("_pg_it.t")).withColumn("_pg_d", F.col("_pg_it.d"))
+           .withColumn("_pg_t", F.col("_pg_it.t")).withColumn("_pg_d", F.col("_pg_it.d")).withColumn("_pg_k", F.col("_pg_it.k"))
            .withColumn("_pg_keep", F.col("_pg_it.keep")).drop("_pg_it", "_pg_prev", "_pg_next"))
-    r = running_sum(exp, keys, "_pg_t", "_pg_d", out, bucket_ms)
-    return r.filter(F.col("_pg_keep")).drop("_pg_t", "_pg_d", "_pg_keep")
+    r = running_sum(exp, keys, "_pg_t", "_pg_d", out, bucket_ms, ["_pg_k", seq] if ties == "arrival" else None)
+    return r.filter(F.col("_pg_keep")).drop("_pg_t", "_pg_d", "_pg_k", "_pg_keep")
 
 
 def count_in_range(df: DataFrame, keys: list[str], span_ms: int, out: str, ms: str = "ms",
@@ -239,10 +239,10 @@ def velocity(events: DataFrame, window_ms: int, out: str = "velocity_7d",
 
 def rate_limit(calls: DataFrame, window_ms: int, limit: int, count_col: str = "rate_count",
                blocked_col: str = "rate_blocked", bucket_ms: int = HOUR_MS,
-               method: str = "auto") -> DataFrame:
-    """Distinct request ids of the user with a call in ``(t - window, t]``;
-    blocked iff the count exceeds ``limit``. Blocked calls still count and a
-    retry with the same request id moves that id forward."""
+               method: str = "auto", ties: str = "arrival") -> DataFrame:
+    """Distinct request ids of the user with a call in ``(t - window, t]``, calls
+    of one ms in order of ``seq``; blocked iff the count exceeds ``limit``. Blocked
+    calls still count and a retry with the same request id moves that id forward."""
     out = distinct_in_range(calls, ["user_id"], "request_id", window_ms - 1, count_col,
-                            bucket_ms=bucket_ms, method=method)
+                            bucket_ms=bucket_ms, method=method, ties=ties)
     return out.withColumn(blocked_col, F.col(count_col) > F.lit(limit))

@@ -13,6 +13,7 @@ from payguard.config import TESTDATA_CONFIG as CFG
 from payguard.functions import join_reasons, stable_id
 from payguard.operators import windows as W
 from payguard.plans import scoring as Q
+from payguard.session import cut_lineage
 from payguard.sources import testdata as TD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,14 @@ def w2_rate_limit(spark, sf):
     return ev.select("event_id", "user_id", "request_id", "rate_count", "rate_blocked")
 
 
+def w2_rate_limit_ties(spark, sf):
+    """W2 where calls share their ms: at whole six hours."""
+    six = 6 * 3_600_000
+    ev = _events(spark, sf).select("event_id", "user_id", "request_id", (F.floor(F.col("ms") / six) * six).alias("ms"), "seq")
+    ev = W.rate_limit(ev, CFG.rate_limit_window_ms, CFG.rate_limit, bucket_ms=CFG.bucket_ms)
+    return ev.select("event_id", "user_id", "request_id", "rate_count", "rate_blocked")
+
+
 def w3_velocity_7d(spark, sf):
     ev = _events(spark, sf).select("event_id", "user_id", "ms")
     ev = W.velocity(ev, CFG.velocity_window_ms, bucket_ms=CFG.bucket_ms)
@@ -91,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "q2_two_rule_decisions": q2_two_rule_decisions,
     "w1_merchant_burst": w1_merchant_burst,
     "w2_rate_limit": w2_rate_limit,
+    "w2_rate_limit_ties": w2_rate_limit_ties,
     "w3_velocity_7d": w3_velocity_7d,
     "q1_decisions": q1_decisions,
     "p06_high_risk": p06_high_risk,
@@ -105,11 +115,19 @@ from payguard.operators import ingest as ING  # noqa: E402
 from payguard.operators import rules as R  # noqa: E402
 
 
+def _rule_asof(ev, log):
+    j = R.attach_rule_params(ev, R.rule_versions(log, CFG), CFG, R.last_change_ms(log))
+    return j.select("event_id", "rule_version_ms", *[F.col(f"rp_{p}").alias(p) for p in R.PARAMS])
+
+
 def j1_rule_asof(spark, sf):
+    return _rule_asof(_events(spark, sf), TD.rule_updates(spark))
+
+
+def j1_rule_asof_large(spark, sf):
+    """J1 with a rule log as long as a tenth of the events."""
     ev = _events(spark, sf)
-    v = R.rule_versions(TD.rule_updates(spark), CFG)
-    j = R.attach_rule_params(ev, v, CFG)
-    return j.select("event_id", "rule_version_ms", *[F.col(f"rp_{p}").alias(p) for p in R.PARAMS])
+    return _rule_asof(ev, TD.rule_log_from_events(ev))
 
 
 def q1_decisions_rules(spark, sf):
@@ -130,6 +148,12 @@ def q5_ban_intervals(spark, sf):
                     "stored_value")
 
 
+def q5_bans_any_severity(spark, sf):
+    """T9 with severities outside 1-5, ties, and a hot user who goes the long way."""
+    b = BN.ban_intervals(TD.ban_requests_any_severity(_events(spark, sf)), fold_max_group_rows=300)
+    return b.select("request_key", "user_id", "severity", "accepted", "valid_from_ms", "valid_to_ms", "stored_value")
+
+
 def q5_audit_bans(spark, sf):
     a = BN.audit_bans(scored(spark, sf).decisions, CFG)
     return a.select("decision_id", "user_id", "reason", "severity",
@@ -144,6 +168,13 @@ def q3_admission(spark, sf):
     return out.select("event_id", "user_id", "status", "reason", "rate_limit_count")
 
 
+def q3_admission_raw(spark, sf):
+    """Q3 over requests as they arrive: every request has one outcome."""
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    out = ING.admit(TD.raw_requests(_events(spark, sf)), None, CFG, now=now)
+    return out.select("event_id", "user_id", "ms", "status", "reason", "rate_limit_count")
+
+
 # --- alerts ----------------------------------------------------------------------
 def _alerts_processed(spark, sf):
     deliveries = TD.alert_deliveries(scored(spark, sf).alerts)
@@ -173,7 +204,41 @@ def j9_sends(spark, sf):
     return sends.select("alert_id", "channel", "position", "message")
 
 
+def q4_two_batches(spark, sf):
+    """Q4 in two halves of the alerts, the log of the first passed on: equals one batch."""
+    deliveries = TD.alert_deliveries(scored(spark, sf).alerts)
+    half = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    first, _, _ = A.process_alerts(deliveries.filter(F.col("created_at") < half), CFG)
+    log, _, _ = A.process_alerts(deliveries.filter(F.col("created_at") >= half), CFG, alert_log=cut_lineage(first))
+    return log.select("alert_id", "user_id", "severity", "status",
+                      F.array_join("channels_notified", ",").alias("channels"),
+                      F.unix_millis("created_at").alias("created_at_ms"))
+
+
+def _spread_alerts(spark, sf):
+    cfg = CFG.with_(**TD.SEVERITY_SPREAD)
+    ev = _events(spark, sf)
+    return cfg, Q.score_events(ev, cfg, profiles=_profiles(ev)).alerts
+
+
+def p07_alert_severities(spark, sf):
+    _, a = _spread_alerts(spark, sf)
+    return a.select("alert_id", "user_id", "risk_score", "severity", "reason_summary", F.col("ms").alias("created_at_ms"))
+
+
+def j9_sends_all_severities(spark, sf):
+    cfg, a = _spread_alerts(spark, sf)
+    _, _, sends = A.process_alerts(TD.alert_deliveries(a), cfg)
+    return sends.select("alert_id", "channel", "position", "message")
+
+
 QUERIES.update({
+    "q4_two_batches": q4_two_batches,
+    "p07_alert_severities": p07_alert_severities,
+    "j9_sends_all_severities": j9_sends_all_severities,
+    "q3_admission_raw": q3_admission_raw,
+    "q5_bans_any_severity": q5_bans_any_severity,
+    "j1_rule_asof_large": j1_rule_asof_large,
     "j1_rule_asof": j1_rule_asof,
     "q1_decisions_rules": q1_decisions_rules,
     "q5_ban_intervals": q5_ban_intervals,

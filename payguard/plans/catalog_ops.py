@@ -38,12 +38,12 @@ def s11_dlq_records(spark, sf):
                     byte_length("value").alias("value_bytes"))
 
 
-def q6_dlq_replay(spark, sf):
+def _replayed(spark, sf, max_messages):
     # the DLQ is a stored topic the replay tool scans (S12): materialise it
     dlq = cut_lineage(_dlq(spark, sf))
     summary, records = DQ.replay(dlq, "alert-events", original_topic="alert-events",
                                  severity="UNKNOWN", failed_after="2024-01-05T00:00:00Z",
-                                 failed_before="2024-01-25T00:00:00Z", max_messages=CFG.replay_max_messages,
+                                 failed_before="2024-01-25T00:00:00Z", max_messages=max_messages,
                                  execute=True, operator="ops", replayed_at="2024-02-01T00:00:00Z")
     rec = records.select(F.col("source_partition").alias("partition"), F.col("source_offset").alias("offset"),
                          header_value_str("headers", "x-replayed-by").alias("replayed_by"),
@@ -51,6 +51,15 @@ def q6_dlq_replay(spark, sf):
     return summary.join(rec, ["partition", "offset"])
 
 
+def q6_dlq_replay(spark, sf):
+    """The first hundred matches (the tool's default, a top-k report)."""
+    return _replayed(spark, sf, CFG.replay_max_messages)
+
+
+def q6_dlq_replay_all(spark, sf):
+    return _replayed(spark, sf, None)
+
+
 def q7_archive_events(spark, sf):
     ev = C._events(spark, sf)
     day = F.floor(F.col("ms") / DAY) - F.lit(19723)  # days since 2024-01-01
@@ -143,6 +152,33 @@ def d9_block_rate_baseline(spark, sf):
     return D.block_rate_vs_baseline(C.scored(spark, sf).decisions)
 
 
+def d1_sequence_wide(spark, sf):
+    return D.sequence_pattern(C._events(spark, sf), "LOGIN", "BEHAVIOUR", "WITHDRAWAL", 7 * DAY)
+
+
+def a13_counter_increase(spark, sf):
+    """A cumulative counter per merchant (its events so far) and its increase a day."""
+    from payguard.operators import windows as W
+    ev = C._events(spark, sf).filter("merchant_id IS NOT NULL").select("merchant_id", "ms", F.lit(1).alias("one"))
+    series = W.running_sum(ev, ["merchant_id"], "ms", "one", "value", DAY)
+    return H.counter_increase(series, ["merchant_id"], DAY)
+
+
+def d8_ban_ladder(spark, sf):
+    return C._events(spark, sf).select("event_id", (F.col("seq") % 7).alias("severity"),
+                                       BN.ladder_ttl((F.col("seq") % 7).cast("int")).alias("ttl_seconds"))
+
+
+def f10_stored_velocity(spark, sf):
+    """Profiles with a stored velocity, some blank, missing or no number."""
+    from payguard.plans import scoring as Q
+    ev = C._events(spark, sf)
+    num = F.regexp_extract("user_id", r"(\d+)$", 1).cast("int")
+    raw = (F.when(num % 5 == 1, (num % 40).cast("string")).when(num % 5 == 2, " ").when(num % 5 == 3, "-7").when(num % 5 == 4, "many"))
+    profiles = C._profiles(ev).withColumn("velocity_raw", raw)
+    return Q.lookup_profiles(ev, profiles).select("event_id", "blacklisted", "velocity_7d")
+
+
 def w1_supplier_burst(spark, sf):
     """W1 over the larger line-item source (day-granular times: many ties):
     distinct customers per supplier in the last 7 days."""
@@ -157,6 +193,11 @@ QUERIES = {
     "w1_supplier_burst": w1_supplier_burst,
     "s11_dlq_records": s11_dlq_records,
     "q6_dlq_replay": q6_dlq_replay,
+    "q6_dlq_replay_all": q6_dlq_replay_all,
+    "d1_sequence_wide": d1_sequence_wide,
+    "a13_counter_increase": a13_counter_increase,
+    "d8_ban_ladder": d8_ban_ladder,
+    "f10_stored_velocity": f10_stored_velocity,
     "q7_archive_events": q7_archive_events,
     "a04_decision_mix": a04_decision_mix,
     "a05_alert_status": a05_alert_status,

@@ -30,6 +30,7 @@ risk_events AS (
               WHEN 'error' THEN 'WITHDRAWAL' WHEN 'click' THEN 'BEHAVIOUR' WHEN 'view' THEN 'TRANSFER'
               ELSE upper(event_type) END AS event_type,
          CAST(round(value * 100) AS BIGINT) AS amount_cents,
+         CASE WHEN event_id % 5 > 0 THEN '10.' || CAST(user_id % 200 AS VARCHAR) || '.0.' || CAST(event_id % 250 AS VARCHAR) END AS ip_address,
          CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'dev-' || CAST(user_id % 50 AS VARCHAR) END AS device_fp,
          CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 = 0 THEN NULL
               ELSE 'm-' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 25 AS VARCHAR) END AS merchant_id
@@ -113,13 +114,20 @@ SELECT event_id, user_id,
          RANGE BETWEEN {CFG.velocity_window_ms} PRECEDING AND CURRENT ROW) AS BIGINT) AS velocity_7d
 FROM risk_events"""
 
-W2_RATE = with_(RISK_EVENTS) + f"""
-SELECT event_id, user_id, request_id,
-       CAST(count(DISTINCT request_id) OVER (PARTITION BY user_id ORDER BY ms
-         RANGE BETWEEN {CFG.rate_limit_window_ms - 1} PRECEDING AND CURRENT ROW) AS BIGINT) AS rate_count,
-       count(DISTINCT request_id) OVER (PARTITION BY user_id ORDER BY ms
-         RANGE BETWEEN {CFG.rate_limit_window_ms - 1} PRECEDING AND CURRENT ROW) > {CFG.rate_limit} AS rate_blocked
-FROM risk_events"""
+def rate_sql(calls: str) -> str:
+    """Every call against the user's calls of the window that came before it (or itself)."""
+    return f"""
+SELECT e.event_id, e.user_id, e.request_id, count(DISTINCT p.request_id) AS rate_count,
+       count(DISTINCT p.request_id) > {CFG.rate_limit} AS rate_blocked
+FROM {calls} e JOIN {calls} p ON p.user_id = e.user_id AND p.ms > e.ms - {CFG.rate_limit_window_ms}
+     AND (p.ms < e.ms OR p.ms = e.ms AND p.seq <= e.seq)
+GROUP BY e.event_id, e.user_id, e.request_id"""
+
+
+W2_RATE = with_(RISK_EVENTS) + rate_sql("risk_events")
+
+W2_RATE_TIES = with_(RISK_EVENTS, """
+calls AS (SELECT * REPLACE (ms // 21600000 * 21600000 AS ms) FROM risk_events)""") + rate_sql("calls")
 
 Q1_DECISIONS = with_(RISK_EVENTS, FEATURES, scored_cte()) + """
 SELECT decision_id, event_id, request_id, user_id, decision, risk_score, reason_summary,
@@ -138,18 +146,13 @@ SELECT {uuid3("'alert:' || decision_id")} AS alert_id, decision_id, event_id, us
        reason_summary, ms AS created_at_ms
 FROM scored WHERE risk_score >= {CFG.alert_threshold}"""
 
-A04_DECISION_MIX = with_(RISK_EVENTS, FEATURES, scored_cte()) + """
-SELECT CAST(date_trunc('day', make_timestamp(ms * 1000)) AS DATE) AS day, decision,
-       CAST(count(*) AS BIGINT) AS decisions
-FROM scored GROUP BY ALL"""
-
-
 def all_sql() -> dict[str, str]:
     return {
         "f04_stable_ids": F04_IDS,
         "q2_two_rule_decisions": Q2_TWO_RULE,
         "w1_merchant_burst": W1_BURST,
         "w2_rate_limit": W2_RATE,
+        "w2_rate_limit_ties": W2_RATE_TIES,
         "w3_velocity_7d": W3_VELOCITY,
         "q1_decisions": Q1_DECISIONS,
         "p06_high_risk": P06_HIGH_RISK,

@@ -14,28 +14,32 @@ _ISO = ("CASE WHEN ms % 1000 = 0 THEN strftime(make_timestamp(ms * 1000), '%Y-%m
         "ELSE strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') END")
 
 _DLQ = f""",
-alert_rows AS (SELECT {uuid3("'alert:' || decision_id")} AS alert_id, user_id, ms, seq
+alert_rows AS (SELECT {uuid3("'alert:' || decision_id")} AS alert_id, user_id, ms, seq,
+                      CASE WHEN risk_score >= 95 THEN 'CRITICAL' WHEN risk_score >= 90 THEN 'HIGH' ELSE 'MEDIUM' END AS sev
                FROM scored WHERE risk_score >= {CFG.alert_threshold}),
 dlq AS (
   SELECT 'alert-events-dlq' AS topic,
          CAST((strpos('0123456789abcdef', substr(md5(user_id), 32, 1)) - 1) % 4 AS INTEGER) AS partition,
          seq AS "offset", user_id AS key, 'alert-events' AS original_topic, {_ISO} AS failed_at,
          CASE WHEN seq % 2 = 0 THEN '1' ELSE '{CFG.alert_max_retries + 1}' END AS retry_count,
-         'unknown' AS severity, 'payload could not be decoded as an alert' AS exception_message,
-         40 AS value_bytes, ms, CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END AS extra_headers
+         CASE WHEN seq % 3 = 2 THEN sev ELSE 'unknown' END AS severity,
+         'payload could not be decoded as an alert' AS exception_message,
+         CAST(CASE seq % 3 WHEN 0 THEN 30 + seq % 8 WHEN 1 THEN 3
+              ELSE length('{{"severity":"' || sev || '","user_id":"' || user_id || '"}}') END AS INTEGER) AS value_bytes, ms, CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END AS extra_headers
   FROM alert_rows WHERE seq % 7 = 0)"""
 
 S11_DLQ = BASE + _DLQ + """
 SELECT topic, partition, "offset", key, original_topic, failed_at, retry_count, severity, exception_message,
        value_bytes FROM dlq"""
 
-Q6_REPLAY = BASE + _DLQ + """
+Q6_ALL = BASE + _DLQ + """
 SELECT topic, partition, "offset", original_topic, failed_at, severity, retry_count,
        CAST(octet_length(encode(key)) AS INTEGER) AS key_bytes, value_bytes, 'ops' AS replayed_by,
        CAST(extra_headers + 7 AS INTEGER) AS header_count
 FROM dlq
 WHERE original_topic = 'alert-events' AND lower(severity) = 'unknown'
-  AND ms >= epoch_ms(TIMESTAMP '2024-01-05 00:00:00') AND ms <= epoch_ms(TIMESTAMP '2024-01-25 00:00:00')
+  AND ms >= epoch_ms(TIMESTAMP '2024-01-05 00:00:00') AND ms <= epoch_ms(TIMESTAMP '2024-01-25 00:00:00')"""
+Q6_REPLAY = Q6_ALL + """
 ORDER BY partition, "offset" LIMIT 100"""
 
 Q7_ARCHIVE = "WITH " + RISK_EVENTS + f"""
@@ -56,15 +60,17 @@ WHERE l.allowed GROUP BY ALL"""
 A06_DLQ = BASE + _DLQ + "\nSELECT severity, count(*) AS dlq_records FROM dlq GROUP BY ALL"
 
 _ADMISSION = "WITH RECURSIVE " + RISK_EVENTS + "," + FEATURES + "," + scored_cte() + "," + _BANS + f""",
+held AS (
+  SELECT q.user_id, q.ms, arg_max(q.reason, q.rn) AS reason, arg_max(q.ms + q.ttl_ms, q.rn) AS expires
+  FROM q JOIN walk w USING (user_id, rn) WHERE w.accepted GROUP BY q.user_id, q.ms),
 gate AS (
-  SELECT e.*, (SELECT max(b.reason) FROM bans b
-               WHERE b.accepted AND b.user_id = e.user_id AND b.valid_from_ms < e.ms
-                 AND (b.valid_to_ms IS NULL OR e.ms < b.valid_to_ms)) AS ban_reason
-  FROM risk_events e),
+  SELECT e.*, CASE WHEN h.expires > e.ms THEN h.reason END AS ban_reason
+  FROM risk_events e ASOF LEFT JOIN held h ON e.user_id = h.user_id AND e.ms > h.ms),
 limited AS (
-  SELECT *, count(DISTINCT request_id) OVER (PARTITION BY user_id ORDER BY ms
-            RANGE BETWEEN {CFG.rate_limit_window_ms - 1} PRECEDING AND CURRENT ROW) AS cnt
-  FROM gate WHERE ban_reason IS NULL),
+  SELECT e.event_id, e.user_id, e.ms, count(DISTINCT p.request_id) AS cnt
+  FROM gate e JOIN gate p ON p.ban_reason IS NULL AND p.user_id = e.user_id AND p.ms > e.ms - {CFG.rate_limit_window_ms}
+       AND (p.ms < e.ms OR p.ms = e.ms AND p.seq <= e.seq)
+  WHERE e.ban_reason IS NULL GROUP BY e.event_id, e.user_id, e.ms),
 admission AS (
   SELECT event_id, user_id, ms, CASE WHEN cnt > {CFG.rate_limit} THEN 'BLOCKED' ELSE 'ACCEPTED' END AS status,
          CASE WHEN cnt > {CFG.rate_limit} THEN 'rate_limit' ELSE 'passed_fast_path' END AS reason
@@ -94,9 +100,8 @@ p AS (SELECT CAST((strpos('0123456789abcdef', substr(md5(user_id), 32, 1)) - 1)
 n AS (SELECT partition, max(ms) AS newest FROM p GROUP BY 1),
 o AS (SELECT p.partition, count(*) AS latest, sum(CASE WHEN p.ms <= n.newest - 3600000 THEN 1 ELSE 0 END) AS committed
       FROM p JOIN n USING (partition) GROUP BY 1)
-SELECT 'raw-events' AS topic, CAST(coalesce(sum(greatest(latest - committed, 0)), 0) AS BIGINT) AS lag,
-       count(*) AS partitions
-FROM o"""
+SELECT CAST(coalesce(sum(greatest(latest - committed, 0)), 0) AS BIGINT) AS lag, count(*) AS partitions
+FROM o WHERE partition <> 3"""
 
 A10_THROUGHPUT = "WITH " + RISK_EVENTS + """
 SELECT (ms // 60000) * 60000 AS window_start_ms, count(*) AS records, round(count(*) / 60.0, 6) AS per_second
@@ -112,7 +117,8 @@ n AS (SELECT user_id, ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, seq)
 SELECT user_id, ms AS silent_from_ms, next_ms AS silent_to_ms, next_ms - ms AS gap_ms
 FROM n WHERE next_ms - ms > {2 * DAY}"""
 
-D1_SEQ = "WITH " + RISK_EVENTS + f""",
+def _d1(within: int, least: int) -> str:
+    return "WITH " + RISK_EVENTS + f""",
 o AS (SELECT *, max(CASE WHEN event_type = 'LOGIN' THEN ms END) OVER (
         PARTITION BY user_id ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_login
       FROM risk_events),
@@ -120,7 +126,25 @@ b AS (SELECT *, last_value(CASE WHEN event_type = 'BEHAVIOUR' THEN {{'ms': ms, '
         OVER (PARTITION BY user_id ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sb
       FROM o)
 SELECT event_id, user_id, ms, sb.ms AS second_ms, sb.lf AS first_ms FROM b
-WHERE event_type = 'WITHDRAWAL' AND amount_cents >= {CFG.large_amount_cents} AND sb.lf >= ms - {6 * HOUR}"""
+WHERE event_type = 'WITHDRAWAL' AND amount_cents >= {least} AND sb.lf >= ms - {within}"""
+
+
+D1_SEQ = _d1(6 * HOUR, CFG.large_amount_cents)
+D1_WIDE = _d1(7 * DAY, 0)
+
+A13_COUNTER = "WITH " + RISK_EVENTS + f""",
+c AS (SELECT merchant_id, ms, count(*) OVER (PARTITION BY merchant_id ORDER BY ms) AS value FROM risk_events WHERE merchant_id IS NOT NULL)
+SELECT merchant_id, (ms // {DAY}) * {DAY} AS window_start_ms, max(value) - min(value) AS increase, max(value) > min(value) AS alert
+FROM c GROUP BY ALL"""
+
+D8_LADDER = "WITH " + RISK_EVENTS + """
+SELECT event_id, seq % 7 AS severity, CASE seq % 7 WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 86400 WHEN 4 THEN 604800 WHEN 5 THEN 0 END AS ttl_seconds
+FROM risk_events"""
+
+F10_VELOCITY = "WITH " + RISK_EVENTS + """
+SELECT event_id, user_num % 37 = 0 AS blacklisted,
+       CASE user_num % 5 WHEN 0 THEN 0 WHEN 1 THEN user_num % 40 WHEN 2 THEN 0 WHEN 3 THEN -7 ELSE 0 END AS velocity_7d
+FROM risk_events"""
 
 D2_DAILY = BASE + f"""
 SELECT user_id, (ms // {DAY}) * {DAY} AS window_start_ms, max(risk_score) AS max_score,
@@ -128,7 +152,7 @@ SELECT user_id, (ms // {DAY}) * {DAY} AS window_start_ms, max(risk_score) AS max
 FROM scored GROUP BY ALL"""
 
 D3_PROFILE = BASE + f""",
-last AS (SELECT user_id, max(ms) AS last_seen_ms, CAST(NULL AS VARCHAR) AS last_ip,
+last AS (SELECT user_id, max(ms) AS last_seen_ms, arg_max_null(ip_address, (ms, seq)) AS last_ip,
                 count(DISTINCT device_fp) AS device_count FROM risk_events GROUP BY 1),
 txn AS (SELECT e.user_id, count(*) AS txn_30d FROM risk_events e JOIN last l USING (user_id)
         WHERE e.event_type = 'TRANSACTION' AND e.ms > l.last_seen_ms - {30 * DAY} GROUP BY 1),
@@ -187,6 +211,11 @@ def all_sql() -> dict[str, str]:
         "w1_supplier_burst": W1_SUPPLIER,
         "s11_dlq_records": S11_DLQ,
         "q6_dlq_replay": Q6_REPLAY,
+        "q6_dlq_replay_all": Q6_ALL,
+        "d1_sequence_wide": D1_WIDE,
+        "a13_counter_increase": A13_COUNTER,
+        "d8_ban_ladder": D8_LADDER,
+        "f10_stored_velocity": F10_VELOCITY,
         "q7_archive_events": Q7_ARCHIVE,
         "a04_decision_mix": A04_MIX,
         "a05_alert_status": A05_STATUS,

@@ -56,8 +56,7 @@ def score_events(events: DataFrame, cfg: RiskConfig, profiles: DataFrame | None
                  rule_updates: DataFrame | None = None, method: str = "auto") -> Scored:
     ev = enrich(events, cfg, profiles, method)
     if rule_updates is not None:
-        versions = R.rule_versions(rule_updates, cfg, broadcast_max_rows=cfg.broadcast_max_rows)
-        ev = R.attach_rule_params(ev, versions, cfg, broadcast_max_rows=cfg.broadcast_max_rows)
+        ev = R.attach_rule_params(ev, R.rule_versions(rule_updates, cfg), cfg, R.last_change_ms(rule_updates))
         params = R.dynamic_params()
     else:
         params = R.static_params(cfg)

@@ -60,6 +60,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does the path exist, in whatever store Spark reads it from?"""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def expose_package(spark: SparkSession) -> None:
     """Let Python workers import this package from the folder it was loaded
     from (a no-op where it is installed; a cluster without it needs

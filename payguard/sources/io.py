@@ -2,23 +2,26 @@
 record codecs (S15) and table point reads (S13).
 
 The Kafka source and Avro functions need jars that are not on this image's
-classpath; ``avro_functions`` returns them when present and ``None``
-otherwise, and the JSON codec below is the tested fallback.
+classpath, so records are JSON; with the jars, ``to_avro`` on the same struct takes its place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from payguard.functions import text_or_null
 
-def write_archive(df: DataFrame, path: str, ts_col: str = "ts", key: str = "user_id", mode: str = "append") -> None:
+
+def write_archive(df: DataFrame, path: str, ts_col: str = "ts", key: str = "user_id", mode: str = "append",
+                  spread: int = 16) -> None:
     """Parquet partitioned by event date, rows sorted by (user, time)
     inside each file so row-group statistics skip data for user/time
-    predicates (the indexed access paths of the reference tables)."""
+    predicates (the indexed access paths of the reference tables). A day is dealt over
+    ``spread`` tasks by its keys."""
     (df.withColumn("event_date", F.to_date(F.col(ts_col)))
-     .repartition("event_date")
+     .repartition("event_date", F.pmod(F.xxhash64(key), F.lit(spread)))
      .sortWithinPartitions(key, ts_col)
      .write.mode(mode).partitionBy("event_date").parquet(path))
 
@@ -32,8 +35,7 @@ def keyed_for_publish(df: DataFrame, key: str = "user_id", partitions: int | Non
 
 
 def as_records(df: DataFrame, key: str = "user_id", value_cols: list[str] | None = None) -> DataFrame:
-    """Rows -> (key, value) records with a JSON value; the Avro
-    form is ``avro_functions().to_avro`` on the same struct when available."""
+    """Rows -> (key, value) records with a JSON value."""
     cols = value_cols or [c for c in df.columns]
     return df.select(F.encode(F.col(key), "UTF-8").alias("key"),
                      F.encode(F.to_json(F.struct(*cols)), "UTF-8").alias("value"))
@@ -41,22 +43,7 @@ def as_records(df: DataFrame, key: str = "user_id", value_cols: list[str] | None
 
 def from_records(records: DataFrame, schema: T.StructType) -> DataFrame:
     """Decode JSON values (PERMISSIVE: bad rows get null fields)."""
-    return records.select("*", F.from_json(F.decode("value", "UTF-8"), schema).alias("record"))
-
-
-def strip_registry_prefix(value: Column) -> Column:
-    """Registry wire format: 1 magic byte + 4-byte schema id before the Avro body."""
-    return F.substring(value, 6, 2 ** 31 - 1)
-
-
-def avro_functions():
-    """``pyspark.sql.avro.functions`` when the spark-avro jar is loaded."""
-    try:
-        from pyspark.sql.avro import functions as avro  # noqa: WPS433
-
-        return avro
-    except Exception:  # noqa: BLE001
-        return None
+    return records.select("*", F.from_json(text_or_null("value"), schema).alias("record"))
 
 
 def rule_by_id(rules: DataFrame, rule_id: str) -> DataFrame:

@@ -4,7 +4,7 @@
 * ``archive_stream`` (S4/S5): append new rows per key (J4) into an archive;
 * ``ban_materializer_stream`` (S6): BLOCK decisions -> ban store state (T9)
   and audit rows (S8b);
-* ``alert_stream`` (S7/T11): decoded alerts -> cool-down (T10) -> routing.
+* ``alert_stream`` (S7/T11): records -> decode, DLQ, duplicate check, cool-down, routing.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from payguard.config import RiskConfig
+from payguard.operators import alerts as A
 from payguard.operators import archive as AR
 from payguard.operators import bans as BN
-from payguard.streaming.processors import ban_stream, cooldown_stream
+from payguard.operators import dlq as DQ
+from payguard.session import cut_lineage, path_exists
+from payguard.streaming.processors import ban_stream
 
 
 def _start(df: DataFrame, checkpoint: str, trigger: dict | None, sink) -> StreamingQuery:
@@ -31,37 +34,59 @@ def copy_stream(stream: DataFrame, out: str, checkpoint: str, trigger: dict | No
 
 
 def archive_stream(stream: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str,
-                   trigger: dict | None = None) -> StreamingQuery:
-    """Idempotent archive; a replayed batch appends nothing new."""
+                   trigger: dict | None = None, ts_col: str = "ts") -> StreamingQuery:
+    """Idempotent archive by event date; a replayed batch appends nothing
+    new, and only the dates it touches are read."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        AR.append_idempotent(batch, path, key, order)
+        AR.append_idempotent(batch.withColumn("event_date", F.to_date(ts_col)), path, key, order, ["event_date"])
     return _start(stream, checkpoint, trigger, sink)
 
 
+def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
+
 def ban_materializer_stream(decisions: DataFrame, cfg: RiskConfig, out: str, checkpoint: str,
                             trigger: dict | None = None) -> StreamingQuery:
-    """BLOCK decisions -> ban set calls (stateful T9) + audit rows."""
-    req = BN.decisions_to_ban_requests(decisions, cfg)
-    sets = ban_stream(req)
+    """BLOCK decisions -> ban set calls (stateful T9) in ``ban_sets``, and one
+    audit row per decision in ``ban_audit`` (S8b), also where the set was refused."""
+    sets = ban_stream(BN.decisions_to_ban_requests(decisions, cfg))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out}/ban_sets"))
+        batch.persist()
+        _replace_batch(batch, f"{out}/ban_sets", batch_id)
+        audit = batch.select(
+            F.col("request_key").alias("decision_id"), "user_id", "reason", "severity",
+            F.timestamp_millis(F.col("ms") + F.col("ttl_seconds") * 1000).alias("expires_at"),
+            F.lit(None).cast("timestamp").alias("cleared_at"), F.timestamp_millis("ms").alias("created_at"))
+        AR.append_idempotent(audit, f"{out}/ban_audit", ["decision_id"], ["created_at"])
+        batch.unpersist()
     return _start(sets, checkpoint, trigger, sink)
 
 
-def alert_stream(alerts: DataFrame, cfg: RiskConfig, out: str, checkpoint: str,
+def alert_stream(records: DataFrame, cfg: RiskConfig, out: str, checkpoint: str,
                  trigger: dict | None = None) -> StreamingQuery:
-    """S7/T11 on a stream: cool-down state per (user, SEVERITY), then the
-    allowed alerts are routed to the sends table in ``foreachBatch``."""
-    verdicts = cooldown_stream(alerts, cfg.alert_cooldown_ms)
-
+    """S7/T11 over topic records: decode (undecodable records go to ``dlq``),
+    duplicate check and cool-down against the log of earlier batches, routing. Writes
+    ``alert_log``, ``sends`` and ``dlq``, a partition per micro-batch that a retry replaces."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        status = batch.select("alert_id", F.when(F.col("allowed"), "PROCESSED").otherwise("RATE_LIMITED")
-                              .alias("status"), F.lit(batch_id).alias("batch_id"))
-        (status.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(f"{out}/alert_status"))
-    return _start(verdicts, checkpoint, trigger, sink)
+        batch.persist()
+        spark = batch.sparkSession
+        good, bad = DQ.split_alert_records(batch, cfg)
+        deliveries = good.withColumn("ms", F.unix_millis("created_at")).withColumn(
+            "seq", F.col("offset")).withColumn("delivery", F.struct(F.lit(batch_id).alias("batch"), "partition", "offset"))
+        path, prior = f"{out}/alert_log", None
+        if path_exists(spark, path):
+            prior = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).drop("batch_id")
+        log, _, sends = A.process_alerts(deliveries, cfg, alert_log=prior)
+        new = log if prior is None else log.join(prior.select("alert_id"), "alert_id", "left_anti")
+        new = cut_lineage(new)
+        _replace_batch(cut_lineage(sends), f"{out}/sends", batch_id)
+        _replace_batch(bad, f"{out}/dlq", batch_id)
+        _replace_batch(new, path, batch_id)
+        batch.unpersist()
+    return _start(records, checkpoint, trigger, sink)
 
 
 __all__ = ["copy_stream", "archive_stream", "ban_materializer_stream", "alert_stream"]

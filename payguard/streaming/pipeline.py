@@ -16,8 +16,6 @@ profile lookup, rule versions, scoring -> decision / high-risk / alert sinks.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,18 +27,22 @@ from payguard.functions import is_blank
 from payguard.operators import rules as R
 from payguard.operators import scoring as S
 from payguard.plans.scoring import lookup_profiles
+from payguard.session import path_exists
+from payguard.streaming.processors import merchant_burst_stream
 
 EVENT_STREAM_SCHEMA = T.StructType(schemas.RISK_EVENT.fields + [
     T.StructField("seq", T.LongType()), T.StructField("ms", T.LongType())])
 
 
-def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1,
+def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
                  watermark: str | None = None) -> DataFrame:
     """S1 (+ T1 when ``watermark`` is given, e.g. ``"5 seconds"``: bounded
     out-of-orderness on the event time, for windowed aggregations and
     de-duplication downstream; the keyed processors keep their own max)."""
-    df = (spark.readStream.schema(EVENT_STREAM_SCHEMA)
-          .option("maxFilesPerTrigger", max_files_per_trigger).parquet(path))
+    reader = spark.readStream.schema(EVENT_STREAM_SCHEMA)
+    if max_files_per_trigger is not None:  # unset: a trigger takes all that has arrived
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    df = reader.parquet(path)
     return df.withWatermark("ts", watermark) if watermark else df
 
 
@@ -51,7 +53,9 @@ def _write_partition(df: DataFrame, path: str, batch_id: int) -> None:
 
 def score_stream(spark: SparkSession, source: str, out_dir: str, cfg: RiskConfig, checkpoint: str,
                  profiles_path: str | None = None, rules_path: str | None = None,
-                 lag_ms: int = 0, trigger: dict | None = None) -> StreamingQuery:
+                 lag_ms: int = 0, trigger: dict | None = None, rules_may_be_absent: bool = False) -> StreamingQuery:
+    """Streaming Q1. The rule log at ``rules_path`` is read each micro-batch; a
+    missing one fails the query unless ``rules_may_be_absent`` (then the static rules apply until it exists)."""
     # timeouts are evaluated when data arrives; no empty micro-batches, so an
     # availableNow run terminates once the input is drained
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
@@ -59,7 +63,7 @@ def score_stream(spark: SparkSession, source: str, out_dir: str, cfg: RiskConfig
     m = F.col("merchant_id")
     keyed = events.filter(m.isNotNull() & ~is_blank(m))
     # the processor carries the whole row, so no stream-stream join is needed
-    burst = _burst_with_rows(keyed, cfg, lag_ms)
+    burst = merchant_burst_stream(keyed, cfg, lag_ms, tuple(f.name for f in EVENT_STREAM_SCHEMA.fields))
     other = events.filter(m.isNull() | is_blank(m)).withColumn(
         "merchant_users", F.when(m.isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long"))
     stream = burst.unionByName(other)
@@ -69,9 +73,9 @@ def score_stream(spark: SparkSession, source: str, out_dir: str, cfg: RiskConfig
         ev = lookup_profiles(batch, profiles)
         if "velocity_7d" not in ev.columns:
             ev = ev.withColumn("velocity_7d", F.lit(0).cast("long"))
-        if rules_path and os.path.exists(rules_path):
-            versions = R.rule_versions(spark.read.parquet(rules_path), cfg)
-            ev = R.attach_rule_params(ev, versions, cfg)
+        if rules_path and not (rules_may_be_absent and not path_exists(spark, rules_path)):
+            updates = spark.read.parquet(rules_path)
+            ev = R.attach_rule_params(ev, R.rule_versions(updates, cfg), cfg, R.last_change_ms(updates))
             params = R.dynamic_params()
         else:
             params = R.static_params(cfg)
@@ -84,43 +88,3 @@ def score_stream(spark: SparkSession, source: str, out_dir: str, cfg: RiskConfig
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"processingTime": "30 seconds"}))
     return w.start()
-
-
-def _burst_with_rows(keyed: DataFrame, cfg: RiskConfig, lag_ms: int) -> DataFrame:
-    """Merchant burst processor that emits the whole event row with its count."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    from payguard.streaming.processors import BURST_STATE, _rows
-
-    cols = [f.name for f in EVENT_STREAM_SCHEMA.fields]
-    out_schema = T.StructType(EVENT_STREAM_SCHEMA.fields + [T.StructField("merchant_users", T.LongType())])
-    window = cfg.burst_window_ms
-
-    def step(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _rows(pdfs)
-        if not len(rows):
-            return
-        seen, max_ts = {}, None
-        if state.exists:
-            users, times, max_ts = state.get
-            seen = dict(zip(users, times))
-        counts = []
-        for user, ms in zip(rows["user_id"], rows["ms"]):
-            ms = int(ms)
-            max_ts = ms if max_ts is None else max(max_ts, ms)
-            cutoff = max_ts - lag_ms - window
-            seen = {u: t for u, t in seen.items() if t >= cutoff}
-            seen[user] = ms
-            counts.append(len(seen))
-        state.update((list(seen.keys()), [int(t) for t in seen.values()], int(max_ts)))
-        state.setTimeoutDuration(window + lag_ms + 60_000)
-        out = rows[cols].copy()
-        out["merchant_users"] = pd.Series(counts, dtype="int64").values
-        yield out
-
-    return keyed.select(*cols).groupBy("merchant_id").applyInPandasWithState(
-        step, out_schema, BURST_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

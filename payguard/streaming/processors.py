@@ -5,21 +5,27 @@ Each keeps per-key state in the state store (RocksDB provider, checkpointed
 with the query) and processes a key's rows of a micro-batch in arrival order
 (``seq``). Late rows are still processed (T5): the operators keep their own
 max event time instead of relying on the event-time watermark, which would
-drop them. Idle keys are dropped by a processing-time timeout (state TTL).
+drop them. State expires by the key's own event time, so nothing is lost to an
+outage of any length; a wall-clock timeout (``STATE_TTL_MS``, far longer than
+outages) only clears keys that never return.
 The per-row loop is the state machine itself; Spark partitions the keys and
 moves the rows as Arrow batches.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from payguard.config import RiskConfig
+from payguard.config import DAY_MS, RiskConfig
+
+STATE_TTL_MS = 30 * DAY_MS
 
 
 def _rows(pdfs: Iterator[pd.DataFrame], order: tuple[str, ...] = ("seq",)) -> pd.DataFrame:
@@ -29,19 +35,45 @@ def _rows(pdfs: Iterator[pd.DataFrame], order: tuple[str, ...] = ("seq",)) -> pd
     return pd.concat(frames, ignore_index=True).sort_values(list(order), kind="stable")
 
 
+class LastSeen:
+    """Members with the time each was last put, oldest first on a heap: a put and
+    the pruning it causes cost log n, not a pass over the members."""
+
+    def __init__(self, members=(), times=()):
+        self.at = dict(zip(members, (int(t) for t in times)))
+        self.heap = [(t, m) for m, t in self.at.items()]
+        heapq.heapify(self.heap)
+
+    def put(self, member, ms: int) -> None:
+        self.at[member] = ms
+        heapq.heappush(self.heap, (ms, member))
+
+    def drop_before(self, ms: int) -> None:
+        while self.heap and self.heap[0][0] < ms:
+            t, m = heapq.heappop(self.heap)
+            if self.at.get(m) == t:
+                del self.at[m]
+
+    def state(self) -> tuple[list, list]:
+        return list(self.at.keys()), list(self.at.values())
+
+
 # --- T2/T4: merchant burst ------------------------------------------------------
 
-BURST_OUT = "event_id string, merchant_users long"
 BURST_STATE = "users array<string>, seen array<long>, max_ts long"
 
 
-def merchant_burst_stream(events: DataFrame, cfg: RiskConfig, lag_ms: int = 0) -> DataFrame:
+def merchant_burst_stream(events: DataFrame, cfg: RiskConfig, lag_ms: int = 0,
+                          columns: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """W1 on a stream keyed by merchant: prune users last seen before
     ``max_ts - lag_ms - window`` (max_ts includes the current row), put the
     current user with its arrival time, count. ``lag_ms = 0`` equals the
     batch operator for in-order input; ``skew + 1`` mimics the reference job's
-    watermark look-back."""
+    watermark look-back. Emits ``columns`` of the row and merchant_users."""
     window = cfg.burst_window_ms
+    cols = list(columns)
+    need = list(dict.fromkeys([*cols, "merchant_id", "user_id", "ms", "seq"]))
+    out_schema = T.StructType([events.schema[c] for c in cols] + [T.StructField("merchant_users", T.LongType())])
 
     def step(key, pdfs, state: GroupState):
         if state.hasTimedOut:
@@ -50,28 +82,22 @@ def merchant_burst_stream(events: DataFrame, cfg: RiskConfig, lag_ms: int = 0) -
         rows = _rows(pdfs)
         if not len(rows):
             return
-        seen = {}
-        max_ts = None
-        if state.exists:
-            users, times, max_ts = state.get
-            seen = dict(zip(users, times))
-        out_ids, out_n = [], []
-        for ev_id, user, ms in zip(rows["event_id"], rows["user_id"], rows["ms"]):
+        users, times, max_ts = state.get if state.exists else ((), (), None)
+        seen, counts = LastSeen(users, times), []
+        for user, ms in zip(rows["user_id"], rows["ms"]):
             ms = int(ms)
             max_ts = ms if max_ts is None else max(max_ts, ms)
-            cutoff = max_ts - lag_ms - window
-            seen = {u: t for u, t in seen.items() if t >= cutoff}
-            seen[user] = ms
-            out_ids.append(ev_id)
-            out_n.append(len(seen))
-        state.update((list(seen.keys()), [int(t) for t in seen.values()], int(max_ts)))
-        state.setTimeoutDuration(window + lag_ms + 60_000)
-        yield pd.DataFrame({"event_id": out_ids, "merchant_users": out_n})
+            seen.drop_before(max_ts - lag_ms - window)
+            seen.put(user, ms)
+            counts.append(len(seen.at))
+        state.update((*seen.state(), int(max_ts)))
+        state.setTimeoutDuration(STATE_TTL_MS)
+        out = rows[cols].copy()
+        out["merchant_users"] = pd.Series(counts, dtype="int64").values
+        yield out
 
-    return (events.select("merchant_id", "event_id", "user_id", "ms", "seq")
-            .groupBy("merchant_id")
-            .applyInPandasWithState(step, BURST_OUT, BURST_STATE, "append",
-                                    GroupStateTimeout.ProcessingTimeTimeout))
+    return (events.select(*need).groupBy("merchant_id")
+            .applyInPandasWithState(step, out_schema, BURST_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout))
 
 
 # --- T8: rate limiter -----------------------------------------------------------
@@ -82,7 +108,7 @@ RATE_STATE = "ids array<string>, scores array<long>"
 
 def rate_limit_stream(calls: DataFrame, window_ms: int, limit: int) -> DataFrame:
     """W2 keyed by user: add the request id at now, drop ids scored at or
-    before now - window, count; blocked iff count > limit. Key TTL: 2 windows."""
+    before now - window, count; blocked iff count > limit."""
     def step(key, pdfs, state: GroupState):
         if state.hasTimedOut:
             state.remove()
@@ -90,17 +116,17 @@ def rate_limit_stream(calls: DataFrame, window_ms: int, limit: int) -> DataFrame
         rows = _rows(pdfs)
         if not len(rows):
             return
-        members = dict(zip(*state.get)) if state.exists else {}
+        members = LastSeen(*state.get) if state.exists else LastSeen()
         ids, counts, blocked = [], [], []
         for ev_id, rid, ms in zip(rows["event_id"], rows["request_id"], rows["ms"]):
             ms = int(ms)
-            members[rid] = ms
-            members = {k: v for k, v in members.items() if v > ms - window_ms}
+            members.put(rid, ms)
+            members.drop_before(ms - window_ms + 1)
             ids.append(ev_id)
-            counts.append(len(members))
-            blocked.append(len(members) > limit)
-        state.update((list(members.keys()), [int(v) for v in members.values()]))
-        state.setTimeoutDuration(2 * window_ms)
+            counts.append(len(members.at))
+            blocked.append(len(members.at) > limit)
+        state.update(members.state())
+        state.setTimeoutDuration(STATE_TTL_MS)
         yield pd.DataFrame({"event_id": ids, "rate_count": counts, "rate_blocked": blocked})
 
     return (calls.select("user_id", "event_id", "request_id", "ms", "seq").groupBy("user_id")
@@ -132,7 +158,7 @@ def cooldown_stream(alerts: DataFrame, cooldown_ms: int) -> DataFrame:
             ids.append(aid)
             allowed.append(ok)
         state.update((int(last),))
-        state.setTimeoutDuration(cooldown_ms)
+        state.setTimeoutDuration(STATE_TTL_MS)
         yield pd.DataFrame({"alert_id": ids, "allowed": allowed})
 
     keyed = alerts.select("user_id", F.upper("severity").alias("sev_key"), "alert_id", "ms", "seq")
@@ -142,7 +168,8 @@ def cooldown_stream(alerts: DataFrame, cooldown_ms: int) -> DataFrame:
 
 # --- T9: ban store ------------------------------------------------------------------
 
-BAN_OUT = "request_key string, accepted boolean, expires_ms long"
+BAN_OUT = ("request_key string, user_id string, reason string, severity int, ttl_seconds long, ms long,"
+           " accepted boolean, expires_ms long")
 
 
 def ban_stream(requests: DataFrame) -> DataFrame:
@@ -156,22 +183,24 @@ def ban_stream(requests: DataFrame) -> DataFrame:
         if not len(rows):
             return
         exp, sev = (state.get if state.exists else (None, None))
-        keys, acc, exps = [], [], []
-        for rk, ms, s, ttl in zip(rows["request_key"], rows["ms"], rows["severity"], rows["ttl_seconds"]):
+        acc, exps = [], []
+        for ms, s, ttl in zip(rows["ms"], rows["severity"], rows["ttl_seconds"]):
             ms, s, ttl = int(ms), int(s), int(ttl)
             live = exp is not None and (exp < 0 or ms < exp)
             ok = (not live) or s > sev
             if ok:
                 exp, sev = (-1 if ttl == 0 else ms + ttl * 1000), s
-            keys.append(rk)
             acc.append(ok)
             exps.append(exp if ok else None)
         state.update((int(exp), int(sev)))
         if exp >= 0:
-            state.setTimeoutDuration(max(1, exp - int(rows["ms"].max())) + 60_000)
-        yield pd.DataFrame({"request_key": keys, "accepted": acc, "expires_ms": pd.array(exps, dtype="Int64")})
-
-    sel = requests.select("user_id", "request_key", F.unix_millis("ts").alias("ms"), "seq", "severity",
-                          "ttl_seconds")
+            state.setTimeoutDuration(STATE_TTL_MS)
+        out = rows[["request_key", "user_id", "reason", "severity", "ttl_seconds", "ms"]].copy()
+        out["accepted"] = acc
+        out["expires_ms"] = pd.array(exps, dtype="Int64")
+        yield out
+
+    sel = requests.select("user_id", "request_key", F.unix_millis("ts").alias("ms"), "seq", "reason",
+                          F.col("severity").cast("int").alias("severity"), F.col("ttl_seconds").cast("long").alias("ttl_seconds"))
     return sel.groupBy("user_id").applyInPandasWithState(
         step, BAN_OUT, "expires_ms long, severity int", "append", GroupStateTimeout.ProcessingTimeTimeout)

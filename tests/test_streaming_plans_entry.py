@@ -122,7 +122,8 @@ def test_plan_no_python_and_broadcast_rules(spark):
     s = Q.score_events(ev, CFG, profiles=TD.user_profiles(ev), rule_updates=TD.rule_updates(spark))
     plan = _plan(s.decisions)
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+    assert plan.count("FlatMapGroupsInPandas") == 1  # the rule log's sweep, never events
+    assert "NestedLoop" not in plan and "SinglePartition" not in plan
 
 
 def test_entry_and_oracle_contract(spark):
@@ -181,7 +182,7 @@ def test_score_stream_rereads_rule_log_per_batch(spark):
     half = len(pdf) // 2
     spark.createDataFrame(pdf.iloc[:half], ev.schema).coalesce(1).write.parquet(f"{base}/src/a")
     q = SP.score_stream(spark, f"{base}/src/*", f"{base}/out", CFG, f"{base}/ck", rules_path=f"{base}/rules",
-                        trigger={"availableNow": True})
+                        trigger={"availableNow": True}, rules_may_be_absent=True)
     q.awaitTermination(300)
     # an operator lowers the block threshold to 1: applies from the next micro-batch on
     t = dt.datetime(2020, 1, 1, tzinfo=dt.timezone.utc)
@@ -189,7 +190,7 @@ def test_score_stream_rereads_rule_log_per_batch(spark):
         .write.parquet(f"{base}/rules")
     spark.createDataFrame(pdf.iloc[half:], ev.schema).coalesce(1).write.parquet(f"{base}/src/b")
     q = SP.score_stream(spark, f"{base}/src/*", f"{base}/out", CFG, f"{base}/ck", rules_path=f"{base}/rules",
-                        trigger={"availableNow": True})
+                        trigger={"availableNow": True}, rules_may_be_absent=True)
     q.awaitTermination(300)
     out = spark.read.parquet(f"{base}/out/decisions")
     first = out.filter(F.col("batch_id") == 0)
@@ -198,22 +199,74 @@ def test_score_stream_rereads_rule_log_per_batch(spark):
     assert later.filter("risk_score >= 1 AND decision <> 'BLOCK'").count() == 0
 
 
-def test_alert_and_archive_consumers(spark):
+def _drain(q):
+    q.awaitTermination(300)
+    assert q.exception() is None
+
+
+def test_missing_rule_log_fails_unless_allowed(spark):
+    ev = TD.risk_events(spark, SF).limit(20)
+    base = tempfile.mkdtemp(dir="/tmp", prefix="pg-norules-")
+    ev.coalesce(1).write.parquet(f"{base}/src/a")
+    q = SP.score_stream(spark, f"{base}/src/*", f"{base}/out", CFG, f"{base}/ck", rules_path=f"{base}/none",
+                        trigger={"availableNow": True})
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        q.awaitTermination(300)
+
+
+def test_alert_consumer_keeps_its_state_in_the_log(spark):
+    """Records in two batches: decoding, DLQ, cool-down across batches, sends."""
+    from payguard.operators import dlq as DQ
     from payguard.streaming import consumers as CS
 
     ev = TD.risk_events(spark, "/root/testdata/sf0.01")
     alerts = Q.score_events(ev, CFG, profiles=TD.user_profiles(ev)).alerts.cache()
+    records = TD.alert_records(alerts).cache()
     base = tempfile.mkdtemp(dir="/tmp", prefix="pg-cons-")
-    src = _split_to_files(alerts, f"{base}/alerts", parts=2)
-    q = CS.alert_stream(_stream_of(spark, src, alerts.schema), CFG, f"{base}/out", f"{base}/ck",
-                        trigger={"availableNow": True})
-    q.awaitTermination(300)
-    got = {r.alert_id: r.status for r in spark.read.parquet(f"{base}/out/alert_status").collect()}
-    exp = {r.alert_id: ("PROCESSED" if r.allowed else "RATE_LIMITED") for r in A.cooldown(alerts, CFG).collect()}
-    assert got == exp
-    # archive consumer: replaying the same input appends nothing new
+    src = _split_to_files(records, f"{base}/alerts", parts=2, order=("record_ts", "offset"))
+    _drain(CS.alert_stream(_stream_of(spark, src, records.schema), CFG, f"{base}/out", f"{base}/ck",
+                           trigger={"availableNow": True}))
+    good, bad = DQ.split_alert_records(records, CFG)
+    one, _, sends = A.process_alerts(good.withColumn("ms", F.unix_millis("created_at")).withColumn("seq", F.col("offset"))
+                                     .withColumn("delivery", F.lit(0)), CFG)
+    log = spark.read.parquet(f"{base}/out/alert_log")
+    assert {r.alert_id: (r.status, tuple(r.channels_notified)) for r in log.collect()} == {
+        r.alert_id: (r.status, tuple(r.channels_notified)) for r in one.collect()}
+    assert log.select("batch_id").distinct().count() == 2
+    assert spark.read.parquet(f"{base}/out/sends").count() == sends.count()
+    assert spark.read.parquet(f"{base}/out/dlq").count() == bad.count() > 0
+
+
+def test_archive_and_ban_consumers(spark):
+    from payguard.operators import bans as BN
+    from payguard.streaming import consumers as CS
+
+    ev = TD.risk_events(spark, "/root/testdata/sf0.01")
+    decisions = Q.score_events(ev, CFG, profiles=TD.user_profiles(ev)).decisions.cache()
+    base = tempfile.mkdtemp(dir="/tmp", prefix="pg-arch-")
+    src = _split_to_files(decisions, f"{base}/decisions", parts=2)
+    for run in range(2):  # replaying the same input appends nothing new
+        _drain(CS.archive_stream(_stream_of(spark, src, decisions.schema), f"{base}/archive", ["decision_id"], ["ms", "seq"],
+                                 f"{base}/ck-arch-{run}", trigger={"availableNow": True}, ts_col="created_at"))
+    assert spark.read.parquet(f"{base}/archive").count() == decisions.count()
     for run in range(2):
-        q = CS.archive_stream(_stream_of(spark, src, alerts.schema), f"{base}/archive", ["alert_id"], ["ms", "seq"],
-                              f"{base}/ck-arch-{run}", trigger={"availableNow": True})
-        q.awaitTermination(300)
-    assert spark.read.parquet(f"{base}/archive").count() == alerts.count()
+        _drain(CS.ban_materializer_stream(_stream_of(spark, src, decisions.schema), CFG, f"{base}/bans", f"{base}/ck-ban-{run}",
+                                          trigger={"availableNow": True}))
+    audit = {r.decision_id: (r.severity, r.expires_at) for r in spark.read.parquet(f"{base}/bans/ban_audit").collect()}
+    assert audit == {r.decision_id: (r.severity, r.expires_at) for r in BN.audit_bans(decisions, CFG).collect()}
+
+
+def test_burst_state_survives_a_long_gap(spark):
+    """A catch-up long after an outage still has its window: state expires by event time."""
+    rows = [("e1", "m", "u1", 0, 1), ("e2", "m", "u2", 1_000, 2)], [("e3", "m", "u3", 2_000, 3), ("e4", "m", "u1", 90 * 86_400_000, 4)]
+    base = tempfile.mkdtemp(dir="/tmp", prefix="pg-gap-")
+    schema = "event_id string, merchant_id string, user_id string, ms long, seq long"
+    got = {}
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{base}/src/{i}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/src")
+        out = SPR.merchant_burst_stream(stream, CFG)
+        _drain(out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+               .trigger(availableNow=True).start())
+    got = {r.event_id: r.merchant_users for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {"e1": 1, "e2": 2, "e3": 3, "e4": 1}
