@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from payguard.config import HOUR_MS
+from payguard.session import cut_lineage
 
 _B = "_pg_bucket"
 
@@ -35,16 +36,16 @@ def prev_next_ms(df: DataFrame, keys: list[str], ms: str = "ms", seq: str = "seq
 
     Rows are hash-partitioned by (key, time bucket), so a hot key is split.
     Neighbours inside a bucket come from ``lag``/``lead``; across buckets
-    from the last / first ms of the neighbouring non-empty bucket, taken
-    from a per-bucket aggregate of the same partitioning (no second pass
-    over the input) and stitched back with a join on (key, bucket).
+    from the last / first ms of the neighbouring non-empty bucket, a per-bucket
+    aggregate that is combined before its (small) shuffle and reads only the key and
+    time columns, stitched back with a join on (key, bucket).
     """
-    b = df.withColumn(_B, _bucket(F.col(ms), bucket_ms)).repartition(*keys, _B)
+    raw = df.withColumn(_B, _bucket(F.col(ms), bucket_ms))
+    b = raw.repartition(*keys, _B)
     w = Window.partitionBy(*keys, _B).orderBy(ms, seq)
     local = b.withColumn("_pg_lp", F.lag(ms).over(w)).withColumn("_pg_ln", F.lead(ms).over(w))
     ws = Window.partitionBy(*keys).orderBy(_B)
-    # per-bucket edges read the same shuffle output (exchange reuse), not the windows
-    edges = (b.groupBy(*keys, _B).agg(F.min(ms).alias("_pg_bmin"), F.max(ms).alias("_pg_bmax"))
+    edges = (raw.groupBy(*keys, _B).agg(F.min(ms).alias("_pg_bmin"), F.max(ms).alias("_pg_bmax"))
              .select(*keys, _B, F.lag("_pg_bmax").over(ws).alias("_pg_pb"),
                      F.lead("_pg_bmin").over(ws).alias("_pg_nb")))
     out = local.join(edges, on=[*keys, _B], how="inner")
@@ -60,14 +61,15 @@ def running_sum(df: DataFrame, keys: list[str], ms: str, value: str, out: str,
     those columns). Parallel prefix sum: local sums per
     (key, bucket) plus the total of all earlier buckets of the key (a small
     per-bucket table), so a hot key is spread over its buckets."""
-    b = df.withColumn(_B, _bucket(F.col(ms), bucket_ms)).repartition(*keys, _B)
+    raw = df.withColumn(_B, _bucket(F.col(ms), bucket_ms))
+    b = raw.repartition(*keys, _B)
     w = Window.partitionBy(*keys, _B)
     w = (w.orderBy(ms, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow) if ties
          else w.orderBy(ms).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     local = b.withColumn("_pg_local", F.sum(value).over(w))
     ws = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    # per-bucket totals read the same shuffle output (exchange reuse), not the window
-    offs = (b.groupBy(*keys, _B).agg(F.sum(value).alias("_pg_bs"))
+    # totals are combined before their shuffle and read the key, time and value alone
+    offs = (raw.groupBy(*keys, _B).agg(F.sum(value).alias("_pg_bs"))
             .select(*keys, _B, F.coalesce(F.sum("_pg_bs").over(ws), F.lit(0)).alias("_pg_off")))
     return (local.join(offs, on=[*keys, _B], how="inner")
             .withColumn(out, (F.col("_pg_off") + F.col("_pg_local")).cast("long"))
@@ -175,6 +177,7 @@ def _distinct_prefix(df: DataFrame, keys: list[str], member: str, span_ms: int,
     exp = (pn.withColumn("_pg_it", F.explode(F.array_compact(items)))
            .withColumn("_pg_t", F.col("_pg_it.t")).withColumn("_pg_d", F.col("_pg_it.d")).withColumn("_pg_k", F.col("_pg_it.k"))
            .withColumn("_pg_keep", F.col("_pg_it.keep")).drop("_pg_it", "_pg_prev", "_pg_next"))
+    exp = cut_lineage(exp)  # read twice below; the neighbours are found once
     r = running_sum(exp, keys, "_pg_t", "_pg_d", out, bucket_ms, ["_pg_k", seq] if ties == "arrival" else None)
     return r.filter(F.col("_pg_keep")).drop("_pg_t", "_pg_d", "_pg_k", "_pg_keep")
 

@@ -46,9 +46,12 @@ def lookup_profiles(events: DataFrame, profiles: DataFrame | None) -> DataFrame:
 
 def enrich(events: DataFrame, cfg: RiskConfig, profiles: DataFrame | None = None,
            method: str = "auto", velocity_input: str = "window") -> DataFrame:
-    ev = W.merchant_burst(events, cfg.burst_window_ms, bucket_ms=cfg.bucket_ms, method=method)
+    # W3 first: its second, narrow pass (totals per user and bucket) then reads the
+    # plain scan; W1 follows on its output in a single exchange
+    ev = events
     if velocity_input == "window":
         ev = W.velocity(ev, cfg.velocity_window_ms, bucket_ms=cfg.bucket_ms, method=method)
+    ev = W.merchant_burst(ev, cfg.burst_window_ms, bucket_ms=cfg.bucket_ms, method=method)
     return lookup_profiles(ev, profiles)
 
 

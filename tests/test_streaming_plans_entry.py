@@ -116,6 +116,18 @@ def test_plan_pruning_and_single_exchange(spark):
     assert _plan(b.select("event_id", "merchant_users")).count("Exchange hashpartitioning") == 1
 
 
+def test_plan_of_whole_scoring(spark):
+    """Each key's rows are shuffled once, and no frame stays persisted."""
+    spark.catalog.clearCache()
+    ev = TD.risk_events(spark, SF)
+    d = Q.score_events(ev, CFG, profiles=TD.user_profiles(ev)).decisions
+    plan = _plan(d)
+    assert plan.count("FileScan") <= 3
+    assert plan.count("hashpartitioning(_pg_mkey") == 1
+    A.process_alerts(TD.alert_deliveries(Q.score_events(ev, CFG, profiles=TD.user_profiles(ev)).alerts), CFG)[0].collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
 def test_plan_no_python_and_broadcast_rules(spark):
     spark.catalog.clearCache()
     ev = TD.risk_events(spark, SF)
