@@ -104,9 +104,10 @@ def _localize(df: DataFrame, keys: list[str], ms: str, span_ms: int, bucket_ms:
 
 
 def local_bucket_ms(span_ms: int, bucket_ms: int) -> int:
-    """Bucket used by the localised operators: at least one window long so a
-    row is copied at most twice."""
-    return max(int(bucket_ms), int(span_ms) + 1)
+    """Bucket used by the localised operators: at least one window long, so a
+    row is copied at most twice, and for short windows at most four windows, so
+    that a hot key spreads over many tasks."""
+    return max(int(span_ms) + 1, min(int(bucket_ms), 4 * (int(span_ms) + 1)))
 
 
 def distinct_in_range(df: DataFrame, keys: list[str], member: str, span_ms: int, out: str,
