@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import langid, minhash_dedup, mixing, packing
-from payguard.llm.common import stored, table
-from payguard.session import expose_package
+from payguard.llm.common import prepare, stored, table
 
 #: Texts of less go: no language has even this much of the text with certainty.
 MIN_LANGUAGE_SCORE = 0.3
@@ -23,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Label languages; texts without a letter or without a main language go.
     A missing label becomes the predicted one. Learns from the rows with a label; if none has one,
     nothing can be judged and all texts stay."""
-    expose_package(spark)
+    prepare(spark)
     model = langid.learn(docs, F.lit(True))
     if not model.langs:
         return docs
@@ -38,20 +37,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five-word shingles,
     similarity of 0.8 or more)."""
-    expose_package(spark)
+    prepare(spark)
     return minhash_dedup.drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents to the sources' tempered weights. The budget covers the
     largest source once, so that every document stays at least once."""
-    expose_package(spark)
+    prepare(spark)
     return mixing.realise(mixing.mix(docs, mixing.word_count("text"), budget="cover"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of 2048 ids."""
-    expose_package(spark)
+    prepare(spark)
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -17,8 +17,21 @@ from payguard.session import ensure_checkpoint_dir, expose_package
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Arrow batches between Spark and Python tasks: by bytes, as texts differ in length.
+ARROW_BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Python workers find the package, and no Arrow batch takes more memory than
+    intended, unless the session says otherwise."""
     expose_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(ARROW_BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

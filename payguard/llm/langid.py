@@ -37,6 +37,7 @@ SWITCH_PENALTY = 12.0
 MIN_SCRIPT_SHARE = 0.002  # of a language's letters, for the script to admit the language
 BACKOFF = 5.0             # pseudo counts of the next shorter n-gram
 BLOCK = 32                # words of a Viterbi block
+SLICE_BYTES = 1 << 20     # text handled at a time
 UND = "und"
 
 # Scripts by ranges of Unicode code points (first, last).
@@ -113,7 +114,7 @@ class Words:
 def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) rows to (lang, order, slot, n); order 0 counts letters by script."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             langs = np.array(part.column(0).to_pylist())
             for lang in np.unique(langs):
                 w = Words(part.column(1).filter(pa.array(langs == lang)))
@@ -214,16 +215,17 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return chosen.T[np.arange(BLOCK)[None, :] < length[:, None]]
 
 
-def _predict(model: Model, penalty: float, spans: bool):
+def _predict(model: Model, penalty: float, spans: bool, at_text: int, kept: int):
+    """Reads the text from column ``at_text``; returns the first ``kept`` columns and the prediction."""
     names = np.array([*model.langs, UND])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, batch.schema.names[at_text], SLICE_BYTES):
                 n, k = part.num_rows, len(model.langs)
                 lang, score = np.full(n, k), np.zeros(n)
                 count, found = np.zeros(n, np.int64), [[] for _ in range(n)]
-                w = Words(part.column(part.num_columns - 1))
+                w = Words(part.column(at_text))
                 if k and len(w.kind):
                     each = model.words(w)[w.kind]
                     path = viterbi(each, w.first, penalty).astype(np.int64)
@@ -244,15 +246,15 @@ def _predict(model: Model, penalty: float, spans: bool):
                     count = np.bincount(text[head], minlength=n)
                     if spans:
                         tail = np.append(head[1:], len(path)) - 1
-                        base = Texts(part.column(part.num_columns - 1)).off
+                        base = Texts(part.column(at_text)).off
                         for i, (a, b) in enumerate(zip(head, tail)):
                             d, o = text[a], int(base[text[a]])
                             s, e = int(w.starts[a]), int(w.ends[b])
                             before = len(w.bytes[o:s].decode("utf-8", "replace"))
                             found[d].append({"start": before, "length": len(w.bytes[s:e].decode("utf-8", "replace")), "lang": str(names[path[a]])})
-                columns = [part.column(i) for i in range(part.num_columns - 1)]
+                columns = [part.column(i) for i in range(kept)]
                 columns += [pa.array(names[lang].tolist(), pa.string()), pa.array(score), pa.array(count, pa.int64())]
-                fields = [*part.schema.names[:-1], "lang_pred", "score", "n_spans"]
+                fields = [*part.schema.names[:kept], "lang_pred", "score", "n_spans"]
                 if spans:
                     columns.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("lang", pa.string())]))))
                     fields.append("spans")
@@ -282,11 +284,15 @@ def identify(documents: DataFrame, model: Model, keep: list[str], text_col: str
     columns of those names give way."""
     added = ["lang_pred", "score", "n_spans", *["spans"] * spans]
     keep = [c for c in keep if c.lower() not in added]
-    rows = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    rows = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
+    if text_col in keep:
+        at_text = keep.index(text_col)
+    else:
+        rows, at_text = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text")), len(keep)
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:len(keep)]]
     schema = ", ".join([*fields, "lang_pred string", "score double", "n_spans long",
                         *["spans array<struct<start:long,length:long,lang:string>>"] * spans])
-    return rows.mapInArrow(_predict(model, penalty, spans), schema).toDF(*keep, *added)
+    return rows.mapInArrow(_predict(model, penalty, spans, at_text, len(keep)), schema).toDF(*keep, *added)
 
 
 def training_rows(doc_id: str = "doc_id") -> Column:

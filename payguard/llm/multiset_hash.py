@@ -32,7 +32,7 @@ from payguard.llm.textops import U64, Texts, mix64
 
 WIDE, LANES, SHINGLE = 8, 128, 3
 RANGE_ROWS = 20_000
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 1 << 20
 
 
 class Fingerprints:
