@@ -43,6 +43,7 @@ BLOCK = 256
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(1)[:, None]  # squares of any finite components stay in range
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -129,8 +130,7 @@ def _clean(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]
                 a = None
                 if i is not None and x.is_valid and not x.values.null_count:
                     v = x.values.to_numpy(zero_copy_only=False)
-                    norm = float((v.astype(np.float64) ** 2).sum()) if len(v) else 0.0
-                    if np.isfinite(norm) and norm > 0:
+                    if np.isfinite(v).all() and v.any():
                         a = v.astype(kind).tobytes()
                 out.append(a)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "vec"])

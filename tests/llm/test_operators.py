@@ -169,6 +169,8 @@ def test_multi_index_equals_brute_force(spark):
             break
         root = new
     assert np.mean([out[i]["component_id"] == root[i] for i in range(len(x))]) > 0.99
+    far = spark.createDataFrame([(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [2.0, -1.0])], "vec_id long, embedding array<double>")
+    assert {r["id"]: r["n_links"] for r in multi_index.near_duplicates(far).collect()} == {1: 1, 2: 1, 3: 0}
     for i in (9001, 9002, 9003, 9004, 9005, 9008):
         assert (out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) == (0, i, True)
     assert (out[9006]["n_links"], out[9007]["component_id"], out[9007]["kept"]) == (1, 9006, False)
