@@ -89,6 +89,15 @@ def in_ranges(df: DataFrame, key: str, bounds: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, f"range long, {fields}")
 
 
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, spread_by: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join ``rows`` to ``facts`` (one row per key): each key's rows are dealt over
+    ``salts`` tasks by ``spread_by`` and its facts copied to each, so a key with any
+    share of the rows is split."""
+    many = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    few = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.join(few, [key, "_salt"], how).drop("_salt")
+
+
 def connected_components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
     """(id, component) for every id of ``edges`` (a, b: long); the component
     is the smallest id reachable. Alternating large and small stars: each step

@@ -11,7 +11,8 @@ verdict from the host graph, whose edges are the absolute links of the pages:
 
 A host is blocked if (distrust - trust) / importance, its lift against an
 average host, exceeds the threshold. Mass of hosts without outgoing edges
-returns to the seeds. Edges and seeds are aggregated per host before any join;
+returns to the seeds. Edges and seeds are aggregated per host before any join, and
+pages meet their host's facts in salted joins, so a host with a third of the pages is split;
 each round is a join and a sum, stored in the shared folder.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from payguard.llm.common import stored
+from payguard.llm.common import salted_join, stored
 
 DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 30, 1e-6, 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,7 +55,7 @@ def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages (host, path, ...) with rule and ruled (the rule's verdict)."""
     fits = _rules_by_host(pages.select("host").distinct(), rules)
     first = F.try_element_at(F.filter("fits", lambda r: F.col("path").startswith(r["path"])), F.lit(1))
-    return (pages.join(fits, "host", "left").withColumn("_r", first)
+    return (salted_join(pages, fits, "host", "path").withColumn("_r", first)
             .withColumn("rule", F.col("_r.rule")).withColumn("ruled", F.col("_r.verdict")).drop("fits", "_r"))
 
 
@@ -111,5 +112,5 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     links = host_edges(pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")))
     lift = propagate(hosts, links).select("host", ((F.col("distrust") - F.col("trust")) / F.greatest("importance", F.lit(1e-300))).alias("lift"))
     method = F.when(F.col("lift") > threshold, "block").otherwise("allow")
-    return ruled.join(lift, "host", "left").select(
+    return salted_join(ruled, lift, "host", "path").select(
         "id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "lift")
