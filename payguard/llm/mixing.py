@@ -23,10 +23,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from payguard.llm.common import stored
+from payguard.llm.common import salted_join, stored
 
 ENTROPY, MAX_EPOCHS, STEPS, BLOCK_ROWS = 0.9, 4.0, 50, 256
 _HASH_BITS = 60
+BROADCAST_SOURCES = 100_000  # rows of the plan that may be copied to every executor (under 10 MB)
+
+
+def _of_source(rows: DataFrame, facts: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """Rows with their source's facts (``of``, ...): copied to the rows if there are
+    few sources (counted), else by a salted join; a hot source is split either way."""
+    if n <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("of")), how)
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+    named = F.coalesce(F.concat(F.lit("="), F.col("of").cast("string")), F.lit("null"))
+    return salted_join(rows.withColumn("_of", key), facts.withColumn("_of", named), "_of", "place", how).drop("_of")
 
 
 def word_count(text: str) -> Column:
@@ -96,20 +107,23 @@ def plan(documents: DataFrame, source_col: str, entropy: float, max_epochs: floa
     else:
         tokens = float(size["all"])
     quota = F.floor(F.round(power / F.lit(z) * F.lit(tokens), 3)).cast("long")
+    if budget == "cover":  # whatever the rounding: no document is left out
+        quota = F.greatest(quota, F.col("tokens"))
     s = sources.select("source", "tokens", "n", (power / F.lit(z)).alias("weight"), quota.alias("quota"))
     s = s.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.greatest("tokens", F.lit(1)))).otherwise(F.lit(0)))
     s = s.withColumn("rest", F.col("quota") - F.col("passes") * F.col("tokens"))
     # blocks of the hash range, about BLOCK_ROWS documents each
     s = stored(s.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS)), "mix-plan")
-    b = d.alias("d").join(s.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
-        "d.source", "d.tokens", "d.place", "s.rest", F.floor(F.col("d.place") / F.lit(2.0 ** _HASH_BITS) * F.col("s.blocks")).alias("block"))
+    n = s.count()
+    b = _of_source(d, s.select(F.col("source").alias("of"), "rest", "blocks"), n).select(
+        "source", "tokens", "place", "rest", F.floor(F.col("place") / F.lit(2.0 ** _HASH_BITS) * F.col("blocks")).alias("block"))
     sums = b.groupBy("source", "block", "rest").agg(F.sum("tokens").alias("tokens"))
     upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("block"))
     cut = (sums.withColumn("upto", upto).filter("upto > rest")
            .groupBy("source").agg(F.min_by(F.struct("block", (F.col("upto") - F.col("tokens")).alias("before")), "block").alias("c"))
-           .select(F.col("source").alias("cs"), F.col("c.block").alias("cb"), F.col("c.before").alias("before")))
+           .select(F.col("source").alias("of"), F.col("c.block").alias("cb"), F.col("c.before").alias("before")))
     # within the block where the budget ends: the last place whose rows all fit
-    mine = b.join(cut, F.col("source").eqNullSafe(F.col("cs")) & (F.col("block") == F.col("cb")))
+    mine = _of_source(b, cut, n).filter(F.col("block") == F.col("cb"))
     at_place = mine.groupBy("source", "rest", "before", "place").agg(F.sum("tokens").alias("tokens"))
     run = F.col("before") + F.sum("tokens").over(Window.partitionBy("source").orderBy("place"))
     inside = at_place.withColumn("run", run).filter("run <= rest").groupBy("source").agg(F.max("place").alias("last"))
@@ -130,7 +144,8 @@ def mix(documents: DataFrame, tokens: Column, id_col: str = "doc_id", source_col
     d = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(documents.columns)], tokens.alias("tokens"),
                          place(F.col(id_col), seed).alias("place"), F.col(source_col).alias("source"))
     p = plan(d.select("source", "tokens", "place"), "source", entropy, max_epochs, budget, seed)
-    joined = d.join(p.select(F.col("source").alias("of"), "passes", "ends"), F.col("source").eqNullSafe(F.col("of")))
+    p = stored(p.select(F.col("source").alias("of"), "passes", "ends"), "mix-ends")
+    joined = _of_source(d, p, p.count())
     copies = F.col("passes") + F.when(F.col("place") <= F.col("ends"), 1).otherwise(0)
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns) if c.lower() not in ("mix_tokens", "mix_copies")]
     return joined.select(*kept, F.col("tokens").alias("mix_tokens"), copies.cast("long").alias("mix_copies"))
