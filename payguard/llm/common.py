@@ -109,10 +109,12 @@ def connected_components(edges: DataFrame, label: str = "components", max_rounds
     sig = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        # stored, so that the join reads two plain exchanges, of which Spark can split a hub's
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")), label)
         large = (both.filter(F.col("v") > F.col("u")).join(low, F.col("u") == F.col("n"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low2 = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
+        large = stored(large, label)
+        low2 = stored(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), label)
         small = large.join(low2, F.col("u") == F.col("n")).select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
         ).select("x.u", "x.v").filter("u <> v").distinct()
