@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from payguard.llm.common import fold, stored
 from payguard.llm.textops import U64, Texts, mix64, slices
 
-BATCH_BYTES = 8 << 20      # text of a batch
-KEYS_PER_RANGE = 1_000_000  # tokens of the corpus per hash range
+BATCH_BYTES = 4 << 20    # text of a batch
+KEYS_PER_RANGE = 500_000  # tokens of the corpus per hash range
 BUCKETS = 48               # of context counts: 0, 1, 2-3, 4-7, ...
 STEPS_PER_OCTAVE, OCTAVES = 4, 48  # resolution of the estimates' ratios in the statistics of the deleted part
 EM_ROUNDS = 200
