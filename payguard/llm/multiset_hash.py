@@ -31,6 +31,7 @@ from payguard.llm.common import in_ranges, range_bounds
 from payguard.llm.textops import U64, Texts, mix64
 
 WIDE, LANES, SHINGLE = 8, 128, 3
+HASH_BLOCK = 256  # bytes of a paragraph hashed in sequence
 RANGE_ROWS = 20_000
 SLICE_CHARS = 1 << 20
 
@@ -54,7 +55,7 @@ class Fingerprints:
         b = np.sort(np.concatenate([t.off[1:], breaks]))
         a, b = a[b > a], b[b > a]
         where = np.searchsorted(t.off, a, "right") - 1
-        one, two = t.hashes(a, b, seed=1), t.hashes(a, b, seed=2)
+        one, two = cls._paragraph_hashes(t, a, b, 1), cls._paragraph_hashes(t, a, b, 2)
         for i in range(WIDE):
             np.add.at(out.wide[:, i], where, mix64(one + U64(2 * i + 1) * (two | U64(1))))
         starts, ends, _ = t.runs()
@@ -80,6 +81,16 @@ class Fingerprints:
             out.lanes[w[cut]] += 2 * ones - np.diff(np.append(cut, len(x)))[:, None].astype(np.int32)
         return out
 
+    @staticmethod
+    def _paragraph_hashes(t: Texts, a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+        """Hash of each byte range: of the sum of its blocks' hashes, each mixed with its place."""
+        blocks = -(-(b - a) // HASH_BLOCK)
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        at = np.repeat(a, blocks) + place * HASH_BLOCK
+        h = mix64(t.hashes(at, np.minimum(at + HASH_BLOCK, np.repeat(b, blocks)), seed) + place.astype(U64) * U64(0xD6E8FEB86659FD93))
+        return mix64(np.add.reduceat(h, first) + (b - a).astype(U64)) if len(first) else h
+
     def plus(self, other: "Fingerprints") -> "Fingerprints":
         return Fingerprints(self.wide + other.wide, self.lanes + other.lanes)
 
@@ -133,7 +144,7 @@ def in_descending_order(documents: DataFrame, id_col: str, text_col: str) -> Dat
     has every row's successor; texts move once."""
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), documents.count() // RANGE_ROWS)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.count() // RANGE_ROWS)
     bounds = np.array(range_bounds(rows, "id", parts), np.int64)
     tops = in_ranges(rows.select("id"), "id", bounds).groupBy("range").agg(F.max("id").alias("top")).collect()
     order = sorted((r["range"], r["top"]) for r in tops)  # one entry per range
