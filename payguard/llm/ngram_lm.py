@@ -1,16 +1,16 @@
 """Language-model scoring by deleted interpolation.
 
-A token's probability mixes the maximum-likelihood estimates of its bigram,
+A token's probability mixes the maximum-likelihood estimates of its trigram, its bigram,
 its unigram and a uniform distribution over the V known tokens and one unknown:
-``l2(b) c(h,w)/c(h) + l1(b) c(w)/N + l0(b) / (V+1)``, where the bucket b is
-the doubling class of the context's count c(h). The weights of each bucket are learned by
+``l3(b) c(g,h,w)/c(g,h) + l2(b) c(h,w)/c(h) + l1(b) c(w)/N + l0(b) / (V+1)``, where
+the bucket b is the doubling class of c(g,h), or if that is 0 (then l3 is 0) the one of c(h). The weights of each bucket are learned by
 expectation-maximisation on the counts of a deleted tenth of the training
 documents, against estimates from the other nine; the final estimates use all
 training documents.
 
 Counting and look-up are one exchange. Each task turns its texts into batches
 (distinct word hashes plus a stream of indexes), which are stored. A batch then
-asks for the counts of its distinct unigrams and bigrams, with its own
+asks for the counts of its distinct unigrams, bigrams and trigrams, with its own
 counts, in sorted blocks by hash range; the range's task adds up all
 requests and answers each block in its order. So a frequent n-gram costs
 one entry per batch, the tables are never gathered, and everything follows the
@@ -36,10 +36,12 @@ from payguard.llm.textops import U64, Texts, mix64, slices
 
 BATCH_BYTES = 4 << 20    # text of a batch
 KEYS_PER_RANGE = 500_000  # tokens of the corpus per hash range
-BUCKETS = 48               # of context counts: 0, 1, 2-3, 4-7, ...
+BUCKETS = 48               # of context counts: 0, 1, 2-3, 4-7, ...; those of two-token contexts follow those of one
 STEPS_PER_OCTAVE, OCTAVES = 4, 48  # resolution of the estimates' ratios in the statistics of the deleted part
 EM_ROUNDS = 200
 END = U64(0)
+#: Keys of trigrams have 56 bits (a zero byte compresses away): of 3e9 distinct ones 4e-8 share a key.
+KEY3 = ~U64(0xFF)
 
 _codec = pa.Codec("zstd", compression_level=1)
 
@@ -87,6 +89,17 @@ def tokenised(docs: DataFrame) -> DataFrame:
     return stored(out.withColumn("batch", F.monotonically_increasing_id()), "tokens")
 
 
+def _key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(mix64(context + U64(0x9E3779B97F4A7C15)) ^ word)
+
+
+def _ranked(keys: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return keys[order], rank[inverse]
+
+
 class Batch:
     """A stored batch: words (sorted hashes), cur and prev (indexes of each
     token and its context; a document's first context is the end token)."""
@@ -105,11 +118,22 @@ class Batch:
     def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys of the distinct bigrams and each token's index among them."""
         pair, inverse = np.unique(self.prev * len(self.words) + self.cur, return_inverse=True)
-        keys = mix64(mix64(self.words[pair // len(self.words)] + U64(0x9E3779B97F4A7C15)) ^ self.words[pair % len(self.words)])
-        order = np.argsort(keys)
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        return keys[order], rank[inverse]
+        return _ranked(_key(self.words[pair // len(self.words)], self.words[pair % len(self.words)]), inverse)
+
+    def trigrams(self, key2: np.ndarray, at2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of trigrams, from the bigrams. A document's first context
+        is two end tokens, which no token inside a document has."""
+        before = self.before(at2, len(key2))
+        three, inverse = np.unique(before * len(self.words) + self.cur, return_inverse=True)
+        context = np.append(key2, _key(np.array([END]), np.array([END])))
+        return _ranked(_key(context[three // len(self.words)], self.words[three % len(self.words)]) & KEY3, inverse)
+
+    def before(self, of_bigram: np.ndarray, at_start: int) -> np.ndarray:
+        """Of each token the value of the bigram before it."""
+        out = np.empty_like(of_bigram)
+        out[1:] = of_bigram[:-1]
+        out[self.starts] = at_start
+        return out
 
 
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -134,18 +158,20 @@ def requests(tokens: DataFrame, parts: int) -> DataFrame:
                 n1 = np.bincount(b.cur[b.train], minlength=len(b.words))[order]
                 key2, at2 = b.bigrams()
                 n2 = np.bincount(at2[b.train], minlength=len(key2))
+                key3, at3 = b.trigrams(key2, at2)
+                n3 = np.bincount(at3[b.train], minlength=len(key3))
                 blobs = []
-                for keys, n in ((key1, n1), (key2, n2)):
+                for keys, n in ((key1, n1), (key2, n2), (key3, n3)):
                     cut = _cuts(keys, parts)
                     blobs.append([(_pack(np.diff(keys[i:j], prepend=U64(0))), _pack(n[i:j].astype(np.int32)))
                                   for i, j in zip(cut[:-1], cut[1:])])
-                one, two = blobs
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(parts)), pa.array([row["batch"]] * parts, pa.int64()),
                     pa.array([row["deleted"]] * parts),
-                    *(pa.array([x[k] for x in side], pa.binary()) for side in (one, two) for k in (0, 1)),
-                ], ["part", "batch", "deleted", "key1", "n1", "key2", "n2"])
-    schema = "part long, batch long, deleted boolean, key1 binary, n1 binary, key2 binary, n2 binary"
+                    *(pa.array([x[k] for x in side], pa.binary()) for side in blobs for k in (0, 1)),
+                ], ["part", "batch", "deleted", "key1", "n1", "key2", "n2", "key3", "n3"])
+    schema = ("part long, batch long, deleted boolean, key1 binary, n1 binary, key2 binary, n2 binary,"
+              " key3 binary, n3 binary")
     return tokens.select("batch", "deleted", "held_out", "lengths", "words", "stream").mapInArrow(run, schema)
 
 
@@ -155,7 +181,7 @@ def answers(asked: DataFrame) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         gone = np.asarray(t["deleted"]).astype(bool)
         out: dict[str, list] = {}
-        for k in ("1", "2"):
+        for k in ("1", "2", "3"):
             keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in t["key" + k].to_pylist()]
             counts = np.concatenate([_unpack(x, np.int32) for x in t["n" + k].to_pylist()]).astype(np.float64)
             size = np.array([len(x) for x in keys])
@@ -170,26 +196,30 @@ def answers(asked: DataFrame) -> DataFrame:
                 v, v_kept = int((total > 0).sum()), int((kept > 0).sum())
         rest = [0] * (t.num_rows - 1)
         return pa.table({"part": t["part"], "batch": t["batch"], "deleted": t["deleted"],
-                         **{x: pa.array(out[x], pa.binary()) for x in ("c1", "kept1", "c2", "kept2")},
+                         **{x: pa.array(out[x], pa.binary()) for x in ("c1", "kept1", "c2", "kept2", "c3", "kept3")},
                          "v": pa.array([v, *rest], pa.int64()), "v_kept": pa.array([v_kept, *rest], pa.int64())})
     schema = ("part long, batch long, deleted boolean, c1 binary, kept1 binary, c2 binary, kept2 binary,"
-              " v long, v_kept long")
+              " c3 binary, kept3 binary, v long, v_kept long")
     return stored(asked.groupBy("part").applyInArrow(run, schema), "counts")
 
 
-def _with_answers(tokens: DataFrame, replies: DataFrame, one: str, two: str) -> DataFrame:
+def _with_answers(tokens: DataFrame, replies: DataFrame, name: str) -> DataFrame:
     mine = replies.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct(
-        "part", F.col(one).alias("c1"), F.col(two).alias("c2")))).alias("replies"))
+        "part", *[F.col(f"{name}{k}").alias(f"c{k}") for k in (1, 2, 3)]))).alias("replies"))
     return tokens.join(mine.hint("shuffle_merge"), "batch")
 
 
-def _counts(b: Batch, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: the counts of its context, itself and its bigram."""
+def _counts(b: Batch, row: dict) -> tuple[np.ndarray, ...]:
+    """Of each token: the counts of its context, itself and its bigram, then
+    of its two-token context and its trigram."""
     _, order = _spread(b.words)
     c1 = np.empty(len(b.words), np.int64)
     c1[order] = np.concatenate([_unpack(x["c1"], np.int64) for x in row["replies"]])
-    c2 = np.concatenate([_unpack(x["c2"], np.int64) for x in row["replies"]])
-    return c1[b.prev], c1[b.cur], c2[b.bigrams()[1]]
+    c2, c3 = (np.concatenate([_unpack(x[k], np.int64) for x in row["replies"]]) for k in ("c2", "c3"))
+    key2, at2 = b.bigrams()
+    h, hw = c1[b.prev], c2[at2]
+    # documents start as often as they end
+    return h, c1[b.cur], hw, b.before(hw, int(c1[np.searchsorted(b.words, END)])), c3[b.trigrams(key2, at2)[1]]
 
 
 def bucket(c: np.ndarray) -> np.ndarray:
@@ -200,46 +230,72 @@ def _estimates(h: np.ndarray, w: np.ndarray, hw: np.ndarray, n: int, v: int) ->
     return hw / np.maximum(h, 1), w / max(n, 1), 1.0 / (v + 1)
 
 
-def deleted_statistics(tokens: DataFrame, replies: DataFrame, n_kept: int, v_kept: int) -> list:
-    """How many deleted tokens have each (bucket, bigram to uniform ratio,
-    unigram to uniform ratio); the ratios in quarter octaves, -1: zero. At
-    most 48 x 193 x 193 cells whatever the corpus."""
-    top = STEPS_PER_OCTAVE * OCTAVES - 1
+def buckets(h: np.ndarray, gh: np.ndarray) -> np.ndarray:
+    return np.where(gh > 0, BUCKETS + bucket(gh), bucket(h))
+
 
+TOP = STEPS_PER_OCTAVE * OCTAVES - 1
+LOWEST = -1
+CLASSES = TOP - LOWEST + 1
+
+
+def _class(ratio: np.ndarray) -> np.ndarray:
+    """Class of a ratio in quarter octaves, -1: zero."""
+    return np.where(ratio > 0, np.clip(np.round(STEPS_PER_OCTAVE * np.log2(np.maximum(ratio, 1e-300))), 0, TOP), -1).astype(np.int64)
+
+
+def _ratio(c: np.ndarray) -> np.ndarray:
+    return np.where(c >= 0, 2.0 ** (c / STEPS_PER_OCTAVE), 0.0)
+
+
+def deleted_statistics(tokens: DataFrame, replies: DataFrame, n_kept: int, v_kept: int) -> np.ndarray:
+    """How many deleted tokens have each (bucket, trigram to uniform ratio, bigram to uniform ratio,
+    unigram to uniform ratio), in classes; the number is the last column. A bucket
+    bounds its counts, so the cells stay few whatever the corpus."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Batch(row)
-                h, w, hw = _counts(b, row)
+                h, w, hw, gh, ghw = _counts(Batch(row), row)
                 f2, f1, f0 = _estimates(h, w, hw, n_kept, v_kept)
-                r2, r1 = (np.where(f > 0, np.clip(np.round(STEPS_PER_OCTAVE * np.log2(np.maximum(f, 1e-300) / f0)), 0, top), -1)
-                          for f in (f2, f1))
-                cells, n = np.unique(np.stack([bucket(h), r2.astype(np.int64), r1.astype(np.int64)]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cells), pa.array(n)], ["b", "r2", "r1", "n"])
-    part = _with_answers(tokens.filter("deleted"), replies.filter("deleted"), "kept1", "kept2")
-    return part.mapInArrow(run, "b long, r2 long, r1 long, n long").groupBy("b", "r2", "r1").agg(
-        F.sum("n").alias("n")).collect()
-
-
-def learn_weights(cells: list) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) of each bucket by EM. Buckets
-    without deleted tokens take those of all tokens together."""
-    def em(x: np.ndarray, seen: bool) -> np.ndarray:
-        weights = np.array([0.4, 0.4, 0.2]) if seen else np.array([0.0, 0.7, 0.3])
-        ratio = np.stack([np.where(x[:, k] >= 0, 2.0 ** (x[:, k] / STEPS_PER_OCTAVE), 0.0) for k in (1, 2)] + [np.ones(len(x))])
+                cell = buckets(h, gh)
+                for f in (ghw / np.maximum(gh, 1), f2, f1):
+                    cell = cell * CLASSES + _class(f / f0) - LOWEST
+                cell, n = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+    part = _with_answers(tokens.filter("deleted"), replies.filter("deleted"), "kept")
+    sums = part.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, *classes = np.asarray(sums["cell"]), np.asarray(sums["n"])
+    for _ in range(3):
+        classes.insert(0, cell % CLASSES + LOWEST)
+        cell = cell // CLASSES
+    return np.stack([cell, *classes], axis=1)
+
+
+def learn_weights(cells: list | np.ndarray) -> np.ndarray:
+    """Weights (bigram, unigram, uniform, trigram) of each bucket by EM, from rows b, r2, r1, n and
+    perhaps r3, or deleted_statistics. Buckets without deleted tokens take those of all tokens together."""
+    def em(x: np.ndarray, seen: bool, three: bool) -> np.ndarray:
+        weights = np.array([0.4, 0.4, 0.2, 0.0]) if seen else np.array([0.0, 0.7, 0.3, 0.0])
+        weights = np.array([0.3, 0.2, 0.1, 0.4]) if three else weights
+        ratio = np.stack([_ratio(x[:, 2]), _ratio(x[:, 3]), np.ones(len(x)), _ratio(x[:, 1])])
         for _ in range(EM_ROUNDS):
             share = weights[:, None] * ratio
-            share *= x[:, 3] / share.sum(0)
-            weights = share.sum(1) + np.array([0.5 * seen, 0.5, 0.5])  # half a token each: no weight becomes 0
+            share *= x[:, 4] / share.sum(0)
+            weights = share.sum(1) + np.array([0.5 * seen, 0.5, 0.5, 0.5 * three])  # half a token each: no weight becomes 0
             weights /= weights.sum()
         return weights
-    x = np.array([[r["b"], r["r2"], r["r1"], r["n"]] for r in sorted(map(lambda r: r.asDict(), cells), key=lambda r: (r["b"], r["r2"], r["r1"]))], float).reshape(-1, 4)
-    pooled = em(x[x[:, 0] > 0], True)
-    out = np.array([pooled] * BUCKETS)
-    out[0] = em(x[x[:, 0] == 0], False)
-    for b in range(1, BUCKETS):
+    if isinstance(cells, list):
+        cells = [r.asDict() for r in cells]
+        cells = np.array([[r["b"], r.get("r3", -1), r["r2"], r["r1"], r["n"]] for r in cells])
+    x = np.array(cells, float).reshape(-1, 5)
+    x = x[np.lexsort(x.T[::-1])]
+    out = np.empty((2 * BUCKETS, 4))
+    out[:BUCKETS] = em(x[(x[:, 0] > 0) & (x[:, 0] < BUCKETS)], True, False)
+    out[0] = em(x[x[:, 0] == 0], False, False)
+    out[BUCKETS:] = em(x[x[:, 0] >= BUCKETS], True, True)
+    for b in range(1, 2 * BUCKETS):
         if (x[:, 0] == b).any():
-            out[b] = em(x[x[:, 0] == b], True)
+            out[b] = em(x[x[:, 0] == b], True, b >= BUCKETS)
     return out
 
 
@@ -260,16 +316,16 @@ def score_texts(documents: DataFrame, held_out: Column, deleted: Column, id_col:
     v, v_kept = (int(x or 0) for x in replies.agg(F.sum("v"), F.sum("v_kept")).first())
     weights = learn_weights(deleted_statistics(tokens, replies, n_kept, v_kept))
     if not n_train:
-        weights[:] = (0, 0, 1)
+        weights[:] = (0, 0, 1, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Batch(row)
-                h, w, hw = _counts(b, row)
+                h, w, hw, gh, ghw = _counts(b, row)
                 f2, f1, f0 = _estimates(h, w, hw, n_train, v)
-                mix = weights[bucket(h)]
-                model = np.log10(mix[:, 0] * f2 + mix[:, 1] * f1 + mix[:, 2] * f0)
+                mix = weights[buckets(h, gh)]
+                model = np.log10(mix[:, 0] * f2 + mix[:, 1] * f1 + mix[:, 2] * f0 + mix[:, 3] * ghw / np.maximum(gh, 1))
                 base = np.log10((w + 0.5) / (n_train + 0.5 * (v + 1)))
                 each = [np.add.reduceat(x, b.starts) for x in ((w > 0).astype(np.int64), base, model)]
                 size = len(b.lengths)
@@ -277,7 +333,7 @@ def score_texts(documents: DataFrame, held_out: Column, deleted: Column, id_col:
                     pa.array(row["ids"], pa.int64()), pa.array(b.held), pa.array(b.lengths), pa.array(each[0]),
                     pa.array([n_train] * size, pa.int64()), pa.array(each[1]), pa.array(each[2]),
                 ], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-    return _with_answers(tokens, replies, "c1", "c2").mapInArrow(
+    return _with_answers(tokens, replies, "c").mapInArrow(
         run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

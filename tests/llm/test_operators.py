@@ -144,6 +144,38 @@ def test_lm_model_sums_to_one():
     assert abs((mix[0] * f2 + mix[1] * f1 + mix[2] * f0).sum() - 1) < 1e-12
 
 
+def test_lm_trigrams_by_batches_equal_brute_force(spark, monkeypatch):
+    """Counts of contexts and trigrams over all batches; documents without a token and repeated starts among them."""
+    expose_package(spark)
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "a", *[" ".join(rng.choice(list("abc"), rng.integers(0, 9))) for _ in range(40)]]
+    held = [i % 4 == 0 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(range(len(texts)), texts, held, [False] * len(texts))), "id long, text string, held_out boolean, deleted boolean")
+    tokens = ngram_lm.tokenised(df.repartition(3))
+    replies = ngram_lm.answers(ngram_lm.requests(tokens, 5))
+    chains = [["\0", "\0", *words(t), "\0"] for t in texts]
+    three = collections.Counter(tuple(c[i - 2:i + 1]) for c, out in zip(chains, held) if not out for i in range(2, len(c)))
+    two = collections.Counter()
+    for k, n in three.items():
+        two[k[:2]] += n
+    rows = ngram_lm._with_answers(tokens, replies, "c").collect()
+    assert len(rows) > 1
+    for row in rows:
+        *_, gh, ghw = ngram_lm._counts(ngram_lm.Batch(row.asDict(recursive=True)), row.asDict(recursive=True))
+        keys = [tuple(chains[d][i - 2:i + 1]) for d in row["ids"] for i in range(2, len(chains[d]))]
+        assert gh.tolist() == [two[k[:2]] for k in keys] and ghw.tolist() == [three[k] for k in keys]
+
+
+def test_lm_learns_from_the_second_last_word(spark):
+    """After 'l x' comes 'a', after 'r x' comes 'b': no bigram tells them apart."""
+    expose_package(spark)
+    rows = [(i, " ".join(["l x a", "r x b"][(i * 7 + k * k) % 3 == 0] for k in range(12)), i >= 180, i % 9 == 0) for i in range(200)]
+    rows += [(900, "l x a", True, False), (901, "l x b", True, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean, gone boolean")
+    got = {r["id"]: r["score"] for r in ngram_lm.score_texts(df, F.col("held"), F.col("gone")).collect()}
+    assert got[900] > got[901] + 1
+
+
 # 3 embeddings
 
 def test_multi_index_equals_brute_force(spark):
