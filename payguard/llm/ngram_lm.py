@@ -235,17 +235,18 @@ def buckets(h: np.ndarray, gh: np.ndarray) -> np.ndarray:
 
 
 TOP = STEPS_PER_OCTAVE * OCTAVES - 1
-LOWEST = -1
+LOWEST = -TOP - 1
 CLASSES = TOP - LOWEST + 1
 
 
 def _class(ratio: np.ndarray) -> np.ndarray:
-    """Class of a ratio in quarter octaves, -1: zero."""
-    return np.where(ratio > 0, np.clip(np.round(STEPS_PER_OCTAVE * np.log2(np.maximum(ratio, 1e-300))), 0, TOP), -1).astype(np.int64)
+    """Class of a ratio in quarter octaves; -1 is zero, so those below 1 are moved down by one."""
+    c = np.clip(np.round(STEPS_PER_OCTAVE * np.log2(np.maximum(ratio, 1e-300))), -TOP, TOP)
+    return np.where(ratio > 0, c - (c < 0), -1).astype(np.int64)
 
 
 def _ratio(c: np.ndarray) -> np.ndarray:
-    return np.where(c >= 0, 2.0 ** (c / STEPS_PER_OCTAVE), 0.0)
+    return np.where(c == -1, 0.0, 2.0 ** ((c + (c < -1)) / STEPS_PER_OCTAVE))
 
 
 def deleted_statistics(tokens: DataFrame, replies: DataFrame, n_kept: int, v_kept: int) -> np.ndarray:

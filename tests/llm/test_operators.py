@@ -136,6 +136,17 @@ def test_lm_weights_and_probabilities(docs):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_lm_learns_from_estimates_below_the_uniform_one():
+    """EM on the classes equals EM on the estimates, where half of the unigrams lie far below the uniform one."""
+    ratio = np.array([0.0, 1 / 64, 1 / 8, 0.5, 1.0, 8.0, 2.0 ** 20])
+    assert np.allclose(ngram_lm._ratio(ngram_lm._class(ratio)), ratio)
+    n = np.array([5.0, 60, 40, 20, 5, 70, 0])
+    cells = [{"b": 3, "r2": -1, "r1": int(c), "n": int(k)} for c, k in zip(ngram_lm._class(ratio), n)]
+    w = ngram_lm.learn_weights([type("R", (), {"asDict": lambda self, x=x: x})() for x in cells])[3]
+    best = max(np.linspace(0.001, 0.999, 999), key=lambda a: (n * np.log(a * ratio + 1 - a)).sum())
+    assert abs(w[1] - best) < 0.01
+
+
 def test_lm_model_sums_to_one():
     """Over all continuations of a context, with the unknown token."""
     h, w = np.full(3, 10), np.array([5, 3, 0])
