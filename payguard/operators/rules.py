@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,38 +83,77 @@ def fold_rule_set(active: DataFrame, cfg: RiskConfig) -> DataFrame:
                                       F.lit(getattr(cfg, p)).cast(param_type(p))).alias(p) for p in PARAMS])
 
 
-def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One parameter: its contributions in order of start, a heap of those
-    that may be live, latest (start, rule id) on top; at each change point the top live one wins."""
-    points = sorted(pdf.loc[pdf["is_point"], "from_ms"].tolist())
-    rows = pdf[~pdf["is_point"]].sort_values(["from_ms", "rule_id"])
-    starts = list(zip(rows["from_ms"].tolist(), rows["rule_id"].tolist(), rows["to_ms"].tolist(), rows["pval"].tolist()))
-    heap: list[tuple] = []
-    out, i = [], 0
-    for k, cp in enumerate(points):
-        while i < len(starts) and starts[i][0] <= cp:
-            # starts ascend, so the arrival number orders the heap by (start, rule id)
-            heapq.heappush(heap, (-i, starts[i][2], starts[i][3]))
-            i += 1
-        while heap and heap[0][1] <= cp:
-            heapq.heappop(heap)
-        out.append((cp, points[k + 1] if k + 1 < len(points) else None, heap[0][2] if heap else None))
-    param = pdf["param"].iloc[0]
-    return pd.DataFrame({"valid_from_ms": pd.array([x[0] for x in out], dtype="Int64"),
-                         "valid_to_ms": pd.array([x[1] for x in out], dtype="Int64"),
-                         "param": [param] * len(out), "pval": [x[2] for x in out]})
-
-
-def rule_versions(updates: DataFrame, cfg: RiskConfig) -> DataFrame:
+POINTS_PER_BUCKET = 20_000  # change points of a time bucket
+
+
+def _sweep_bucket(pdf: pd.DataFrame, after: dict[int, int]) -> pd.DataFrame:
+    """One time bucket: of each parameter the contributions in order of start, a heap of those
+    that may be live, latest (start, rule id) on top; at each change point the top live one wins.
+    ``after``: the first change point after each bucket."""
+    points = np.sort(pdf.loc[pdf["param"].isna(), "from_ms"].to_numpy(np.int64)).tolist()
+    ends = [*points[1:], after.get(int(pdf["bucket"].iloc[0]))]
+    out = {"valid_from_ms": pd.array(points, dtype="Int64"), "valid_to_ms": pd.array(ends[:len(points)], dtype="Int64")}
+    by_param = {p: rows.sort_values(["from_ms", "rule_id"]) for p, rows in pdf.groupby("param")}
+    for p in PARAMS:
+        won: list = [None] * len(points)
+        if p in by_param:
+            starts = list(zip(*(by_param[p][c].tolist() for c in ("from_ms", "to_ms", "pval"))))
+            heap: list[tuple] = []
+            i = 0
+            for k, cp in enumerate(points):
+                while i < len(starts) and starts[i][0] <= cp:
+                    # starts ascend, so the arrival number orders the heap by (start, rule id)
+                    heapq.heappush(heap, (-i, starts[i][1], starts[i][2]))
+                    i += 1
+                while heap and heap[0][1] <= cp:
+                    heapq.heappop(heap)
+                won[k] = heap[0][2] if heap else None
+        out[p] = pd.Series(won, dtype=object)
+    return pd.DataFrame(out)
+
+
+def _bucket_of(ms: str, bounds: list[int]) -> Column:
+    """Index of the time bucket; ``bounds`` are the ascending first points of all but the first."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    at = np.array(bounds, np.int64)
+
+    @F.pandas_udf("long")
+    def find(s: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, s.to_numpy(np.int64), side="right").astype(np.int64))
+    return find(ms)
+
+
+def _spanning(contrib: DataFrame, top: Column, buckets: int) -> DataFrame:
+    """bucket, param, win: the top contribution of those live throughout a bucket between
+    their first and last. Each is cut into aligned blocks of 2^l buckets (at most two a level), a
+    maximum per block, and the blocks' maxima go to their buckets."""
+    lo, hi = F.col("first_b") + 1, F.col("last_b")
+    blocks = []
+    for level in range(buckets.bit_length()):
+        a, b = F.shiftright(lo + ((1 << level) - 1), level), F.shiftright(hi, level)
+        for fits, index in ((a % 2 == 1, a), (b % 2 == 1, b - 1)):
+            blocks.append(F.when((a < b) & fits, F.struct(F.lit(level).alias("level"), index.alias("i"))))
+    cut = contrib.filter(lo < hi).withColumn("block", F.explode(F.array_compact(F.array(*blocks))))
+    best = cut.groupBy("param", "block").agg(F.max(top).alias("win"))
+    width = F.expr("shiftleft(1L, block.level)")
+    return (best.withColumn("bucket", F.explode(F.sequence(F.col("block.i") * width, (F.col("block.i") + 1) * width - 1)))
+            .groupBy("bucket", "param").agg(F.max("win").alias("win")))
+
+
+def rule_versions(updates: DataFrame, cfg: RiskConfig, points_per_bucket: int = POINTS_PER_BUCKET) -> DataFrame:
     """Effective-dated rule sets: one row per change point with
     ``valid_from_ms``, ``valid_to_ms`` (null = open) and the 9 parameters.
 
     Each update of a rule is that rule's state from its ``updated_at`` until
     the rule's next update (A12 over time). Its parameters are contributions
     live over that interval; at every change point the winner per parameter
-    is the live contribution with the latest (updated_at, rule_id). Each
-    parameter is swept once, in n log n; the nine sweeps are the tasks (each holds the
-    rule log, a control table, never events).
+    is the live contribution with the latest (updated_at, rule_id).
+
+    Time is cut into buckets of about ``points_per_bucket`` change points, and each bucket is swept
+    on its own. A contribution goes to the bucket of its start and, of those with the
+    same end, the top one to the bucket of that end; of those live throughout a
+    bucket only the top one does. So no task holds more of the log than its bucket's updates.
     """
     valid, _bad = split_valid_rules(updates)
     u = valid.select("rule_id", "rule_type", "enabled", "known_type", "parameters", F.unix_millis("updated_at").alias("upd_ms"),
@@ -125,13 +165,31 @@ def rule_versions(updates: DataFrame, cfg: RiskConfig) -> DataFrame:
                .select("rule_id", "rule_type", F.col("upd_ms").alias("from_ms"), "to_ms",
                        F.explode("parameters").alias("pkey", "pval"))
                .join(F.broadcast(pm), ["rule_type", "pkey"])  # literal 9-row table
-               .select("param", "from_ms", "to_ms", "rule_id", "pval", F.lit(False).alias("is_point")))
-    points = u.select(F.col("upd_ms").alias("from_ms")).distinct().select(
-        F.explode(F.array(*[F.lit(p) for p in PARAMS])).alias("param"), "from_ms", F.lit(None).cast("long").alias("to_ms"),
-        F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("string").alias("pval"), F.lit(True).alias("is_point"))
-    swept = contrib.unionByName(points).groupBy("param").applyInPandas(
-        _sweep, "valid_from_ms long, valid_to_ms long, param string, pval string")
-    wide = swept.groupBy("valid_from_ms", "valid_to_ms").agg(*[F.max(F.when(F.col("param") == p, F.col("pval"))).alias(p) for p in PARAMS])
+               .select("param", "from_ms", "to_ms", "rule_id", "pval").filter("from_ms < to_ms"))
+    points = u.select(F.col("upd_ms").alias("from_ms")).distinct()
+    n = points.count()
+    buckets, bounds, after = -(-n // points_per_bucket), [], {}
+    if buckets > 1:
+        cuts = [k / buckets for k in range(1, buckets)]
+        bounds = sorted(set(points.agg(F.percentile_approx("from_ms", cuts, max(10_000, 20 * buckets))).first()[0]))
+        firsts = sorted(tuple(r) for r in points.groupBy(_bucket_of("from_ms", bounds).alias("b")).agg(F.min("from_ms")).collect())
+        after = {b: first for (b, _), (_, first) in zip(firsts, firsts[1:])}
+    names = ["bucket", "param", "from_ms", "to_ms", "rule_id", "pval"]
+    rows = points.select(_bucket_of("from_ms", bounds).alias("bucket"), F.lit(None).cast("string").alias("param"), "from_ms",
+                         F.lit(None).cast("long").alias("to_ms"), F.lit(None).cast("string").alias("rule_id"),
+                         F.lit(None).cast("string").alias("pval"))
+    # of those with the same start only such that end after all with a greater rule id can win
+    later = Window.partitionBy("param", "from_ms").orderBy(F.desc("rule_id")).rowsBetween(Window.unboundedPreceding, -1)
+    contrib = (contrib.withColumn("_longest", F.max("to_ms").over(later)).filter("_longest IS NULL OR to_ms > _longest").drop("_longest")
+               .withColumn("first_b", _bucket_of("from_ms", bounds)).withColumn("last_b", _bucket_of("to_ms", bounds)))
+    rows = rows.unionByName(contrib.withColumnRenamed("first_b", "bucket").select(*names))
+    if bounds:
+        top = F.struct("from_ms", "rule_id", "to_ms", "pval")
+        carried = contrib.filter("first_b < last_b").groupBy(F.col("last_b").alias("bucket"), "param", F.col("to_ms").alias("_end")).agg(
+            F.max(top).alias("win")).drop("_end").unionByName(_spanning(contrib, top, len(bounds) + 1))
+        rows = rows.unionByName(carried.select("bucket", "param", "win.*").select(*names))
+    wide = rows.groupBy("bucket").applyInPandas(
+        lambda pdf: _sweep_bucket(pdf, after), "valid_from_ms long, valid_to_ms long, " + ", ".join(f"{p} string" for p in PARAMS))
     return wide.select("valid_from_ms", "valid_to_ms", *[
         F.coalesce(parse_int_strict(p, param_type(p)), F.lit(getattr(cfg, p)).cast(param_type(p))).alias(p) for p in PARAMS])
 

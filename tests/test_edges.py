@@ -167,6 +167,23 @@ def test_rule_versions_equal_a_walk(spark):
                            pick("large_amount", "amount_cents", CFG.large_amount_cents))
 
 
+def test_rule_versions_by_time_buckets_equal_one_sweep(spark, monkeypatch):
+    """Long-lived, short-lived and simultaneous updates over many buckets; no task holds the whole log."""
+    import random
+    rng = random.Random(6)
+    log = [(f"r{rng.randrange(3) if i % 3 else rng.randrange(60)}", rng.choice(["global", "large_amount", "high_velocity_7d"]), rng.random() < 0.8,
+            {"block_threshold": str(i), "amount_cents": str(i), "score_delta": str(i)}, ts(T0_MS + rng.choice([7_000, rng.randrange(200) * 1_000])), i)
+           for i in range(400)]
+    updates = spark.createDataFrame(log, schemas.RULE_UPDATE)
+    whole = sorted(map(tuple, R.rule_versions(updates, CFG).collect()))
+    sizes = spark.sparkContext.accumulator(0)
+    sweep = R._sweep_bucket
+    monkeypatch.setattr(R, "_sweep_bucket", lambda pdf, after: (sizes.add(1), sweep(pdf, after))[1])
+    assert sorted(map(tuple, R.rule_versions(updates, CFG, points_per_bucket=9).collect())) == whole
+    assert sizes.value > 10 and len(whole) == len({x[4] for x in log})
+    assert R.rule_versions(updates.filter("false"), CFG).count() == 0
+
+
 def test_archive_tells_a_missing_table_from_a_broken_one(spark, tmp_path):
     df = spark.createDataFrame([("e1", 1, "2026-01-01"), ("e2", 2, "2026-01-02")], "event_id string, seq long, event_date string")
     path = f"{tmp_path}/archive"
