@@ -13,7 +13,8 @@ A host is blocked if (distrust - trust) / importance, its lift against an
 average host, exceeds the threshold. Mass of hosts without outgoing edges
 returns to the seeds. Edges and seeds are aggregated per host before any join, and
 pages meet their host's facts in salted joins, so a host with a third of the pages is split;
-each round is a join and a sum, stored in the shared folder.
+each round is a join and a sum, stored in the shared folder. Rounds go on until the vectors
+move by no more than the tolerance, which damping bounds (97 rounds).
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path
 (rules don't fit it; the empty host is a host without links); without seeds
@@ -22,12 +23,14 @@ of a kind that vector is 0; null html has no links; repeated rows count each. Ot
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payguard.llm.common import salted_join, stored
 
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 30, 1e-6, 1.0
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
@@ -66,10 +69,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None,
               tolerance: float = TOLERANCE) -> DataFrame:
     """hosts (host, pages, allowed, blocked: seed weights) and edges (src, dst, n) to host,
-    trust, distrust, importance. Each vector sums to 1 or is 0."""
+    trust, distrust, importance. Each vector sums to 1 or is 0. Iterates until the tolerance
+    is met, or for ``rounds`` at most if given."""
+    # three vectors move by 2 at most, and by the damping less in each round; one more for rounding
+    bound = rounds if rounds is not None else math.ceil(math.log(tolerance / 6) / math.log(damping)) + 1
     edges = stored(edges, "edges")
     ends = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
     hosts = hosts.join(ends, "host", "full").na.fill(0, ["pages", "allowed", "blocked"])
@@ -81,7 +87,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     seed = {v: (F.col(s) / F.lit(float(total[s] or 1))) for v, s in names.items()}
     ranks = stored(hosts.select("host", "out_n", "in_n", *[e.alias(f"{v}_seed") for v, e in seed.items()],
                                 *[e.alias(v) for v, e in seed.items()]), "ranks")
-    for _ in range(rounds):
+    for _ in range(bound):
         give = ranks.select("host", *[(F.col(v) / F.col("in_n" if v == "distrust" else "out_n")).alias(v) for v in names])
         zero = F.lit(0.0)
         along = edges.join(give, edges["src"] == give["host"]).select(
@@ -98,6 +104,9 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
             "host", "out_n", "in_n", *[f"{v}_seed" for v in names], *[e.alias(v) for v, e in new.items()], moved.alias("moved")), "ranks")
         if (ranks.agg(F.sum("moved")).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError("propagation did not settle")
     return ranks.select("host", *names)
 
 

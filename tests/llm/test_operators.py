@@ -505,6 +505,15 @@ def test_propagation_equals_power_iteration(spark):
         assert np.allclose([got[f"h{i}"][name] for i in range(n)], power(m.astype(float), s.astype(float)))
 
 
+def test_distrust_goes_beyond_thirty_links(spark):
+    """A chain of hosts that ends in a blocked one: distrust falls by the damping with each link."""
+    n = 35
+    hosts = spark.createDataFrame([(f"h{i}", 1, 0, int(i == n - 1)) for i in range(n)], "host string, pages long, allowed long, blocked long")
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(n - 1)], "src string, dst string, n long")
+    got = {r["host"]: r["distrust"] for r in url_filter.propagate(hosts.coalesce(1), edges.coalesce(1), tolerance=1e-3).collect()}
+    assert abs(got["h0"] / (got[f"h{n - 1}"] * 0.85 ** (n - 1)) - 1) < 0.1
+
+
 def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     page = '<a href="https://{}/x">y</a>'
     rows = [(1, "http://bad.net/a", None), *[(10 + i, "http://farm.com/x", page.format("bad.net")) for i in range(3)],
