@@ -65,4 +65,29 @@ SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens,
 FROM c
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_warc_writer": OP7, "op8_event_sourced": OP8, "op10_temperature_mix": OP10}
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+q AS (
+  SELECT DISTINCT item_id, term FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+p AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY rid, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs),
+m AS (SELECT rid, doc_id, 100 - 90 + (90 * len(t) * n_docs) // n_terms AS m FROM d, s WHERE len(t) > 0),
+r AS (
+  SELECT item_id, doc_id, rid, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY item_id, doc_id, rid),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+      FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_hybrid_taat_daat": OP13, "op7_warc_writer": OP7, "op8_event_sourced": OP8, "op10_temperature_mix": OP10}

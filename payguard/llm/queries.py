@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import (
-    chat_format, langid, minhash_dedup, mixing, multi_index, multiset_hash, ngram_lm, packing, url_filter, warc)
+    chat_format, langid, lexical_search, minhash_dedup, mixing, multi_index, multiset_hash, ngram_lm, packing, periodic_runs,
+    projection_search, url_filter, warc)
 from payguard.llm.oracle import ORACLE_SQL  # noqa: F401
 from payguard.llm.common import fold, table, work_folder
 
@@ -84,5 +85,22 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
 
 
+def op11_projected_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    out = projection_search.search(vectors, F.col("vec_id") % 20 == 0)
+    return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op12_scale_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_runs.planted("doc_id", "text").alias("text"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs)).withColumnRenamed("id", "doc_id")
+
+
+def op13_hybrid_taat_daat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("query").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_script_viterbi, op2_deleted_interpolation, op3_inverted_multi_index, op4_shortest_pack_first, op5_minhash, op6_multiset_hash,
-                               op7_warc_writer, op8_event_sourced, op9_link_graph, op10_temperature_mix)}
+                               op7_warc_writer, op8_event_sourced, op9_link_graph, op10_temperature_mix, op11_projected_kd_tree,
+                               op12_scale_tiles, op13_hybrid_taat_daat)}

@@ -22,6 +22,8 @@ _WORD = np.ones(256, dtype=bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
 _LETTERISH = np.zeros(256, dtype=bool)  # ASCII letters and every byte of a non-ASCII character
 _LETTERISH[65:91] = _LETTERISH[97:123] = _LETTERISH[128:] = True
+TERM = _LETTERISH.copy()  # these and ASCII digits
+TERM[48:58] = True
 
 #: Bytes of text handled at a time inside a task.
 CHUNK_BYTES = 4 << 20
@@ -67,14 +69,14 @@ class Texts:
         np.take(_LOWER, self.buf, out=self.buf)
         return self
 
-    def runs(self, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self, letters: bool = False, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, first run of each row) of maximal runs of non-blank
-        bytes (``letters``: of ASCII letters and non-ASCII characters)."""
+        bytes (``letters``: of ASCII letters and non-ASCII characters; ``of``: of the bytes in a table)."""
         b = self.data
         if not len(b):
             z = np.zeros(0, np.int64)
             return z, z, np.zeros(len(self.off), np.int64)
-        w = (_LETTERISH if letters else _WORD)[b]
+        w = (of if of is not None else _LETTERISH if letters else _WORD)[b]
         first = w.copy()
         first[1:] &= ~w[:-1]
         cut = self.off[:-1]
