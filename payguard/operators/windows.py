@@ -114,7 +114,7 @@ def distinct_in_range(df: DataFrame, keys: list[str], member: str, span_ms: int,
                       ms: str = "ms", seq: str = "seq", bucket_ms: int = HOUR_MS,
                       method: str = "auto", ties: str = "peers") -> DataFrame:
     """Add ``out`` = distinct ``member`` values of the same ``keys`` with an
-    event in ``[ms - span_ms, ms]``. Rows must have non-null keys/member.
+    event in ``[ms - span_ms, ms]``. A null member counts as none. Rows must have non-null keys and times.
     ``ties="peers"`` counts every row at the current ms (SQL RANGE);
     ``ties="arrival"`` counts rows at the current ms only up to this one in
     ``seq`` order (the sequential reference behaviour).
@@ -132,7 +132,8 @@ def distinct_in_range(df: DataFrame, keys: list[str], member: str, span_ms: int,
         w = (Window.partitionBy(*keys).orderBy(ms).rangeBetween(-span_ms, Window.currentRow))
         return df.withColumn(out, F.size(F.collect_set(member).over(w)).cast("long"))
     if method == "prefix":
-        return _distinct_prefix(df, keys, member, span_ms, out, ms, seq, bucket_ms, ties)
+        some = df.withColumn("_pg_member", F.coalesce(F.col(member).cast("string"), F.lit("\u0000")))
+        return _distinct_prefix(some, keys, "_pg_member", span_ms, out, ms, seq, bucket_ms, ties).drop("_pg_member")
     if method != "island":
         raise ValueError(f"unknown method {method!r}")
     edge = span_ms + 1
@@ -140,8 +141,9 @@ def distinct_in_range(df: DataFrame, keys: list[str], member: str, span_ms: int,
     wm = Window.partitionBy(*keys, _B, member).orderBy(ms, seq)
     loc = (loc.withColumn("_pg_prev", F.lag(ms).over(wm))
               .withColumn("_pg_next", F.lead(ms).over(wm)))
-    start = F.col("_pg_prev").isNull() | (F.col(ms) >= F.col("_pg_prev") + edge)
-    stop = F.col("_pg_next").isNull() | (F.col("_pg_next") >= F.col(ms) + edge)
+    known = F.col(member).isNotNull()
+    start = known & (F.col("_pg_prev").isNull() | (F.col(ms) >= F.col("_pg_prev") + edge))
+    stop = known & (F.col("_pg_next").isNull() | (F.col("_pg_next") >= F.col(ms) + edge))
     # one output row per input copy (delta 0 keeps real rows), plus an extra
     # -1 row when the run ends here; +1 rides on the row itself
     d_self = F.when(start, F.lit(1)).otherwise(F.lit(0))
@@ -168,8 +170,9 @@ def _distinct_prefix(df: DataFrame, keys: list[str], member: str, span_ms: int,
     by a parallel prefix sum: no row copies, any window length."""
     edge = span_ms + 1
     pn = prev_next_ms(df, [*keys, member], ms, seq, bucket_ms, "_pg_prev", "_pg_next")
-    start = F.col("_pg_prev").isNull() | (F.col(ms) >= F.col("_pg_prev") + edge)
-    stop = F.col("_pg_next").isNull() | (F.col("_pg_next") >= F.col(ms) + edge)
+    known = F.col(member) != F.lit("\u0000")
+    start = known & (F.col("_pg_prev").isNull() | (F.col(ms) >= F.col("_pg_prev") + edge))
+    stop = known & (F.col("_pg_next").isNull() | (F.col("_pg_next") >= F.col(ms) + edge))
     items = F.array(
         F.struct(F.col(ms).alias("t"), F.lit(1).alias("k"), F.when(start, 1).otherwise(0).alias("d"),
                  F.lit(True).alias("keep")),
@@ -213,32 +216,42 @@ def count_in_range(df: DataFrame, keys: list[str], span_ms: int, out: str, ms: s
 
 # --- the three reference computations ----------------------------------------
 
+def _keyed_or_alone(events: DataFrame, name: str, key: Column, alone: Column) -> DataFrame:
+    """``name`` and ``_pg_ms``: rows without a key or a time get a key of their own
+    (a one-row group each), so they are neither lost nor a hot key."""
+    alone = alone | F.col("ms").isNull()
+    return (events.withColumn(name, F.when(alone, F.concat(F.lit("\u0000"), F.col("event_id"))).otherwise(key))
+            .withColumn("_pg_ms", F.coalesce("ms", F.lit(0).cast("long"))))
+
+
 def merchant_burst(events: DataFrame, window_ms: int, out: str = "merchant_users",
                    bucket_ms: int = HOUR_MS, method: str = "auto", ties: str = "peers") -> DataFrame:
     """Distinct users per merchant in ``[t - window, t]``.
 
-    Null merchant: 0 (rule not eligible). Blank merchant: 1. Both are keyed
-    per event (a one-row group each), so they neither form a hot key nor
-    need a second scan and a union; the count is fixed afterwards.
+    Null merchant: 0 (rule not eligible). Blank merchant, or no time: 1. These are keyed
+    per event, so they need no second scan and no union; the count is fixed
+    afterwards. Events without a user see the merchant's users and add none.
     """
     from payguard.functions import is_blank
 
     m = F.col("merchant_id")
-    solo = m.isNull() | is_blank(m)
-    keyed = events.withColumn("_pg_mkey", F.when(solo, F.concat(F.lit("\u0000"), F.col("event_id"))).otherwise(m))
+    keyed = _keyed_or_alone(events, "_pg_mkey", m, m.isNull() | is_blank(m))
     if method == "naive":
-        counted = distinct_in_range(keyed, ["_pg_mkey"], "user_id", window_ms, out, method="naive")
+        counted = distinct_in_range(keyed, ["_pg_mkey"], "user_id", window_ms, out, ms="_pg_ms", method="naive")
     else:
-        counted = distinct_in_range(keyed, ["_pg_mkey"], "user_id", window_ms, out,
+        counted = distinct_in_range(keyed, ["_pg_mkey"], "user_id", window_ms, out, ms="_pg_ms",
                                     bucket_ms=bucket_ms, method=method, ties=ties)
-    fixed = F.when(m.isNull(), F.lit(0)).when(is_blank(m), F.lit(1)).otherwise(F.col(out)).cast("long")
-    return counted.withColumn(out, fixed).drop("_pg_mkey")
+    fixed = F.when(m.isNull(), F.lit(0)).when(is_blank(m) | F.col("ms").isNull(), F.lit(1)).otherwise(F.col(out)).cast("long")
+    return counted.withColumn(out, fixed).drop("_pg_mkey", "_pg_ms")
 
 
 def velocity(events: DataFrame, window_ms: int, out: str = "velocity_7d",
              bucket_ms: int = HOUR_MS, method: str = "auto") -> DataFrame:
-    """Events of the user in ``[t - window, t]`` (the current one included)."""
-    return count_in_range(events, ["user_id"], window_ms, out, bucket_ms=bucket_ms, method=method)
+    """Events of the user in ``[t - window, t]`` (the current one included). An event
+    without a user or a time counts itself alone."""
+    keyed = _keyed_or_alone(events, "_pg_ukey", F.col("user_id"), F.col("user_id").isNull())
+    out_df = count_in_range(keyed, ["_pg_ukey"], window_ms, out, ms="_pg_ms", bucket_ms=bucket_ms, method=method)
+    return out_df.drop("_pg_ukey", "_pg_ms")
 
 
 def rate_limit(calls: DataFrame, window_ms: int, limit: int, count_col: str = "rate_count",

@@ -116,7 +116,7 @@ from payguard.operators import rules as R  # noqa: E402
 
 
 def _rule_asof(ev, log):
-    j = R.attach_rule_params(ev, R.rule_versions(log, CFG), CFG, R.last_change_ms(log))
+    j = R.apply_rule_log(ev, log, CFG)
     return j.select("event_id", "rule_version_ms", *[F.col(f"rp_{p}").alias(p) for p in R.PARAMS])
 
 

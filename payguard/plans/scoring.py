@@ -3,8 +3,8 @@ high-risk and alert tables out.
 
 Plan shape: one exchange on merchant(+time bucket) for W1, one on
 user(+time bucket) for W3, a join on user for the profile lookup (broadcast
-by AQE when the profile side is small at run time) and a bucketed as-of join
-to the broadcast rule versions. Everything else is row-wise codegen.
+by AQE when the profile side is small at run time). Rule versions are literals when
+few, else merged in by time. Everything else is row-wise codegen.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def score_events(events: DataFrame, cfg: RiskConfig, profiles: DataFrame | None
                  rule_updates: DataFrame | None = None, method: str = "auto") -> Scored:
     ev = enrich(events, cfg, profiles, method)
     if rule_updates is not None:
-        ev = R.attach_rule_params(ev, R.rule_versions(rule_updates, cfg), cfg, R.last_change_ms(rule_updates))
+        ev = R.apply_rule_log(ev, rule_updates, cfg)
         params = R.dynamic_params()
     else:
         params = R.static_params(cfg)

@@ -3,11 +3,15 @@ checkpoint folder."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN_FOLDERS: list[str] = []
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "payguard") -> SparkSession:
@@ -60,6 +64,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def run_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared checkpoint folder for one run of a query; it is
+    deleted when the process that made it ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not _RUN_FOLDERS:
+        atexit.register(drop_run_folders)
+    _RUN_FOLDERS.append(path)
+    return path
+
+
+def drop_run_folders() -> None:
+    """Delete the folders of this process's runs (a session that has stopped leaves them)."""
+    spark = SparkSession.getActiveSession() or SparkSession._instantiatedSession
+    while _RUN_FOLDERS and spark is not None and spark.sparkContext._jsc is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_RUN_FOLDERS.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Does the path exist, in whatever store Spark reads it from?"""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

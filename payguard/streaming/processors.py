@@ -1,5 +1,5 @@
-"""Keyed stateful stream operators (T2/T4, T8, T9, T10) on
-``applyInPandasWithState``.
+"""Keyed stateful stream operators with a state of fixed size per key
+on ``applyInPandasWithState``; ``keyed_state`` has those with an entry per member.
 
 Each keeps per-key state in the state store (RocksDB provider, checkpointed
 with the query) and processes a key's rows of a micro-batch in arrival order
@@ -14,7 +14,6 @@ moves the rows as Arrow batches.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from payguard.config import DAY_MS, RiskConfig
+from payguard.config import DAY_MS
 
 STATE_TTL_MS = 30 * DAY_MS
 
@@ -35,104 +34,6 @@ def _rows(pdfs: Iterator[pd.DataFrame], order: tuple[str, ...] = ("seq",)) -> pd
     return pd.concat(frames, ignore_index=True).sort_values(list(order), kind="stable")
 
 
-class LastSeen:
-    """Members with the time each was last put, oldest first on a heap: a put and
-    the pruning it causes cost log n, not a pass over the members."""
-
-    def __init__(self, members=(), times=()):
-        self.at = dict(zip(members, (int(t) for t in times)))
-        self.heap = [(t, m) for m, t in self.at.items()]
-        heapq.heapify(self.heap)
-
-    def put(self, member, ms: int) -> None:
-        self.at[member] = ms
-        heapq.heappush(self.heap, (ms, member))
-
-    def drop_before(self, ms: int) -> None:
-        while self.heap and self.heap[0][0] < ms:
-            t, m = heapq.heappop(self.heap)
-            if self.at.get(m) == t:
-                del self.at[m]
-
-    def state(self) -> tuple[list, list]:
-        return list(self.at.keys()), list(self.at.values())
-
-
-# --- T2/T4: merchant burst ------------------------------------------------------
-
-BURST_STATE = "users array<string>, seen array<long>, max_ts long"
-
-
-def merchant_burst_stream(events: DataFrame, cfg: RiskConfig, lag_ms: int = 0,
-                          columns: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """W1 on a stream keyed by merchant: prune users last seen before
-    ``max_ts - lag_ms - window`` (max_ts includes the current row), put the
-    current user with its arrival time, count. ``lag_ms = 0`` equals the
-    batch operator for in-order input; ``skew + 1`` mimics the reference job's
-    watermark look-back. Emits ``columns`` of the row and merchant_users."""
-    window = cfg.burst_window_ms
-    cols = list(columns)
-    need = list(dict.fromkeys([*cols, "merchant_id", "user_id", "ms", "seq"]))
-    out_schema = T.StructType([events.schema[c] for c in cols] + [T.StructField("merchant_users", T.LongType())])
-
-    def step(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _rows(pdfs)
-        if not len(rows):
-            return
-        users, times, max_ts = state.get if state.exists else ((), (), None)
-        seen, counts = LastSeen(users, times), []
-        for user, ms in zip(rows["user_id"], rows["ms"]):
-            ms = int(ms)
-            max_ts = ms if max_ts is None else max(max_ts, ms)
-            seen.drop_before(max_ts - lag_ms - window)
-            seen.put(user, ms)
-            counts.append(len(seen.at))
-        state.update((*seen.state(), int(max_ts)))
-        state.setTimeoutDuration(STATE_TTL_MS)
-        out = rows[cols].copy()
-        out["merchant_users"] = pd.Series(counts, dtype="int64").values
-        yield out
-
-    return (events.select(*need).groupBy("merchant_id")
-            .applyInPandasWithState(step, out_schema, BURST_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout))
-
-
-# --- T8: rate limiter -----------------------------------------------------------
-
-RATE_OUT = "event_id string, rate_count long, rate_blocked boolean"
-RATE_STATE = "ids array<string>, scores array<long>"
-
-
-def rate_limit_stream(calls: DataFrame, window_ms: int, limit: int) -> DataFrame:
-    """W2 keyed by user: add the request id at now, drop ids scored at or
-    before now - window, count; blocked iff count > limit."""
-    def step(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _rows(pdfs)
-        if not len(rows):
-            return
-        members = LastSeen(*state.get) if state.exists else LastSeen()
-        ids, counts, blocked = [], [], []
-        for ev_id, rid, ms in zip(rows["event_id"], rows["request_id"], rows["ms"]):
-            ms = int(ms)
-            members.put(rid, ms)
-            members.drop_before(ms - window_ms + 1)
-            ids.append(ev_id)
-            counts.append(len(members.at))
-            blocked.append(len(members.at) > limit)
-        state.update(members.state())
-        state.setTimeoutDuration(STATE_TTL_MS)
-        yield pd.DataFrame({"event_id": ids, "rate_count": counts, "rate_blocked": blocked})
-
-    return (calls.select("user_id", "event_id", "request_id", "ms", "seq").groupBy("user_id")
-            .applyInPandasWithState(step, RATE_OUT, RATE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout))
-
-
 # --- T10: alert cool-down ---------------------------------------------------------
 
 COOL_OUT = "alert_id string, allowed boolean"
@@ -172,6 +73,12 @@ BAN_OUT = ("request_key string, user_id string, reason string, severity int, ttl
            " accepted boolean, expires_ms long")
 
 
+def ban_timeout_ms(expires_ms: int, now_ms: int) -> int:
+    """How long an idle user's ban is kept: to its expiry at least, so a milder set is
+    refused however long the hold."""
+    return max(STATE_TTL_MS, expires_ms - now_ms + 1)
+
+
 def ban_stream(requests: DataFrame) -> DataFrame:
     """T9 keyed by user: a set is accepted when no ban is live (``ms <
     expiry``) or the live one has a lower severity; ttl 0 = permanent."""
@@ -194,7 +101,7 @@ def ban_stream(requests: DataFrame) -> DataFrame:
             exps.append(exp if ok else None)
         state.update((int(exp), int(sev)))
         if exp >= 0:
-            state.setTimeoutDuration(STATE_TTL_MS)
+            state.setTimeoutDuration(ban_timeout_ms(int(exp), state.getCurrentProcessingTimeMs()))
         out = rows[["request_key", "user_id", "reason", "severity", "ttl_seconds", "ms"]].copy()
         out["accepted"] = acc
         out["expires_ms"] = pd.array(exps, dtype="Int64")

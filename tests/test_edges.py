@@ -207,3 +207,34 @@ def test_update_by_key_and_bootstrap(spark):
     again = RA.bootstrap(rules, gone, log)
     assert again.agg(F.min("log_offset")).first()[0] > 42
     assert [r.rule_id for r in RA.latest_state(log.unionByName(again)).collect()] == ["r1"]
+
+
+def test_rule_lookup_forms_agree(spark, monkeypatch):
+    """Literals, a local log merged, and a log swept in buckets and merged give the same
+    parameters; events before, after and without a time included."""
+    import datetime as dt
+    import random
+
+    from payguard import schemas
+
+    rng = random.Random(8)
+    at = lambda ms: dt.datetime.fromtimestamp(ms / 1000, dt.timezone.utc)
+    log = [(f"r{rng.randint(0, 5)}", rng.choice(["large_amount", "global", "high_velocity_7d", "x"]), rng.random() < 0.8,
+            {"score_delta": str(i), "block_threshold": str(50 + i)}, at(1_000_000 + rng.randint(0, 40) * 3_000), i) for i in range(45)]
+    updates = spark.createDataFrame(log, schemas.RULE_UPDATE)
+    ev = spark.createDataFrame([(f"e{i}", None if i == 7 else 990_000 + rng.randint(0, 150_000)) for i in range(400)], "event_id string, ms long")
+    literal = sorted(map(tuple, R.apply_rule_log(ev, updates, CFG).collect()))
+    monkeypatch.setattr(R, "SMALL_VERSIONS", 3)
+    assert sorted(map(tuple, R.apply_rule_log(ev, updates, CFG).collect())) == literal
+    monkeypatch.setattr(R, "SMALL_LOG_ROWS", 5)
+    monkeypatch.setattr(R.small_versions, "__defaults__", (5,))
+    assert sorted(map(tuple, R.apply_rule_log(ev, updates, CFG).collect())) == literal
+    versions = R.rule_versions(updates, CFG, points_per_bucket=4)
+    for bucket_ms, salts in ((1_000, 1), (7_000, 3), (10**9, 2)):
+        got = R.asof_merge(ev, versions, R.change_span(updates), bucket_ms=bucket_ms, salts=salts)
+        assert got.count() == 400
+        assert {r.event_id: r.valid_from_ms for r in got.collect()} == {r[0]: r[2] for r in literal}
+    none = updates.filter("false")
+    assert R.apply_rule_log(ev, none, CFG).filter("rule_version_ms IS NULL").count() == 400
+    assert R.attach_rule_params(ev, R.rule_versions(none, CFG), CFG, R.change_span(none)).count() == 400
+    assert R.apply_rule_log(ev.filter("false"), updates, CFG).count() == 0

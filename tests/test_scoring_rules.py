@@ -130,7 +130,7 @@ def test_g38_enable_then_disable(spark, events_df):
         {"merchant_users": F.lit(0).cast("long"), "velocity_7d": F.lit(0).cast("long"), "blacklisted": F.lit(False)})
     versions = R.rule_versions(updates, CFG)
     got = {r.event_id: (r.decision, r.risk_score, list(r.reasons))
-           for r in S.evaluate(R.attach_rule_params(ev, versions, CFG), R.dynamic_params(), CFG).collect()}
+           for r in S.evaluate(R.attach_rule_params(ev, versions, CFG, R.change_span(updates)), R.dynamic_params(), CFG).collect()}
     assert got == {"e1": ("BLOCK", 80, ["large_amount"]), "e2": ("ALLOW", 0, [])}
 
 

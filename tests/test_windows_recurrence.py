@@ -184,3 +184,32 @@ def test_interval_join_open_and_long_intervals_after_last_start(spark, events_df
     got = {r.event_id: r.reason for r in interval_join(ev, bans, "ms", "valid_from_ms", "valid_to_ms",
                                                         keys=("user_id",), start_inclusive=False).collect()}
     assert got == {"a": "perm", "b": "long", "c": None, "d": None, "e": None}
+
+
+def test_no_event_is_lost_without_user_merchant_or_time(spark, events_df):
+    """Every event has exactly one decision (P8), whatever is missing from it."""
+    from payguard.config import TESTDATA_CONFIG as CFG
+    from payguard.plans import scoring as Q
+
+    rows = []
+    for i in range(200):
+        r = event_row(event_id=f"e{i}", user=None if i % 10 == 0 else f"u{i % 7}", merchant=None if i % 9 == 0 else " " if i % 9 == 1 else f"m{i % 3}",
+                      ms=T0_MS + i * 1_000, seq=i)
+        if i % 11 == 0:
+            r["ms"] = None
+        rows.append(r)
+    ev = events_df(rows)
+    out = {}
+    for method in ("island", "prefix"):
+        from payguard.operators import windows as W
+        v = W.velocity(W.merchant_burst(ev, 60_000, method=method), 60_000, method=method)
+        out[method] = {r.event_id: (r.merchant_users, r.velocity_7d) for r in v.collect()}
+    assert out["island"] == out["prefix"] and len(out["island"]) == 200
+
+    def want(r):
+        timed = [x for x in rows if x["ms"] is not None and r["ms"] is not None and r["ms"] - 60_000 <= x["ms"] <= r["ms"]]
+        m = r["merchant_id"]
+        users = 0 if m is None else 1 if m == " " or r["ms"] is None else len({x["user_id"] for x in timed if x["merchant_id"] == m} - {None})
+        return users, 1 if r["user_id"] is None or r["ms"] is None else sum(x["user_id"] == r["user_id"] for x in timed)
+    assert out["island"] == {r["event_id"]: want(r) for r in rows}
+    assert Q.score_events(ev, CFG).decisions.count() == 200
