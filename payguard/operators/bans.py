@@ -17,6 +17,7 @@ from payguard.config import BAN_LADDER, RiskConfig
 from payguard.functions import ban_value
 from payguard.operators.joins import interval_join
 from payguard.operators.recurrence import _FOREVER, greedy_accept
+from payguard.session import cut_lineage
 
 
 def decisions_to_ban_requests(decisions: DataFrame, cfg: RiskConfig) -> DataFrame:
@@ -90,6 +91,7 @@ def events_under_ban(events: DataFrame, bans: DataFrame) -> DataFrame:
     """Flag events of users with a live ban: set strictly before the
     event, not expired at it, and not replaced before it. Adds ``ban_reason`` (null = none)."""
     b = live_bans(bans).select("user_id", "valid_from_ms", "gate_to_ms", F.col("reason").alias("ban_reason"))
-    j = interval_join(events, b, "ms", "valid_from_ms", "gate_to_ms", keys=("user_id",), how="left",
+    # stored, as the join reads the bans for their last start and again for the rows
+    j = interval_join(events, cut_lineage(b, "bans"), "ms", "valid_from_ms", "gate_to_ms", keys=("user_id",), how="left",
                       start_inclusive=False)
     return j.drop("valid_from_ms", "gate_to_ms")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from payguard.operators.windows import _B, _localize, local_bucket_ms
+from payguard.session import cut_lineage
 
 
 def sequence_pattern(events: DataFrame, first_type: str, second_type: str, third_type: str,
@@ -74,7 +75,7 @@ def block_rate_vs_baseline(decisions: DataFrame, width_ms: int = 3_600_000, base
     start = (F.floor(F.col("ms") / width_ms) * width_ms).cast("long")
     w = decisions.groupBy(start.alias("window_start_ms")).agg(
         F.count(F.lit(1)).alias("total"), F.sum(F.when(F.col("decision") == "BLOCK", 1).otherwise(0)).alias("blocks"))
-    w = w.withColumn("block_rate", F.col("blocks") / F.col("total"))
+    w = cut_lineage(w.withColumn("block_rate", F.col("blocks") / F.col("total")), "rates")  # a row per window, read twice below
     fwd = w.select(F.explode(F.sequence(F.col("window_start_ms") + width_ms,
                                         F.col("window_start_ms") + baseline_windows * width_ms,
                                         F.lit(width_ms))).alias("window_start_ms"), "block_rate")

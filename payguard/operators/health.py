@@ -8,10 +8,10 @@ bucketed neighbour lookup, not a global window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from payguard.operators.windows import prev_next_ms, running_sum
+from payguard.operators.windows import _B, _localize, local_bucket_ms, prev_next_ms, running_sum
 
 
 def _bucket_start(ms: Column, width_ms: int) -> Column:
@@ -105,14 +105,48 @@ def percentiles(rows: DataFrame, value: str, by: list[str], qs=(0.5, 0.95, 0.99)
     return g.select(*by, *[at(q).alias(f"p{int(round(q * 100))}") for q in qs])
 
 
-def counter_increase(series: DataFrame, key: list[str], width_ms: int) -> DataFrame:
-    """Last - first of a cumulative counter per (key, window); ``alert``
-    when the increase is positive."""
-    g = series.groupBy(*key, _bucket_start(F.col("ms"), width_ms).alias("window_start_ms")).agg(
-        (F.max_by("value", "ms") - F.min_by("value", "ms")).alias("increase"))
+def _steps(last: Column, value: Column) -> Column:
+    """What a cumulative counter gained since its last sample: after a reset (a smaller
+    value) it has gained its value; a first sample gained nothing."""
+    return F.when(last.isNull(), F.lit(0)).when(value < last, value).otherwise(value - last)
+
+
+def counter_increase(series: DataFrame, key: list[str], width_ms: int, seq: str | None = None) -> DataFrame:
+    """Gain of a cumulative counter between the first and last sample of each (key, window),
+    resets corrected; ``alert`` when it is positive."""
+    start = _bucket_start(F.col("ms"), width_ms)
+    w = Window.partitionBy(*key, "window_start_ms").orderBy("ms", *([seq] if seq else []))
+    s = series.withColumn("window_start_ms", start)
+    s = s.withColumn("_gain", _steps(F.lag("value").over(w), F.col("value")))
+    g = s.groupBy(*key, "window_start_ms").agg(F.sum("_gain").alias("increase"))
     return g.withColumn("alert", F.col("increase") > 0)
 
 
+def _last_value(series: DataFrame, key: list[str], bucket_ms: int) -> DataFrame:
+    """``_last``: the value of the key's sample before (order ms, seq). As ``prev_next_ms``: within
+    time buckets by ``lag``, across them from the last sample of the bucket before."""
+    raw = series.withColumn("_b", F.floor(F.col("ms") / bucket_ms))
+    local = raw.withColumn("_lag", F.lag("value").over(Window.partitionBy(*key, "_b").orderBy("ms", "seq")))
+    ends = raw.groupBy(*key, "_b").agg(F.max_by("value", F.struct("ms", "seq")).alias("_end"))
+    before = F.lag("_end").over(Window.partitionBy(*key).orderBy("_b"))
+    return (local.join(ends.select(*key, "_b", before.alias("_end")), [*key, "_b"])
+            .withColumn("_last", F.coalesce("_lag", "_end")).drop("_b", "_lag", "_end"))
+
+
+def increase(series: DataFrame, key: list[str], range_ms: int, threshold: int = 0, bucket_ms: int = 86_400_000) -> DataFrame:
+    """A13 as ``increase(counter[range]) > threshold`` at each sample: the gain, resets corrected, from the
+    first sample of the last ``range_ms`` to this one. Needs key, ms, seq, value; rows without a key or a time
+    have no series and go. A hot key is split by time."""
+    known = series.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*key, "ms", "value"]))
+    steps = _last_value(known, key, bucket_ms).withColumn("_gain", _steps(F.col("_last"), F.col("value")))
+    loc = _localize(steps, key, "ms", range_ms, local_bucket_ms(range_ms, bucket_ms))
+    frame = Window.partitionBy(*key, _B).orderBy("ms").rangeBetween(-range_ms, Window.currentRow)
+    # the gain of the window's first sample came before the window
+    first = F.min(F.struct("ms", "seq", "_gain")).over(frame)["_gain"]
+    out = loc.withColumn("increase", F.sum("_gain").over(frame) - first).filter("_pg_real")
+    return out.select(*key, "ms", "seq", "increase", (F.col("increase") > threshold).alias("alert"))
+
+
 def silences(rows: DataFrame, key: list[str], gap_ms: int, seq: str = "seq") -> DataFrame:
     """A13 absence: per key, stretches longer than ``gap_ms`` with no row
     (neighbour lookup split by time bucket, so a hot key is not one task)."""
@@ -120,3 +154,14 @@ def silences(rows: DataFrame, key: list[str], gap_ms: int, seq: str = "seq") ->
     return pn.filter(F.col("next_ms") - F.col("ms") > gap_ms).select(
         *key, F.col("ms").alias("silent_from_ms"), F.col("next_ms").alias("silent_to_ms"),
         (F.col("next_ms") - F.col("ms")).alias("gap_ms"))
+
+
+def absent(rows: DataFrame, key: list[str], gap_ms: int, now_ms: int, expected: DataFrame | None = None) -> DataFrame:
+    """A13 as ``absent``: keys with no row in the last ``gap_ms`` before ``now_ms``: since when
+    they are silent, and for how long. ``expected`` (distinct keys): those without any row are
+    absent too, with null times. Rows after ``now_ms`` have not happened yet."""
+    last = rows.filter(F.col("ms") <= now_ms).groupBy(*key).agg(F.max("ms").alias("silent_from_ms"))
+    if expected is not None:
+        last = expected.select(*key).distinct().join(last, key, "left")
+    gone = F.lit(now_ms) - F.col("silent_from_ms")
+    return last.withColumn("gap_ms", gone).filter(F.col("gap_ms").isNull() | (F.col("gap_ms") > gap_ms))

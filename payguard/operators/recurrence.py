@@ -14,8 +14,8 @@ its rows (no result depends on the choice):
 * ``doubling``: each row's successor (the row that would be accepted next if
   this one is) is found with bucketed windows; the accepted rows are the
   chain of successors from each key's first row, marked by pointer doubling
-  (log2(chain length) rounds of joins on unique row ids, lineage cut by a
-  reliable checkpoint each round). No key is ever collected into one task.
+  (log2(chain length) rounds of joins on unique row ids, a stored table
+  each round). No key is ever collected into one task.
 """
 
 from __future__ import annotations

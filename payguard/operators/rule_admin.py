@@ -121,6 +121,9 @@ def latest_state(change_log: DataFrame) -> DataFrame:
     return last.filter(F.col("rule_type").isNotNull() & F.coalesce("enabled", F.lit(False)))
 
 
+RANGES = 256  # hash ranges in which a bootstrap numbers its records
+
+
 def bootstrap(rules: DataFrame, deleted_ids: DataFrame | None = None, change_log: DataFrame | None = None) -> DataFrame:
     """Re-emit every live rule (and a tombstone per deleted id) to the rule
     log, so a fresh consumer rebuilds its state. Offsets continue after the
@@ -136,4 +139,11 @@ def bootstrap(rules: DataFrame, deleted_ids: DataFrame | None = None, change_log
     if change_log is not None:
         last = change_log.agg(F.max("log_offset")).first()[0]  # scalar
         start = 0 if last is None else int(last) + 1
-    return live.withColumn("log_offset", F.lit(start) + F.monotonically_increasing_id())
+    # numbered by rule within hash ranges, after the rows of earlier ranges: independent of partitions
+    live = live.withColumn("_r", F.pmod(F.xxhash64("rule_id"), F.lit(RANGES)).cast("int"))
+    sizes = live.groupBy("_r").agg(F.count("*").alias("_n")).withColumn("_k", F.lit(0))
+    earlier = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    before = sizes.select("_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_r").orderBy("rule_id", F.col("rule_type").asc_nulls_first()))
+    numbered = live.withColumn("_p", place).join(before, "_r")
+    return numbered.withColumn("log_offset", F.lit(start) + F.col("_before") + F.col("_p") - 1).drop("_r", "_p", "_before")

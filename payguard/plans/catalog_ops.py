@@ -164,6 +164,24 @@ def a13_counter_increase(spark, sf):
     return H.counter_increase(series, ["merchant_id"], DAY)
 
 
+def a13_increase(spark, sf):
+    """Increase over sliding six hours of a counter per merchant that starts anew every 50 events."""
+    from payguard.operators import windows as W
+    ev = C._events(spark, sf).filter("merchant_id IS NOT NULL").select("merchant_id", "ms", "seq", F.lit(1).alias("one"))
+    n = W.running_sum(ev, ["merchant_id"], "ms", "one", "n", DAY, ["seq"])
+    series = n.select("merchant_id", "ms", "seq", F.pmod(F.col("n"), F.lit(50)).alias("value"))
+    return H.increase(series, ["merchant_id"], 6 * HOUR, threshold=3).drop("seq")
+
+
+def a13_absent(spark, sf):
+    """Users silent for two days or more at the end, and expected ones never seen."""
+    ev = C._events(spark, sf)
+    now = ev.agg(F.max("ms")).first()[0]  # scalar: the data's "now"
+    expected = ev.select("user_id").distinct().unionByName(
+        ev.filter(F.col("seq") % 100 == 0).select(F.concat(F.lit("never-"), "event_id").alias("user_id")))
+    return H.absent(ev, ["user_id"], 2 * DAY, now, expected)
+
+
 def d8_ban_ladder(spark, sf):
     return C._events(spark, sf).select("event_id", (F.col("seq") % 7).alias("severity"),
                                        BN.ladder_ttl((F.col("seq") % 7).cast("int")).alias("ttl_seconds"))
@@ -196,6 +214,8 @@ QUERIES = {
     "q6_dlq_replay_all": q6_dlq_replay_all,
     "d1_sequence_wide": d1_sequence_wide,
     "a13_counter_increase": a13_counter_increase,
+    "a13_increase": a13_increase,
+    "a13_absent": a13_absent,
     "d8_ban_ladder": d8_ban_ladder,
     "f10_stored_velocity": f10_stored_velocity,
     "q7_archive_events": q7_archive_events,

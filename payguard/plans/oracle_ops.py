@@ -137,6 +137,20 @@ c AS (SELECT merchant_id, ms, count(*) OVER (PARTITION BY merchant_id ORDER BY m
 SELECT merchant_id, (ms // {DAY}) * {DAY} AS window_start_ms, max(value) - min(value) AS increase, max(value) > min(value) AS alert
 FROM c GROUP BY ALL"""
 
+A13_INCREASE = "WITH " + RISK_EVENTS + f""",
+c AS (SELECT merchant_id, ms, seq, count(*) OVER (PARTITION BY merchant_id ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) % 50 AS value
+      FROM risk_events WHERE merchant_id IS NOT NULL),
+g AS (SELECT *, lag(value) OVER (PARTITION BY merchant_id ORDER BY ms, seq) AS last FROM c),
+d AS (SELECT *, CASE WHEN last IS NULL THEN 0 WHEN value < last THEN value ELSE value - last END AS gain FROM g),
+i AS (SELECT merchant_id, ms, CAST(sum(gain) OVER w - first_value(gain) OVER w AS BIGINT) AS increase
+      FROM d WINDOW w AS (PARTITION BY merchant_id ORDER BY ms RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW))
+SELECT merchant_id, ms, increase, increase > 3 AS alert FROM i"""
+
+A13_ABSENT = "WITH " + RISK_EVENTS + f""",
+now AS (SELECT max(ms) AS now_ms FROM risk_events)
+SELECT user_id, max(ms) AS silent_from_ms, now_ms - max(ms) AS gap_ms FROM risk_events, now GROUP BY user_id, now_ms HAVING now_ms - max(ms) > {2 * DAY}
+UNION ALL SELECT 'never-' || event_id, NULL, NULL FROM risk_events WHERE seq % 100 = 0"""
+
 D8_LADDER = "WITH " + RISK_EVENTS + """
 SELECT event_id, seq % 7 AS severity, CASE seq % 7 WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 86400 WHEN 4 THEN 604800 WHEN 5 THEN 0 END AS ttl_seconds
 FROM risk_events"""
@@ -214,6 +228,8 @@ def all_sql() -> dict[str, str]:
         "q6_dlq_replay_all": Q6_ALL,
         "d1_sequence_wide": D1_WIDE,
         "a13_counter_increase": A13_COUNTER,
+        "a13_increase": A13_INCREASE,
+        "a13_absent": A13_ABSENT,
         "d8_ban_ladder": D8_LADDER,
         "f10_stored_velocity": F10_VELOCITY,
         "q7_archive_events": Q7_ARCHIVE,

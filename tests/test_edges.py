@@ -238,3 +238,86 @@ def test_rule_lookup_forms_agree(spark, monkeypatch):
     assert R.apply_rule_log(ev, none, CFG).filter("rule_version_ms IS NULL").count() == 400
     assert R.attach_rule_params(ev, R.rule_versions(none, CFG), CFG, R.change_span(none)).count() == 400
     assert R.apply_rule_log(ev.filter("false"), updates, CFG).count() == 0
+
+
+def test_counter_resets_and_keys_that_stop(spark):
+    """A reset counts what came after it; open silences and keys never seen are absent."""
+    rows = [("a", 0, 10), ("a", 60_000, 12), ("a", 120_000, 0), ("a", 180_000, 3), ("b", 0, 5), ("b", 170_000, 5), (None, 5, 1)]
+    series = spark.createDataFrame([(k, ms, i, v) for i, (k, ms, v) in enumerate(rows)], "k string, ms long, seq long, value long")
+    got = {r.k: (r.increase, r.alert) for r in H.counter_increase(series.filter("k IS NOT NULL"), ["k"], 600_000).collect()}
+    assert got == {"a": (5, True), "b": (0, False)}
+    for bucket in (1_000, 10**9):
+        slid = {(r.k, r.ms): r.increase for r in H.increase(series, ["k"], 120_000, bucket_ms=bucket).collect()}
+        assert slid == {("a", 0): 0, ("a", 60_000): 2, ("a", 120_000): 2, ("a", 180_000): 3, ("b", 0): 0, ("b", 170_000): 0}
+    expected = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    gone = H.absent(series.filter("k IS NOT NULL"), ["k"], 100_000, 275_000, expected).collect()
+    assert {(r.k, r.silent_from_ms, r.gap_ms) for r in gone} == {("b", 170_000, 105_000), ("c", None, None)}
+
+
+def test_archive_reads_only_touched_partitions(spark, tmp_path):
+    """Batches of one date read that date's folder, and its rows only where a key may be known."""
+    path = f"{tmp_path}/archive"
+    rows = [(f"e{i}", i, f"2026-01-{i % 20 + 1:02d}") for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id string, seq long, event_date string").withColumn("event_date", F.to_date("event_date"))
+    assert AR.append_idempotent(df, path, ["event_id"], ["seq"], ["event_date"]) == 400
+    one = df.filter("event_date = DATE'2026-01-05'")
+    assert AR.append_idempotent(one.unionByName(one.withColumn("event_id", F.concat("event_id", F.lit("-new")))), path, ["event_id"], ["seq"], ["event_date"]) == 20
+    plan = AR.of_partitions(spark.read.parquet(path), one, ["event_date"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "= 2026-01-05" in plan
+    index = spark.read.parquet(f"{path}_index")
+    fresh = one.withColumn("event_id", F.concat("event_id", F.lit("-other")))
+    assert AR.maybe_members(one, index, ["event_id"], ["event_date"]).count() == one.count() == 20
+    assert AR.maybe_members(fresh, index, ["event_id"], ["event_date"]).count() <= 1
+    # a table without bitmaps (from before them) gets them, and loses nothing
+    old = f"{tmp_path}/old"
+    df.write.partitionBy("event_date").parquet(old)
+    assert AR.append_idempotent(df.unionByName(fresh), old, ["event_id"], ["seq"], ["event_date"]) == 20
+    assert spark.read.parquet(old).count() == 420
+    # a commit lost between bitmaps and rows: the replay appends the rows
+    half = df.withColumn("event_id", F.concat("event_id", F.lit("-lost")))
+    AR.index_rows(half, ["event_id"], ["event_date"]).write.mode("append").partitionBy("event_date").parquet(f"{path}_index")
+    assert AR.append_idempotent(half, path, ["event_id"], ["seq"], ["event_date"]) == 400
+    assert AR.append_idempotent(half, path, ["event_id"], ["seq"], ["event_date"]) == 0
+
+
+def test_tables_change_together_or_not_at_all(spark, tmp_path, monkeypatch):
+    from payguard.sources import tables as TB
+
+    t = TB.Tables(spark, str(tmp_path / "t"), {"rules": ["k"], "outbox": ["id"]}, buckets=8)
+    rules = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, v long")
+    outbox = spark.createDataFrame([(1, "a")], "id long, p string")
+    assert t.version() == 0 and t.commit({"rules": rules, "outbox": outbox}, 0) == 1
+    # killed after the first table's folder is written: both tables stay as they were
+    write, calls = TB.Tables._write, []
+
+    def dies(self, name, df):
+        if calls:
+            raise RuntimeError("killed")
+        calls.append(name)
+        return write(self, name, df)
+    monkeypatch.setattr(TB.Tables, "_write", dies)
+    with pytest.raises(RuntimeError, match="killed"):
+        t.commit({"rules": rules.withColumn("v", F.lit(7).cast("long")), "outbox": outbox.unionByName(outbox)}, 1)
+    monkeypatch.setattr(TB.Tables, "_write", write)
+    assert t.version() == 1 and t.read("outbox").count() == 1 and t.read("rules").filter("v = 7").count() == 1
+    # an update by key writes only the buckets of its keys
+    before = t._manifest(1)["rules"]["buckets"]
+    updates = spark.createDataFrame([("k3", 100), ("nobody", 5)], "k string, v long")
+    version, missing = t.update_by_key("rules", updates, ["v"])
+    after = t._manifest(version)["rules"]["buckets"]
+    assert [r.k for r in missing.collect()] == ["nobody"] and sum(after[b] != before[b] for b in after) <= 2
+    assert {r.k: r.v for r in t.read("rules").collect()} == {**{f"k{i}": i for i in range(50)}, "k3": 100}
+    assert t.read("rules", 1).filter("k = 'k3'").first().v == 3
+    # of two commits from one version the second fails
+    with pytest.raises(TB.CommitConflict):
+        t.commit({"outbox": outbox}, 1)
+    empty = t.commit({"outbox": outbox.filter("false")}, version)
+    assert t.read("outbox", empty).count() == 0
+    assert t.update_by_key("outbox", outbox, ["p"])[1].count() == 1
+
+
+def test_bootstrap_numbers_do_not_depend_on_partitions(spark):
+    rules = spark.createDataFrame([(f"r{i}", "global", {}, True, ts(0), ts(0)) for i in range(300)], schemas.RULE)
+    one = sorted((r.rule_id, r.log_offset) for r in RA.bootstrap(rules.repartition(1)).collect())
+    assert one == sorted((r.rule_id, r.log_offset) for r in RA.bootstrap(rules.repartition(7)).collect())
+    assert sorted(o for _, o in one) == list(range(300))
