@@ -105,3 +105,26 @@ def events_of_turns(turns: DataFrame) -> DataFrame:
     return (t.withColumn("d", F.explode(deltas)).select(
         "conv_id", (F.col("place") * 2 + F.col("d.k")).alias("seq"), F.lit("delta").alias("type"),
         F.col("place").alias("turn"), "role", F.col("d.text").alias("text")))
+
+
+def drafted(log: DataFrame) -> DataFrame:
+    """A log of deltas with the detours of a real one, which folds to the same messages: a
+    third of the turns are first streamed as a draft and then edited, a third of the conversations go
+    on from a turn in another way before that turn is regenerated. Sequence numbers are spread to make room."""
+    role, turn = F.col("role"), F.col("turn")
+    spread = log.withColumn("seq", F.col("seq") * 10)
+    first = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("seq"))
+    mine = spread.withColumn("nth", first)
+    odd = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    redo = F.pmod(F.xxhash64("conv_id"), F.lit(3)) == 0
+
+    def event(back: int, kind: str, text: Column, at: Column = turn, who: Column = role) -> Column:
+        return F.struct((F.col("seq") - back).alias("seq"), F.lit(kind).alias("type"), at.alias("turn"), who.alias("role"), text.alias("text"))
+    draft = F.concat(F.lit("draft </turn> of "), F.col("text"))
+    edited = F.array(event(3, "delta", draft), event(2, "delta", F.lit(" more")), event(1, "edit", F.lit("")))
+    another = F.array(event(9, "delta", draft), event(8, "delta", F.lit("another way"), turn + 1, F.lit("assistant")),
+                      event(7, "edit", F.lit("edited"), turn + 1, F.lit("assistant")), event(6, "regenerate", F.lit(None).cast("string")))
+    none = F.slice(edited, 1, 0)
+    before = F.concat(F.when((F.col("nth") == 1) & redo & (odd != 1), another).otherwise(none), F.when((F.col("nth") == 1) & (odd == 1), edited).otherwise(none))
+    own = F.array(event(0, "delta", F.col("text")))
+    return mine.select("conv_id", F.explode(F.concat(before, own)).alias("e")).select("conv_id", "e.*")

@@ -3,6 +3,7 @@ content-based range bounds and connected components."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -55,6 +56,13 @@ def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more (it does so
+    when the driver's JVM collects them, which a small driver heap may put off for long)."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def range_bounds(df: DataFrame, key: str, parts: int, sample_rows: int = 50_000) -> list[int]:
     """At most ``parts - 1`` ascending values of the integer column ``key``
     that cut it into ranges of about equal row counts. The bounds depend on the

@@ -233,7 +233,10 @@ def _predict(model: Model, penalty: float, spans: bool, at_text: int, kept: int)
                     letters = np.bincount(text * k + path, w.letters[w.kind], n * k).reshape(n, k)
                     has = letters.sum(1) > 0
                     lang = np.where(has, letters.argmax(1), k)
-                    share = letters.max(1) / np.maximum(letters.sum(1), 1)
+                    # words in scripts that no language uses speak for none
+                    known = model.admits[w.script].any(1)
+                    sure = np.bincount(text * k + path, (w.letters * known)[w.kind], n * k).reshape(n, k)
+                    share = sure[np.arange(n), np.minimum(lang, k - 1)] / np.maximum(letters.sum(1), 1)
                     mine = path == lang[text]
                     own = np.stack([np.bincount(text[mine], each[mine, i], n) for i in range(k)], 1)
                     own -= own.max(1, keepdims=True)
@@ -264,15 +267,19 @@ def _predict(model: Model, penalty: float, spans: bool, at_text: int, kept: int)
 
 def learn(documents: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang",
           sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a hash sample of the ``training`` rows with a label and a text:
-    about ``sample_rows`` of each language, all if there are fewer."""
-    rows = documents.filter(training & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").count().collect()  # one row per language
+    """Fit on a hash sample of the ``training`` rows with a label and a text: about
+    ``sample_rows`` distinct texts of each language, all if there are fewer, and one at
+    least; copies count once."""
+    rows = documents.filter(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    place = F.pmod("h", F.lit(1 << 30))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min(place).alias("first")).collect()  # one row per language
     if not counts:
         return Model([])
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_rows / r["count"])))])
-    picked = rows.filter(F.col("text").isNotNull() & (
-        F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30)))
+    most = {r["lang"]: max(r["first"], int(min(1.0, sample_rows / max(1, r["n"])) * (1 << 30))) for r in counts}
+    limit = F.create_map(*[x for k, v in most.items() for x in (F.lit(k), F.lit(v))])
+    picked = rows.filter(place <= F.element_at(limit, F.col("lang")))
+    picked = picked.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
     grams = picked.mapInArrow(_count_ngrams, "lang string, order int, slot int, n long")
     return Model(grams.groupBy("lang", "order", "slot").agg(F.sum("n").alias("n")).collect())
 

@@ -10,11 +10,11 @@ training documents.
 
 Counting and look-up are one exchange. Each task turns its texts into batches
 (distinct word hashes plus a stream of indexes), which are stored. A batch then
-asks for the counts of its distinct unigrams, bigrams and trigrams, with its own
-counts, in sorted blocks by hash range; the range's task adds up all
+asks for the counts of its distinct unigrams and bigrams, and when those are answered of its
+trigrams, with its own counts, in sorted blocks by hash range; the range's task adds up all
 requests and answers each block in its order. So a frequent n-gram costs
-one entry per batch, the tables are never gathered, and everything follows the
-input linearly.
+one entry per batch, and the tables are never gathered. The entries follow the input linearly; the rows
+that carry them are batches times ranges, of some 2,000 entries each at 30 GB of text.
 
 Defined cases: a null text is empty (its end token alone); a null id counts
 as the id '' for the folds; repeated rows are scored each; an empty training set leaves
@@ -31,17 +31,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from payguard.llm.common import fold, stored
+from payguard.llm.common import fold, release_shuffles, stored
 from payguard.llm.textops import U64, Texts, mix64, slices
 
 BATCH_BYTES = 4 << 20    # text of a batch
-KEYS_PER_RANGE = 500_000  # tokens of the corpus per hash range
+KEYS_PER_RANGE = 2_000_000  # tokens of the corpus per hash range
 BUCKETS = 48               # of context counts: 0, 1, 2-3, 4-7, ...; those of two-token contexts follow those of one
 STEPS_PER_OCTAVE, OCTAVES = 4, 48  # resolution of the estimates' ratios in the statistics of the deleted part
 EM_ROUNDS = 200
 END = U64(0)
-#: Keys of trigrams have 56 bits (a zero byte compresses away): of 3e9 distinct ones 4e-8 share a key.
-KEY3 = ~U64(0xFF)
+#: Keys of bigrams and trigrams have 56 bits (a zero byte compresses away): of 3e9 distinct ones 4e-8 share a key.
+KEY = ~U64(0xFF)
 
 _codec = pa.Codec("zstd", compression_level=1)
 
@@ -90,7 +90,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 
 def _key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(mix64(context + U64(0x9E3779B97F4A7C15)) ^ word)
+    return mix64(mix64(context + U64(0x9E3779B97F4A7C15)) ^ word) & KEY
 
 
 def _ranked(keys: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ class Batch:
         before = self.before(at2, len(key2))
         three, inverse = np.unique(before * len(self.words) + self.cur, return_inverse=True)
         context = np.append(key2, _key(np.array([END]), np.array([END])))
-        return _ranked(_key(context[three // len(self.words)], self.words[three % len(self.words)]) & KEY3, inverse)
+        return _ranked(_key(context[three // len(self.words)], self.words[three % len(self.words)]), inverse)
 
     def before(self, of_bigram: np.ndarray, at_start: int) -> np.ndarray:
         """Of each token the value of the bigram before it."""
@@ -149,19 +149,23 @@ def _spread(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], order
 
 
-def requests(tokens: DataFrame, parts: int) -> DataFrame:
+def requests(tokens: DataFrame, parts: int, orders: tuple[int, ...]) -> DataFrame:
+    """part, batch, deleted and for each order the sorted keys and own counts of a batch's distinct n-grams in a range."""
+    names = [f"{x}{k}" for k in orders for x in ("key", "n")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Batch(row)
-                key1, order = _spread(b.words)
-                n1 = np.bincount(b.cur[b.train], minlength=len(b.words))[order]
-                key2, at2 = b.bigrams()
-                n2 = np.bincount(at2[b.train], minlength=len(key2))
-                key3, at3 = b.trigrams(key2, at2)
-                n3 = np.bincount(at3[b.train], minlength=len(key3))
                 blobs = []
-                for keys, n in ((key1, n1), (key2, n2), (key3, n3)):
+                for k in orders:
+                    if k == 1:
+                        keys, order = _spread(b.words)
+                        n = np.bincount(b.cur[b.train], minlength=len(b.words))[order]
+                    else:
+                        keys, at = b.bigrams()
+                        keys, at = b.trigrams(keys, at) if k == 3 else (keys, at)
+                        n = np.bincount(at[b.train], minlength=len(keys))
                     cut = _cuts(keys, parts)
                     blobs.append([(_pack(np.diff(keys[i:j], prepend=U64(0))), _pack(n[i:j].astype(np.int32)))
                                   for i, j in zip(cut[:-1], cut[1:])])
@@ -169,19 +173,20 @@ def requests(tokens: DataFrame, parts: int) -> DataFrame:
                     pa.array(np.arange(parts)), pa.array([row["batch"]] * parts, pa.int64()),
                     pa.array([row["deleted"]] * parts),
                     *(pa.array([x[k] for x in side], pa.binary()) for side in blobs for k in (0, 1)),
-                ], ["part", "batch", "deleted", "key1", "n1", "key2", "n2", "key3", "n3"])
-    schema = ("part long, batch long, deleted boolean, key1 binary, n1 binary, key2 binary, n2 binary,"
-              " key3 binary, n3 binary")
+                ], ["part", "batch", "deleted", *names])
+    schema = "part long, batch long, deleted boolean, " + ", ".join(f"{x} binary" for x in names)
     return tokens.select("batch", "deleted", "held_out", "lengths", "words", "stream").mapInArrow(run, schema)
 
 
-def answers(asked: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, orders: tuple[int, ...]) -> DataFrame:
     """For each request its n-grams' counts in the whole training set, for
-    deleted batches also in the kept part; v, v_kept: known unigrams of the range (on one row)."""
+    deleted batches also in the kept part; v, v_kept: known unigrams of the range (on one row).
+    Counts of the orders not asked for are null."""
     def run(t: pa.Table) -> pa.Table:
         gone = np.asarray(t["deleted"]).astype(bool)
         out: dict[str, list] = {}
-        for k in ("1", "2", "3"):
+        v = v_kept = 0
+        for k in map(str, orders):
             keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in t["key" + k].to_pylist()]
             counts = np.concatenate([_unpack(x, np.int32) for x in t["n" + k].to_pylist()]).astype(np.float64)
             size = np.array([len(x) for x in keys])
@@ -196,11 +201,14 @@ def answers(asked: DataFrame) -> DataFrame:
                 v, v_kept = int((total > 0).sum()), int((kept > 0).sum())
         rest = [0] * (t.num_rows - 1)
         return pa.table({"part": t["part"], "batch": t["batch"], "deleted": t["deleted"],
-                         **{x: pa.array(out[x], pa.binary()) for x in ("c1", "kept1", "c2", "kept2", "c3", "kept3")},
+                         **{x: pa.array(out[x], pa.binary()) if x in out else pa.nulls(t.num_rows, pa.binary())
+                            for x in ("c1", "kept1", "c2", "kept2", "c3", "kept3")},
                          "v": pa.array([v, *rest], pa.int64()), "v_kept": pa.array([v_kept, *rest], pa.int64())})
     schema = ("part long, batch long, deleted boolean, c1 binary, kept1 binary, c2 binary, kept2 binary,"
               " c3 binary, kept3 binary, v long, v_kept long")
-    return stored(asked.groupBy("part").applyInArrow(run, schema), "counts")
+    found = stored(asked.groupBy("part").applyInArrow(run, schema), "counts")
+    release_shuffles(asked.sparkSession)  # the requests are answered and stored
+    return found
 
 
 def _with_answers(tokens: DataFrame, replies: DataFrame, name: str) -> DataFrame:
@@ -214,8 +222,8 @@ def _counts(b: Batch, row: dict) -> tuple[np.ndarray, ...]:
     of its two-token context and its trigram."""
     _, order = _spread(b.words)
     c1 = np.empty(len(b.words), np.int64)
-    c1[order] = np.concatenate([_unpack(x["c1"], np.int64) for x in row["replies"]])
-    c2, c3 = (np.concatenate([_unpack(x[k], np.int64) for x in row["replies"]]) for k in ("c2", "c3"))
+    got1, c2, c3 = (np.concatenate([_unpack(x[k], np.int64) for x in row["replies"] if x[k] is not None]) for k in ("c1", "c2", "c3"))
+    c1[order] = got1
     key2, at2 = b.bigrams()
     h, hw = c1[b.prev], c2[at2]
     # documents start as often as they end
@@ -313,7 +321,7 @@ def score_texts(documents: DataFrame, held_out: Column, deleted: Column, id_col:
                       F.sum(F.when(F.col("deleted"), F.lit(0)).otherwise(F.col("n_train"))).alias("kept")).first()
     n, n_train, n_kept = (int(x or 0) for x in sums)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // KEYS_PER_RANGE))
-    replies = answers(requests(tokens, parts))
+    replies = answers(requests(tokens, parts, (1, 2)), (1, 2)).unionByName(answers(requests(tokens, parts, (3,)), (3,)))
     v, v_kept = (int(x or 0) for x in replies.agg(F.sum("v"), F.sum("v_kept")).first())
     weights = learn_weights(deleted_statistics(tokens, replies, n_kept, v_kept))
     if not n_train:

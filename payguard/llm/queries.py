@@ -18,7 +18,7 @@ def op1_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs, langid.training_rows())
     out = langid.identify(docs, model, ["doc_id"], spans=False)
-    return out.withColumn("held_out", fold("doc_id", 5) == 0)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op8_event_sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_TRICKY).alias("text"))
-    log = chat_format.events_of_turns(turns.unionByName(tricky))
+    log = chat_format.drafted(chat_format.events_of_turns(turns.unionByName(tricky)))
     out = chat_format.render(chat_format.fold_events(log))
     back = out.withColumn("turns", chat_format.parse("formatted")).withColumn("lost", chat_format.loss_text())
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")

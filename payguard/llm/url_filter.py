@@ -55,10 +55,10 @@ def _rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """pages (host, path, ...) with rule and ruled (the rule's verdict)."""
+    """pages (id, host, path, ...) with rule and ruled (the rule's verdict)."""
     fits = _rules_by_host(pages.select("host").distinct(), rules)
     first = F.try_element_at(F.filter("fits", lambda r: F.col("path").startswith(r["path"])), F.lit(1))
-    return (salted_join(pages, fits, "host", "path").withColumn("_r", first)
+    return (salted_join(pages, fits, "host", "id").withColumn("_r", first)
             .withColumn("rule", F.col("_r.rule")).withColumn("ruled", F.col("_r.verdict")).drop("fits", "_r"))
 
 
@@ -121,5 +121,5 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     links = host_edges(pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")))
     lift = propagate(hosts, links).select("host", ((F.col("distrust") - F.col("trust")) / F.greatest("importance", F.lit(1e-300))).alias("lift"))
     method = F.when(F.col("lift") > threshold, "block").otherwise("allow")
-    return salted_join(ruled, lift, "host", "path").select(
+    return salted_join(ruled, lift, "host", "id").select(
         "id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "lift")

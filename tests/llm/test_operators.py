@@ -163,7 +163,7 @@ def test_lm_trigrams_by_batches_equal_brute_force(spark, monkeypatch):
     held = [i % 4 == 0 for i in range(len(texts))]
     df = spark.createDataFrame(list(zip(range(len(texts)), texts, held, [False] * len(texts))), "id long, text string, held_out boolean, deleted boolean")
     tokens = ngram_lm.tokenised(df.repartition(3))
-    replies = ngram_lm.answers(ngram_lm.requests(tokens, 5))
+    replies = ngram_lm.answers(ngram_lm.requests(tokens, 5, (1, 2)), (1, 2)).unionByName(ngram_lm.answers(ngram_lm.requests(tokens, 4, (3,)), (3,)))
     chains = [["\0", "\0", *words(t), "\0"] for t in texts]
     three = collections.Counter(tuple(c[i - 2:i + 1]) for c, out in zip(chains, held) if not out for i in range(2, len(c)))
     two = collections.Counter()
@@ -177,6 +177,57 @@ def test_lm_trigrams_by_batches_equal_brute_force(spark, monkeypatch):
         assert gh.tolist() == [two[k[:2]] for k in keys] and ghw.tolist() == [three[k] for k in keys]
 
 
+def plain_lm_scores(rows):
+    """The whole model in plain Python: counts, weights by EM on the deleted tenth, and each text's score."""
+    texts = [(i, ["\0", "\0", *words(t), "\0"], crc(i) % 5 == 1, crc(i) % 10 == 0) for i, t in rows]
+
+    def counts(pick):
+        c = [collections.Counter() for _ in range(3)]
+        for _, ws, held, gone in texts:
+            if pick(held, gone):
+                for k in range(2, len(ws)):
+                    for n in range(3):
+                        c[n][tuple(ws[k - n:k + 1])] += 1
+        one = collections.Counter({k[0]: v for k, v in c[0].items()})
+        two = collections.Counter()
+        for k, v in c[2].items():
+            two[k[:2]] += v
+        return one, c[1], c[2], two, sum(one.values()), len(one)
+
+    def parts(model, g, h, w):
+        one, pair, three, two, n, v = model
+        gh, ch = two[(g, h)], one[h]
+        b = 48 + int(math.log2(gh)) + 1 if gh else (int(math.log2(ch)) + 1 if ch else 0)
+        return b, three[(g, h, w)] / max(gh, 1), pair[(h, w)] / max(ch, 1), one[w] / max(n, 1), 1 / (v + 1)
+
+    kept, full = counts(lambda held, gone: not held and not gone), counts(lambda held, gone: not held)
+    cells = collections.Counter()
+    for _, ws, held, gone in texts:
+        if gone and not held:
+            for k in range(2, len(ws)):
+                b, f3, f2, f1, f0 = parts(kept, *ws[k - 2:k + 1])
+                cells[(b, *(int(ngram_lm._class(np.array([f / f0]))[0]) for f in (f3, f2, f1)))] += 1
+    weights = ngram_lm.learn_weights(np.array([[*k, n] for k, n in cells.items()]))
+    out = {}
+    for i, ws, _, _ in texts:
+        total = 0.0
+        for k in range(2, len(ws)):
+            b, f3, f2, f1, f0 = parts(full, *ws[k - 2:k + 1])
+            m = weights[b]
+            total += math.log10(m[0] * f2 + m[1] * f1 + m[2] * f0 + m[3] * f3)
+        out[i] = total
+    return out
+
+
+def test_query_of_lm_equals_a_plain_model(spark):
+    out = queries.op2_deleted_interpolation(spark, SF)
+    assert out.columns[:7] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = plain_lm_scores(rows)
+    got = {r["doc_id"]: r["score"] for r in out.collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) <= 1e-6 * max(1, abs(want[i])) for i in want)
+
+
 def test_lm_learns_from_the_second_last_word(spark):
     """After 'l x' comes 'a', after 'r x' comes 'b': no bigram tells them apart."""
     expose_package(spark)
