@@ -11,9 +11,10 @@
 3. What is left falls into families (components of candidate pairs). Within a
    family the whole shingle sets confirm each link; links make the groups.
 
-Buckets and families of any size are cut into blocks, and each pair of blocks
-is a task of its own; a task returns one row per member (its smallest partner
-found), never the pairs. Nothing is capped or sampled.
+Buckets and families of any size are cut into blocks. Each block first meets itself and the
+first block, so that a family of copies of one text is united by rows in proportion to its
+members; those it leaves apart from the largest part then meet all blocks. A task
+returns one row per member (its smallest partner found), never the pairs. Nothing is capped or sampled.
 
 Defined cases: null or blank texts have an empty set and link with nothing; a
 text shorter than a shingle is one shingle; rows with equal ids count as the
@@ -116,16 +117,42 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, digest binary, n_shingles long, bands array<long>, sketch binary")
 
 
-def _blocks(members: DataFrame, group: str, sizes: DataFrame, block: int, digest: str) -> DataFrame:
-    """Deal each group's members to pairs of blocks: adds ``pair`` (long) and ``side``
-    (0: the first block, 1: the second, 2: both, a block with itself)."""
-    m = (members.join(sizes.select(F.col(group).alias("_g"), F.ceil(F.col("n") / block).cast("int").alias("_nb")),
-                      F.col(group) == F.col("_g"))
-         .withColumn("_b", F.pmod(F.xxhash64(digest), F.col("_nb")).cast("int")))
-    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    lo, hi = F.least("_b", "_o").cast("long"), F.greatest("_b", "_o").cast("long")
-    side = F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1)
-    return m.withColumn("pair", lo * F.col("_nb") + hi).withColumn("side", side.cast("int")).drop("_g", "_nb", "_b", "_o")
+def _first_deal(members: DataFrame, group: str, sizes: DataFrame, block: int) -> DataFrame:
+    """Deal each group's members to tasks: adds ``pair`` (long) and ``side`` (0: left, 1: right, 2: both).
+    A group of one block is one task; of a larger one, each block meets itself and the first block,
+    which is three rows a member at most."""
+    m = (members.join(sizes.select(F.col(group).alias("_g"), F.ceil(F.col("n") / block).cast("int").alias("_nb")), F.col(group) == F.col("_g"))
+         .withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")))
+    own = F.struct(F.col("_b").cast("long").alias("pair"), F.lit(2).alias("side"))
+    later = F.transform(F.sequence(F.lit(1), F.col("_nb") - 1), lambda i: F.struct((-i).cast("long").alias("pair"), F.lit(0).alias("side")))
+    first = F.struct((-F.col("_b")).cast("long").alias("pair"), F.lit(1).alias("side"))
+    deals = F.when(F.col("_nb") == 1, F.array(own)).when(F.col("_b") == 0, F.concat(F.array(own), later)).otherwise(F.array(own, first))
+    return m.withColumn("_d", F.explode(deals)).select(*members.columns, "_d.pair", "_d.side", (F.col("_nb") > 1).alias("split"))
+
+
+def _apart_deal(members: DataFrame, group: str, sizes: DataFrame, links: DataFrame, block: int, label: str) -> DataFrame | None:
+    """The second deal, of groups of several blocks: members outside their group's largest part
+    (connected by ``links`` of the first deal) meet all members. None if there are none. Adds
+    ``part``, ``pair`` and ``side``. So a family that the first block unites costs nothing more."""
+    large = sizes.filter(F.col("n") > block)
+    if large.isEmpty():
+        return None
+    parts = connected_components(links.filter("split").select("a", "b"), label).select(F.col("id").alias("_i"), "component")
+    m = members.join(large.select(F.col(group).alias("_g"), F.ceil(F.col("n") / block).cast("int").alias("_nb")), F.col(group) == F.col("_g")).drop("_g")
+    m = stored(m.join(parts, F.col("id") == F.col("_i"), "left").withColumn("part", F.coalesce("component", "id")).drop("_i", "component"), label)
+    weight = m.groupBy(group, "part").agg(F.count("*").alias("k"))
+    top = weight.groupBy(F.col(group).alias("_g")).agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all"))
+    top = top.select("_g", F.col("top.part").alias("_top"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("_na")).filter("_na > 0")
+    m = m.join(top, F.col(group) == F.col("_g"))
+    spot = F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")
+    mine = F.pmod(F.shiftright(F.xxhash64("id"), 20), F.col("_na")).cast("int")
+
+    def task(a: F.Column, b: F.Column) -> F.Column:
+        return (a.cast("long") * F.col("_nb") + b)
+    left = m.filter(F.col("part") != F.col("_top")).withColumn("pair", F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("_nb") - 1), lambda i: task(mine, i)))).withColumn("side", F.lit(0))
+    right = m.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("_na") - 1), lambda i: task(i, spot)))).withColumn("side", F.lit(1))
+    return left.unionByName(right).select(*members.columns, "part", "pair", "side")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -163,13 +190,16 @@ def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
 
 
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("split", pa.bool_())])
+_LINK_TYPES = "a long, b long, split boolean"
+
+
 def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b) rows that connect classes exactly as their candidate pairs do."""
     most = max_differing_bits(threshold)
     rows = classes.select("id", "sketch", F.posexplode("bands").alias("band", "key"))
     rows = rows.withColumn("key", F.xxhash64("band", "key")).drop("band")
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = _blocks(rows, "key", sizes, BUCKET_BLOCK, "id")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
@@ -177,9 +207,16 @@ def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
         left, right = _sides(t["side"].to_numpy())
         a, b = _near(_bits(t["sketch"].combine_chunks()), left, right, most)
         root = _roots(len(ids), a, b)
-        hit = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table({"a": ids[hit], "b": ids[root[hit]]})
-    return dealt.groupBy("key", "pair").applyInArrow(run, "a long, b long").distinct()
+        hit = np.flatnonzero(ids[root] != ids)
+        return pa.table({"a": ids[hit], "b": ids[root[hit]], "split": np.repeat(t["split"][0].as_py(), len(hit))},
+                        schema=_LINKS)
+    first = _first_deal(rows, "key", sizes, BUCKET_BLOCK).groupBy("key", "pair").applyInArrow(run, _LINK_TYPES)
+    first = stored(first.distinct(), "bucket-links")
+    more = _apart_deal(rows, "key", sizes, first, BUCKET_BLOCK, "buckets")
+    if more is not None:
+        more = more.withColumn("split", F.lit(True)).groupBy("key", "pair").applyInArrow(run, _LINK_TYPES)
+        first = first.unionByName(more)
+    return first.select("a", "b").distinct()
 
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, families: DataFrame, shingle: int,
@@ -218,7 +255,8 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, families: DataFrame, sh
     # one row per class, by its digest: rows with an equal id and another text fall out
     sizes = wanted.groupBy("family").agg(F.count("*").alias("n"))
     full = (found.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"]).drop("digest"))
-    dealt = _blocks(full, "family", sizes, FAMILY_BLOCK, "id")
+    if not sizes.filter(F.col("n") > FAMILY_BLOCK).isEmpty():
+        full = stored(full, "sets")  # of large families they may be read again
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
@@ -227,10 +265,12 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, families: DataFrame, sh
         size = np.array([len(x) for x in full])
         left, right = _sides(t["side"].to_numpy())
         a, b = _near(_bits(t["sketch"].combine_chunks()), left, right, most)
-        keep = (a < b) if len(left) == len(right) == len(ids) else a != b
+        keep = (a < b) if len(left) == len(right) == len(ids) else ids[a] != ids[b]
         keep &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
         a, b = a[keep], b[keep]
-        root = list(range(len(ids)))
+        known = t["part"].to_numpy() if "part" in t.column_names else ids  # what the first deal has united
+        root = np.unique(known, return_index=True, return_inverse=True)
+        root = root[1][root[2]].tolist()
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -246,10 +286,14 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, families: DataFrame, sh
                 both = len(p) + len(q) - len(np.union1d(p, q))
                 if 100 * both >= percent * (len(p) + len(q) - both):
                     root[max(x, y)] = min(x, y)
-        hit = [i for i in range(len(ids)) if top(i) != i]
-        return pa.table({"a": ids[hit], "b": ids[[top(i) for i in hit]]},
-                        schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-    return dealt.groupBy("family", "pair").applyInArrow(run, "a long, b long").distinct()
+        hit = [i for i in range(len(ids)) if ids[top(i)] != ids[i]]
+        return pa.table({"a": ids[hit], "b": ids[[top(i) for i in hit]], "split": np.repeat(t["split"][0].as_py(), len(hit))}, schema=_LINKS)
+    links = _first_deal(full, "family", sizes, FAMILY_BLOCK).groupBy("family", "pair").applyInArrow(run, _LINK_TYPES)
+    links = stored(links.distinct(), "family-links")
+    more = _apart_deal(full, "family", sizes, links, FAMILY_BLOCK, "family-parts")
+    if more is not None:
+        links = links.unionByName(more.withColumn("split", F.lit(True)).groupBy("family", "pair").applyInArrow(run, _LINK_TYPES))
+    return links.select("a", "b").distinct()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
