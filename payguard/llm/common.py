@@ -57,9 +57,11 @@ def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of plans that nothing refers to any more (it does so
-    when the driver's JVM collects them, which a small driver heap may put off for long)."""
+    """Have Spark delete the shuffle files of plans that nothing refers to any more: it does so
+    when the driver's JVM collects them, which may be put off for long, and the session refers
+    to its last plan until another has run."""
     gc.collect()
+    spark.range(1).count()
     spark._jvm.System.gc()
 
 
