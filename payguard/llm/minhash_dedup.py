@@ -138,7 +138,7 @@ def _apart_deal(members: DataFrame, group: str, sizes: DataFrame, links: DataFra
     if large.isEmpty():
         return None
     parts = connected_components(links.filter("split").select("a", "b"), label).select(F.col("id").alias("_i"), "component")
-    m = members.join(large.select(F.col(group).alias("_g"), F.ceil(F.col("n") / block).cast("int").alias("_nb")), F.col(group) == F.col("_g")).drop("_g")
+    m = members.select("id", group).join(large.select(F.col(group).alias("_g"), F.ceil(F.col("n") / block).cast("int").alias("_nb")), F.col(group) == F.col("_g")).drop("_g")
     m = stored(m.join(parts, F.col("id") == F.col("_i"), "left").withColumn("part", F.coalesce("component", "id")).drop("_i", "component"), label)
     weight = m.groupBy(group, "part").agg(F.count("*").alias("k"))
     top = weight.groupBy(F.col(group).alias("_g")).agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all"))
@@ -152,7 +152,7 @@ def _apart_deal(members: DataFrame, group: str, sizes: DataFrame, links: DataFra
     left = m.filter(F.col("part") != F.col("_top")).withColumn("pair", F.explode(F.transform(
         F.sequence(F.lit(0), F.col("_nb") - 1), lambda i: task(mine, i)))).withColumn("side", F.lit(0))
     right = m.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("_na") - 1), lambda i: task(i, spot)))).withColumn("side", F.lit(1))
-    return left.unionByName(right).select(*members.columns, "part", "pair", "side")
+    return members.join(left.unionByName(right).select("id", group, "part", "pair", "side"), ["id", group])
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -255,8 +255,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, families: DataFrame, sh
     # one row per class, by its digest: rows with an equal id and another text fall out
     sizes = wanted.groupBy("family").agg(F.count("*").alias("n"))
     full = (found.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"]).drop("digest"))
-    if not sizes.filter(F.col("n") > FAMILY_BLOCK).isEmpty():
-        full = stored(full, "sets")  # of large families they may be read again
+    full = stored(full, "sets")  # read by both deals
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
