@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from payguard.llm.common import connected_components, stored
@@ -132,14 +132,18 @@ def _first_deal(members: DataFrame, group: str, sizes: DataFrame, block: int) ->
 
 def _apart_deal(members: DataFrame, group: str, sizes: DataFrame, links: DataFrame, block: int, label: str) -> DataFrame | None:
     """The second deal, of groups of several blocks: members outside their group's largest part
-    (connected by ``links`` of the first deal) meet all members. None if there are none. Adds
-    ``part``, ``pair`` and ``side``. So a family that the first block unites costs nothing more."""
+    (those that ``links`` of the first deal unite with one member of the first block) meet all members. None if there
+    are no such groups. Adds ``part``, ``pair`` and ``side``. So a family that the first block unites costs nothing more."""
     large = sizes.filter(F.col("n") > block)
     if large.isEmpty():
         return None
-    parts = connected_components(links.filter("split").select("a", "b"), label).select(F.col("id").alias("_i"), "component")
+    found = links.filter("split AND pair <= 0").groupBy("g", "a", (F.col("pair") == 0).alias("own")).agg(F.min("b").alias("b"))
+    with_first = found.filter("NOT own").select(F.col("g").alias("_g1"), F.col("a").alias("_a1"), F.col("b").alias("_to"))
+    in_first = found.filter("own").select(F.col("g").alias("_g2"), F.col("a").alias("_a2"), F.col("b").alias("_top"))
     m = members.select("id", group).join(large.select(F.col(group).alias("_g"), F.ceil(F.col("n") / block).cast("int").alias("_nb")), F.col(group) == F.col("_g")).drop("_g")
-    m = stored(m.join(parts, F.col("id") == F.col("_i"), "left").withColumn("part", F.coalesce("component", "id")).drop("_i", "component"), label)
+    m = m.join(with_first, (F.col(group) == F.col("_g1")) & (F.col("id") == F.col("_a1")), "left").withColumn("_to", F.coalesce("_to", "id"))
+    m = m.join(in_first, (F.col(group) == F.col("_g2")) & (F.col("_to") == F.col("_a2")), "left")
+    m = stored(m.select("id", group, "_nb", F.coalesce("_top", "_to").alias("part")), label)
     weight = m.groupBy(group, "part").agg(F.count("*").alias("k"))
     top = weight.groupBy(F.col(group).alias("_g")).agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all"))
     top = top.select("_g", F.col("top.part").alias("_top"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("_na")).filter("_na > 0")
@@ -147,7 +151,7 @@ def _apart_deal(members: DataFrame, group: str, sizes: DataFrame, links: DataFra
     spot = F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")
     mine = F.pmod(F.shiftright(F.xxhash64("id"), 20), F.col("_na")).cast("int")
 
-    def task(a: F.Column, b: F.Column) -> F.Column:
+    def task(a: Column, b: Column) -> Column:
         return (a.cast("long") * F.col("_nb") + b)
     left = m.filter(F.col("part") != F.col("_top")).withColumn("pair", F.explode(F.transform(
         F.sequence(F.lit(0), F.col("_nb") - 1), lambda i: task(mine, i)))).withColumn("side", F.lit(0))
@@ -190,8 +194,15 @@ def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("split", pa.bool_())])
-_LINK_TYPES = "a long, b long, split boolean"
+_LINKS = pa.schema([("g", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("pair", pa.int64()), ("split", pa.bool_())])
+_LINK_TYPES = "g long, a long, b long, pair long, split boolean"
+
+
+def _found(t: pa.Table, group: str, ids: np.ndarray, root: np.ndarray) -> pa.Table:
+    """A row for each member of a task that isn't the first of its part there."""
+    hit = np.flatnonzero(ids[root] != ids)
+    same = {c: np.repeat(t[c][0].as_py(), len(hit)) for c in (group, "pair", "split")}
+    return pa.table([same[group].astype(np.int64), ids[hit], ids[root[hit]], same["pair"].astype(np.int64), same["split"].astype(bool)], schema=_LINKS)
 
 
 def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
@@ -202,16 +213,13 @@ def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
+        t = t.sort_by([("side", "ascending"), ("id", "ascending")])  # the first block's members name parts
         ids = t["id"].to_numpy()
         left, right = _sides(t["side"].to_numpy())
         a, b = _near(_bits(t["sketch"].combine_chunks()), left, right, most)
-        root = _roots(len(ids), a, b)
-        hit = np.flatnonzero(ids[root] != ids)
-        return pa.table({"a": ids[hit], "b": ids[root[hit]], "split": np.repeat(t["split"][0].as_py(), len(hit))},
-                        schema=_LINKS)
+        return _found(t, "key", ids, _roots(len(ids), a, b))
     first = _first_deal(rows, "key", sizes, BUCKET_BLOCK).groupBy("key", "pair").applyInArrow(run, _LINK_TYPES)
-    first = stored(first.distinct(), "bucket-links")
+    first = stored(first, "bucket-links")
     more = _apart_deal(rows, "key", sizes, first, BUCKET_BLOCK, "buckets")
     if more is not None:
         more = more.withColumn("split", F.lit(True)).groupBy("key", "pair").applyInArrow(run, _LINK_TYPES)
@@ -258,7 +266,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, families: DataFrame, sh
     full = stored(full, "sets")  # read by both deals
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
+        t = t.sort_by([("side", "ascending"), ("id", "ascending")])
         ids = t["id"].to_numpy()
         full = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
         size = np.array([len(x) for x in full])
@@ -285,10 +293,9 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, families: DataFrame, sh
                 both = len(p) + len(q) - len(np.union1d(p, q))
                 if 100 * both >= percent * (len(p) + len(q) - both):
                     root[max(x, y)] = min(x, y)
-        hit = [i for i in range(len(ids)) if ids[top(i)] != ids[i]]
-        return pa.table({"a": ids[hit], "b": ids[[top(i) for i in hit]], "split": np.repeat(t["split"][0].as_py(), len(hit))}, schema=_LINKS)
+        return _found(t, "family", ids, np.array([top(i) for i in range(len(ids))]))
     links = _first_deal(full, "family", sizes, FAMILY_BLOCK).groupBy("family", "pair").applyInArrow(run, _LINK_TYPES)
-    links = stored(links.distinct(), "family-links")
+    links = stored(links, "family-links")
     more = _apart_deal(full, "family", sizes, links, FAMILY_BLOCK, "family-parts")
     if more is not None:
         links = links.unionByName(more.withColumn("split", F.lit(True)).groupBy("family", "pair").applyInArrow(run, _LINK_TYPES))

@@ -66,8 +66,11 @@ def test_dealt_rows_follow_the_members(spark):
         assert max(r["n"] for r in deal) < 1_500
     assert rows[2_000] <= 4 * 2_000 and rows[32_000] <= 4 * 32_000
     # a family that the first block unites is dealt no second time
-    links = members.filter("id > 0").select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(True).alias("split"))
+    block = F.pmod(F.xxhash64("id"), F.lit(63)).cast("long")
+    hub = members.filter(block == 0).agg(F.min("id")).first()[0]
+    links = members.filter(F.col("id") != hub).select(F.col("key").cast("long").alias("g"), F.col("id").alias("a"), F.lit(hub).alias("b"), (-block).alias("pair"),
+                                                      F.lit(True).alias("split"))
     assert minhash_dedup._apart_deal(members, "key", sizes, links, 512, "test").count() == 0
     some = links.filter("a % 100 <> 0")
-    apart = 32_000 // 100 - 1
+    apart = links.filter("a % 100 = 0").count()
     assert minhash_dedup._apart_deal(members, "key", sizes, some, 512, "test").count() == apart * 63 + 32_000
