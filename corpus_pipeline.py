@@ -19,9 +19,13 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Label languages; texts without a letter or without a main language go.
-    A missing label becomes the predicted one. Learns from the rows with a label; if none has one,
-    nothing can be judged and all texts stay."""
+    """Label languages; texts without a letter or without a main language go, so do those in
+    scripts that no label uses, however many labels there are. A missing label becomes the predicted
+    one. Learns from the rows with a label; if none has one, nothing can be judged and all texts stay.
+
+    Null, empty and blank texts go. Repeated rows are judged alike, and stay or go together; ties between
+    languages fall to the first by name, with a score that rejects the text unless one has the larger part.
+    An empty table stays empty. Columns of any name pass through."""
     prepare(spark)
     model = langid.learn(docs, F.lit(True))
     if not model.langs:
@@ -35,21 +39,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles,
-    similarity of 0.8 or more)."""
+    """One document of each group of near copies stays, that of the smallest id (five-word
+    shingles, similarity of 0.8 or more).
+
+    Null and empty texts are near nothing and stay; of rows with one id one stays, the first by text; rows without
+    an id stay. A text of fewer than five words is one shingle. An empty table stays empty. Columns of
+    any name pass through."""
     prepare(spark)
     return minhash_dedup.drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents to the sources' tempered weights. The budget covers the
-    largest source once, so that every document stays at least once."""
+    largest source once, so that every document stays at least once.
+
+    Null and empty texts have no words and stay once; a null source is a source; repeated rows are
+    documents of their own; rows without an id share their place in the order. An empty table stays empty.
+    Columns of any name pass through."""
     prepare(spark)
     return mixing.realise(mixing.mix(docs, mixing.word_count("text"), budget="cover"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences of 2048 ids."""
+    """Pieces of documents with their places in sequences of 2048 ids.
+
+    Null and empty texts are one piece, the end id. Repeated rows are packed each; pieces of one length are dealt by
+    rank, in an order of their own. An empty table gives no piece. Columns other than doc_id and text are left out."""
     prepare(spark)
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
