@@ -53,6 +53,15 @@ def cooldown(alerts: DataFrame, cfg: RiskConfig, method: str = "auto", passed: D
     return out.drop("node_id", "_sev_key", "_ttl")
 
 
+def log_rows(limited: DataFrame, cfg: RiskConfig, *more: str) -> DataFrame:
+    """Rows of the alert log (and the columns ``more``) from alerts with ``allowed``."""
+    chans = F.when(F.col("allowed"), route(F.col("severity"), cfg)).otherwise(F.array().cast("array<string>"))
+    return limited.select(
+        "alert_id", "user_id", "severity", "reason_summary",
+        F.when(F.col("allowed"), "PROCESSED").otherwise("RATE_LIMITED").alias("status"),
+        chans.alias("channels_notified"), "created_at", F.col("created_at").alias("processed_at"), *more)
+
+
 def process_alerts(deliveries: DataFrame, cfg: RiskConfig, alert_log: DataFrame | None = None,
                    method: str = "auto") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns (alert_log', outcomes per delivery, sends).
@@ -77,12 +86,7 @@ def process_alerts(deliveries: DataFrame, cfg: RiskConfig, alert_log: DataFrame
         passed = alert_log.filter(F.col("status") == "PROCESSED").select(
             "user_id", "severity", F.unix_millis(F.coalesce("processed_at", "created_at")).alias("ms"))
     limited = cooldown(todo, cfg, method, passed)
-    chans = F.when(F.col("allowed"), route(F.col("severity"), cfg)).otherwise(F.array().cast("array<string>"))
-    new_log = limited.select(
-        "alert_id", "user_id", "severity", "reason_summary",
-        F.when(F.col("allowed"), "PROCESSED").otherwise("RATE_LIMITED").alias("status"),
-        chans.alias("channels_notified"), "created_at", F.col("created_at").alias("processed_at"),
-        "ms", "seq", "delivery")
+    new_log = log_rows(limited, cfg, "ms", "seq", "delivery")
     if alert_log is not None:
         kept = alert_log.join(new_log.select("alert_id"), "alert_id", "left_anti")
         log_out = kept.unionByName(new_log.drop("ms", "seq", "delivery"), allowMissingColumns=True)

@@ -21,7 +21,7 @@ from payguard.operators import ingest as ING
 from payguard.plans import catalog as C
 from payguard.plans import catalog_ops as CO
 from payguard.plans.oracle import RISK_EVENTS, scored_cte, uuid3, with_
-from payguard.plans.oracle_pipelines import Q3_ADMISSION, _asof, _rule_ctes
+from payguard.plans.oracle_pipelines import DECODED_LOG, DECODED_OUTCOMES, DECODED_SENDS, Q3_ADMISSION, _asof, _rule_ctes
 from payguard.operators.rules import PARAMS
 from payguard.session import expose_package, run_folder
 from payguard.sources import testdata as TD
@@ -210,7 +210,50 @@ def s06_stream_bans(spark, sf):
                                                   F.unix_millis("expires_at").alias("audit_expires_ms"))
 
 
+def _alert_streams(spark, sf, label, start):
+    """Streams over the alert records, every tenth of them delivered again nine days later."""
+    cfg, alerts = C._spread_alerts(spark, sf)
+    records = TD.alert_records(alerts).withColumn("ms", F.unix_millis("record_ts"))
+    again = records.filter(F.col("offset") % 10 == 0).withColumn("offset", F.col("offset") + AGAIN).withColumn("ms", F.col("ms") + 9 * CO.DAY)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    expose_package(spark)
+    folder = run_folder(spark, label)
+    in_turns(records.unionByName(again), folder, lambda source, k: start(
+        _source(spark, records.drop("ms").schema, source), cfg, f"{folder}/out", f"{folder}/checkpoint", NOW))
+    return f"{folder}/out"
+
+
+def s07_stream_alerts(spark, sf):
+    """The alert log of a stream of records."""
+    log = spark.read.parquet(_alert_streams(spark, sf, "s07", CS.alert_stream) + "/alert_log")
+    return log.select("alert_id", "user_id", "severity", "status", F.array_join("channels_notified", ",").alias("channels"),
+                      F.unix_millis("created_at").alias("created_at_ms"))
+
+
+def s07_stream_outcomes(spark, sf):
+    """What became of each delivery of that stream."""
+    out = spark.read.parquet(_alert_streams(spark, sf, "s07-outcomes", CS.alert_stream) + "/outcomes")
+    return out.select("alert_id", (F.col("offset") >= AGAIN).alias("again"), "duplicate", "rate_limited")
+
+
+def s07_stream_sends(spark, sf):
+    """What that stream sends."""
+    sends = spark.read.parquet(_alert_streams(spark, sf, "s07-sends", CS.alert_stream) + "/sends")
+    return sends.select("alert_id", "channel", "position", "message")
+
+
+def s11_stream_dlq(spark, sf):
+    """The dead letters of that stream."""
+    bad = spark.read.parquet(_alert_streams(spark, sf, "s11", CS.dead_letter_stream) + "/dlq")
+    return bad.select("partition", "offset", F.decode("key", "UTF-8").alias("key"), "severity",
+                      F.size("headers").cast("long").alias("headers"), F.length("value").cast("long").alias("value_bytes"))
+
+
+AGAIN = 10 ** 12  # offsets of second deliveries start there
+
+
 QUERIES = {f.__name__: f for f in (
+    s07_stream_alerts, s07_stream_outcomes, s07_stream_sends, s11_stream_dlq,
     t02_stream_burst, w03_stream_velocity, t08_stream_limit, q1_stream, q1_stream_rules, q3_stream, s09_accepted_events, d1_stream, d2_stream,
     a10_stream, s03_stream_copy, s04_stream_archive, s05_stream_archive_decisions, s06_stream_bans)}
 
@@ -256,6 +299,10 @@ alerts AS (SELECT {uuid3("'alert:' || decision_id")} AS alert_id, * FROM scored
         "d2_stream": ops["d2_user_daily_score"],
         "a10_stream": ops["a10_throughput"],
         "s03_stream_copy": None,
+        "s07_stream_alerts": DECODED_LOG,
+        "s07_stream_outcomes": DECODED_OUTCOMES,
+        "s07_stream_sends": DECODED_SENDS,
+        "s11_stream_dlq": oracle_ops.S11_STREAM,
         "s04_stream_archive": with_(RISK_EVENTS) + "\nSELECT event_id, user_id, ms AS ts_ms FROM risk_events",
         "s05_stream_archive_decisions": q1 + "\nSELECT decision_id, event_id, decision, replace(reason_summary, ',', '|') AS reasons, ms AS created_at_ms FROM scored",
         "s06_stream_bans": ("WITH RECURSIVE " + q1.removeprefix("WITH ") + f""",

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from payguard.config import TESTDATA_CONFIG as CFG
 from payguard.plans.oracle import FEATURES, RISK_EVENTS, scored_cte, uuid3
-from payguard.plans.oracle_pipelines import _ALERT_HEAD, _BANS
+from payguard.plans.oracle_pipelines import SPREAD_SCORED, _ALERT_HEAD, _BANS
+from payguard.sources.testdata import SEVERITY_SPREAD
 
 DAY, HOUR = 86_400_000, 3_600_000
 BASE = "WITH " + RISK_EVENTS + "," + FEATURES + "," + scored_cte()
@@ -13,10 +14,11 @@ BASE = "WITH " + RISK_EVENTS + "," + FEATURES + "," + scored_cte()
 _ISO = ("CASE WHEN ms % 1000 = 0 THEN strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%SZ') "
         "ELSE strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') END")
 
-_DLQ = f""",
+def _dlq(threshold: int) -> str:
+    return f""",
 alert_rows AS (SELECT {uuid3("'alert:' || decision_id")} AS alert_id, user_id, ms, seq,
                       CASE WHEN risk_score >= 95 THEN 'CRITICAL' WHEN risk_score >= 90 THEN 'HIGH' ELSE 'MEDIUM' END AS sev
-               FROM scored WHERE risk_score >= {CFG.alert_threshold}),
+               FROM scored WHERE risk_score >= {threshold}),
 dlq AS (
   SELECT 'alert-events-dlq' AS topic,
          CAST((strpos('0123456789abcdef', substr(md5(user_id), 32, 1)) - 1) % 4 AS INTEGER) AS partition,
@@ -28,6 +30,14 @@ dlq AS (
               ELSE length('{{"severity":"' || sev || '","user_id":"' || user_id || '"}}') END AS INTEGER) AS value_bytes, ms, CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END AS extra_headers
   FROM alert_rows WHERE seq % 7 = 0)"""
 
+
+_DLQ = _dlq(CFG.alert_threshold)
+
+S11_STREAM = SPREAD_SCORED + _dlq(SEVERITY_SPREAD["alert_threshold"]) + """,
+twice AS (SELECT *, CAST(0 AS BIGINT) AS later FROM dlq UNION ALL SELECT *, 1000000000000 FROM dlq WHERE "offset" % 10 = 0)
+SELECT partition, "offset" + later AS "offset", key, severity, CAST(5 + extra_headers AS BIGINT) AS headers,
+       CAST(value_bytes AS BIGINT) AS value_bytes FROM twice"""
+
 S11_DLQ = BASE + _DLQ + """
 SELECT topic, partition, "offset", key, original_topic, failed_at, retry_count, severity, exception_message,
        value_bytes FROM dlq"""

@@ -173,13 +173,13 @@ SELECT event_id, user_id, ms, CASE WHEN len(v) > 0 THEN 'REJECTED' WHEN cnt > {C
        CAST(coalesce(cnt, 0) AS BIGINT) AS rate_limit_count
 FROM checked LEFT JOIN counted USING (event_id)"""
 
-def _alerts(threshold: int) -> str:
+def _alerts(threshold: int, only: str = "TRUE") -> str:
     return f"""
 alerts AS (
   SELECT {uuid3("'alert:' || decision_id")} AS alert_id, user_id, risk_score,
          CASE WHEN risk_score >= 95 THEN 'CRITICAL' WHEN risk_score >= 90 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
          reason_summary, ms, seq
-  FROM scored WHERE risk_score >= {threshold}),
+  FROM scored WHERE risk_score >= {threshold} AND {only}),
 a AS (SELECT *, row_number() OVER (PARTITION BY user_id, upper(severity) ORDER BY ms, seq) AS rn FROM alerts),
 cool AS (
   SELECT user_id, severity, rn, alert_id, ms, TRUE AS allowed, ms AS last_ms FROM a WHERE rn = 1
@@ -202,9 +202,16 @@ deliveries AS (
 _ALERT_HEAD = "WITH RECURSIVE " + RISK_EVENTS + "," + FEATURES + "," + scored_cte() + "," + _alerts(CFG.alert_threshold)
 
 #: Scores and threshold under which alerts of every severity occur.
-_SPREAD_HEAD = ("WITH RECURSIVE " + RISK_EVENTS + "," + FEATURES + ","
-                + scored_cte({k: str(v) for k, v in SEVERITY_SPREAD.items() if k != "alert_threshold"}) + ","
-                + _alerts(SEVERITY_SPREAD["alert_threshold"]))
+SPREAD_SCORED = ("WITH RECURSIVE " + RISK_EVENTS + "," + FEATURES + ","
+                 + scored_cte({k: str(v) for k, v in SEVERITY_SPREAD.items() if k != "alert_threshold"}))
+_SPREAD_HEAD = SPREAD_SCORED + "," + _alerts(SEVERITY_SPREAD["alert_threshold"])
+
+#: Of those the ones whose records can be decoded.
+DECODED_HEAD = SPREAD_SCORED + "," + _alerts(SEVERITY_SPREAD["alert_threshold"], "seq % 7 <> 0")
+DECODED_LOG = DECODED_HEAD + "\nSELECT alert_id, user_id, severity, status, channels, ms AS created_at_ms FROM log"
+DECODED_OUTCOMES = DECODED_HEAD + """
+SELECT alert_id, FALSE AS again, FALSE AS duplicate, NOT allowed AS rate_limited FROM log
+UNION ALL SELECT alert_id, TRUE, TRUE, FALSE FROM log WHERE seq % 10 = 0"""
 
 T10_COOLDOWN = _ALERT_HEAD + "\nSELECT alert_id, user_id, severity, allowed, ms AS created_at_ms FROM cool"
 
@@ -230,6 +237,7 @@ WHERE l.allowed"""
 
 J9_SENDS = _ALERT_HEAD + _SENDS
 J9_SENDS_SPREAD = _SPREAD_HEAD + _SENDS
+DECODED_SENDS = DECODED_HEAD + _SENDS
 P07_SPREAD = _SPREAD_HEAD + """
 SELECT alert_id, user_id, risk_score, severity, reason_summary, ms AS created_at_ms FROM alerts"""
 

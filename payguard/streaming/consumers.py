@@ -4,7 +4,8 @@
 * ``archive_stream`` (S4/S5): append new rows per key (J4) into an archive;
 * ``ban_materializer_stream`` (S6): BLOCK decisions -> ban store state (T9)
   and audit rows (S8b);
-* ``alert_stream`` (S7/T11): records -> decode, DLQ, duplicate check, cool-down, routing.
+* ``alert_stream`` (S7/T11): records -> decode, duplicate check, cool-down, routing;
+* ``dead_letter_stream`` (S7/S11): records that can't be decoded -> DLQ.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from payguard.operators import alerts as A
 from payguard.operators import archive as AR
 from payguard.operators import bans as BN
 from payguard.operators import dlq as DQ
-from payguard.session import cut_lineage, path_exists
+from payguard.streaming import keyed_state as K
 from payguard.streaming.processors import ban_stream
 
 
@@ -66,27 +67,32 @@ def ban_materializer_stream(decisions: DataFrame, cfg: RiskConfig, out: str, che
 
 
 def alert_stream(records: DataFrame, cfg: RiskConfig, out: str, checkpoint: str,
-                 trigger: dict | None = None) -> StreamingQuery:
-    """S7/T11 over topic records: decode (undecodable records go to ``dlq``),
-    duplicate check and cool-down against the log of earlier batches, routing. Writes
-    ``alert_log``, ``sends`` and ``dlq``, a partition per micro-batch that a retry replaces."""
+                 trigger: dict | None = None, keep_ms: int | None = None) -> StreamingQuery:
+    """S7/T11 over topic records: decode, duplicate check and cool-down in keyed state (ids are kept
+    for good, or for ``keep_ms``), routing. Writes ``alert_log``, ``outcomes`` (a row per delivery) and
+    ``sends``, a partition per micro-batch that a retry replaces; nothing written is read again. Records
+    that can't be decoded are ``dead_letter_stream``'s. An alert without a time has its record's."""
+    good = DQ.decode_alerts(records).filter(F.col("decode_error").isNull())
+    at = F.coalesce("alert.created_at", "record_ts")
+    alerts = good.select("alert.*", "partition", "offset", at.alias("at")).withColumn("created_at", F.col("at")).select(
+        *[f.name for f in DQ.ALERT_PAYLOAD.fields], "partition", "offset", F.unix_millis("at").alias("ms"))
+    judged = K.cooldown(K.first_deliveries(alerts, keep_ms), cfg.alert_cooldown_ms)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        spark = batch.sparkSession
-        good, bad = DQ.split_alert_records(batch, cfg)
-        deliveries = good.withColumn("ms", F.unix_millis("created_at")).withColumn(
-            "seq", F.col("offset")).withColumn("delivery", F.struct(F.lit(batch_id).alias("batch"), "partition", "offset"))
-        path, prior = f"{out}/alert_log", None
-        if path_exists(spark, path):
-            prior = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).drop("batch_id")
-        log, _, sends = A.process_alerts(deliveries, cfg, alert_log=prior)
-        new = log if prior is None else log.join(prior.select("alert_id"), "alert_id", "left_anti")
-        new = cut_lineage(new)
-        _replace_batch(cut_lineage(sends), f"{out}/sends", batch_id)
-        _replace_batch(bad, f"{out}/dlq", batch_id)
-        _replace_batch(new, path, batch_id)
+        _replace_batch(A.sends_table(batch.filter("allowed"), cfg), f"{out}/sends", batch_id)
+        limited = ~F.col("duplicate") & ~F.col("allowed")
+        _replace_batch(batch.select("alert_id", "partition", "offset", "duplicate", limited.alias("rate_limited")),
+                       f"{out}/outcomes", batch_id)
+        _replace_batch(A.log_rows(batch.filter("NOT duplicate"), cfg), f"{out}/alert_log", batch_id)
         batch.unpersist()
-    return _start(records, checkpoint, trigger, sink)
+    return _start(judged, checkpoint, trigger, sink)
+
+
+def dead_letter_stream(records: DataFrame, cfg: RiskConfig, out: str, checkpoint: str,
+                       trigger: dict | None = None) -> StreamingQuery:
+    """Records that can't be decoded go to ``dlq`` with their diagnostic headers."""
+    return copy_stream(DQ.split_alert_records(records, cfg)[1], f"{out}/dlq", checkpoint, trigger)
 
 
-__all__ = ["copy_stream", "archive_stream", "ban_materializer_stream", "alert_stream"]
+__all__ = ["copy_stream", "archive_stream", "ban_materializer_stream", "alert_stream", "dead_letter_stream"]

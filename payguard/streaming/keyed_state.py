@@ -14,7 +14,7 @@ key that brings no row for ``idle_ms`` of wall-clock time is cleared.
 
 Defined cases: events without a merchant (count 0), with a blank one, without a user or a
 time (count 1) have no state; they are dealt over ``ALONE`` keys and pass through. Null request
-ids are one member.
+ids are one member. Alert deliveries need an id, a user, a severity and a time (the consumer's decoding sees to that).
 """
 
 from __future__ import annotations
@@ -303,6 +303,60 @@ class Admission(RateLimit):
         self.ban.clear()
 
 
+class FirstDelivery(StatefulProcessor):
+    """J7 by a shard of alert ids: an entry per id taken, so a delivery costs one look-up. The first
+    delivery of an id, by (``ms``, ``offset``, ``partition``) within a micro-batch, is no duplicate."""
+
+    def __init__(self, columns: list[str], keep_ms: int | None):
+        self.columns, self.keep_ms = columns, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getMapState("taken", _KEY, _TIME, self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = in_order(rows, ("ms", "offset", "partition"))
+        if not len(frame):
+            return
+        later = frame["alert_id"].duplicated()
+        old = {a for a in frame.loc[~later, "alert_id"] if self.taken.containsKey((a,))}
+        for a, ms in zip(frame.loc[~later, "alert_id"], frame.loc[~later, "ms"].tolist()):
+            if a not in old:
+                self.taken.updateValue((a,), (int(ms),))
+        yield frame[self.columns].assign(duplicate=later | frame["alert_id"].isin(old))
+
+    def close(self) -> None:
+        pass
+
+
+class Cooldown(Keyed):
+    """T10 by (user, severity): allowed iff nothing was allowed yet or the last one at least
+    ``cooldown_ms`` ago. Duplicates pass through, not allowed."""
+
+    order = ("ms", "offset", "partition")
+
+    def __init__(self, cooldown_ms: int, columns: list[str]):
+        self.cooldown_ms, self.columns = cooldown_ms, columns
+
+    def begin(self, handle):
+        self.last = handle.getValueState("last", _TIME)
+
+    def step(self, frame):
+        last = int(self.last.get()[0]) if self.last.exists() else None
+        allowed = []
+        for ms in frame["ms"].tolist():
+            ok = last is None or ms - last >= self.cooldown_ms
+            last = ms if ok else last
+            allowed.append(ok)
+        self.last.update((int(last),))
+        return frame[self.columns].assign(allowed=allowed)
+
+    def pass_on(self, frame):
+        return frame[self.columns].assign(allowed=False)
+
+    def clear(self):
+        self.last.clear()
+
+
 class Sequence(StatefulProcessor):
     """D1 by user: an automaton of (last first step, last second step with the first step
     before it). Its timer is in event time: ``within_ms`` after its last step it is cleared."""
@@ -400,3 +454,27 @@ def sequence(events: DataFrame, first: str, second: str, third: str, within_ms:
     return need.groupBy("user_id").transformWithStateInPandas(
         Sequence(first, second, third, within_ms, least), "event_id string, user_id string, ms long, second_ms long, first_ms long",
         "Append", "EventTime")
+
+
+ID_SHARDS = 1024  # keys over which alert ids are dealt
+
+
+def first_deliveries(alerts: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """J7 on a stream of alert deliveries (alert_id, ms, partition, offset, ...): the same rows with
+    ``duplicate``. Ids are kept for good, or for ``keep_ms`` of wall-clock time."""
+    cols = alerts.columns
+    keyed = alerts.withColumn("_key", F.pmod(F.xxhash64("alert_id"), F.lit(ID_SHARDS)).cast("string"))
+    return keyed.groupBy("_key").transformWithStateInPandas(
+        FirstDelivery(cols, keep_ms), T.StructType([*alerts.schema.fields, T.StructField("duplicate", T.BooleanType())]),
+        "Append", "ProcessingTime")
+
+
+def cooldown(deliveries: DataFrame, cooldown_ms: int) -> DataFrame:
+    """T10 on a stream of ``first_deliveries``: the same rows with ``allowed``. Duplicates don't
+    enter the state; they are dealt over ``ALONE`` keys."""
+    cols, alone = deliveries.columns, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("alert_id"), F.lit(ALONE)).cast("string"))
+    keyed = deliveries.withColumn("_key", F.when(F.col("duplicate"), alone).otherwise(F.col("user_id"))).withColumn(
+        "_severity", F.when(F.col("duplicate"), "").otherwise(F.upper("severity")))
+    return keyed.groupBy("_key", "_severity").transformWithStateInPandas(
+        Cooldown(cooldown_ms, cols), T.StructType([*deliveries.schema.fields, T.StructField("allowed", T.BooleanType())]),
+        "Append", "ProcessingTime")

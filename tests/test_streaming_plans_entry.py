@@ -228,8 +228,9 @@ def test_missing_rule_log_fails_unless_allowed(spark):
         q.awaitTermination(300)
 
 
-def test_alert_consumer_keeps_its_state_in_the_log(spark):
-    """Records in two batches: decoding, DLQ, cool-down across batches, sends."""
+def test_alert_consumer_keeps_its_state_without_its_log(spark):
+    """Records in two batches, some delivered again to a stream that starts anew and writes elsewhere: decoding,
+    DLQ, duplicates, cool-down across batches, sends. Nothing that was written is read again."""
     from payguard.operators import dlq as DQ
     from payguard.streaming import consumers as CS
 
@@ -240,6 +241,8 @@ def test_alert_consumer_keeps_its_state_in_the_log(spark):
     src = _split_to_files(records, f"{base}/alerts", parts=2, order=("record_ts", "offset"))
     _drain(CS.alert_stream(_stream_of(spark, src, records.schema), CFG, f"{base}/out", f"{base}/ck",
                            trigger={"availableNow": True}))
+    _drain(CS.dead_letter_stream(_stream_of(spark, src, records.schema), CFG, f"{base}/out", f"{base}/ck-dlq",
+                                 trigger={"availableNow": True}))
     good, bad = DQ.split_alert_records(records, CFG)
     one, _, sends = A.process_alerts(good.withColumn("ms", F.unix_millis("created_at")).withColumn("seq", F.col("offset"))
                                      .withColumn("delivery", F.lit(0)), CFG)
@@ -249,6 +252,13 @@ def test_alert_consumer_keeps_its_state_in_the_log(spark):
     assert log.select("batch_id").distinct().count() == 2
     assert spark.read.parquet(f"{base}/out/sends").count() == sends.count()
     assert spark.read.parquet(f"{base}/out/dlq").count() == bad.count() > 0
+    again = records.filter(F.col("offset") % 3 == 0).withColumn("offset", F.col("offset") + 10 ** 9)
+    again.coalesce(1).write.parquet(f"{src}/part=9")
+    _drain(CS.alert_stream(_stream_of(spark, src, records.schema), CFG, f"{base}/out2", f"{base}/ck",
+                           trigger={"availableNow": True}))
+    out = spark.read.parquet(f"{base}/out2/outcomes")
+    assert out.count() == out.filter("duplicate AND NOT rate_limited").count() == good.filter(F.col("offset") % 3 == 0).count() > 0
+    assert not [n for n in os.listdir(f"{base}/out2/alert_log") if n.startswith("batch_id")]
 
 
 def test_archive_and_ban_consumers(spark):
