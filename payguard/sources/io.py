@@ -1,5 +1,5 @@
-"""Sources and sinks: archive layout (S16), keyed publish order (T15),
-record codecs (S15) and table point reads (S13).
+"""Sources and sinks: archive layout (S16), keyed publish order (T15) and
+record codecs (S15).
 
 The Kafka source and Avro functions need jars that are not on this image's
 classpath, so records are JSON; with the jars, ``to_avro`` on the same struct takes its place.
@@ -44,12 +44,3 @@ def as_records(df: DataFrame, key: str = "user_id", value_cols: list[str] | None
 def from_records(records: DataFrame, schema: T.StructType) -> DataFrame:
     """Decode JSON values (PERMISSIVE: bad rows get null fields)."""
     return records.select("*", F.from_json(text_or_null("value"), schema).alias("record"))
-
-
-def rule_by_id(rules: DataFrame, rule_id: str) -> DataFrame:
-    """S13 point read (filter pushed to the scan)."""
-    return rules.filter(F.col("rule_id") == rule_id)
-
-
-def alert_log_by_id(log: DataFrame, alert_id: str) -> DataFrame:
-    return log.filter(F.col("alert_id") == alert_id)

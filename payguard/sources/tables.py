@@ -86,6 +86,15 @@ class Tables:
         version = self._publish({**manifest, name: {"schema": entry["schema"], "buckets": {**kept, **new}}}, base)
         return version, missing_keys(rows, updates, key)
 
+    def lookup(self, name: str, keys: DataFrame) -> DataFrame:
+        """The rows with the keys of ``keys``; only the buckets that may hold one are read."""
+        entry, key = self._manifest(self.version())[name], self.keys[name]
+        asked = {str(r[0]) for r in keys.select(self._bucket(name)).distinct().collect()}  # at most one a bucket
+        paths = [p for b, p in sorted(entry["buckets"].items()) if b in asked]
+        schema = T.StructType.fromJson(entry["schema"])
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return rows.join(keys.select(*key).distinct(), key, "left_semi")
+
     def _publish(self, manifest: dict, base: int) -> int:
         folder = f"{self.root}/_manifests"
         self._fs.mkdirs(self._path(folder))
