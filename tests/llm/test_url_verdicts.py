@@ -106,10 +106,11 @@ def test_verdicts_on_a_link_graph(spark, monkeypatch, seed):
         html = "x <a name=y><a href='/local'>" + "".join(forms[int(rng.integers(len(forms)))].format(h) + "z</a>" for h in links)
         url = None if i % 20 == 7 else f"no scheme {host}/" if i % 20 == 17 else f"http://{host}{['/', '/fr/a', '/de/?q', ''][i % 4]}"
         rows.append((i, url, html if i % 11 else None))
+    rows += [(240 + i, "http://good.org/fr/", '<a href="//trusted.info/">') for i in range(5)]  # allowed seeds
     folder = tempfile.mkdtemp(dir="/tmp", prefix="pg-urls-")
     spark.createDataFrame(rows, PAGES).write.parquet(f"{folder}/pages.parquet")
     monkeypatch.setattr(url_filter, "propagate", functools.partial(url_filter.propagate, tolerance=1e-2))
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in queries.op9_link_graph(spark, folder).collect()}
     lift, rounds = check(got, rows, 1e-2)
-    assert rounds > 10 and lift["chain5.com"] > url_filter.THRESHOLD and min(lift.values()) < 0
+    assert rounds > 10 and lift["chain5.com"] > url_filter.THRESHOLD and lift["trusted.info"] < 0
     assert "block" in {v[3] for v in got.values() if v[0] == "chain5.com"}
