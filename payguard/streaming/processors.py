@@ -1,11 +1,10 @@
-"""Keyed stateful stream operators with a state of fixed size per key
-on ``applyInPandasWithState``; ``keyed_state`` has those with an entry per member.
+"""The ban store as a keyed stateful stream operator (T9) on
+``applyInPandasWithState``; ``keyed_state`` has the others.
 
-Each keeps per-key state in the state store (RocksDB provider, checkpointed
+It keeps per-key state in the state store (RocksDB provider, checkpointed
 with the query) and processes a key's rows of a micro-batch in arrival order
-(``seq``). Late rows are still processed (T5): the operators keep their own
-max event time instead of relying on the event-time watermark, which would
-drop them. State expires by the key's own event time, so nothing is lost to an
+(``seq``). Late rows are still processed (T5): there is no event-time watermark,
+which would drop them. State expires by the key's own event time, so nothing is lost to an
 outage of any length; a wall-clock timeout (``STATE_TTL_MS``, far longer than
 outages) only clears keys that never return.
 The per-row loop is the state machine itself; Spark partitions the keys and
@@ -34,39 +33,6 @@ def _rows(pdfs: Iterator[pd.DataFrame], order: tuple[str, ...] = ("seq",)) -> pd
     return pd.concat(frames, ignore_index=True).sort_values(list(order), kind="stable")
 
 
-# --- T10: alert cool-down ---------------------------------------------------------
-
-COOL_OUT = "alert_id string, allowed boolean"
-
-
-def cooldown_stream(alerts: DataFrame, cooldown_ms: int) -> DataFrame:
-    """T10 keyed by (user, SEVERITY): allowed iff no earlier allowed alert or
-    ``ms - last_allowed >= cooldown`` (not sliding)."""
-    def step(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _rows(pdfs)
-        if not len(rows):
-            return
-        last = state.get[0] if state.exists else None
-        ids, allowed = [], []
-        for aid, ms in zip(rows["alert_id"], rows["ms"]):
-            ms = int(ms)
-            ok = last is None or ms - last >= cooldown_ms
-            if ok:
-                last = ms
-            ids.append(aid)
-            allowed.append(ok)
-        state.update((int(last),))
-        state.setTimeoutDuration(STATE_TTL_MS)
-        yield pd.DataFrame({"alert_id": ids, "allowed": allowed})
-
-    keyed = alerts.select("user_id", F.upper("severity").alias("sev_key"), "alert_id", "ms", "seq")
-    return keyed.groupBy("user_id", "sev_key").applyInPandasWithState(
-        step, COOL_OUT, "last_allowed long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 # --- T9: ban store ------------------------------------------------------------------
 
 BAN_OUT = ("request_key string, user_id string, reason string, severity int, ttl_seconds long, ms long,"

@@ -73,7 +73,9 @@ def test_stream_cooldown_equals_batch(spark):
     ev = TD.risk_events(spark, "/root/testdata/sf0.01")
     alerts = Q.score_events(ev, CFG, profiles=TD.user_profiles(ev)).alerts.cache()
     src = _split_to_files(alerts, tempfile.mkdtemp(dir="/tmp", prefix="pg-al-"), parts=4)
-    got = _run(SPR.cooldown_stream(_stream_of(spark, src, alerts.schema), CFG.alert_cooldown_ms), spark, "cool")
+    deliveries = _stream_of(spark, src, alerts.schema).select(
+        "alert_id", "user_id", "severity", "ms", F.lit(0).alias("partition"), F.col("seq").alias("offset"), F.lit(False).alias("duplicate"))
+    got = _run(K.cooldown(deliveries, CFG.alert_cooldown_ms), spark, "cool")
     exp = A.cooldown(alerts, CFG)
     assert {r.alert_id: r.allowed for r in got.collect()} == {r.alert_id: r.allowed for r in exp.collect()}
 
