@@ -13,8 +13,9 @@ Counting and look-up are one exchange. Each task turns its texts into batches
 asks for the counts of its distinct unigrams and bigrams, and when those are answered of its
 trigrams, with its own counts, in sorted blocks by hash range; the range's task adds up all
 requests and answers each block in its order. So a frequent n-gram costs
-one entry per batch, and the tables are never gathered. The entries follow the input linearly; the rows
-that carry them are batches times ranges, of some 2,000 entries each at 30 GB of text.
+one entry per batch, and the tables are never gathered. The entries follow the input linearly, and so do the rows
+that carry them, as a batch sends no row to a range it asks nothing of: batches times ranges, of some 2,000 entries
+each at 30 GB of text, and never more than there are entries.
 
 Defined cases: a null text is empty (its end token alone); a null id counts
 as the id '' for the folds; repeated rows are scored each; an empty training set leaves
@@ -136,10 +137,9 @@ class Batch:
         return out
 
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of the ranges of sorted 64-bit keys."""
-    part = ((keys >> U64(32)) * U64(parts)) >> U64(32)
-    return np.searchsorted(part, np.arange(parts + 1, dtype=U64))
+def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Range of each 64-bit key; ascending if the keys are."""
+    return (((keys >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
 
 
 def _spread(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,14 +150,15 @@ def _spread(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def requests(tokens: DataFrame, parts: int, orders: tuple[int, ...]) -> DataFrame:
-    """part, batch, deleted and for each order the sorted keys and own counts of a batch's distinct n-grams in a range."""
+    """part, batch, deleted and for each order the sorted keys and own counts of a batch's distinct n-grams in a range.
+    Ranges in which a batch has no n-gram get no row."""
     names = [f"{x}{k}" for k in orders for x in ("key", "n")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Batch(row)
-                blobs = []
+                own = []
                 for k in orders:
                     if k == 1:
                         keys, order = _spread(b.words)
@@ -166,12 +167,14 @@ def requests(tokens: DataFrame, parts: int, orders: tuple[int, ...]) -> DataFram
                         keys, at = b.bigrams()
                         keys, at = b.trigrams(keys, at) if k == 3 else (keys, at)
                         n = np.bincount(at[b.train], minlength=len(keys))
-                    cut = _cuts(keys, parts)
-                    blobs.append([(_pack(np.diff(keys[i:j], prepend=U64(0))), _pack(n[i:j].astype(np.int32)))
-                                  for i, j in zip(cut[:-1], cut[1:])])
+                    own.append((keys, n.astype(np.int32), _ranges(keys, parts)))
+                asked = np.unique(np.concatenate([at for _, _, at in own]))
+                blobs = [[(_pack(np.diff(keys[i:j], prepend=U64(0))), _pack(n[i:j]))
+                          for i, j in zip(np.searchsorted(at, asked), np.searchsorted(at, asked, "right"))]
+                         for keys, n, at in own]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(parts)), pa.array([row["batch"]] * parts, pa.int64()),
-                    pa.array([row["deleted"]] * parts),
+                    pa.array(asked), pa.array([row["batch"]] * len(asked), pa.int64()),
+                    pa.array([row["deleted"]] * len(asked)),
                     *(pa.array([x[k] for x in side], pa.binary()) for side in blobs for k in (0, 1)),
                 ], ["part", "batch", "deleted", *names])
     schema = "part long, batch long, deleted boolean, " + ", ".join(f"{x} binary" for x in names)
