@@ -8,8 +8,8 @@ the one at which a source would be repeated more often than the limit.
 The weights are realised as block permutations of each source: documents
 are permuted by a keyed hash, in blocks of the hash range. A source's budget is so
 many whole passes plus the head of the permutation that still fits; where
-that head ends follows from the blocks' token sums and the order within one
-block, so no source, however large, is sorted in one task, and texts don't
+that head ends follows from the token sums of groups of blocks, then of the blocks of one
+group, then from the order within one block, so no source, however large, is sorted in one task, and texts don't
 move: every row compares its hash with its source's end.
 
 Defined cases: a null source is a source of its own; documents without tokens go with their place
@@ -25,15 +25,22 @@ from pyspark.sql import functions as F
 
 from payguard.llm.common import salted_join, stored
 
-ENTROPY, MAX_EPOCHS, STEPS, BLOCK_ROWS = 0.9, 4.0, 50, 256
+ENTROPY, MAX_EPOCHS, STEPS, BLOCK_ROWS, GROUP_BLOCKS = 0.9, 4.0, 50, 256, 4_096
 _HASH_BITS = 60
-BROADCAST_SOURCES = 100_000  # rows of the plan that may be copied to every executor (under 10 MB)
+BROADCAST_BYTES = 8 << 20  # facts of sources that may be copied to every executor
+_FACT_BYTES = 64  # of a source's row beside its name
 
 
-def _of_source(rows: DataFrame, facts: DataFrame, n: int, how: str = "inner") -> DataFrame:
-    """Rows with their source's facts (``of``, ...): copied to the rows if there are
-    few sources (counted), else by a salted join; a hot source is split either way."""
-    if n <= BROADCAST_SOURCES:
+def _few(facts: DataFrame, name: str) -> bool:
+    """May the facts of all sources be copied to every executor? By their bytes, names included."""
+    size = F.sum(F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + _FACT_BYTES)
+    return (facts.agg(size).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _of_source(rows: DataFrame, facts: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Rows with their source's facts (``of``, ...): copied to the rows if they are
+    few (by their bytes), else by a salted join; a hot source is split either way."""
+    if few:
         return rows.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("of")), how)
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     named = F.coalesce(F.concat(F.lit("="), F.col("of").cast("string")), F.lit("null"))
@@ -51,14 +58,16 @@ def place(key: Column, seed: str) -> Column:
 
 
 def exponent(sources: DataFrame, entropy: float, max_epochs: float, budget: str) -> float:
-    """Bisect the exponent over sources (tokens); sums run over the array of
-    all sources' shares, smallest first."""
-    shares = sources.filter("tokens > 0").agg(F.sort_array(F.collect_list(F.col("tokens").cast("double"))).alias("t"))
-    shares = shares.select("t", F.aggregate("t", F.lit(0.0), lambda a, x: a + x).alias("all"))
-    shares = shares.select(F.transform("t", lambda x: x / F.col("all")).alias("p"))
+    """Bisect the exponent over sources (tokens). Sums run over the distinct numbers of tokens, smallest
+    first, each with how many sources have it: T tokens have at most sqrt(2 T) of them, however many sources there are."""
+    sizes = sources.filter("tokens > 0").groupBy(F.col("tokens").cast("double").alias("t")).agg(F.count("*").cast("double").alias("n"))
+    shares = sizes.agg(F.sort_array(F.collect_list(F.struct("t", "n"))).alias("s"), F.sum("n").alias("many"))
+    shares = shares.select("s", "many", F.aggregate("s", F.lit(0.0), lambda a, x: a + x["t"] * x["n"]).alias("all"))
+    shares = shares.select("many", F.transform("s", lambda x: x["t"] / F.col("all")).alias("p"), F.transform("s", lambda x: x["n"]).alias("n"))
+    shares = shares.select("many", "p", F.arrays_zip("p", "n").alias("s"))
 
     def total(f) -> Column:
-        return F.aggregate("p", F.lit(0.0), lambda a, x: a + f(x))
+        return F.aggregate("s", F.lit(0.0), lambda a, x: a + x["n"] * f(x["p"]))
 
     def spread(e: Column) -> Column:
         z = total(lambda x: F.pow(x, e))
@@ -82,12 +91,21 @@ def exponent(sources: DataFrame, entropy: float, max_epochs: float, budget: str)
         end = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)
         return F.when(up(F.lit(1.0)), F.lit(1.0)).otherwise(end["lo"])
 
-    by_entropy = bisect(lambda e: spread(e) >= entropy * F.log(F.size("p")))
+    by_entropy = bisect(lambda e: spread(e) >= entropy * F.log("many"))
     by_epochs = bisect(lambda e: epochs(e) > max_epochs)
     found = shares.select(F.when(F.size("p") > 0, F.greatest(by_entropy, by_epochs)).otherwise(F.lit(1.0)).alias("e")).first()
     return float(found["e"])
 
 
+def _crossing(sums: DataFrame, part: str) -> DataFrame:
+    """of, the first part of each source at which its running sum of tokens, from ``start`` on,
+    passes ``rest``, and the sum before that part. Sources that never pass it have no row."""
+    upto = F.col("start") + F.sum("tokens").over(Window.partitionBy("source").orderBy(part))
+    first = F.min_by(F.struct(part, (F.col("upto") - F.col("tokens")).alias("before")), part)
+    return (sums.withColumn("upto", upto).filter("upto > rest").groupBy("source").agg(first.alias("c"))
+            .select(F.col("source").alias("of"), F.col(f"c.{part}").alias(f"at_{part}"), F.col("c.before").alias("before")))
+
+
 def plan(documents: DataFrame, source_col: str, entropy: float, max_epochs: float, budget: str, seed: str) -> DataFrame:
     """source, weight, passes, ends (place at which the last, partial pass
     ends; -1: it is empty). ``documents`` has id, source, tokens, place."""
@@ -114,16 +132,16 @@ def plan(documents: DataFrame, source_col: str, entropy: float, max_epochs: floa
     s = s.withColumn("rest", F.col("quota") - F.col("passes") * F.col("tokens"))
     # blocks of the hash range, about BLOCK_ROWS documents each
     s = stored(s.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS)), "mix-plan")
-    n = s.count()
-    b = _of_source(d, s.select(F.col("source").alias("of"), "rest", "blocks"), n).select(
+    few = _few(s, "source")
+    b = _of_source(d, s.select(F.col("source").alias("of"), "rest", "blocks"), few).select(
         "source", "tokens", "place", "rest", F.floor(F.col("place") / F.lit(2.0 ** _HASH_BITS) * F.col("blocks")).alias("block"))
-    sums = b.groupBy("source", "block", "rest").agg(F.sum("tokens").alias("tokens"))
-    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("block"))
-    cut = (sums.withColumn("upto", upto).filter("upto > rest")
-           .groupBy("source").agg(F.min_by(F.struct("block", (F.col("upto") - F.col("tokens")).alias("before")), "block").alias("c"))
-           .select(F.col("source").alias("of"), F.col("c.block").alias("cb"), F.col("c.before").alias("before")))
+    group = F.floor(F.col("block") / GROUP_BLOCKS).alias("group")
+    sums = stored(b.groupBy("source", "block", "rest").agg(F.sum("tokens").alias("tokens")).withColumn("group", group), "mix-blocks")
+    wide = sums.groupBy("source", "group", "rest").agg(F.sum("tokens").alias("tokens")).withColumn("start", F.lit(0))
+    inner = _of_source(sums.withColumn("place", F.col("block")), _crossing(wide, "group"), few).filter("group = at_group")
+    cut = _crossing(inner.withColumn("start", F.col("before")).drop("of", "before"), "block")
     # within the block where the budget ends: the last place whose rows all fit
-    mine = _of_source(b, cut, n).filter(F.col("block") == F.col("cb"))
+    mine = _of_source(b, cut, few).filter("block = at_block")
     at_place = mine.groupBy("source", "rest", "before", "place").agg(F.sum("tokens").alias("tokens"))
     run = F.col("before") + F.sum("tokens").over(Window.partitionBy("source").orderBy("place"))
     inside = at_place.withColumn("run", run).filter("run <= rest").groupBy("source").agg(F.max("place").alias("last"))
@@ -145,7 +163,7 @@ def mix(documents: DataFrame, tokens: Column, id_col: str = "doc_id", source_col
                          place(F.col(id_col), seed).alias("place"), F.col(source_col).alias("source"))
     p = plan(d.select("source", "tokens", "place"), "source", entropy, max_epochs, budget, seed)
     p = stored(p.select(F.col("source").alias("of"), "passes", "ends"), "mix-ends")
-    joined = _of_source(d, p, p.count())
+    joined = _of_source(d, p, _few(p, "of"))
     copies = F.col("passes") + F.when(F.col("place") <= F.col("ends"), 1).otherwise(0)
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns) if c.lower() not in ("mix_tokens", "mix_copies")]
     return joined.select(*kept, F.col("tokens").alias("mix_tokens"), copies.cast("long").alias("mix_copies"))
