@@ -4,7 +4,6 @@ content-based range bounds and connected components."""
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.session import ensure_checkpoint_dir, expose_package
+from payguard.session import expose_package, run_folder
 
 #: The white space of the word definition `[^\x20\x09-\x0D]+`.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -43,8 +42,8 @@ def fold(doc_id: str | Column, k: int = 5) -> Column:
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder, deleted when the process that made it ends."""
+    return run_folder(spark, label)
 
 
 def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
