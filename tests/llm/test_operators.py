@@ -228,6 +228,19 @@ def test_query_of_lm_equals_a_plain_model(spark):
     assert set(got) == set(want) and all(abs(got[i] - want[i]) <= 1e-6 * max(1, abs(want[i])) for i in want)
 
 
+def test_lm_asks_only_ranges_that_hold_its_ngrams(spark):
+    """However many ranges there are, a batch's rows are no more than its distinct n-grams."""
+    df = spark.createDataFrame([(i, f"a{i} b c", False, False) for i in range(5)] + [(9, None, True, False)],
+                               "id long, text string, held_out boolean, deleted boolean")
+    tokens = ngram_lm.tokenised(df.coalesce(1))
+    # words: a0-a4, b, c, end; bigrams: end a, a b of each, b c, c end, end end; trigrams: three of each, b c end, one of the empty text
+    for orders, most in (((1, 2), (8, 13)), ((3,), (17,))):
+        asked = ngram_lm.requests(tokens, 100_000, orders).toPandas()
+        assert len(asked) <= sum(most) and len(asked) == len(set(asked["part"]))
+        for k, n in zip(orders, most):
+            assert sum(len(ngram_lm._unpack(x, np.uint64)) for x in asked[f"key{k}"]) == n
+
+
 def test_lm_learns_from_the_second_last_word(spark):
     """After 'l x' comes 'a', after 'r x' comes 'b': no bigram tells them apart."""
     expose_package(spark)
@@ -610,8 +623,12 @@ def brute_mix(rows, budget="total", entropy=mixing.ENTROPY, limit=mixing.MAX_EPO
     return out
 
 
+@pytest.mark.parametrize("blocks", [(256, 4_096, 8 << 20), (8, 3, 0)], ids=["one group", "many groups, nothing copied"])
 @pytest.mark.parametrize("budget", ["total", "cover"])
-def test_mixing_equals_brute_force(spark, budget):
+def test_mixing_equals_brute_force(spark, monkeypatch, budget, blocks):
+    """The second form cuts sources into groups of few blocks and joins their facts with salt."""
+    for name, value in zip(("BLOCK_ROWS", "GROUP_BLOCKS", "BROADCAST_BYTES"), blocks):
+        monkeypatch.setattr(mixing, name, value)
     rng = np.random.default_rng(0)
     rows = [(i, ["big", "big", "big", "big", "mid", None, "small"][int(rng.integers(7))] if i % 40 else "tiny", "w " * int(rng.integers(0, 30))) for i in range(1_500)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
@@ -621,6 +638,14 @@ def test_mixing_equals_brute_force(spark, budget):
         assert min(r["mix_copies"] for r in got) >= 1
 
 
+def test_mixing_of_many_sources_of_one_size(spark):
+    """Sources of equal size are one entry of the bisected sums; those without tokens are none."""
+    rows = [(10 * i + j, f"host-{i}", "w " * (1 + i % 3)) for i in range(300) for j in range(2)] + [(-1, "empty", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df, mixing.word_count("text")).collect()
+    assert collections.Counter((r["doc_id"], r["source"], r["mix_tokens"], r["mix_copies"]) for r in got) == brute_mix(rows)
+
+
 def test_mixing_odd_rows(odd, none):
     out = mixing.mix(odd, mixing.word_count("text"))
     rows = [(r["doc_id"], r["source"], r["text"]) for r in odd.collect()]
