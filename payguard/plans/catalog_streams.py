@@ -23,7 +23,7 @@ from payguard.plans import catalog_ops as CO
 from payguard.plans.oracle import RISK_EVENTS, scored_cte, uuid3, with_
 from payguard.plans.oracle_pipelines import DECODED_LOG, DECODED_OUTCOMES, DECODED_SENDS, Q3_ADMISSION, _asof, _rule_ctes
 from payguard.operators.rules import PARAMS
-from payguard.session import expose_package, run_folder
+from payguard.session import run_folder, start_stream
 from payguard.sources import testdata as TD
 from payguard.streaming import consumers as CS
 from payguard.streaming import keyed_state as K
@@ -50,8 +50,8 @@ def in_turns(rows: DataFrame, folder: str, start: Callable[[str, int], Streaming
 
 
 def _to_files(df: DataFrame, folder: str) -> StreamingQuery:
-    return (df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-            .outputMode("append").trigger(**NOW).start())
+    w = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    return start_stream(df.sparkSession, w.outputMode("append").trigger(**NOW))
 
 
 def _source(spark: SparkSession, schema: T.StructType, source: str) -> DataFrame:
@@ -61,8 +61,6 @@ def _source(spark: SparkSession, schema: T.StructType, source: str) -> DataFrame
 def _streamed(spark: SparkSession, label: str, rows: DataFrame, operator: Callable[[DataFrame], DataFrame], out: str,
               last: DataFrame | None = None) -> DataFrame:
     """Rows of ``operator`` over the stream of ``rows`` (of type ``out``)."""
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    expose_package(spark)
     folder = run_folder(spark, label)
     in_turns(rows, folder, lambda source, k: _to_files(operator(_source(spark, rows.schema, source)), folder), last=last)
     return spark.read.schema(out).parquet(f"{folder}/out")
@@ -215,8 +213,6 @@ def _alert_streams(spark, sf, label, start):
     cfg, alerts = C._spread_alerts(spark, sf)
     records = TD.alert_records(alerts).withColumn("ms", F.unix_millis("record_ts"))
     again = records.filter(F.col("offset") % 10 == 0).withColumn("offset", F.col("offset") + AGAIN).withColumn("ms", F.col("ms") + 9 * CO.DAY)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    expose_package(spark)
     folder = run_folder(spark, label)
     in_turns(records.unionByName(again), folder, lambda source, k: start(
         _source(spark, records.drop("ms").schema, source), cfg, f"{folder}/out", f"{folder}/checkpoint", NOW))

@@ -19,19 +19,20 @@ from payguard.operators import alerts as A
 from payguard.operators import archive as AR
 from payguard.operators import bans as BN
 from payguard.operators import dlq as DQ
+from payguard.session import start_stream
 from payguard.streaming import keyed_state as K
 from payguard.streaming.processors import ban_stream
 
 
 def _start(df: DataFrame, checkpoint: str, trigger: dict | None, sink) -> StreamingQuery:
     w = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    return w.trigger(**(trigger or {"processingTime": "30 seconds"})).start()
+    return start_stream(df.sparkSession, w.trigger(**(trigger or {"processingTime": "30 seconds"})))
 
 
 def copy_stream(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """S3: pass-through copy with its own checkpoint (own consumer group)."""
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    return q.trigger(**(trigger or {"processingTime": "30 seconds"})).start()
+    return start_stream(stream.sparkSession, q.trigger(**(trigger or {"processingTime": "30 seconds"})))
 
 
 def archive_stream(stream: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str,

@@ -2,7 +2,7 @@
 
 A key's window is kept as chunks of (time, member) entries, sorted by time, and, where
 members are counted once, the last time of each member. A micro-batch reads
-the entries of the members it brings, and the chunks whose first entry has left the
+the entries of the members it brings (or all, if they are fewer than its rows), and the chunks whose first entry has left the
 window; it writes those members, one new chunk, and what is left of the chunks it
 opened. So its cost follows its own rows and the rows that expire, not
 the size of the window.
@@ -30,6 +30,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from payguard.config import DAY_MS
 from payguard.functions import is_blank
+from payguard.session import expose_package, use_state_store
 
 IDLE_MS = 30 * DAY_MS
 CHUNK_ROWS = 512  # entries of a chunk
@@ -57,20 +58,23 @@ class Window:
         self.chunks = handle.getMapState(f"{name}_chunks", _NUMBER, _CHUNK)
         self.seen = handle.getMapState(f"{name}_seen", _KEY, _TIME) if distinct else None
 
-    def open(self) -> None:
-        """Begin a micro-batch of the current key."""
-        stored = self.head.get() if self.head.exists() else None
-        self.live, self.next, chunks, firsts, self.max_ms = stored if stored else (0, 0, (), (), None)
+    def open(self, rows: int = 0) -> None:
+        """Begin a micro-batch of the current key, of ``rows`` rows."""
+        self.live, self.next, chunks, firsts, self.max_ms = self.head.get() or (0, 0, (), (), None)
         self.closed = list(zip(firsts or (), chunks or ()))
         heapq.heapify(self.closed)
         self.read: list[int] = []                        # chunks taken out of the state
         self.entries: list[tuple[int, str]] = []         # a heap of entries in memory
         self.last: dict[str, int | None] = {}            # members looked up or put
         self.known: dict[str, int | None] = {}           # their stored times
+        self.whole = self.distinct and self.live <= rows  # fewer members in the window than rows: all are read, in a few calls
+        if self.whole and self.live:
+            self.last = {member: int(ms) for (member,), (ms,) in self.seen.iterator()}
+            self.known = dict(self.last)
 
     def _last(self, member: str) -> int | None:
         if member not in self.last:
-            value = self.seen.getValue((member,))
+            value = None if self.whole else self.seen.getValue((member,))
             self.last[member] = self.known[member] = None if value is None else int(value[0])
         return self.last[member]
 
@@ -143,7 +147,7 @@ class Keyed(StatefulProcessor):
             yield self.pass_on(frame)
             return
         now = timerValues.getCurrentProcessingTimeInMs()
-        timer = self.used.get()[1] if self.used.exists() else None
+        _, timer = self.used.get() or (None, None)
         if timer is None:
             timer = now + self.idle_ms
             self.handle.registerTimer(timer)
@@ -189,7 +193,7 @@ class Burst(Keyed):
 
     def step(self, frame):
         w, counts = self.window, []
-        w.open()
+        w.open(len(frame))
         for user, ms in zip(frame["user_id"], frame["ms"].tolist()):
             w.max_ms = ms if w.max_ms is None else max(w.max_ms, ms)
             w.drop_before(w.max_ms - self.lag_ms - self.window_ms)
@@ -217,7 +221,7 @@ class Velocity(Keyed):
 
     def step(self, frame):
         w, counts = self.window, []
-        w.open()
+        w.open(len(frame))
         for ms in frame["ms"].tolist():
             w.max_ms = ms if w.max_ms is None else max(w.max_ms, ms)
             w.drop_before(w.max_ms - self.window_ms)
@@ -249,7 +253,7 @@ class RateLimit(Keyed):
         return self.window.live
 
     def step(self, frame):
-        self.window.open()
+        self.window.open(len(frame))
         counts = [self.call(r, ms) for r, ms in zip(frame["request_id"], frame["ms"].tolist())]
         self.window.close()
         return pd.DataFrame({"event_id": frame["event_id"].values, "rate_count": pd.array(counts, "int64"),
@@ -271,8 +275,8 @@ class Admission(RateLimit):
         self.ban = handle.getValueState("ban", "expires long, severity int, reason string")
 
     def step(self, frame):
-        expires, severity, reason = self.ban.get() if self.ban.exists() else (None, None, None)
-        self.window.open()
+        expires, severity, reason = self.ban.get() or (None, None, None)
+        self.window.open(len(frame))
         out = []
         for is_ban, ms, event, request, sev, why, ttl, bad in zip(
                 *(frame[c].tolist() for c in ("is_ban", "ms", "event_id", "request_id", "severity", "reason", "ttl_seconds", "violations"))):
@@ -341,7 +345,7 @@ class Cooldown(Keyed):
         self.last = handle.getValueState("last", _TIME)
 
     def step(self, frame):
-        last = int(self.last.get()[0]) if self.last.exists() else None
+        last = (self.last.get() or (None,))[0]
         allowed = []
         for ms in frame["ms"].tolist():
             ok = last is None or ms - last >= self.cooldown_ms
@@ -372,7 +376,7 @@ class Sequence(StatefulProcessor):
         frame = in_order(rows)
         if not len(frame):
             return
-        first, second, carried, timer = self.state.get() if self.state.exists() else (None, None, None, None)
+        first, second, carried, timer = self.state.get() or (None, None, None, None)
         out, step = [], None
         for event, kind, ms, amount in zip(*(frame[c].tolist() for c in ("event_id", "event_type", "ms", "amount_cents"))):
             if kind == self.types[2] and amount == amount and amount is not None and amount >= self.least \
@@ -401,6 +405,12 @@ class Sequence(StatefulProcessor):
         pass
 
 
+def _with_state(rows: DataFrame, key: list[str], processor: StatefulProcessor, out: T.StructType | str, time: str = "ProcessingTime") -> DataFrame:
+    use_state_store(rows.sparkSession)
+    expose_package(rows.sparkSession)
+    return rows.groupBy(*key).transformWithStateInPandas(processor, out, "Append", time)
+
+
 def _typed(df: DataFrame, columns: list[str], out: str) -> T.StructType:
     return T.StructType([df.schema[c] for c in columns] + [T.StructField(out, T.LongType())])
 
@@ -417,8 +427,7 @@ def burst(events: DataFrame, window_ms: int, lag_ms: int = 0, columns: tuple[str
     cols, m = list(columns), F.col("merchant_id")
     need = list(dict.fromkeys([*cols, "merchant_id", "user_id", "ms", "seq"]))
     keyed = events.select(*need, _key_or_alone("merchant_id", m.isNull() | is_blank(m)))
-    return keyed.groupBy("_key").transformWithStateInPandas(
-        Burst(window_ms, lag_ms, cols, out), _typed(events, cols, out), "Append", "ProcessingTime")
+    return _with_state(keyed, ["_key"], Burst(window_ms, lag_ms, cols, out), _typed(events, cols, out))
 
 
 def velocity(events: DataFrame, window_ms: int, columns: tuple[str, ...] = ("event_id",), out: str = "velocity_7d") -> DataFrame:
@@ -426,14 +435,13 @@ def velocity(events: DataFrame, window_ms: int, columns: tuple[str, ...] = ("eve
     cols = list(columns)
     need = list(dict.fromkeys([*cols, "user_id", "ms", "seq"]))
     keyed = events.select(*need, _key_or_alone("user_id", F.col("user_id").isNull()))
-    return keyed.groupBy("_key").transformWithStateInPandas(
-        Velocity(window_ms, cols, out), _typed(events, cols, out), "Append", "ProcessingTime")
+    return _with_state(keyed, ["_key"], Velocity(window_ms, cols, out), _typed(events, cols, out))
 
 
 def rate_limit(calls: DataFrame, window_ms: int, limit: int) -> DataFrame:
     """W2 on a stream: event_id, rate_count, rate_blocked."""
-    return calls.select("user_id", "event_id", "request_id", "ms", "seq").groupBy("user_id").transformWithStateInPandas(
-        RateLimit(window_ms, limit), "event_id string, rate_count long, rate_blocked boolean", "Append", "ProcessingTime")
+    return _with_state(calls.select("user_id", "event_id", "request_id", "ms", "seq"), ["user_id"], RateLimit(window_ms, limit),
+                       "event_id string, rate_count long, rate_blocked boolean")
 
 
 ADMISSION_INPUT = ("user_id string, event_id string, request_id string, ms long, seq long, is_ban boolean, severity int, "
@@ -443,17 +451,15 @@ ADMISSION_INPUT = ("user_id string, event_id string, request_id string, ms long,
 def admission(records: DataFrame, window_ms: int, limit: int) -> DataFrame:
     """Q3 on a stream of calls and ban sets (``ADMISSION_INPUT``): one outcome a call."""
     fields = [f.split()[0] for f in ADMISSION_INPUT.split(", ")]
-    return records.select(*fields).groupBy("user_id").transformWithStateInPandas(
-        Admission(window_ms, limit), "event_id string, user_id string, status string, reason string, rate_limit_count long",
-        "Append", "ProcessingTime")
+    return _with_state(records.select(*fields), ["user_id"], Admission(window_ms, limit),
+                       "event_id string, user_id string, status string, reason string, rate_limit_count long")
 
 
 def sequence(events: DataFrame, first: str, second: str, third: str, within_ms: int, least: int = 0) -> DataFrame:
     """D1 on a stream with a watermark on ``ts``."""
     need = events.select("user_id", "event_id", "event_type", "ms", "seq", "amount_cents", "ts")
-    return need.groupBy("user_id").transformWithStateInPandas(
-        Sequence(first, second, third, within_ms, least), "event_id string, user_id string, ms long, second_ms long, first_ms long",
-        "Append", "EventTime")
+    return _with_state(need, ["user_id"], Sequence(first, second, third, within_ms, least),
+                       "event_id string, user_id string, ms long, second_ms long, first_ms long", "EventTime")
 
 
 ID_SHARDS = 1024  # keys over which alert ids are dealt
@@ -464,9 +470,8 @@ def first_deliveries(alerts: DataFrame, keep_ms: int | None = None) -> DataFrame
     ``duplicate``. Ids are kept for good, or for ``keep_ms`` of wall-clock time."""
     cols = alerts.columns
     keyed = alerts.withColumn("_key", F.pmod(F.xxhash64("alert_id"), F.lit(ID_SHARDS)).cast("string"))
-    return keyed.groupBy("_key").transformWithStateInPandas(
-        FirstDelivery(cols, keep_ms), T.StructType([*alerts.schema.fields, T.StructField("duplicate", T.BooleanType())]),
-        "Append", "ProcessingTime")
+    return _with_state(keyed, ["_key"], FirstDelivery(cols, keep_ms),
+                       T.StructType([*alerts.schema.fields, T.StructField("duplicate", T.BooleanType())]))
 
 
 def cooldown(deliveries: DataFrame, cooldown_ms: int) -> DataFrame:
@@ -475,6 +480,5 @@ def cooldown(deliveries: DataFrame, cooldown_ms: int) -> DataFrame:
     cols, alone = deliveries.columns, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("alert_id"), F.lit(ALONE)).cast("string"))
     keyed = deliveries.withColumn("_key", F.when(F.col("duplicate"), alone).otherwise(F.col("user_id"))).withColumn(
         "_severity", F.when(F.col("duplicate"), "").otherwise(F.upper("severity")))
-    return keyed.groupBy("_key", "_severity").transformWithStateInPandas(
-        Cooldown(cooldown_ms, cols), T.StructType([*deliveries.schema.fields, T.StructField("allowed", T.BooleanType())]),
-        "Append", "ProcessingTime")
+    return _with_state(keyed, ["_key", "_severity"], Cooldown(cooldown_ms, cols),
+                       T.StructType([*deliveries.schema.fields, T.StructField("allowed", T.BooleanType())]))

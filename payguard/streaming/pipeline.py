@@ -29,7 +29,7 @@ from payguard.config import RiskConfig
 from payguard.operators import rules as R
 from payguard.operators import scoring as S
 from payguard.plans.scoring import lookup_profiles
-from payguard.session import expose_package, path_exists
+from payguard.session import path_exists, start_stream
 from payguard.streaming import keyed_state as K
 
 EVENT_STREAM_SCHEMA = T.StructType(schemas.RISK_EVENT.fields + [
@@ -85,10 +85,6 @@ def score_stream(spark: SparkSession, source: str, out_dir: str, cfg: RiskConfig
     """Streaming Q1. With ``rules_in_stream`` the source holds records (events and rule updates in
     one order). Else the rule log at ``rules_path``, if given, is read each micro-batch; a
     missing one fails the query unless ``rules_may_be_absent`` (then the static rules apply until it exists)."""
-    # timeouts are evaluated when data arrives; no empty micro-batches, so an
-    # availableNow run terminates once the input is drained
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    expose_package(spark)
     schema = RECORD_SCHEMA if rules_in_stream else EVENT_STREAM_SCHEMA
     records = event_stream(spark, source, max_files_per_trigger, schema=schema)
     # the processors carry the whole row, so no stream-stream join is needed
@@ -118,5 +114,4 @@ def score_stream(spark: SparkSession, source: str, out_dir: str, cfg: RiskConfig
         batch.unpersist()
 
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    w = w.trigger(**(trigger or {"processingTime": "30 seconds"}))
-    return w.start()
+    return start_stream(spark, w.trigger(**(trigger or {"processingTime": "30 seconds"})))
