@@ -23,7 +23,7 @@ from payguard.plans import catalog_ops as CO
 from payguard.plans.oracle import RISK_EVENTS, scored_cte, uuid3, with_
 from payguard.plans.oracle_pipelines import DECODED_LOG, DECODED_OUTCOMES, DECODED_SENDS, Q3_ADMISSION, _asof, _rule_ctes
 from payguard.operators.rules import PARAMS
-from payguard.session import run_folder, start_stream
+from payguard.session import cut_lineage, run_folder, start_stream
 from payguard.sources import testdata as TD
 from payguard.streaming import consumers as CS
 from payguard.streaming import keyed_state as K
@@ -37,7 +37,8 @@ NOW = {"availableNow": True}
 def in_turns(rows: DataFrame, folder: str, start: Callable[[str, int], StreamingQuery], turns: int = TURNS, ms: str = "ms",
              last: DataFrame | None = None) -> None:
     """Write ``rows`` to ``folder``/src by time ranges (then ``last``), and after each run the stream
-    that ``start(source, turn)`` starts until it has taken them."""
+    that ``start(source, turn)`` starts until it has taken them. The rows are worked out once."""
+    rows = cut_lineage(rows, "arrived")
     cuts = rows.agg(F.percentile_approx(ms, [k / turns for k in range(1, turns)], 10_000)).first()[0] or []
     turn = sum((F.when(F.col(ms) > c, 1).otherwise(0) for c in cuts), F.lit(0))
     parts = [rows.filter(turn == k) for k in range(len(cuts) + 1)] + ([last] if last is not None else [])
