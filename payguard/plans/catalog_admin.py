@@ -140,7 +140,7 @@ def j06_not_found(spark, sf):
 def j07_pending(spark, sf):
     """A third of the alerts lie in the log as PENDING (stored, never finished); they are processed
     as if new, and their redeliveries are duplicates."""
-    alerts = C.scored(spark, sf).alerts
+    alerts = C._stored_alerts(C.scored(spark, sf).alerts)
     pending = alerts.filter(F.col("seq") % 3 == 0).select(
         "alert_id", "user_id", "severity", "reason_summary", F.lit("PENDING").alias("status"),
         F.array().cast("array<string>").alias("channels_notified"), "created_at", F.lit(None).cast("timestamp").alias("processed_at"))
