@@ -22,17 +22,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from payguard.config import DAY_MS
+from payguard.streaming.keyed_state import in_order
 
 STATE_TTL_MS = 30 * DAY_MS
 
 
-def _rows(pdfs: Iterator[pd.DataFrame], order: tuple[str, ...] = ("seq",)) -> pd.DataFrame:
-    frames = [p for p in pdfs if len(p)]
-    if not frames:
-        return pd.DataFrame()
-    return pd.concat(frames, ignore_index=True).sort_values(list(order), kind="stable")
-
-
 # --- T9: ban store ------------------------------------------------------------------
 
 BAN_OUT = ("request_key string, user_id string, reason string, severity int, ttl_seconds long, ms long,"
@@ -52,12 +46,12 @@ def ban_stream(requests: DataFrame) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = _rows(pdfs, ("ms", "seq", "request_key"))
+        rows = in_order(pdfs, ("ms", "seq", "request_key"))
         if not len(rows):
             return
         exp, sev = (state.get if state.exists else (None, None))
         acc, exps = [], []
-        for ms, s, ttl in zip(rows["ms"], rows["severity"], rows["ttl_seconds"]):
+        for ms, s, ttl in zip(rows["ms"].tolist(), rows["severity"].tolist(), rows["ttl_seconds"].tolist()):
             ms, s, ttl = int(ms), int(s), int(ttl)
             live = exp is not None and (exp < 0 or ms < exp)
             ok = (not live) or s > sev
@@ -68,10 +62,8 @@ def ban_stream(requests: DataFrame) -> DataFrame:
         state.update((int(exp), int(sev)))
         if exp >= 0:
             state.setTimeoutDuration(ban_timeout_ms(int(exp), state.getCurrentProcessingTimeMs()))
-        out = rows[["request_key", "user_id", "reason", "severity", "ttl_seconds", "ms"]].copy()
-        out["accepted"] = acc
-        out["expires_ms"] = pd.array(exps, dtype="Int64")
-        yield out
+        same = {c: rows[c].to_numpy() for c in ("request_key", "user_id", "reason", "severity", "ttl_seconds", "ms")}
+        yield pd.DataFrame({**same, "accepted": acc, "expires_ms": pd.array(exps, dtype="Int64")})
 
     sel = requests.select("user_id", "request_key", F.unix_millis("ts").alias("ms"), "seq", "reason",
                           F.col("severity").cast("int").alias("severity"), F.col("ttl_seconds").cast("long").alias("ttl_seconds"))

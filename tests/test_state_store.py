@@ -91,3 +91,14 @@ def test_a_window_shorter_than_its_batch_is_read_in_few_calls():
         a.close(), b.close()
         assert whole.maps["w_seen"].d == single.maps["w_seen"].d
     assert whole.maps["w_seen"].reads < single.maps["w_seen"].reads / 4
+
+
+def test_a_key_of_distinct_times_is_sorted_by_time_alone(monkeypatch):
+    import pandas as pd
+    tied = pd.DataFrame({"ms": [5, 3, 3, 9], "seq": [1, 7, 2, 0]})
+    assert K.in_order(iter([tied[:2], tied[2:]])).values.tolist() == [[3, 2], [3, 7], [5, 1], [9, 0]]
+    gaps = pd.DataFrame({"ms": [5, None, 3], "seq": [1, 2, 3]})
+    assert K.in_order(iter([gaps]))["seq"].tolist() == [3, 1, 2]
+    assert not len(K.in_order(iter([tied[:0]])))
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    assert K.in_order(iter([tied[:2], tied[3:]])).values.tolist() == [[3, 7], [5, 1], [9, 0]]
