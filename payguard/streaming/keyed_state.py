@@ -342,33 +342,42 @@ class FirstDelivery(StatefulProcessor):
         pass
 
 
-class Cooldown(Keyed):
-    """T10 by (user, severity): allowed iff nothing was allowed yet or the last one at least
-    ``cooldown_ms`` ago. Duplicates pass through, not allowed."""
+class Cooldown(StatefulProcessor):
+    """T10 by a shard of (user, severity) pairs, with an entry per pair, so that a pair costs two look-ups a micro-batch and
+    no call of its own: allowed iff nothing was allowed yet or the last one at least ``cooldown_ms`` ago. Duplicates pass
+    through, not allowed. A pair that brings no row for ``idle_ms`` of wall-clock time is forgotten."""
 
-    order = ("ms", "offset", "partition")
+    idle_ms = IDLE_MS
 
     def __init__(self, cooldown_ms: int, columns: list[str]):
         self.cooldown_ms, self.columns = cooldown_ms, columns
 
-    def begin(self, handle):
-        self.last = handle.getValueState("last", _TIME)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getMapState("last", _KEY, _TIME, self.idle_ms)
 
-    def step(self, frame):
-        last = (self.last.get() or (None,))[0]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = in_order(rows, ("ms", "offset", "partition"))
+        if not len(frame):
+            return
+        last: dict[str, int | None] = {}
         allowed = []
-        for ms in frame["ms"].tolist():
-            ok = last is None or ms - last >= self.cooldown_ms
-            last = ms if ok else last
+        for pair, ms, duplicate in zip(frame["pg_pair"], frame["ms"].tolist(), frame["duplicate"].tolist()):
+            if duplicate:
+                allowed.append(False)
+                continue
+            if pair not in last:
+                value = self.last.getValue((pair,))
+                last[pair] = None if value is None else int(value[0])
+            ok = last[pair] is None or ms - last[pair] >= self.cooldown_ms
+            if ok:
+                last[pair] = ms
             allowed.append(ok)
-        self.last.update((int(last),))
-        return frame[self.columns].assign(allowed=allowed)
-
-    def pass_on(self, frame):
-        return frame[self.columns].assign(allowed=False)
+        for pair, ms in last.items():
+            self.last.updateValue((pair,), (int(ms),))
+        yield frame[self.columns].assign(allowed=allowed)
 
-    def clear(self):
-        self.last.clear()
+    def close(self) -> None:
+        pass
 
 
 class Sequence(StatefulProcessor):
@@ -472,7 +481,7 @@ def sequence(events: DataFrame, first: str, second: str, third: str, within_ms:
                        "event_id string, user_id string, ms long, second_ms long, first_ms long", "EventTime")
 
 
-ID_SHARDS = 1024  # keys over which alert ids are dealt
+ID_SHARDS = PAIR_SHARDS = 1024  # keys over which alert ids, and pairs of user and severity, are dealt
 
 
 def first_deliveries(alerts: DataFrame, keep_ms: int | None = None) -> DataFrame:
@@ -485,10 +494,12 @@ def first_deliveries(alerts: DataFrame, keep_ms: int | None = None) -> DataFrame
 
 
 def cooldown(deliveries: DataFrame, cooldown_ms: int) -> DataFrame:
-    """T10 on a stream of ``first_deliveries``: the same rows with ``allowed``. Duplicates don't
-    enter the state; they are dealt over ``ALONE`` keys."""
-    cols, alone = deliveries.columns, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("alert_id"), F.lit(ALONE)).cast("string"))
-    keyed = deliveries.withColumn("_key", F.when(F.col("duplicate"), alone).otherwise(F.col("user_id"))).withColumn(
-        "_severity", F.when(F.col("duplicate"), "").otherwise(F.upper("severity")))
-    return _with_state(keyed, ["_key", "_severity"], Cooldown(cooldown_ms, cols),
+    """T10 on a stream of ``first_deliveries``: the same rows with ``allowed``. Pairs of user and severity are dealt
+    over ``PAIR_SHARDS`` keys; duplicates don't enter the state and are dealt by their alert id."""
+    cols = deliveries.columns
+    user, severity = (F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in (F.col("user_id"), F.upper("severity")))
+    pairs = deliveries.select(F.concat(user, F.lit("\u0000"), severity).alias("pg_pair"), *cols)
+    dealt = F.when(F.col("duplicate"), F.col("alert_id")).otherwise(F.col("pg_pair"))
+    keyed = pairs.withColumn("_key", F.pmod(F.xxhash64(dealt), F.lit(PAIR_SHARDS)).cast("string"))
+    return _with_state(keyed, ["_key"], Cooldown(cooldown_ms, cols),
                        T.StructType([*deliveries.schema.fields, T.StructField("allowed", T.BooleanType())]))
