@@ -213,3 +213,33 @@ def test_no_event_is_lost_without_user_merchant_or_time(spark, events_df):
         return users, 1 if r["user_id"] is None or r["ms"] is None else sum(x["user_id"] == r["user_id"] for x in timed)
     assert out["island"] == {r["event_id"]: want(r) for r in rows}
     assert Q.score_events(ev, CFG).decisions.count() == 200
+
+
+def test_f26_near_rows_are_found_in_one_exchange(spark):
+    """w1_supplier_burst: every neighbour nearer than the edge, across buckets too; no row is lost or doubled."""
+    import random
+    from collections import defaultdict
+    rng, edge = random.Random(26), 50
+    rows = [(f"k{rng.randint(0, 3)}", rng.choice((rng.randint(-2_000, 2_000), 400 * rng.randint(-4, 4) + rng.randint(-2, 2))), i)
+            for i in range(600)]
+    df = W.near_rows(spark.createDataFrame(rows, "k string, ms long, seq long"), ["k"], edge, "ms", "seq", 60)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.seq: (r._pg_prev, r._pg_next) for r in df.collect()}
+    assert df.count() == len(got) == len(rows)
+    by_key = defaultdict(list)
+    for k, ms, seq in rows:
+        by_key[k].append((ms, seq))
+    near = lambda a, b: None if a is None or b is None or abs(a - b) >= edge else a
+    for line in by_key.values():
+        line.sort()
+        times = [None, *(ms for ms, _ in line), None]
+        for i, (ms, seq) in enumerate(line):
+            assert (near(got[seq][0], ms), near(got[seq][1], ms)) == (near(times[i], ms), near(times[i + 2], ms))
+
+
+def test_f26_long_windows_without_members(spark, events_df):
+    rows = [event_row(f"e{i}", user=None if i % 3 else f"u{i % 2}", ms=T0_MS + 86_400_000 * i, seq=i) for i in range(40)]
+    df = events_df(rows)
+    a = {r.event_id: r.n for r in W.distinct_in_range(df, ["merchant_id"], "user_id", 9 * 86_400_000, "n", method="prefix").collect()}
+    b = {r.event_id: r.n for r in W.distinct_in_range(df, ["merchant_id"], "user_id", 9 * 86_400_000, "n", method="naive").collect()}
+    assert a == b and len(a) == 40
