@@ -5,7 +5,8 @@ members are counted once, the last time of each member. A micro-batch reads
 the entries of the members it brings (or all, if they are fewer than its rows), and the chunks whose first entry has left the
 window; it writes those members, one new chunk, and what is left of the chunks it
 opened. So its cost follows its own rows and the rows that expire, not
-the size of the window.
+the size of the window. Users are many and bring few rows each: they are dealt over ``USER_SHARDS`` keys, and a
+user costs one look-up and one write a micro-batch as long as its window has few entries.
 
 Rows of a micro-batch are taken in the order of (``ms``, ``seq``), and late rows are
 still processed: a key keeps its own greatest time instead of a
@@ -13,15 +14,17 @@ watermark, and its window ends by that time, so an outage of any length loses no
 key that brings no row for ``idle_ms`` of wall-clock time is cleared.
 
 Defined cases: events without a merchant (count 0), with a blank one, without a user or a
-time (count 1) have no state; they are dealt over ``ALONE`` keys and pass through. Null request
+time (count 1) have no state; they are dealt over ``ALONE`` keys, or the users' shards, and pass through. Null request
 ids are one member. Alert deliveries need an id, a user, a severity and a time (the consumer's decoding sees to that).
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ _NUMBER = T.StructType([T.StructField("i", T.LongType())])
 _TIME = T.StructType([T.StructField("ms", T.LongType())])
 _HEAD = "live long, next long, chunks array<long>, firsts array<long>, max_ms long"
 _CHUNK = "ms array<long>, members array<string>"
+_PART = T.StructType([T.StructField("k", T.StringType()), T.StructField("i", T.LongType())])
+_DEALT_HEAD = f"{_HEAD}, ms array<long>, members array<string>, buckets long, used_ms long"
 
 
 def in_order(frames: Iterator[pd.DataFrame], order: tuple[str, ...] = ("ms", "seq")) -> pd.DataFrame:
@@ -138,6 +143,167 @@ class Window:
                 state.clear()
 
 
+class Part:
+    """One key's entries of a map that the keys of a shard share."""
+
+    def __init__(self, state):
+        self.state, self.key = state, None
+
+    def getValue(self, k):
+        return self.state.getValue((self.key, *k))
+
+    def updateValue(self, k, v):
+        self.state.updateValue((self.key, *k), v)
+
+    def removeKey(self, k):
+        self.state.removeKey((self.key, *k))
+
+
+class DealtWindow(Window):
+    """A window of each key of a shard. The latest ``CHUNK_ROWS`` entries, at most, lie in the key's head, earlier ones in
+    chunks. A window with chunks has its members' last times in buckets, by the member's hash. ``more`` fields of the
+    head are the caller's."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, distinct: bool, more: str = ""):
+        self.distinct = distinct
+        self.heads = handle.getMapState(f"{name}_heads", _KEY, _DEALT_HEAD + more)
+        self.chunks = Part(handle.getMapState(f"{name}_chunks", _PART, _CHUNK))
+        self.seen = Part(handle.getMapState(f"{name}_seen", _PART, _CHUNK)) if distinct else None
+
+    def of(self, key: str) -> None:
+        for part in (self.chunks, self.seen):
+            if part is not None:
+                part.key = key
+        self.key = key
+
+    def open(self, key: str) -> tuple:
+        """Begin a micro-batch of ``key``; returns the caller's fields, none for a new key."""
+        self.of(key)
+        self.live, self.next, chunks, firsts, self.max_ms, times, members, self.buckets, _, *more = (
+            self.heads.getValue((key,)) or (0, 0, (), (), None, (), (), 0, None))
+        self.closed = list(zip(firsts, chunks))
+        heapq.heapify(self.closed)
+        self.read = []
+        self.entries = list(zip(times, members if self.distinct else [""] * len(times)))  # sorted, so a heap
+        self.loaded: dict[int, dict[str, int]] = {}  # buckets as they are stored
+        self.last = {} if self.buckets or not self.distinct else {member: ms for ms, member in self.entries}
+        return tuple(more)
+
+    def _load(self, bucket: int) -> None:
+        times, members = self.seen.getValue((bucket,)) or ((), ())
+        self.loaded[bucket] = dict(zip(members, times))
+        self.last.update(self.loaded[bucket])
+
+    def _last(self, member: str) -> int | None:
+        if member not in self.last:
+            if self.buckets and (bucket := zlib.crc32(member.encode()) % self.buckets) not in self.loaded:
+                self._load(bucket)
+            self.last.setdefault(member, None)
+        return self.last[member]
+
+    def close(self, now: int, *more) -> None:
+        """Write the key's state back."""
+        for chunk in self.read:
+            self.chunks.removeKey((chunk,))
+        rest = sorted({e for e in self.entries if self._last(e[1]) == e[0]}) if self.distinct else sorted(self.entries)
+        while len(rest) > CHUNK_ROWS:
+            part, rest = rest[:CHUNK_ROWS], rest[CHUNK_ROWS:]
+            self.chunks.updateValue((self.next,), ([e[0] for e in part], [e[1] for e in part]))
+            self.closed.append((part[0][0], self.next))
+            self.next += 1
+        if self.distinct:
+            self._keep_members()
+        self.heads.updateValue((self.key,), (
+            self.live, self.next, [c for _, c in self.closed], [f for f, _ in self.closed], self.max_ms,
+            [e[0] for e in rest], [e[1] for e in rest] if self.distinct else [], self.buckets, now, *more))
+
+    def _keep_members(self) -> None:
+        """Write the buckets that changed; their number follows the number of members, and is 0 where the head has all."""
+        old = new = self.buckets
+        if not self.closed:
+            new = 0
+        elif self.live > 2 * CHUNK_ROWS * old:
+            new = 1 + 2 * self.live // CHUNK_ROWS
+            for bucket in set(range(old)) - set(self.loaded):
+                self._load(bucket)
+        parts: dict[int, dict[str, int]] = {}
+        if new:
+            for member, ms in self.last.items():
+                if ms is not None:
+                    parts.setdefault(zlib.crc32(member.encode()) % new, {})[member] = ms
+        for bucket in self.loaded if new == old else range(max(old, new)):
+            part = parts.get(bucket)
+            if part and (new != old or part != self.loaded[bucket]):
+                self.seen.updateValue((bucket,), (list(part.values()), list(part)))
+            elif not part and bucket < old:
+                self.seen.removeKey((bucket,))
+        self.buckets = new
+
+    def forget(self, key: str, chunks: list[int], buckets: int) -> None:
+        self.of(key)
+        for chunk in chunks:
+            self.chunks.removeKey((chunk,))
+        for bucket in range(buckets):
+            self.seen.removeKey((bucket,))
+        self.heads.removeKey((key,))
+
+
+class Dealt(StatefulProcessor):
+    """A processor of shards of keys (column ``pg_key``; rows without one have no state), with a ``DealtWindow`` for each
+    key. A key that brings no row for ``idle_ms`` of wall-clock time is cleared when its shard is looked
+    through, an eighth of that time later at most. Sub-classes give the window (``begin``) and the rows' results (``step``)."""
+
+    idle_ms = IDLE_MS
+    order: tuple[str, ...] = ("ms", "seq")
+    window: DealtWindow
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sweep = handle.getValueState("sweep", "timer long")
+        self.begin(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = in_order(rows, self.order)
+        if not len(frame):
+            return
+        self.now = timerValues.getCurrentProcessingTimeInMs()
+        codes, names = pd.factorize(frame["pg_key"])
+        by = codes.argsort(kind="stable")
+        frame, codes = frame.iloc[by], codes[by]
+        starts = np.flatnonzero(np.diff(codes, prepend=-2)).tolist()
+        parts = [(names[codes[i]], i, j) for i, j in zip(starts, [*starts[1:], len(codes)]) if codes[i] >= 0]
+        if parts and self.sweep.get() is None:
+            self._look_through_at(self.now + self.idle_ms)
+        yield self.step(frame, [None if ms != ms else int(ms) for ms in frame["ms"].tolist()], parts)
+
+    def _look_through_at(self, timer: int) -> None:
+        self.handle.registerTimer(timer)
+        self.sweep.update((timer,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        idle, due = [], 1 << 62
+        for (k,), (_, _, chunks, _, _, _, _, buckets, used, *more) in self.window.heads.iterator():
+            until = max(used + self.idle_ms, self.needed_until(*more))
+            if until <= now:
+                idle.append((k, chunks, buckets))
+            else:
+                due = min(due, until)
+        for k, chunks, buckets in idle:
+            self.window.forget(k, chunks, buckets)
+        self.sweep.clear()
+        if due < 1 << 62:
+            self._look_through_at(max(due, now + max(self.idle_ms // 8, 1)))
+        return iter(())
+
+    def needed_until(self, *more) -> int:
+        """Wall-clock time before which an idle key's state is still needed."""
+        return 0
+
+    def close(self) -> None:
+        pass
+
+
 class Keyed(StatefulProcessor):
     """A processor whose keys are cleared after ``idle_ms`` without a row. Sub-classes give
     the state (``begin``), the rows' results (``step``) and its end (``clear``)."""
@@ -220,101 +386,107 @@ class Burst(Keyed):
         self.window.clear()
 
 
-class Velocity(Keyed):
-    """W3 by user: rows of the window up to the user's greatest time, this one included."""
+class Velocity(Dealt):
+    """W3 by shards of users: rows of the window up to the user's greatest time, this one included."""
 
     def __init__(self, window_ms: int, columns: list[str], out: str):
         self.window_ms, self.columns, self.out = window_ms, columns, out
 
     def begin(self, handle):
-        self.window = Window(handle, "rows", distinct=False)
-
-    def step(self, frame):
-        w, counts = self.window, []
-        w.open(len(frame))
-        for ms in frame["ms"].tolist():
-            w.max_ms = ms if w.max_ms is None else max(w.max_ms, ms)
-            w.drop_before(w.max_ms - self.window_ms)
-            w.put(None, ms)
-            counts.append(w.live)
-        w.close()
-        return frame[self.columns].assign(**{self.out: pd.array(counts, "int64")})
-
-    def pass_on(self, frame):
-        return frame[self.columns].assign(**{self.out: pd.array([1] * len(frame), "int64")})
-
-    def clear(self):
-        self.window.clear()
-
-
-class RateLimit(Keyed):
-    """T8 by user: add the request id at now, drop ids scored at or before now - window,
+        self.window = DealtWindow(handle, "rows", distinct=False)
+
+    def step(self, frame, times, parts):
+        w, counts = self.window, np.ones(len(frame), "int64")
+        for user, i, j in parts:
+            w.open(user)
+            for row in range(i, j):
+                ms = times[row]
+                w.max_ms = ms if w.max_ms is None else max(w.max_ms, ms)
+                w.drop_before(w.max_ms - self.window_ms)
+                w.put(None, ms)
+                counts[row] = w.live
+            w.close(self.now)
+        return frame[self.columns].assign(**{self.out: counts})
+
+
+class RateLimit(Dealt):
+    """T8 by shards of users: add the request id at now, drop ids scored at or before now - window,
     count; blocked iff the count exceeds the limit."""
 
     def __init__(self, window_ms: int, limit: int):
         self.window_ms, self.limit = window_ms, limit
 
     def begin(self, handle):
-        self.window = Window(handle, "calls", distinct=True)
+        self.window = DealtWindow(handle, "calls", distinct=True)
 
     def call(self, request, ms: int) -> int:
         self.window.put(request, ms)
         self.window.drop_before(ms - self.window_ms + 1)
         return self.window.live
 
-    def step(self, frame):
-        self.window.open(len(frame))
-        counts = [self.call(r, ms) for r, ms in zip(frame["request_id"], frame["ms"].tolist())]
-        self.window.close()
+    def step(self, frame, times, parts):
+        requests, counts = frame["request_id"].tolist(), []
+        for user, i, j in parts:
+            self.window.open(user)
+            counts += [self.call(r, ms) for r, ms in zip(requests[i:j], times[i:j])]
+            self.window.close(self.now)
         return pd.DataFrame({"event_id": frame["event_id"].values, "rate_count": pd.array(counts, "int64"),
                              "rate_blocked": [c > self.limit for c in counts]})
 
-    def clear(self):
-        self.window.clear()
+
+class Held:
+    """A value of the key at hand, kept in its head."""
+
+    def __init__(self, fields=()):
+        self.fields = tuple(fields)
+
+    def exists(self) -> bool:
+        return bool(self.fields) and self.fields[0] is not None
+
+    def get(self) -> tuple | None:
+        return self.fields if self.exists() else None
 
 
 class Admission(RateLimit):
-    """Q3 by user: ban sets and calls in one order. A ban set is accepted when no ban is
+    """Q3 by shards of users: ban sets and calls in one order. A ban set is accepted when no ban is
     live or the live one has a lower severity; a call sees bans set strictly before it (of
     one ms, calls come first) and enters the limiter only if no ban is live."""
 
     order = ("ms", "is_ban", "seq", "event_id")
 
     def begin(self, handle):
-        super().begin(handle)
-        self.ban = handle.getValueState("ban", "expires long, severity int, reason string")
+        self.window = DealtWindow(handle, "calls", distinct=True, more=", expires long, severity int, reason string")
 
-    def step(self, frame):
-        expires, severity, reason = self.ban.get() or (None, None, None)
-        self.window.open(len(frame))
+    def step(self, frame, times, parts):
+        rows = list(zip(times, *(frame[c].tolist() for c in (
+            "user_id", "is_ban", "event_id", "request_id", "severity", "reason", "ttl_seconds", "violations"))))
         out = []
-        for is_ban, ms, event, request, sev, why, ttl, bad in zip(
-                *(frame[c].tolist() for c in ("is_ban", "ms", "event_id", "request_id", "severity", "reason", "ttl_seconds", "violations"))):
-            live = expires is not None and (expires < 0 or ms < expires)
-            if is_ban:
-                if not live or sev > severity:
-                    expires, severity, reason = (-1 if ttl == 0 else ms + int(ttl) * 1000), int(sev), why
-            elif bad:
-                out.append((event, "REJECTED", bad, 0))
-            elif live:
-                out.append((event, "BLOCKED", f"blacklist:{reason}", 0))
-            else:
-                n = self.call(request, ms)
-                out.append((event, "BLOCKED", "rate_limit", n) if n > self.limit else (event, "ACCEPTED", "passed_fast_path", n))
-        self.window.close()
-        if expires is not None:
-            self.ban.update((expires, severity, reason))
-        found = pd.DataFrame(out, columns=["event_id", "status", "reason", "rate_limit_count"])
-        found.insert(1, "user_id", frame["user_id"].iloc[0])
-        return found
+        for user, i, j in parts:
+            self.ban = Held(self.window.open(user))
+            expires, severity, reason = self.ban.get() or (None, None, None)
+            for ms, user_id, is_ban, event, request, sev, why, ttl, bad in rows[i:j]:
+                live = expires is not None and (expires < 0 or ms < expires)
+                if is_ban:
+                    if not live or sev > severity:
+                        expires, severity, reason = (-1 if ttl == 0 else ms + int(ttl) * 1000), int(sev), why
+                elif bad:
+                    out.append((event, user_id, "REJECTED", bad, 0))
+                elif live:
+                    out.append((event, user_id, "BLOCKED", f"blacklist:{reason}", 0))
+                else:
+                    n = self.call(request, ms)
+                    out.append((event, user_id, "BLOCKED", "rate_limit", n) if n > self.limit
+                               else (event, user_id, "ACCEPTED", "passed_fast_path", n))
+            self.window.close(self.now, expires, severity, reason)
+        return pd.DataFrame(out, columns=["event_id", "user_id", "status", "reason", "rate_limit_count"])
 
     def stays_until(self):
         expires = self.ban.get()[0] if self.ban.exists() else 0
         return 1 << 62 if expires < 0 else expires
 
-    def clear(self):
-        super().clear()
-        self.ban.clear()
+    def needed_until(self, *more):
+        self.ban = Held(more)
+        return self.stays_until()
 
 
 class FirstDelivery(StatefulProcessor):
@@ -452,14 +624,27 @@ def burst(events: DataFrame, window_ms: int, lag_ms: int = 0, columns: tuple[str
 def velocity(events: DataFrame, window_ms: int, columns: tuple[str, ...] = ("event_id",), out: str = "velocity_7d") -> DataFrame:
     """W3 on a stream: ``columns`` and ``out``."""
     cols = list(columns)
-    need = list(dict.fromkeys([*cols, "user_id", "ms", "seq"]))
-    keyed = events.select(*need, _key_or_alone("user_id", F.col("user_id").isNull()))
+    need = list(dict.fromkeys([*cols, "user_id", "ms", "seq", "event_id"]))
+    keyed = _dealt(events.select(*need, F.when(F.col("ms").isNotNull(), F.col("user_id")).alias("pg_key")))
     return _with_state(keyed, ["_key"], Velocity(window_ms, cols, out), _typed(events, cols, out))
 
 
+USER_SHARDS = 1024  # keys over which users are dealt
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with the shard of their ``pg_key``; rows without one are dealt by their event."""
+    return rows.withColumn("_key", F.pmod(F.xxhash64(F.coalesce("pg_key", "event_id")), F.lit(USER_SHARDS)).cast("string"))
+
+
+def _any_user() -> Column:
+    """The user as a key; calls without one are one key."""
+    return F.coalesce(F.concat(F.lit("="), "user_id"), F.lit("")).alias("pg_key")
+
+
 def rate_limit(calls: DataFrame, window_ms: int, limit: int) -> DataFrame:
     """W2 on a stream: event_id, rate_count, rate_blocked."""
-    return _with_state(calls.select("user_id", "event_id", "request_id", "ms", "seq"), ["user_id"], RateLimit(window_ms, limit),
+    return _with_state(_dealt(calls.select("event_id", "request_id", "ms", "seq", _any_user())), ["_key"], RateLimit(window_ms, limit),
                        "event_id string, rate_count long, rate_blocked boolean")
 
 
@@ -470,7 +655,7 @@ ADMISSION_INPUT = ("user_id string, event_id string, request_id string, ms long,
 def admission(records: DataFrame, window_ms: int, limit: int) -> DataFrame:
     """Q3 on a stream of calls and ban sets (``ADMISSION_INPUT``): one outcome a call."""
     fields = [f.split()[0] for f in ADMISSION_INPUT.split(", ")]
-    return _with_state(records.select(*fields), ["user_id"], Admission(window_ms, limit),
+    return _with_state(_dealt(records.select(*fields, _any_user())), ["_key"], Admission(window_ms, limit),
                        "event_id string, user_id string, status string, reason string, rate_limit_count long")
 
 
