@@ -111,7 +111,8 @@ def connected_components(edges: DataFrame, label: str = "components", max_rounds
     """(id, component) for every id of ``edges`` (a, b: long); the component
     is the smallest id reachable. Alternating large and small stars: each step
     is a minimum per node (pre-aggregated) joined back to its edges, so no
-    neighbour list is ever gathered. Edge sets are stored after each round."""
+    neighbour list is ever gathered, and merged, as a small file of edges is a large table in
+    the driver. Edge sets are stored after each round."""
     e = (edges.filter(F.col("a") != F.col("b"))
          .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     e = stored(e, label)
@@ -120,11 +121,11 @@ def connected_components(edges: DataFrame, label: str = "components", max_rounds
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # stored, so that the join reads two plain exchanges, of which Spark can split a hub's
         low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")), label)
-        large = (both.filter(F.col("v") > F.col("u")).join(low, F.col("u") == F.col("n"))
+        large = (both.filter(F.col("v") > F.col("u")).join(low.hint("merge"), F.col("u") == F.col("n"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         large = stored(large, label)
         low2 = stored(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), label)
-        small = large.join(low2, F.col("u") == F.col("n")).select(
+        small = large.join(low2.hint("merge"), F.col("u") == F.col("n")).select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
         ).select("x.u", "x.v").filter("u <> v").distinct()
         e = stored(small, label)

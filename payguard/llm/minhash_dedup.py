@@ -16,6 +16,10 @@ first block, so that a family of copies of one text is united by rows in proport
 members; those it leaves apart from the largest part then meet all blocks. A task
 returns one row per member (its smallest partner found), never the pairs. Nothing is capped or sampled.
 
+Tables that grow with the documents are joined by merging, and facts of the second deal are copied to all tasks if they are few by
+count: Spark takes a table for as large as its file, and an exploded one for no larger than before, and would send
+many times its estimate through the driver.
+
 Defined cases: null or blank texts have an empty set and link with nothing; a
 text shorter than a shingle is one shingle; rows with equal ids count as the
 same document; rows without an id take the component of their text's class
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from payguard.llm.common import connected_components, stored
+from payguard.llm.common import connected_components, salted_join, stored
 from payguard.llm.textops import U64, Texts, mix64, slices
 
 SAMPLES = 160        # MinHash samples folded into the sketch
@@ -41,6 +45,7 @@ BANDS, ROWS = 25, 4  # a pair at the threshold meets in no band with probability
 SKETCH_BITS = 512
 MARGIN = 0.14        # 4.4 standard deviations of a similarity of 0.8 estimated from 160 samples
 BUCKET_BLOCK, FAMILY_BLOCK = 512, 128
+MOST_SENT = 100_000  # rows of a table that is copied to all tasks
 
 _rng = np.random.default_rng(20_240_229)
 _A = (_rng.integers(0, 2**31, SAMPLES, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -117,11 +122,19 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, digest binary, n_shingles long, bands array<long>, sketch binary")
 
 
+def _of_groups(members: DataFrame, facts: DataFrame, group: str, rows: int) -> DataFrame:
+    """``members`` (with ``id``) of the groups of ``facts``, however many a group has."""
+    if rows <= MOST_SENT:
+        return members.join(F.broadcast(facts), group)
+    return salted_join(members, facts.hint("merge"), group, "id", "inner")
+
+
 def _first_deal(members: DataFrame, group: str, sizes: DataFrame, block: int) -> DataFrame:
     """Deal each group's members to tasks: adds ``pair`` (long) and ``side`` (0: left, 1: right, 2: both).
     A group of one block is one task; of a larger one, each block meets itself and the first block,
     which is three rows a member at most."""
-    m = (members.join(sizes.select(F.col(group).alias("_g"), F.ceil(F.col("n") / block).cast("int").alias("_nb")), F.col(group) == F.col("_g"))
+    blocks = sizes.select(F.col(group).alias("_g"), F.ceil(F.col("n") / block).cast("int").alias("_nb"))
+    m = (members.join(blocks.hint("merge"), F.col(group) == F.col("_g"))
          .withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")))
     own = F.struct(F.col("_b").cast("long").alias("pair"), F.lit(2).alias("side"))
     later = F.transform(F.sequence(F.lit(1), F.col("_nb") - 1), lambda i: F.struct((-i).cast("long").alias("pair"), F.lit(0).alias("side")))
@@ -135,19 +148,21 @@ def _apart_deal(members: DataFrame, group: str, sizes: DataFrame, links: DataFra
     (those that ``links`` of the first deal unite with one member of the first block) meet all members. None if there
     are no such groups. Adds ``part``, ``pair`` and ``side``. So a family that the first block unites costs nothing more."""
     large = sizes.filter(F.col("n") > block)
-    if large.isEmpty():
+    groups = large.count()
+    if not groups:
         return None
     found = links.filter("split AND pair <= 0").groupBy("g", "a", (F.col("pair") == 0).alias("own")).agg(F.min("b").alias("b"))
     with_first = found.filter("NOT own").select(F.col("g").alias("_g1"), F.col("a").alias("_a1"), F.col("b").alias("_to"))
     in_first = found.filter("own").select(F.col("g").alias("_g2"), F.col("a").alias("_a2"), F.col("b").alias("_top"))
-    m = members.select("id", group).join(large.select(F.col(group).alias("_g"), F.ceil(F.col("n") / block).cast("int").alias("_nb")), F.col(group) == F.col("_g")).drop("_g")
-    m = m.join(with_first, (F.col(group) == F.col("_g1")) & (F.col("id") == F.col("_a1")), "left").withColumn("_to", F.coalesce("_to", "id"))
-    m = m.join(in_first, (F.col(group) == F.col("_g2")) & (F.col("_to") == F.col("_a2")), "left")
+    blocks = large.select(group, F.ceil(F.col("n") / block).cast("int").alias("_nb"))
+    m = _of_groups(members.select("id", group), blocks, group, groups)
+    m = m.join(with_first.hint("merge"), (F.col(group) == F.col("_g1")) & (F.col("id") == F.col("_a1")), "left").withColumn("_to", F.coalesce("_to", "id"))
+    m = m.join(in_first.hint("merge"), (F.col(group) == F.col("_g2")) & (F.col("_to") == F.col("_a2")), "left")
     m = stored(m.select("id", group, "_nb", F.coalesce("_top", "_to").alias("part")), label)
     weight = m.groupBy(group, "part").agg(F.count("*").alias("k"))
-    top = weight.groupBy(F.col(group).alias("_g")).agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all"))
-    top = top.select("_g", F.col("top.part").alias("_top"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("_na")).filter("_na > 0")
-    m = m.join(top, F.col(group) == F.col("_g"))
+    top = weight.groupBy(group).agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all"))
+    top = top.select(group, F.col("top.part").alias("_top"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("_na")).filter("_na > 0")
+    m = stored(_of_groups(m, top, group, groups), label + "-apart")
     spot = F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")
     mine = F.pmod(F.shiftright(F.xxhash64("id"), 20), F.col("_na")).cast("int")
 
@@ -156,7 +171,9 @@ def _apart_deal(members: DataFrame, group: str, sizes: DataFrame, links: DataFra
     left = m.filter(F.col("part") != F.col("_top")).withColumn("pair", F.explode(F.transform(
         F.sequence(F.lit(0), F.col("_nb") - 1), lambda i: task(mine, i)))).withColumn("side", F.lit(0))
     right = m.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("_na") - 1), lambda i: task(i, spot)))).withColumn("side", F.lit(1))
-    return members.join(left.unionByName(right).select("id", group, "part", "pair", "side"), ["id", group])
+    dealt = m.agg(F.sum(F.col("_na") + F.when(F.col("part") != F.col("_top"), F.col("_nb")).otherwise(0))).first()[0] or 0
+    deals = left.unionByName(right).select("id", group, "part", "pair", "side")
+    return members.join(deals.hint("broadcast" if dealt <= MOST_SENT else "merge"), ["id", group])
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -210,7 +227,7 @@ def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
     most = max_differing_bits(threshold)
     rows = classes.select("id", "sketch", F.posexplode("bands").alias("band", "key"))
     rows = rows.withColumn("key", F.xxhash64("band", "key")).drop("band")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("side", "ascending"), ("id", "ascending")])  # the first block's members name parts
@@ -232,7 +249,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, families: DataFrame, sh
     """(a, b) rows that connect the classes of each family exactly as their
     links (100 * intersection >= percent * union on whole sets) do."""
     spark = docs.sparkSession
-    wanted = stored(families.join(classes.select("id", "digest"), "id"), "families")
+    wanted = stored(families.join(classes.select("id", "digest").hint("merge"), "id"), "families")
     # A fixed-size bitmap of hashed ids spares most other texts the shuffle; the join decides.
     slots = 1 << 22
     slot = F.pmod(F.xxhash64("id"), F.lit(slots))
@@ -261,8 +278,8 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, families: DataFrame, sh
     found = (docs.filter("id IS NOT NULL").withColumn("slot", slot).mapInArrow(
         sets, "id long, digest binary, sketch binary, shingles binary"))
     # one row per class, by its digest: rows with an equal id and another text fall out
-    sizes = wanted.groupBy("family").agg(F.count("*").alias("n"))
-    full = (found.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"]).drop("digest"))
+    sizes = stored(wanted.groupBy("family").agg(F.count("*").alias("n")), "family-sizes")
+    full = (found.join(wanted.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"]).drop("digest"))
     full = stored(full, "sets")  # read by both deals
 
     def run(t: pa.Table) -> pa.Table:
@@ -317,7 +334,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     named = classes.select("digest", F.col("id").alias("class_id"))
     top = groups.select(F.col("id").alias("class_id"), "component")
     out = sig.select("id", "digest", "n_shingles").join(
-        named.join(top, "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component")),
+        named.join(top.hint("merge"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component")),
         "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select("id", "n_shingles", component.alias("component_id"),

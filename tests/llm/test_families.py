@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from payguard.llm import minhash_dedup
+from payguard.llm import common, minhash_dedup
 from payguard.session import expose_package
 
 
@@ -55,6 +55,32 @@ def test_blocks_leave_no_link_out(spark, monkeypatch, bucket, family):
     assert {r["id"]: r["component_id"] for r in got} == brute_groups(rows, 3, 80)
 
 
+def test_no_table_goes_through_the_driver(spark, monkeypatch):
+    """Tables that Spark takes for small ones (these are) are merged unless they are small by count: the estimate of
+    an exploded table is too low."""
+    expose_package(spark)
+    monkeypatch.setattr(minhash_dedup, "BUCKET_BLOCK", 3)
+    monkeypatch.setattr(minhash_dedup, "FAMILY_BLOCK", 2)
+    monkeypatch.setattr(minhash_dedup, "MOST_SENT", 0, raising=False)
+    plans, store = {}, common.stored
+
+    def recorded(df, label, *more):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, label, *more)
+    for module in (common, minhash_dedup):
+        monkeypatch.setattr(module, "stored", recorded)
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    half = [word() for _ in range(60)]
+    rows = [(i, " ".join(half + [word() for _ in range(rng.choice([6, 14, 40]))])) for i in range(40)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=80).collect()
+    assert {r["id"]: r["component_id"] for r in got} == brute_groups(rows, 3, 80)
+    assert {"bucket-links", "buckets", "families", "sets", "family-links", "family-parts", "groups"} <= set(plans)
+    joins = {label for label, each in plans.items() for p in each if "SortMergeJoin" in p}
+    assert {"bucket-links", "buckets", "families", "sets", "family-links", "family-parts", "groups"} <= joins
+    assert not {label for label, each in plans.items() for p in each if "Broadcast" in p}
+
+
 def test_dealt_rows_follow_the_members(spark):
     rows = {}
     for n in (2_000, 32_000):
