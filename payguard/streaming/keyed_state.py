@@ -37,6 +37,7 @@ from payguard.session import expose_package, use_state_store
 
 IDLE_MS = 30 * DAY_MS
 CHUNK_ROWS = 512  # entries of a chunk
+PACK_ROWS = 128   # names of a bucket
 ALONE = 64        # keys over which rows without state are dealt
 
 _KEY = T.StructType([T.StructField("k", T.StringType())])
@@ -44,6 +45,7 @@ _NUMBER = T.StructType([T.StructField("i", T.LongType())])
 _TIME = T.StructType([T.StructField("ms", T.LongType())])
 _HEAD = "live long, next long, chunks array<long>, firsts array<long>, max_ms long"
 _CHUNK = "ms array<long>, members array<string>"
+_PACK = "names array<string>, ms array<long>, used array<long>"
 _PART = T.StructType([T.StructField("k", T.StringType()), T.StructField("i", T.LongType())])
 _DEALT_HEAD = f"{_HEAD}, ms array<long>, members array<string>, buckets long, used_ms long"
 
@@ -489,26 +491,91 @@ class Admission(RateLimit):
         return self.stays_until()
 
 
+class Packed:
+    """Times of a shard's names, in buckets by the name's hash: a micro-batch reads and writes each bucket it touches once, so that
+    many names cost few calls and one name a bucket of at most about ``2 * PACK_ROWS``. A name that isn't put for ``keep_ms`` of
+    wall-clock time (None: ever) is forgotten; the state's TTL drops buckets whose names all are."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, keep_ms: int | None):
+        self.keep_ms = keep_ms
+        self.head = handle.getValueState(f"{name}_head", "live long, buckets long", keep_ms)
+        self.parts = handle.getMapState(f"{name}_parts", _NUMBER, _PACK, keep_ms)
+
+    def open(self, now: int) -> None:
+        """Begin a micro-batch of the current shard."""
+        self.now = now
+        self.live, self.buckets = self.head.get() or (0, 1)
+        self.loaded: dict[int, dict[str, tuple[int, int]]] = {}
+        self.changed: set[int] = set()
+
+    def _part(self, bucket: int) -> dict[str, tuple[int, int]]:
+        part = self.loaded.get(bucket)
+        if part is None:
+            stored = self.parts.getValue((bucket,)) if self.live else None
+            names, times, used = stored or ((), (), ())
+            part = self.loaded[bucket] = {
+                n: (ms, at) for n, ms, at in zip(names, times, used) if self.keep_ms is None or at + self.keep_ms > self.now}
+            self.live -= len(names) - len(part)
+        return part
+
+    def _bucket(self, name: str) -> int:
+        return zlib.crc32(name.encode()) % self.buckets
+
+    def get(self, name: str) -> int | None:
+        found = self._part(self._bucket(name)).get(name)
+        return None if found is None else found[0]
+
+    def put(self, name: str, ms: int) -> None:
+        bucket = self._bucket(name)
+        part = self._part(bucket)
+        self.live += name not in part
+        part[name] = (ms, self.now)
+        self.changed.add(bucket)
+
+    def close(self) -> None:
+        """Write the buckets that changed; their number follows the number of names."""
+        if not self.changed:
+            return
+        if self.live > 2 * PACK_ROWS * self.buckets:
+            for bucket in range(self.buckets):
+                self._part(bucket)
+            entries = [e for part in self.loaded.values() for e in part.items()]
+            self.live, self.buckets = len(entries), max(self.buckets, 2 * len(entries) // PACK_ROWS)
+            self.loaded = {bucket: {} for bucket in range(self.buckets)}
+            for name, value in entries:
+                self.loaded[self._bucket(name)][name] = value
+            self.changed = set(self.loaded)
+        for bucket in self.changed:
+            part = self.loaded[bucket]
+            if part:
+                self.parts.updateValue((bucket,), (list(part), [ms for ms, _ in part.values()], [at for _, at in part.values()]))
+            else:  # only when the buckets are dealt anew
+                self.parts.removeKey((bucket,))
+        self.head.update((self.live, self.buckets))
+
+
 class FirstDelivery(StatefulProcessor):
-    """J7 by a shard of alert ids: an entry per id taken, so a delivery costs one look-up. The first
-    delivery of an id, by (``ms``, ``offset``, ``partition``) within a micro-batch, is no duplicate."""
+    """J7 by a shard of alert ids. The first delivery of an id, by (``ms``, ``offset``, ``partition``)
+    within a micro-batch, is no duplicate."""
 
     def __init__(self, columns: list[str], keep_ms: int | None):
         self.columns, self.keep_ms = columns, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getMapState("taken", _KEY, _TIME, self.keep_ms)
+        self.taken = Packed(handle, "taken", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = in_order(rows, ("ms", "offset", "partition"))
         if not len(frame):
             return
-        later = frame["alert_id"].duplicated()
-        old = {a for a in frame.loc[~later, "alert_id"] if self.taken.containsKey((a,))}
-        for a, ms in zip(frame.loc[~later, "alert_id"], frame.loc[~later, "ms"].tolist()):
-            if a not in old:
-                self.taken.updateValue((a,), (int(ms),))
-        yield frame[self.columns].assign(duplicate=later | frame["alert_id"].isin(old))
+        self.taken.open(timerValues.getCurrentProcessingTimeInMs())
+        duplicate = []
+        for a, ms in zip(frame["alert_id"].tolist(), frame["ms"].tolist()):
+            duplicate.append(self.taken.get(a) is not None)
+            if not duplicate[-1]:
+                self.taken.put(a, int(ms))
+        self.taken.close()
+        yield frame[self.columns].assign(duplicate=duplicate)
 
     def close(self) -> None:
         pass
