@@ -45,7 +45,7 @@ _NUMBER = T.StructType([T.StructField("i", T.LongType())])
 _TIME = T.StructType([T.StructField("ms", T.LongType())])
 _HEAD = "live long, next long, chunks array<long>, firsts array<long>, max_ms long"
 _CHUNK = "ms array<long>, members array<string>"
-_PACK = "names array<string>, ms array<long>, used array<long>"
+_PACK = "names array<string>, put_ms array<long>"
 _PART = T.StructType([T.StructField("k", T.StringType()), T.StructField("i", T.LongType())])
 _DEALT_HEAD = f"{_HEAD}, ms array<long>, members array<string>, buckets long, used_ms long"
 
@@ -492,9 +492,9 @@ class Admission(RateLimit):
 
 
 class Packed:
-    """Times of a shard's names, in buckets by the name's hash: a micro-batch reads and writes each bucket it touches once, so that
-    many names cost few calls and one name a bucket of at most about ``2 * PACK_ROWS``. A name that isn't put for ``keep_ms`` of
-    wall-clock time (None: ever) is forgotten; the state's TTL drops buckets whose names all are."""
+    """A shard's set of names, in buckets by the name's hash: a micro-batch reads and writes each bucket it touches once, so that
+    many names cost few calls and one name a bucket of at most about ``2 * PACK_ROWS``. A name is forgotten ``keep_ms`` of
+    wall-clock time after it was put (None: never); the state's TTL drops buckets whose names all are."""
 
     def __init__(self, handle: StatefulProcessorHandle, name: str, keep_ms: int | None):
         self.keep_ms = keep_ms
@@ -505,32 +505,33 @@ class Packed:
         """Begin a micro-batch of the current shard."""
         self.now = now
         self.live, self.buckets = self.head.get() or (0, 1)
-        self.loaded: dict[int, dict[str, tuple[int, int]]] = {}
+        self.loaded: dict[int, dict[str, int]] = {}
         self.changed: set[int] = set()
 
-    def _part(self, bucket: int) -> dict[str, tuple[int, int]]:
+    def _part(self, bucket: int) -> dict[str, int]:
         part = self.loaded.get(bucket)
         if part is None:
-            stored = self.parts.getValue((bucket,)) if self.live else None
-            names, times, used = stored or ((), (), ())
-            part = self.loaded[bucket] = {
-                n: (ms, at) for n, ms, at in zip(names, times, used) if self.keep_ms is None or at + self.keep_ms > self.now}
+            names, put = (self.parts.getValue((bucket,)) if self.live else None) or ((), ())
+            part = dict(zip(names, put))
+            if self.keep_ms is not None:
+                part = {n: at for n, at in part.items() if at + self.keep_ms > self.now}
             self.live -= len(names) - len(part)
+            self.loaded[bucket] = part
         return part
 
     def _bucket(self, name: str) -> int:
         return zlib.crc32(name.encode()) % self.buckets
 
-    def get(self, name: str) -> int | None:
-        found = self._part(self._bucket(name)).get(name)
-        return None if found is None else found[0]
-
-    def put(self, name: str, ms: int) -> None:
+    def add(self, name: str) -> bool:
+        """Put the name if it isn't there; was it new?"""
         bucket = self._bucket(name)
         part = self._part(bucket)
-        self.live += name not in part
-        part[name] = (ms, self.now)
+        if name in part:
+            return False
+        part[name] = self.now
+        self.live += 1
         self.changed.add(bucket)
+        return True
 
     def close(self) -> None:
         """Write the buckets that changed; their number follows the number of names."""
@@ -539,16 +540,16 @@ class Packed:
         if self.live > 2 * PACK_ROWS * self.buckets:
             for bucket in range(self.buckets):
                 self._part(bucket)
-            entries = [e for part in self.loaded.values() for e in part.items()]
-            self.live, self.buckets = len(entries), max(self.buckets, 2 * len(entries) // PACK_ROWS)
+            names = [e for part in self.loaded.values() for e in part.items()]
+            self.live, self.buckets = len(names), max(self.buckets, 2 * len(names) // PACK_ROWS)
             self.loaded = {bucket: {} for bucket in range(self.buckets)}
-            for name, value in entries:
-                self.loaded[self._bucket(name)][name] = value
+            for name, at in names:
+                self.loaded[self._bucket(name)][name] = at
             self.changed = set(self.loaded)
         for bucket in self.changed:
             part = self.loaded[bucket]
             if part:
-                self.parts.updateValue((bucket,), (list(part), [ms for ms, _ in part.values()], [at for _, at in part.values()]))
+                self.parts.updateValue((bucket,), (list(part), list(part.values())))
             else:  # only when the buckets are dealt anew
                 self.parts.removeKey((bucket,))
         self.head.update((self.live, self.buckets))
@@ -569,11 +570,7 @@ class FirstDelivery(StatefulProcessor):
         if not len(frame):
             return
         self.taken.open(timerValues.getCurrentProcessingTimeInMs())
-        duplicate = []
-        for a, ms in zip(frame["alert_id"].tolist(), frame["ms"].tolist()):
-            duplicate.append(self.taken.get(a) is not None)
-            if not duplicate[-1]:
-                self.taken.put(a, int(ms))
+        duplicate = [not self.taken.add(a) for a in frame["alert_id"].tolist()]
         self.taken.close()
         yield frame[self.columns].assign(duplicate=duplicate)
 
