@@ -292,7 +292,10 @@ class Kept(Shard):
         return self.values[n] if n in self.values else super().getValueState(n)
 
     def getMapState(self, n, *_):
-        return self.maps[n] if n in self.maps else super().getMapState(n)
+        if n not in self.maps:
+            state = super().getMapState(n)
+            state.containsKey = lambda k: state.getValue(k) is not None
+        return self.maps[n]
 
 
 def test_deliveries_are_looked_up_many_in_a_call():
